@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import mixing, packing, rules, simhash
+from ledgerlens.llm import capfilters, mixing, packing, rules, simhash
 from ledgerlens.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op7_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,7 +36,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_mix_sources, op5_simhash, op7_robust_rules, op10_packing]
+    found = [op4_mix_sources, op5_simhash, op7_robust_rules, op8_cap_filters, op10_packing]
     return {f.__name__: f for f in found}
 
 
