@@ -1,6 +1,7 @@
 """Packing token sequences by lexical retrieval.
 
-A document's token ids (a public tokenizer, special tokens off, then id 0) are first cut
+A document's token ids (a public byte-level BPE vocabulary, special tokens off, then id 0;
+merged by tiktoken, ids equal to the tokenizers library's) are first cut
 into whole windows; what is left over, shorter than a window, is a piece to be packed
 with lexical neighbours. Pieces are dealt by a min-wise signature of their token 4-grams
 into range shards of bounded size, so that related pieces, copies above all, share a
@@ -18,11 +19,15 @@ rows out.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,53 +40,59 @@ QUERY_TERMS = 48
 CACHE_WORDS = 300_000
 
 
+#: The pre-token pattern of byte-level BPE vocabularies of this kind (fixed value).
+PRE_TOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: Texts whose white space is not just single spaces and line feeds between other characters.
+ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z|[\0\x1c-\x1f\x85]")
+
+
+def byte_level(path: str) -> tiktoken.Encoding:
+    """The byte-level BPE vocabulary of a tokenizers file, merged by rank."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if all(c in letters for c in t) and not t.startswith("<|")}
+    return tiktoken.Encoding("vocabulary", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
+
+
+class ChunkIds(dict):
+    """chunk -> its ids as little-endian uint32 bytes; short chunks are kept."""
+
+    def __init__(self, model: tiktoken.Encoding) -> None:
+        super().__init__()
+        self.encode = model.encode_ordinary
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(chunk)
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= 48:
+            self[chunk] = found
+        return found
+
+
 class WordTokenizer:
     """ids of whole texts as little-endian uint32 bytes.
 
-    The tokenizer's pre-tokens never join a non-space character to a following space, so
-    a text is the concatenation of its chunks cut before each single space; chunks recur
-    and the ids of short ones are kept, up to CACHE_WORDS of them.
+    The pre-tokens never join a non-space character to white space after it, and a single
+    line feed between non-spaces is a pre-token of its own. So a text whose white space
+    is single spaces and line feeds is the concatenation of its chunks, cut before each
+    space and around each line feed; chunks recur, and the ids of up to `cache_words` are
+    kept. Any other text is encoded whole.
     """
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+        self.cache_words, self.known = cache_words, ChunkIds(byte_level(path))
 
     def encode(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        chunks = [head, *[" " + x for x in rest]]
-        if "" in rest or any(x[:1].isspace() for x in rest) or any(x[-1:].isspace() for x in chunks):
-            chunks = self._careful(chunks)
-        known = self.known
-        missing = set(chunks).difference(known)
-        if not missing:
-            return b"".join(map(known.__getitem__, chunks))
-        if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            missing = set(chunks)
-        new, here = list(missing), {}
-        for x, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (known if len(x) <= 64 else here)[x] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(here[x] if x in here else known[x] for x in chunks) if here else b"".join(map(known.__getitem__, chunks))
-
-    @staticmethod
-    def _careful(chunks: list[str]) -> list[str]:
-        """Joins chunks where white space meets white space, so that runs stay whole."""
-        out: list[str] = []
-        open_run = False
-        for x in chunks:
-            if open_run or len(x) == 1 and x == " " or x[1:2].isspace():
-                if out:
-                    out[-1] += x
-                else:
-                    out.append(x)
-            else:
-                out.append(x)
-            open_run = x[-1:].isspace()
-        return out
+        if not text:
+            return b""
+        if ODD_SPACE.search(text):
+            return np.array(self.known.encode(text), dtype="<u4").tobytes()
+        if len(self.known) > self.cache_words:
+            self.known.clear()
+        chunks = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 def _signature(ids: np.ndarray) -> int:
@@ -102,7 +113,7 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFram
         for batch in batches:
             totals, crcs, tails, signatures = [], [], [], []
             for text in batch.column(1).to_pylist():
-                ids = words.encode(text or "") + b"\0\0\0\0"
+                ids = words.encode(text) + b"\0\0\0\0"
                 full = len(ids) // size * size
                 totals.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + size]) for i in range(0, full, size)])

@@ -33,7 +33,7 @@ WHITE = " \t\n\r\x0b\x0c"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 STATISTICS = ["x_length", "x_word", "x_symbols", "x_lines", "x_repeats"]
 #: Least standard deviation of each statistic: differences below it carry no signal.
-FLOORS = [0.25, 0.05, 0.05, 0.05, 0.08]
+FLOORS = [0.25, 0.05, 0.05, 0.25, 0.2]
 #: Upper 0.9999 quantile of chi-square with five degrees of freedom (fixed value).
 REJECT = 25.745
 #: Quantiles 0.975 and 0.75 of the same law, for reweighting and the support's scale (fixed values).
@@ -89,8 +89,8 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.log1p("n_words").alias("x_length"),
         F.log1p(F.col("word_chars") / some).alias("x_word"),
         F.log1p(20 * F.col("n_symbols") / some).alias("x_symbols"),
-        F.log1p(5 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("x_lines"),
-        F.log1p(5 * F.col("n_repeat_words") / some).alias("x_repeats"),
+        F.log1p(2 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("x_lines"),
+        F.log1p(2 * F.col("n_repeat_words") / some).alias("x_repeats"),
     )
 
 
@@ -126,62 +126,72 @@ def _distance(scale: Column) -> dict[str, Column]:
     return {"d2": sum((solved[i] * solved[i] for i in range(p)), F.lit(0.0)) / scale}
 
 
-def _measured(rows: DataFrame, est: DataFrame, keys: list[str], scale: Column) -> DataFrame:
-    kept = [*keys, *[f"m{i}" for i in range(len(STATISTICS))], *[c for c in est.columns if c[0] == "l" and c[1:].isdigit()], *(["scale"] if "scale" in est.columns else [])]
-    return rows.join(est.select(*kept), keys).withColumns(_distance(scale))
+#: Estimates of at most so many groups (about 300 bytes each) are broadcast.
+BROADCAST_GROUPS = 20_000
+SALTS = 32
 
 
-def robust_estimates(rows: DataFrame, keys: list[str], support: float = 0.75, steps: int = 3) -> DataFrame:
+def _joined(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the one row of their group in small (checkpointed), never a group in one task."""
+    if small.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(small), keys)
+    spread = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, [*keys, "salt"]).drop("salt")
+
+
+def _measured(rows: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
+    kept = [c for c in est.columns if c in keys or c == "scale" or c[0] in "ml" and c[1:].isdigit()]
+    return _joined(rows, est.select(*kept), keys).withColumns(_distance(F.col("scale")))
+
+
+def robust_estimates(rows: DataFrame, support: float = 0.75, steps: int = 3) -> DataFrame:
     """Minimum-covariance-determinant location and scatter of each group of rows.
 
-    rows: keys (non-null) and STATISTICS. Returns keys, n, m_i, l_ij, scale, log_det.
+    rows: doc_id, group (non-null) and STATISTICS. Returns group, n, m_i, l_ij, scale.
+    Both starts run side by side, as groups of their own.
     """
     p = len(STATISTICS)
-    middle = rows.groupBy(*keys).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(STATISTICS)])
-    spread = rows.join(middle, keys).groupBy(*keys, *[f"m{i}" for i in range(p)]).agg(
-        F.count(F.lit(1)).alias("n"),
+    middle = checkpointed(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(STATISTICS)]))
+    spread = _joined(rows, middle, ["group"]).groupBy("group").agg(
+        F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)],
         *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, c in enumerate(STATISTICS)],
     )
     diagonal = spread.select(
-        *keys, "n", *[f"m{i}" for i in range(p)],
+        "group", F.lit(0).alias("start"), "n", *[f"m{i}" for i in range(p)],
         *[((1.4826 * F.col(f"s{i}")) ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)],
     )
-    finals = []
-    for start in (diagonal, _moments(rows, keys)):
-        est = checkpointed(_cholesky(start))
-        for _ in range(steps):
-            near = _measured(rows, est, keys, F.lit(1.0))
-            cut = near.groupBy(*keys).agg(F.percentile_approx("d2", support, 1000).alias("cut"))
-            inner = near.join(cut, keys).where("d2 <= cut")
-            est = checkpointed(_cholesky(_moments(inner, keys)))
-        finals.append(est)
-    order = F.struct("log_det", *[c for c in finals[0].columns if c not in keys and c != "log_det"])
-    best = finals[0].select(*keys, order.alias("e")).union(finals[1].select(*keys, order.alias("e")))
-    best = best.groupBy(*keys).agg(F.min("e").alias("e")).select(*keys, "e.*")
-    middle2 = _measured(rows, best, keys, F.lit(1.0)).groupBy(*keys).agg(F.percentile_approx("d2", support, 1000).alias("q"))
-    scaled = checkpointed(best.join(middle2, keys).withColumn("scale", F.greatest(F.col("q") / MIDDLE, F.lit(0.5))))
-    inner = _measured(rows, scaled, keys, F.col("scale")).where(f"d2 <= {REWEIGHT}")
-    return checkpointed(_cholesky(_moments(inner, keys)).withColumn("scale", F.lit(1.0)))
+    plain = _moments(rows, ["group"]).withColumn("start", F.lit(1))
+    keys = ["group", "start"]
+    est = checkpointed(_cholesky(diagonal.unionByName(plain)).withColumn("scale", F.lit(1.0)))
+    twice = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    for _ in range(steps):
+        near = _measured(twice, est, keys)
+        cut = checkpointed(near.groupBy(*keys).agg(F.percentile_approx("d2", support, 1000).alias("cut")))
+        inner = _joined(near, cut, keys).where("d2 <= cut")
+        est = checkpointed(_cholesky(_moments(inner, keys)).withColumn("scale", F.lit(1.0)))
+    rest = [c for c in est.columns if c not in ("group", "log_det")]
+    best = checkpointed(est.groupBy("group").agg(F.min(F.struct("log_det", *rest)).alias("e")).select("group", "e.*"))
+    half = _measured(rows, best, ["group"]).groupBy("group").agg(F.percentile_approx("d2", support, 1000).alias("q"))
+    scaled = checkpointed(best.drop("scale").join(half, "group").withColumn("scale", F.greatest(F.col("q") / MIDDLE, F.lit(0.5))))
+    inner = _measured(rows, scaled, ["group"]).where(f"d2 <= {REWEIGHT}")
+    sizes = middle.select("group", F.col("n").alias("size"))
+    return checkpointed(_cholesky(_moments(inner, ["group"])).withColumn("scale", F.lit(1.0)).join(sizes, "group"))
+
+
+EVERY = "every"
 
 
 def judged(docs: DataFrame, support: float = 0.75, reject: float = REJECT, least_rows: int = 100) -> DataFrame:
     """doc_id, the counts, base_failed, distance (squared Mahalanobis), kept."""
-    rows = checkpointed(
-        statistics(docs).withColumns({"g_lang": F.coalesce("lang", F.lit("\0")), "g_source": F.coalesce("source", F.lit("\0"))})
-    )
-    sound = rows.where("not base_failed")
-    keys = ["g_lang", "g_source"]
-    own = robust_estimates(sound, keys, support).where(F.col("n") >= least_rows)
-    every = robust_estimates(sound.withColumn("every", F.lit(1)), ["every"], support).drop("every", "n")
-    kept = [*keys, *[c for c in own.columns if c not in (*keys, "n")]]
-    names = [c for c in kept if c not in keys]
-    groups = rows.select(*keys).distinct()
-    every = every.select(*[F.col(c).alias(f"all_{c}") for c in names]).withColumn("one", F.lit(1))
-    # every has one row at most: an equi-join on a constant, against one row a group
-    est = groups.withColumn("one", F.lit(1)).join(every, "one", "left").join(own.select(*kept), keys, "left")
-    est = checkpointed(est.select(*keys, *[F.coalesce(c, f"all_{c}").alias(c) for c in names]))
-    far = rows.join(est, keys, "left").withColumns(_distance(F.col("scale"))).withColumnRenamed("d2", "distance")
-    return far.select(
-        "doc_id", *COUNTS, "base_failed", "distance",
-        (~F.col("base_failed") & F.coalesce(F.col("distance") <= reject, F.lit(True))).alias("kept"),
+    own = F.concat(F.lit("of "), F.coalesce("lang", F.lit("\0")), F.lit("\x01"), F.coalesce("source", F.lit("\0")))
+    rows = checkpointed(statistics(docs).withColumn("own", own))
+    sound = rows.where("not base_failed").select("doc_id", *STATISTICS, F.explode(F.array(F.col("own"), F.lit(EVERY))).alias("group"))
+    est = robust_estimates(sound, support).where((F.col("size") >= least_rows) | (F.col("group") == EVERY))
+    known = est.select(F.col("group").alias("own"), F.lit(1).alias("known"))
+    groups = rows.select("own").distinct().join(known, "own", "left").select("own", F.when(F.col("known") == 1, F.col("own")).otherwise(EVERY).alias("group"))
+    chosen = checkpointed(groups.join(est, "group").drop("group"))
+    measured = _measured(rows, chosen, ["own"]) if not chosen.isEmpty() else rows.withColumn("d2", F.lit(None).cast("double"))
+    return measured.select(
+        "doc_id", *COUNTS, "base_failed", F.col("d2").alias("distance"),
+        (~F.col("base_failed") & F.coalesce(F.col("d2") <= reject, F.lit(True))).alias("kept"),
     )
