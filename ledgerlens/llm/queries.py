@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import capfilters, mixing, packing, rules, simhash
-from ledgerlens.llm.common import table
+from ledgerlens.llm import capfilters, mixing, packing, rules, simhash, toxicity
+from ledgerlens.llm.common import is_fold, table
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    doc_id = F.col("doc_id")
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~is_fold(doc_id, 4, 2))
+    scored = docs.select("doc_id", is_fold(doc_id, 4, 2).alias("held_out"), toxicity.score(docs, scorer).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +44,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_mix_sources, op5_simhash, op7_robust_rules, op8_cap_filters, op10_packing]
+    found = [op2_toxicity, op4_mix_sources, op5_simhash, op7_robust_rules, op8_cap_filters, op10_packing]
     return {f.__name__: f for f in found}
 
 
