@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import capfilters, mixing, packing, rules, simhash, toxicity
+from ledgerlens.llm import capfilters, mixing, packing, quality, rules, simhash, toxicity
 from ledgerlens.llm.common import is_fold, table
 
 
@@ -19,6 +19,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    doc_id = F.col("doc_id")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~is_fold(doc_id, 5, 0))
+    scored = docs.select("doc_id", is_fold(doc_id, 5, 0).alias("held_out"), quality.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = mixing.schedule(table(spark, sf_dir, "documents"))
     return shown.select("doc_id", "source", "n_tokens", "epoch", F.col("block_rank").cast("long"), "doc_key", F.round("exponent", 6).alias("exponent"), F.round("weight", 6).alias("weight"))
@@ -44,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity, op4_mix_sources, op5_simhash, op7_robust_rules, op8_cap_filters, op10_packing]
+    found = [op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op7_robust_rules, op8_cap_filters, op10_packing]
     return {f.__name__: f for f in found}
 
 
