@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import capfilters, mixing, packing, quality, rules, simhash, toxicity
+from ledgerlens.llm import capfilters, langid, mixing, packing, quality, rules, simhash, toxicity
 from ledgerlens.llm.common import is_fold, table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = is_fold(F.col("doc_id"), 4, 2)
+    field = langid.fit(docs, ~held_out)
+    labelled = docs.select("doc_id", held_out.alias("held_out"), langid.label(docs, field).alias("found"))
+    return labelled.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     doc_id = F.col("doc_id")
@@ -52,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op7_robust_rules, op8_cap_filters, op10_packing]
+    found = [op1_langid, op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op7_robust_rules, op8_cap_filters, op10_packing]
     return {f.__name__: f for f in found}
 
 
