@@ -20,9 +20,10 @@ rows out.
 from __future__ import annotations
 
 import json
-import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +38,19 @@ from ledgerlens.plans.storage import checkpointed
 WINDOW = 1024
 SHARD_PIECES = 1500
 QUERY_TERMS = 48
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
 
 #: The pre-token pattern of byte-level BPE vocabularies of this kind (fixed value).
 PRE_TOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Texts whose white space is not just single spaces and line feeds between other characters.
-ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z|[\0\x1c-\x1f\x85]")
+ODD_PAIRS = ("  ", " \n", "\n ", "\n\n", "\0")
+
+
+def single_spaced(text: str) -> bool:
+    """Whether the only white space is single spaces and line feeds between other characters."""
+    if any(x in text for x in ODD_PAIRS) or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return len(text.split()) == text.count(" ") + text.count("\n") + 1  # more, if any other white space parts words
 
 
 def byte_level(path: str) -> tiktoken.Encoding:
@@ -65,7 +72,7 @@ class ChunkIds(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.encode(chunk)
-        found = struct.pack(f"<{len(ids)}I", *ids)
+        found = array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= 48:
             self[chunk] = found
         return found
@@ -87,7 +94,7 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if ODD_SPACE.search(text):
+        if not single_spaced(text):
             return np.array(self.known.encode(text), dtype="<u4").tobytes()
         if len(self.known) > self.cache_words:
             self.known.clear()
@@ -99,10 +106,10 @@ def _signature(ids: np.ndarray) -> int:
     """Min-wise hash of the 4-grams of ids."""
     x = ids.astype(np.uint64)
     if len(x) >= 4:
-        x = ((x[:-3] * np.uint64(50_261) + x[1:-2]) * np.uint64(50_261) + x[2:-1]) * np.uint64(50_261) + x[3:]
-    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return int((x ^ (x >> np.uint64(29))).min() >> np.uint64(1))
+        pairs = x[:-1] * np.uint64(0x9E3779B97F4A7C15) + x[1:]
+        x = pairs[:-2] * np.uint64(0xD6E8FEB86659FD93) + pairs[2:]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return int(x.min() >> np.uint64(1))
 
 
 def tokenized(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
@@ -135,10 +142,11 @@ class ShardIndex:
         grams = [x[:-1].astype(np.int64) * 65_536 + x[1:] if len(x) > 1 else x.astype(np.int64) for x in pieces]
         lengths = np.array([len(g) for g in grams], dtype=np.float64)
         doc = np.repeat(np.arange(n, dtype=np.int64), lengths.astype(np.int64))
-        term = np.concatenate(grams) if n else np.zeros(0, np.int64)
-        _, number = np.unique(term, return_inverse=True)
-        pairs, tf = np.unique(number * n + doc, return_counts=True)
-        number, doc = pairs // max(n, 1), pairs % max(n, 1)
+        occurrences = np.sort((np.concatenate(grams) if n else np.zeros(0, np.int64)) * n + doc)
+        fresh = np.flatnonzero(np.diff(occurrences, prepend=-1))
+        pairs, tf = occurrences[fresh], np.diff(fresh, append=len(occurrences))
+        term, doc = pairs // max(n, 1), pairs % max(n, 1)
+        number = np.cumsum(np.diff(term, prepend=-1) != 0) - 1
         df = np.bincount(number)
         shared = df[number] > 1  # a term of one piece retrieves nothing
         number, doc, tf, kept = number[shared], doc[shared], tf[shared], np.flatnonzero(df > 1)
@@ -149,7 +157,7 @@ class ShardIndex:
         self.n, self.doc = n, doc
         self.weight = idf[number] * tf * (k1 + 1) / (tf + norm[doc])
         self.start = np.concatenate([[0], np.cumsum(df)])
-        order = np.argsort(doc, kind="stable")
+        order = np.sort((doc << 32) + np.arange(len(doc))) & 0xFFFFFFFF  # by piece, terms rising
         self.term_of, self.term_from = number[order], np.searchsorted(doc[order], np.arange(n + 1))
         self.strength = self.weight[order]
 
@@ -164,8 +172,8 @@ class ShardIndex:
         at, to = self.start[query], self.start[query + 1]
         flat = np.repeat(at - np.concatenate([[0], np.cumsum(to - at)[:-1]]), to - at) + np.arange((to - at).sum())
         score = np.bincount(self.doc[flat], weights=self.weight[flat], minlength=self.n)
-        best = np.argsort(-score, kind="stable")
-        return best[score[best] > 0]
+        found = np.flatnonzero(score)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def pack_shard(pieces: list[np.ndarray], window: int = WINDOW, terms: int = QUERY_TERMS) -> list[list[tuple[int, int, int]]]:
