@@ -43,14 +43,9 @@ CACHE_WORDS = 1_000_000
 
 #: The pre-token pattern of byte-level BPE vocabularies of this kind (fixed value).
 PRE_TOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-ODD_PAIRS = ("  ", " \n", "\n ", "\n\n", "\0")
-
-
 def single_spaced(text: str) -> bool:
     """Whether the only white space is single spaces and line feeds between other characters."""
-    if any(x in text for x in ODD_PAIRS) or text[0] in " \n" or text[-1] in " \n":
-        return False
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1  # more, if any other white space parts words
+    return "\0" not in text and text.split() == text.replace("\n", " ").split(" ")
 
 
 def byte_level(path: str) -> tiktoken.Encoding:
