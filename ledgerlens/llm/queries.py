@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import capfilters, langid, mixing, packing, quality, rules, simhash, toxicity
+from ledgerlens.llm import capfilters, langid, mainhtml, mixing, packing, quality, rules, simhash, toxicity
 from ledgerlens.llm.common import is_fold, table
 
 
@@ -53,6 +53,10 @@ def op8_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_langid, op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op7_robust_rules, op8_cap_filters, op10_packing]
+    found = [op1_langid, op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op7_robust_rules, op8_cap_filters, op9_main_text, op10_packing]
     return {f.__name__: f for f in found}
 
 
