@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import capfilters, langid, mainhtml, mixing, packing, quality, rules, simhash, toxicity
+from ledgerlens.llm import capfilters, contextmix, langid, mainhtml, mixing, packing, quality, rules, simhash, toxicity
 from ledgerlens.llm.common import is_fold, table
 
 
@@ -45,6 +45,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextmix.score(table(spark, sf_dir, "documents"), is_fold(F.col("doc_id"), 7, 2))
+
+
 def op7_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_langid, op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op7_robust_rules, op8_cap_filters, op9_main_text, op10_packing]
+    found = [op1_langid, op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op6_context_mixing, op7_robust_rules, op8_cap_filters, op9_main_text, op10_packing]
     return {f.__name__: f for f in found}
 
 
