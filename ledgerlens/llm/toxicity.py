@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.training import fit_logistic, labelled_sample, logistic
 
 ORDER = 5
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 5_000
 THRESHOLD = 0.3
 STRONG = 3.0
 WORD = re.compile(r"\w+")
@@ -46,27 +46,22 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def _spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of words, each after ORDER-1 left boundaries and before a right one; starts."""
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The last ORDER characters at each character of the words and their ends, and its word."""
     pad = "\x02" * (ORDER - 1)
     text = "".join(f"{pad}{w}\x03" for w in words)
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     sizes = np.fromiter((len(w) + ORDER for w in words), np.int64, len(words))
-    return chars, np.concatenate([[0], np.cumsum(sizes)])
-
-
-def _grams(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The last ORDER characters at each predicted position, and the word it is of."""
-    ends = np.concatenate([np.arange(a + ORDER - 1, b) for a, b in zip(starts[:-1], starts[1:], strict=True)]) if len(starts) > 1 else np.zeros(0, np.int64)
-    word = np.repeat(np.arange(len(starts) - 1), np.diff(starts) - ORDER + 1)
-    return chars[ends[:, None] - np.arange(ORDER - 1, -1, -1)], word
+    place = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ends = np.flatnonzero(place >= ORDER - 1)
+    return chars[ends[:, None] - np.arange(ORDER - 1, -1, -1)], np.repeat(np.arange(len(words)), sizes - ORDER + 1)
 
 
 def _key(columns: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each row's characters."""
     h = np.full(len(columns), np.uint64(columns.shape[1]))
     for k in range(columns.shape[1]):
-        h = (h ^ columns[:, k]) * _MIX
+        h = (h ^ columns[:, k].astype(np.uint64)) * _MIX
         h ^= h >> np.uint64(29)
     return h
 
@@ -103,7 +98,7 @@ class ClassModels:
         own = []
         for counter in (toxic, ordinary):
             words = list(counter)
-            grams, word = _grams(*_spelled(words))
+            grams, word = _grams(words)
             weight = np.fromiter(counter.values(), np.float64, len(words))[word]
             _, first, inverse = np.unique(_key(grams), return_index=True, return_inverse=True)
             own.append((grams[first], np.bincount(inverse, weights=weight)))
@@ -122,7 +117,7 @@ class ClassModels:
         """Toxic minus ordinary log-likelihood of each word."""
         if not words:
             return np.zeros(0)
-        grams, word = _grams(*_spelled(words))
+        grams, word = _grams(words)
         _, first, inverse = np.unique(_key(grams), return_index=True, return_inverse=True)
         distinct = grams[first]
         p = np.full(len(distinct), 1e-5)
@@ -169,25 +164,23 @@ class Scorer:
         self.models = None
         if len(y) < 4 or y.min() == y.max():
             return
-        bags = [words_of(t) for t in texts]
         half = np.zeros(len(y), dtype=bool)
         for label in (0, 1):  # each fold with half of either class
             half[np.flatnonzero(y == label)[::2]] = True
+        counts = {(fold, label): Counter() for fold in (True, False) for label in (0, 1)}
+        for text, fold, label in zip(texts, half.tolist(), y.tolist(), strict=True):
+            counts[fold, label].update(words_of(text))
         x = np.zeros((len(y), 4))
-        for fit in (half, ~half):
-            models = self._fit(bags, y, fit)
-            rows = np.flatnonzero(~fit)
-            cache = WordEvidence(models)
-            for at in range(0, len(rows), 500):
-                part = rows[at : at + 500]
+        for fold in (True, False):
+            cache = WordEvidence(ClassModels(counts[fold, 1], counts[fold, 0]))
+            rows = np.flatnonzero(half != fold)
+            for at in range(0, len(rows), 200):
+                part = rows[at : at + 200]
                 x[part] = [_features(e) for e in cache.of([texts[i] for i in part])]
         self.calibration = fit_logistic(x, y.astype(np.float64))
-        self.models = self._fit(bags, y, np.ones(len(y), dtype=bool))
-
-    @staticmethod
-    def _fit(bags: list[list[str]], y: np.ndarray, use: np.ndarray) -> ClassModels:
-        counts = [Counter(chain.from_iterable(bags[i] for i in np.flatnonzero(use & (y == label)))) for label in (1, 0)]
-        return ClassModels(*counts)
+        for label in (0, 1):
+            counts[True, label].update(counts.pop((False, label)))
+        self.models = ClassModels(counts[True, 1], counts[True, 0])
 
     def score(self, texts: list[str | None], cache: WordEvidence) -> np.ndarray:
         found = [np.array([_features(e) for e in cache.of(texts[at : at + 500])]) for at in range(0, len(texts), 500)]
