@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.training import fit_logistic, logistic
+from ledgerlens.llm.training import fit_logistic, hashed_sample, logistic
 
 SAMPLE_PAGES = 400
 
@@ -342,9 +342,8 @@ def extract(html: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray] =
 
 
 def fit(pages: DataFrame, rows: int = SAMPLE_PAGES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    chosen = pages.select(F.col("html").cast("string").alias("html"), F.xxhash64(F.col("page_id").cast("long"), F.col("html").cast("string")).alias("h"))
-    found = chosen.where("html is not null").orderBy("h").limit(rows)
-    return train(sorted(r["html"] for r in found.select("html").collect()))
+    found = pages.select(F.col("html").cast("string").alias("html")).where("html is not null")
+    return train(sorted(r["html"] for r in hashed_sample(found, F.xxhash64("html"), rows).distinct().collect()))
 
 
 def extracted(pages: DataFrame, rows: int = SAMPLE_PAGES) -> DataFrame:

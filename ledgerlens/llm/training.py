@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def hashed_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """The rows of df with the `rows` least values of key; only keys meet in one place."""
+    least = df.select(key.alias("h")).where("h is not null").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.where(key <= F.lit(least)) if least is not None else df.limit(0)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int) -> pd.DataFrame:
     """text and label of at most `rows` labelled documents, drawn by id hash.
 
