@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions import vocab
 
@@ -38,37 +39,56 @@ def first_filled(*columns: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in columns])
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value evaluated once; written out, nested steps would double at every use."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def once(value: Column) -> Column:
+    """value in a form that the optimizer does not copy into each of its uses."""
+    return let(value, lambda x: x)
+
+
 def phone(raw: Column, trunk_zero: bool = True) -> Column:
     """struct(raw, e164, national, digits, is_voip, is_mobile, area_code, pbx_prefix_6).
 
     trunk_zero drops the 0 of "+31 (0)20 …"; without it that zero is doubled.
     """
     value = F.regexp_replace(F.trim(F.regexp_replace(text(raw), vocab.PHONE_EXTENSION, "")), vocab.PHONE_LABEL, "")
-    compact = F.regexp_replace(value, r"[^\d+]", "")
-    compact = F.when(compact.startswith("00"), F.concat(F.lit("+"), F.substring(compact, 3, 40))).otherwise(compact)
-    digits = F.regexp_replace(compact, r"\D", "")
-    rest = F.substring(digits, 3, 40)
-    rest = F.when(rest.startswith("0"), F.substring(rest, 2, 40)).otherwise(rest) if trunk_zero else rest
-    abroad, bare = compact.startswith("+"), digits.startswith("31") & (F.length(digits) >= 10) & ~digits.startswith("310")
-    dutch = (abroad & digits.startswith("31")) | (~abroad & bare)
-    national = F.when(dutch, F.concat(F.lit("0"), rest)).when(abroad, F.lit("")).otherwise(digits)
-    e164 = (
-        F.when(dutch, F.concat(F.lit("+31"), rest)).when(abroad & (digits != ""), F.concat(F.lit("+"), digits))
-        .when(~abroad & digits.startswith("0") & (F.length(digits) >= 9), F.concat(F.lit("+31"), F.substring(digits, 2, 40))).otherwise("")
-    )
-    codes = {n: [c for c in vocab.AREA_CODES if len(c) == n] for n in (2, 3, 4)}
-    area = (
-        F.when(national.startswith("06"), F.lit("06"))
-        .when(F.substring(national, 1, 3).isin(*vocab.NON_GEOGRAPHIC), F.substring(national, 1, 3))
-        .when(F.substring(national, 1, 4).isin(*codes[4]), F.substring(national, 1, 4))
-        .when(F.substring(national, 1, 1) == "0", F.substring(national, 1, 3)).otherwise("")
-    )
-    shown = F.when((area != "") & (F.length(national) > F.length(area)), F.concat(area, F.lit("-"), F.substr(national, F.length(area) + 1))).otherwise(national)
-    return F.struct(
-        text(raw).alias("raw"), e164.alias("e164"), shown.alias("national"), national.alias("digits"),
-        F.substring(national, 1, 3).isin(*vocab.NON_GEOGRAPHIC).alias("is_voip"), national.startswith("06").alias("is_mobile"),
-        area.alias("area_code"), F.substring(national, 1, 6).alias("pbx_prefix_6"),
-    )
+    codes = [c for c in vocab.AREA_CODES if len(c) == 4]
+
+    def numbers(dialled: Column) -> Column:
+        """national and e164 of digits with an optional leading +."""
+        digits = F.regexp_replace(dialled, r"\D", "")
+        rest = F.substring(digits, 3, 40)
+        rest = F.when(rest.startswith("0"), F.substring(rest, 2, 40)).otherwise(rest) if trunk_zero else rest
+        abroad, bare = dialled.startswith("+"), digits.startswith("31") & (F.length(digits) >= 10) & ~digits.startswith("310")
+        dutch = (abroad & digits.startswith("31")) | (~abroad & bare)
+        national = F.when(dutch, F.concat(F.lit("0"), rest)).when(abroad, F.lit("")).otherwise(digits)
+        e164 = (
+            F.when(dutch, F.concat(F.lit("+31"), rest)).when(abroad & (digits != ""), F.concat(F.lit("+"), digits))
+            .when(~abroad & digits.startswith("0") & (F.length(digits) >= 9), F.concat(F.lit("+31"), F.substring(digits, 2, 40))).otherwise("")
+        )
+        return F.struct(national.alias("n"), e164.alias("e"))
+
+    def area(n: Column) -> Column:
+        return (
+            F.when(n.startswith("06"), F.lit("06")).when(F.substring(n, 1, 3).isin(*vocab.NON_GEOGRAPHIC), F.substring(n, 1, 3))
+            .when(F.substring(n, 1, 4).isin(*codes), F.substring(n, 1, 4)).when(F.substring(n, 1, 1) == "0", F.substring(n, 1, 3)).otherwise("")
+        )
+
+    def parts(x: Column) -> Column:
+        n, code = x["n"], x["a"]
+        shown = F.when((code != "") & (F.length(n) > F.length(code)), F.concat(code, F.lit("-"), F.substr(n, F.length(code) + 1))).otherwise(n)
+        return F.struct(
+            x["raw"].alias("raw"), x["e"].alias("e164"), shown.alias("national"), n.alias("digits"),
+            F.substring(n, 1, 3).isin(*vocab.NON_GEOGRAPHIC).alias("is_voip"), n.startswith("06").alias("is_mobile"),
+            code.alias("area_code"), F.substring(n, 1, 6).alias("pbx_prefix_6"),
+        )
+
+    compact = let(F.regexp_replace(value, r"[^\d+]", ""), lambda c: F.when(c.startswith("00"), F.concat(F.lit("+"), F.substring(c, 3, 40))).otherwise(c))
+    known = let(compact, numbers)
+    return let(let(known, lambda x: F.struct(text(raw).alias("raw"), x["n"].alias("n"), x["e"].alias("e"), area(x["n"]).alias("a"))), parts)
 
 
 def _edged(c: Column) -> Column:
@@ -82,31 +102,49 @@ COUNTRY = r"(?i)(?:,|\s)\s*(?:the\s+)?(?:netherlands|nederland|nl)\s*$"
 
 def address(raw: Column) -> Column:
     """struct(raw, postal_code, house_number, addition, street, city, country, normalized_key)."""
+    def landless(c: Column) -> Column:
+        return F.when(F.regexp_extract(c, COUNTRY, 0) != "", _edged(F.regexp_replace(c, COUNTRY, ""))).otherwise(c)
+
+    def around(x: Column) -> Column:
+        """What stands before and after the postal code."""
+        work, hit = x["work"], x["hit"]
+        at = F.instr(work, hit)
+        return F.struct(
+            hit.alias("hit"), F.when(hit != "", _edged(F.substr(work, F.lit(1), at - 1))).otherwise(work).alias("before"),
+            F.when(hit != "", _edged(F.substr(work, at + F.length(hit)))).otherwise("").alias("after"),
+        )
+
+    def town(x: Column) -> Column:
+        before = F.when(x["after"] == "", landless(x["before"])).otherwise(x["before"])
+        return let(F.struct(x["hit"].alias("hit"), before.alias("before"), landless(x["after"]).alias("after")), lambda y: F.struct(
+            y["hit"].alias("hit"), y["before"].alias("before"), y["after"].alias("after"),
+            F.when(y["hit"] == "", F.regexp_extract(y["before"], r",\s*([^,]+)$", 1)).otherwise("").alias("tail"),
+        ))
+
+    def street(x: Column) -> Column:
+        postal = F.when(x["hit"] != "", F.concat(F.substring(x["hit"], 1, 4), F.lit(" "), F.upper(F.substring(x["hit"], -2, 2)))).otherwise("")
+        part = F.when(x["tail"] != "", _edged(F.regexp_replace(x["before"], r",\s*[^,]+$", ""))).otherwise(x["before"])
+        city = F.when(x["tail"] != "", F.trim(x["tail"])).otherwise(_edged(x["after"]))
+        return let(part, lambda p: F.struct(
+            postal.alias("postal"), city.alias("city"), p.alias("part"), F.regexp_extract(p, HOUSE, 0).alias("found"), F.regexp_extract(p, HOUSE, 1).alias("number"),
+            F.upper(F.concat(F.regexp_extract(p, HOUSE, 2), F.regexp_extract(p, HOUSE, 3))).alias("addition"),
+        ))
+
+    def done(x: Column) -> Column:
+        at = F.instr(x["part"], x["found"])
+        rest = F.concat(F.substr(x["part"], F.lit(1), at - 1), F.substr(x["part"], at + F.length(x["found"])))
+        key = F.regexp_replace(F.lower(F.concat(x["postal"], x["number"], x["addition"])), "[^a-z0-9]", "")
+        return F.struct(
+            text(raw).alias("raw"), x["postal"].alias("postal_code"), x["number"].alias("house_number"), x["addition"].alias("addition"),
+            _edged(F.when(x["number"] != "", rest).otherwise(x["part"])).alias("street"), x["city"].alias("city"), F.lit("NL").alias("country"), key.alias("normalized_key"),
+        )
+
     work = F.trim(F.regexp_replace(text(raw), r"\s+", " "))
-    hit = F.regexp_extract(work, POSTAL, 0)
-    has = hit != ""
-    postal = F.when(has, F.concat(F.regexp_extract(work, POSTAL, 1), F.lit(" "), F.upper(F.regexp_extract(work, POSTAL, 2)))).otherwise("")
-    at = F.instr(work, hit)
-    before = F.when(has, _edged(F.substr(work, F.lit(1), at - 1))).otherwise(work)
-    after = F.when(has, _edged(F.substr(work, at + F.length(hit)))).otherwise("")
-    landless = lambda c: F.when(F.regexp_extract(c, COUNTRY, 0) != "", _edged(F.regexp_replace(c, COUNTRY, ""))).otherwise(c)
-    before, after = F.when(after == "", landless(before)).otherwise(before), landless(after)
-    tail = F.regexp_extract(before, r",\s*([^,]+)$", 1)
-    city = F.when(~has & (tail != ""), F.trim(tail)).otherwise(_edged(after))
-    part = F.when(~has & (tail != ""), _edged(F.regexp_replace(before, r",\s*[^,]+$", ""))).otherwise(before)
-    number = F.regexp_extract(part, HOUSE, 1)
-    addition = F.upper(F.concat(F.regexp_extract(part, HOUSE, 2), F.regexp_extract(part, HOUSE, 3)))
-    found = F.regexp_extract(part, HOUSE, 0)
-    spot = F.instr(part, found)
-    street = F.when(number != "", _edged(F.concat(F.substr(part, F.lit(1), spot - 1), F.substr(part, spot + F.length(found))))).otherwise(_edged(part))
-    key = F.regexp_replace(F.lower(F.concat(postal, number, addition)), "[^a-z0-9]", "")
-    return F.struct(
-        text(raw).alias("raw"), postal.alias("postal_code"), number.alias("house_number"), addition.alias("addition"),
-        street.alias("street"), city.alias("city"), F.lit("NL").alias("country"), key.alias("normalized_key"),
-    )
-
-
-@F.pandas_udf("string")
+    first = let(work, lambda w: F.struct(w.alias("work"), F.regexp_extract(w, POSTAL, 0).alias("hit")))
+    return let(let(let(let(first, around), town), street), done)
+
+
+@F.pandas_udf(T.StringType())
 def idna(hosts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """ASCII form of host names; names that have none stay."""
 
@@ -126,27 +164,43 @@ def domain(raw: Column, international: bool = False) -> Column:
     international: non-ASCII host names are put in their ASCII form (a vectorised UDF);
     without it the whole expression stays in generated code.
     """
+    def split(full: Column) -> Column:
+        rest = F.regexp_replace(full, r"^[^:]+://", "")
+        authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
+        host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""), r"\.+$", ""))
+        return F.struct(
+            F.lower(F.regexp_extract(full, r"^([^:]+)://", 1)).alias("scheme"), host.alias("host"),
+            F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), "/+$", "").alias("path"), F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1).alias("query"),
+        )
+
+    def labelled(x: Column) -> Column:
+        labels = F.filter(F.split(x["host"], r"\."), lambda p: p != "")
+        return let(labels, lambda p: F.struct(
+            p.alias("labels"), F.size(p).alias("n"),
+            F.when(F.array_join(F.slice(p, F.greatest(F.size(p) - 1, F.lit(1)), 2), ".").isin(*vocab.TWO_LABEL_SUFFIXES), 3).otherwise(2).alias("width"),
+        ))
+
+    def done(x: Column) -> Column:
+        u, p = x["u"], x["p"]
+        enough = p["n"] >= p["width"]
+        name = F.when(enough, F.array_join(F.slice(p["labels"], F.greatest(p["n"] - p["width"] + 1, F.lit(1)), p["width"]), ".")).otherwise(u["host"])
+        sub = F.when(enough, F.array_join(F.slice(p["labels"], F.lit(1), F.greatest(p["n"] - p["width"], F.lit(0))), ".")).otherwise("")
+        scheme = F.when(u["scheme"].isin("http", "https"), u["scheme"]).otherwise("https")
+        kept = F.filter(F.split(u["query"], "&"), lambda q: (q != "") & ~F.regexp_like(F.substring_index(q, "=", 1), F.lit(vocab.TRACKING_KEYS)))
+        kept = F.array_join(F.transform(kept, lambda q: F.when(F.contains(q, F.lit("=")), q).otherwise(F.concat(q, F.lit("=")))), "&")
+        asked = let(kept, lambda k: F.when(k != "", F.concat(F.lit("?"), k)).otherwise(""))
+        return F.struct(
+            text(raw).alias("raw"), F.concat(scheme, F.lit("://"), u["host"], u["path"], asked).alias("canonical_url"), name.alias("domain"),
+            F.regexp_replace(F.regexp_replace(sub, r"^www$", ""), r"^www\.", "").alias("subdomain"), scheme.alias("scheme"),
+        )
+
     value = text(raw)
     full = F.when(F.regexp_like(value, F.lit(r"^(?i)[a-z][a-z0-9+.-]*://")), value).otherwise(F.concat(F.lit("https://"), value))
-    scheme = F.lower(F.regexp_extract(full, r"^([^:]+)://", 1))
-    scheme = F.when(scheme.isin("http", "https"), scheme).otherwise("https")
-    rest = F.regexp_replace(full, r"^[^:]+://", "")
-    authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""), r"\.+$", ""))
-    host = F.when(F.regexp_like(host, F.lit(r"[^\x00-\x7F]")), idna(host)).otherwise(host) if international else host
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    n = F.size(labels)
-    width = F.when(F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".").isin(*vocab.TWO_LABEL_SUFFIXES), 3).otherwise(2)
-    enough = n >= width
-    name = F.when(enough, F.array_join(F.slice(labels, F.greatest(n - width + 1, F.lit(1)), width), ".")).otherwise(host)
-    sub = F.when(enough, F.array_join(F.slice(labels, F.lit(1), F.greatest(n - width, F.lit(0))), ".")).otherwise("")
-    sub = F.when(sub == "www", "").otherwise(F.regexp_replace(sub, r"^www\.", ""))
-    path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), "/+$", "")
-    query = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda q: (q != "") & ~F.regexp_like(F.substring_index(q, "=", 1), F.lit(vocab.TRACKING_KEYS)))
-    kept = F.array_join(F.transform(kept, lambda q: F.when(F.contains(q, F.lit("=")), q).otherwise(F.concat(q, F.lit("=")))), "&")
-    canonical = F.concat(scheme, F.lit("://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
-    return F.struct(value.alias("raw"), canonical.alias("canonical_url"), name.alias("domain"), sub.alias("subdomain"), scheme.alias("scheme"))
+    parsed = let(full, split)
+    if international:  # UDFs cannot stand inside the steps
+        host = F.when(F.regexp_like(parsed["host"], F.lit(r"[^\x00-\x7F]")), idna(parsed["host"])).otherwise(parsed["host"])
+        parsed = F.struct(parsed["scheme"].alias("scheme"), host.alias("host"), parsed["path"].alias("path"), parsed["query"].alias("query"))
+    return let(let(parsed, lambda u: F.struct(u.alias("u"), labelled(u).alias("p"))), done)
 
 
 _LEGAL = re.compile(vocab.LEGAL_SUFFIX, re.I)
@@ -154,6 +208,13 @@ _TAIL = re.compile(r"\s*[-|,:/]\s*(?:in|te|bij|regio)\s+(.+)$", re.I)
 _NAME_EDGE = " \t\r\n,;|:-/"
 
 
+#: Types are spelled out, as workers that import this module cannot parse type strings.
+NAME = (
+    T.StructType().add("clean_name", T.StringType()).add("tokens", T.ArrayType(T.StringType()))
+    .add("brand_guess", T.StringType()).add("has_delimiters", T.BooleanType())
+)
+
+
 def split_name(raw: str | None) -> dict[str, object]:
     """clean_name, tokens, brand_guess, has_delimiters of one name."""
     value = (raw or "").strip()
@@ -162,7 +223,7 @@ def split_name(raw: str | None) -> dict[str, object]:
     return {"clean_name": clean, "tokens": re.findall(r"[^\W_]+", clean.lower()), "brand_guess": brand, "has_delimiters": bool(re.search(r"[|:/-]", value))}
 
 
-@F.pandas_udf("clean_name string, tokens array<string>, brand_guess string, has_delimiters boolean")
+@F.pandas_udf(NAME)
 def business_name(names: pd.Series) -> pd.DataFrame:
     """Unicode compatibility folding has no built-in function, hence a vectorised UDF."""
     return pd.DataFrame(list(names.map(split_name)), columns=["clean_name", "tokens", "brand_guess", "has_delimiters"])
@@ -174,7 +235,7 @@ def compact(value: str | None) -> str:
     return "".join(c for c in folded if not unicodedata.combining(c) and c.isalnum()).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compacted(values: pd.Series) -> pd.Series:
     return values.map(compact)
 

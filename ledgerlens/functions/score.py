@@ -7,9 +7,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions import vocab
-from ledgerlens.functions.normalize import any_contained, compact, first_contained, literals, plain_address, plain_host, text
+from ledgerlens.functions.normalize import any_contained, compact, first_contained, let, literals, once, plain_address, plain_host, text
 
 
 def _escape(word: str) -> str:
@@ -38,19 +39,29 @@ def occurrences(value: Column, part: str) -> Column:
 
 def keyword_stuffing(name: Column, city: Column) -> Column:
     """struct(score, level, delimiters, modifiers, city_added, words) of a listing's title."""
-    title, lower, town = text(name), F.lower(text(name)), text(city)
-    delimiters = _sum([occurrences(title, d) for d in vocab.SCORE_DELIMITERS])
-    modifiers = F.filter(literals(vocab.SCORE_MODIFIERS), lambda m: F.regexp_like(lower, F.concat(F.lit(r"\b\Q"), m, F.lit(r"\E\b"))))
-    rest = F.btrim(F.regexp_replace(title, F.concat(F.lit(r"(?i)\Q"), town, F.lit(r"\E")), F.lit("")), F.lit(" -|:–—/"))
-    added = (town != "") & F.contains(lower, F.lower(town)) & (F.length(rest) >= 3)
-    words = F.regexp_count(title, F.lit(r"(?U)\b\w+\b"))
-    score = _clamped(
-        F.when(delimiters >= 2, 35).when(delimiters == 1, 15).otherwise(0) + 20 * F.size(modifiers) + _points(added, 25) + _points(words >= 6, 20)
-    )
-    level = F.when(score < 20, "clean").when(score < 50, "suspicious").when(score < 75, "highly_suspicious").otherwise("extreme")
-    return F.struct(
-        score.alias("score"), level.alias("level"), delimiters.alias("delimiters"), modifiers.alias("modifiers"), added.alias("city_added"), words.alias("words"),
-    )
+    def found(x: Column) -> Column:
+        title, lower, town = x["title"], F.lower(x["title"]), x["town"]
+        rest = F.btrim(F.regexp_replace(title, F.concat(F.lit(r"(?i)\Q"), town, F.lit(r"\E")), F.lit("")), F.lit(" -|:–—/"))
+        return F.struct(
+            _sum([occurrences(title, d) for d in vocab.SCORE_DELIMITERS]).alias("delimiters"),
+            F.filter(literals(vocab.SCORE_MODIFIERS), lambda m: F.regexp_like(lower, F.concat(F.lit(r"\b\Q"), m, F.lit(r"\E\b")))).alias("modifiers"),
+            ((town != "") & F.contains(lower, F.lower(town)) & (F.length(rest) >= 3)).alias("added"),
+            F.regexp_count(title, F.lit(r"(?U)\b\w+\b")).alias("words"),
+        )
+
+    def total(x: Column) -> Column:
+        points = F.when(x["delimiters"] >= 2, 35).when(x["delimiters"] == 1, 15).otherwise(0) + 20 * F.size(x["modifiers"])
+        return F.struct(_clamped(points + _points(x["added"], 25) + _points(x["words"] >= 6, 20)).alias("score"), x.alias("x"))
+
+    def shown(y: Column) -> Column:
+        score, x = y["score"], y["x"]
+        level = F.when(score < 20, "clean").when(score < 50, "suspicious").when(score < 75, "highly_suspicious").otherwise("extreme")
+        return F.struct(
+            score.alias("score"), level.alias("level"), x["delimiters"].alias("delimiters"), x["modifiers"].alias("modifiers"),
+            x["added"].alias("city_added"), x["words"].alias("words"),
+        )
+
+    return let(let(let(F.struct(text(name).alias("title"), text(city).alias("town")), found), total), shown)
 
 
 def abuse(df: DataFrame, into: str = "abuse") -> DataFrame:
@@ -69,7 +80,7 @@ def abuse(df: DataFrame, into: str = "abuse") -> DataFrame:
     cloned = F.coalesce(F.col("network_cluster_size"), F.lit(0)) > 1
     # whole points of 30 % of the keyword score, cut off
     score = _clamped(F.floor(keyword["score"] * 3 / 10) + _points(flex, 35) + F.when(block, 25).when(national, 15).otherwise(0) + _points(ghost, 15) + _points(cloned, 15))
-    confidence = F.when(score >= 80, "CRITICAL").when(score >= 55, "HIGH").when(score >= 30, "MEDIUM").otherwise("LOW")
+    level = lambda s: F.when(s >= 80, "CRITICAL").when(s >= 55, "HIGH").when(s >= 30, "MEDIUM").otherwise("LOW")
     evidence = F.array_compact(F.array(
         F.when(keyword["delimiters"] >= 2, F.concat(F.lit("several title delimiters: "), keyword["delimiters"].cast("string"))).when(keyword["delimiters"] == 1, "one title delimiter"),
         F.when(F.size(keyword["modifiers"]) > 0, F.concat(F.lit("marketing terms: "), F.array_join(keyword["modifiers"], ", "))),
@@ -77,7 +88,7 @@ def abuse(df: DataFrame, into: str = "abuse") -> DataFrame:
         F.when(flex, "flexible office"), F.when(block, "VoIP block").when(national, "national VoIP number"),
         F.when(ghost, "no traceable registration"), F.when(cloned, "part of a network"),
     ))
-    made = F.struct(score.alias("overall_score"), confidence.alias("confidence"), evidence.alias("evidence_points"), keyword.alias("keyword"))
+    made = let(score, lambda s: F.struct(s.alias("overall_score"), level(s).alias("confidence"), evidence.alias("evidence_points"), keyword.alias("keyword")))
     return df.withColumn("__kw", keyword_stuffing(F.col("name"), F.col("city"))).withColumn(into, made).drop("__kw")
 
 
@@ -99,9 +110,11 @@ def audited(df: DataFrame, hq: str = "", registration: str = "") -> DataFrame:
         F.when(F.col("__office"), "known_virtual_office"), F.when(F.col("__parcel"), "parcel_or_partner_location"),
         F.when(F.col("__home"), "residential_address_indicator"), F.when(F.col("__stuffed"), "possible_keyword_stuffing"),
     ))
-    evidence = F.when((spam >= 50) | (word_score >= 50), F.array_distinct(F.concat(base, F.col("__abuse.evidence_points")))).otherwise(base)
+    evidence = once(F.when((spam >= 50) | (word_score >= 50), F.array_distinct(F.concat(base, F.col("__abuse.evidence_points")))).otherwise(base))
     reportable = F.col("__office") | F.col("__parcel") | (spam >= 65)
     category = F.when(F.col("__stuffed"), "keyword_stuffing").when(F.col("__home"), "residential").when(F.col("__parcel"), "parcel_dropoff").when(F.col("__office"), "virtual_office").otherwise("clean")
+    scored = scored.withColumn("__evidence", evidence)
+    evidence = F.col("__evidence")
     some = F.size(evidence) > 0
     head = F.col("__head")
     known = F.nullif(text(F.col("kvk_status")), F.lit(""))
@@ -114,14 +127,14 @@ def audited(df: DataFrame, hq: str = "", registration: str = "") -> DataFrame:
         "registration_status": F.when(head, F.lit(f"Legally registered ({registration})")).otherwise(F.coalesce(known, absent)),
         "spam_score": F.when(~head, spam), "keyword_score": F.when(~head, word_score), "abuse_confidence": F.when(~head, F.col("__abuse.confidence")),
     })
-    return out.drop("__abuse", "__office", "__parcel", "__home", "__stuffed", "__head")
+    return out.drop("__abuse", "__office", "__parcel", "__home", "__stuffed", "__head", "__evidence")
 
 
 def confidence(score: Column, signal: Column) -> Column:
     return F.when(~signal, "LOW").when(score >= 75, "HIGH").when(score >= 45, "MEDIUM").otherwise("LOW")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Longest-matching-block ratio of compacted strings; 0 if either is empty. Edit distance is not the same."""
 
