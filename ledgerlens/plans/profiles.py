@@ -34,7 +34,7 @@ SELECT id, city,
     || ', ' || CAST(1000 + b % 8999 AS STRING) || CASE WHEN r = 5 THEN 'ab' ELSE ' AB' END || ' ' || city || CASE WHEN r = 4 THEN ', Nederland' ELSE '' END AS address,
   CASE WHEN r IN (0, 3) THEN 'https://www.dak' || CAST(b AS STRING) || '-' || lower(city) || '.nl/x/?utm_source=a&id=' || CAST(r AS STRING)
     WHEN r = 1 THEN 'facebook.com/p' || CAST(id AS STRING) WHEN r = 2 THEN 'http://shop.bedrijf' || CAST(b AS STRING) || '.co.uk/a/b/'
-    WHEN r = 6 THEN 'klus' || CAST(b AS STRING) || lower(city) || '.com' ELSE NULL END AS website,
+    WHEN r IN (6, 7) THEN 'klus' || CAST(b AS STRING) || lower(city) || '.com' ELSE NULL END AS website,
   'Target ' || CAST(b % 20 AS STRING) || ' (NL)' AS target_name,
   CASE id % 4 WHEN 0 THEN 'Plumber' WHEN 1 THEN 'Locksmith' WHEN 2 THEN 'Bakery' ELSE '' END AS category,
   CASE id % 10 WHEN 0 THEN 'Woning en appartement' WHEN 1 THEN 'Primera afhaalpunt' ELSE 'Vakman in ' || city END AS snippet,
