@@ -72,5 +72,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+MIXING_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS k, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens,
+    CAST('0x' || substr(md5('block|7|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) % 1024 AS blk FROM documents),
+totals AS (SELECT k, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM docs GROUP BY k),
+whole AS (SELECT CAST(sum(tokens) AS DOUBLE) AS a, ln(count(*)) AS ln_s FROM totals WHERE tokens > 0),
+p AS (SELECT tokens / a AS p FROM totals, whole WHERE tokens > 0),
+ent(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid,
+      (SELECT ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2)) FROM p) >= 0.97 * (SELECT ln_s FROM whole) AS up FROM ent WHERE i < 60) e),
+rep(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END FROM (
+    SELECT i, lo, hi, (lo + hi) / 2 AS mid, (SELECT max(pow(p, (lo + hi) / 2 - 1)) / min(pow(p, (lo + hi) / 2 - 1)) FROM p) <= 2.0 AS ok FROM rep WHERE i < 60) r),
+answer AS (SELECT greatest(
+    CASE WHEN (SELECT -sum(p * ln(p)) FROM p) >= 0.97 * (SELECT ln_s FROM whole) THEN 1.0 ELSE (SELECT lo FROM ent WHERE i = 60) END,
+    CASE WHEN (SELECT max(pow(p, -1)) / min(pow(p, -1)) FROM p) <= 2.0 THEN 0.0 ELSE (SELECT hi FROM rep WHERE i = 60) END) AS t),
+norm AS (SELECT t, (SELECT sum(pow(p, t)) FROM p) AS z, (SELECT max(pow(p, 1 - t)) FROM p) AS most FROM answer),
+priced AS (SELECT k, tokens, t AS exponent, CASE WHEN tokens > 0 THEN pow(tokens / a, t) / z ELSE 0 END AS weight,
+  CAST(floor(CASE WHEN tokens > 0 THEN pow(tokens / a, t) / z ELSE 0 END * a * z * most + 1e-6) AS BIGINT) AS quota FROM totals, whole, norm),
+plan AS (SELECT *, CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END AS epochs, quota - CASE WHEN tokens > 0 THEN quota // tokens ELSE 1 END * tokens AS part FROM priced),
+sizes AS (SELECT k, blk, sum(n_tokens) AS bt FROM docs GROUP BY k, blk),
+eps AS (SELECT k, exponent, weight, epochs, part, unnest(range(0, CAST(epochs + CASE WHEN part > 0 THEN 1 ELSE 0 END AS BIGINT))) AS epoch FROM plan),
+keyed AS (SELECT s.k, s.blk, s.bt, e.exponent, e.weight, e.epochs, e.part, e.epoch, md5('order|7|' || CAST(e.epoch AS VARCHAR) || '|' || s.k || '|' || CAST(s.blk AS VARCHAR)) AS bk FROM sizes s JOIN eps e USING (k)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k, epoch ORDER BY bk, blk) AS block_rank, sum(bt) OVER (PARTITION BY k, epoch ORDER BY bk, blk ROWS UNBOUNDED PRECEDING) AS upto FROM keyed),
+placed AS (SELECT *, CASE WHEN epoch < epochs THEN bt ELSE part - upto + bt END AS room FROM ranked),
+taken AS (SELECT * FROM placed WHERE room >= 0 AND (epoch < epochs OR room > 0 OR bt = 0)),
+shown AS (SELECT d.doc_id, d.source, d.n_tokens, t.k, t.epoch, t.block_rank, md5('doc|7|' || CAST(t.epoch AS VARCHAR) || '|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')) AS doc_key, t.exponent, t.weight, t.room, t.room < t.bt AS border
+  FROM docs d JOIN taken t USING (k, blk)),
+run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY k, epoch, border ORDER BY doc_key, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM shown)
+SELECT doc_id, source, n_tokens, epoch, block_rank, doc_key, round(exponent, 6) AS exponent, round(weight, 6) AS weight FROM run WHERE NOT border OR upto <= room
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Mixing is SQL; the other operators rest on hashes, trained models or a tokenizer that SQL lacks."""
+    return {"op4_mix_sources": MIXING_SQL}
