@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Flexible hubs by address pattern, for the synthetic listings.
 HUBS = {"regus straat": "Regus Straat", "weena": "Weena", "primera plein": "Primera Plein"}
-NOW = F.lit("2024-02-01 00:00:00").cast("timestamp")
+NOW = "2024-02-01 00:00:00"
 
 
 def query(f: Query) -> Query:
@@ -272,7 +272,7 @@ def follow_up_queue(spark: SparkSession, d: str) -> DataFrame:
         F.col("event_id").alias("case_id"), F.element_at(F.array(F.lit("SUBMITTED"), F.lit("pending"), F.lit("closed")), (F.col("event_id") % 3 + 1).cast("int")).alias("status"),
         F.when(F.col("event_id") % 11 == 0, F.lit("not-a-date")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("created_at"),
     )
-    return cases.follow_up(e, NOW, 7)
+    return cases.follow_up(e, F.lit(NOW).cast("timestamp"), 7)
 
 
 def _reviewed(spark: SparkSession, d: str) -> DataFrame:
