@@ -12,7 +12,10 @@ vectors, so chance meetings per vector stay constant as the table grows.
 
 Exact copies are grouped first and decoded once. A filter with more than `tile` members
 is split into tiles, each pair of tiles a group of its own, so that no task holds an
-unbounded group and no pair is left out.
+unbounded group and no pair is left out. Pairs are counted where they are verified, not
+emitted: each vector carries the list of its filters, a pair counts only in the first
+filter that its vectors share, and what leaves a filter is one row a vector (its number
+of links there, and the least member of its component there).
 
 Cases: null, empty and zero vectors, and those with null or non-finite components, link
 with nothing. Vectors of different lengths are never compared. A null vec_id links with
@@ -100,26 +103,48 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
 
 
-def _close(ids: np.ndarray, tile: np.ndarray, unit: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified pairs within a filter, or between its two tiles."""
-    left = np.flatnonzero(tile == tile.min())
-    right = np.flatnonzero(tile == tile.max())
-    across = tile.min() != tile.max()
-    for at in range(0, len(left), 512):
-        rows = left[at : at + 512]
-        i, j = np.nonzero(unit[rows] @ unit[right].T >= cosine)
-        a, b = ids[rows[i]], ids[right[j]]
-        keep = a != b if across else a < b
-        yield np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+def _resolved(filter_: int, tile: np.ndarray, unit: np.ndarray, copies: np.ndarray, filters: list[np.ndarray], cosine: float) -> tuple[np.ndarray, ...]:
+    """(rows, linked copies, row of the component's least member) of a filter's new links.
+
+    tile: where members stand; of two tiles, only pairs across them are compared.
+    """
+    near = unit @ unit.T >= cosine
+    if tile.min() != tile.max():
+        near &= tile[:, None] != tile[None, :]
+    np.fill_diagonal(near, False)
+    rows = np.flatnonzero(near.any(axis=1))
+    near = near[np.ix_(rows, rows)]
+    if len(rows):
+        before = [f[: np.searchsorted(f, filter_)] for f in (filters[i] for i in rows)]
+        value, column, count = np.unique(np.concatenate(before), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(rows)), [len(f) for f in before])
+        shared = np.flatnonzero(count > 1)
+        place = np.searchsorted(shared, column)
+        for at in range(0, len(shared), 2048):  # pairs that met in an earlier filter are counted there
+            here = (count[column] > 1) & (place >= at) & (place < at + 2048)
+            holds = np.zeros((len(rows), min(2048, len(shared) - at)), np.float32)
+            holds[owner[here], place[here] - at] = 1
+            near &= holds @ holds.T < 0.5
+    label = np.arange(len(rows))
+    while len(rows):
+        least = np.minimum(label, np.where(near, label[None, :], len(rows)).min(axis=1))
+        if (least == label).all():
+            break
+        label = least
+    some = np.flatnonzero(near.any(axis=1)) if len(rows) else rows
+    return rows[some], (near @ copies[rows])[some] if len(rows) else rows, rows[label[some]]
 
 
 def links(vectors: DataFrame, cosine: float = COSINE, per_vector: float = PER_VECTOR, codes: int = CODES, tile: int = TILE) -> DataFrame:
-    """(a, b) with a < b for distinct vectors(rep, embedding) of cosine or more."""
+    """(rep, others, root) of distinct vectors(rep, embedding, copies), over the filters they meet in.
+
+    The sum of others is the number of copies of other vectors of cosine or more; the
+    pairs (rep, root) have the components of those links.
+    """
     directions = directions_for(vectors.count())
 
-    def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(1)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -130,37 +155,41 @@ def links(vectors: DataFrame, cosine: float = COSINE, per_vector: float = PER_VE
                     part = rows[at : at + 2000]
                     x = values[starts[part][:, None] + np.arange(dim)]
                     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    for number in range(codes):
-                        row, where = decode(unit, number, directions, per_vector)
-                        spot = pa.array((where * codes + number) * 65_536 + dim)
-                        yield pa.RecordBatch.from_arrays([spot, pa.array(ids[part][row])], ["filter", "rep"])
-
-    placed = checkpointed(vectors.select("rep", "embedding").mapInArrow(filters, "filter long, rep long"))
+                    found = [(row, (where * codes + number) * 65_536 + dim) for number in range(codes) for row, where in [decode(unit, number, directions, per_vector)]]
+                    row, spot = (np.concatenate(c) for c in zip(*found, strict=True))
+                    order = np.lexsort((spot, row))
+                    edge = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))]).astype(np.int32)
+                    listed = pa.ListArray.from_arrays(pa.array(edge), pa.array(spot[order].astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), batch.column(1).take(pa.array(part)), batch.column(2).take(pa.array(part)), listed], ["rep", "vector", "copies", "filters"])
+
+    kind = dict(vectors.dtypes)["embedding"]
+    held = checkpointed(vectors.select("rep", "embedding", "copies").mapInArrow(decoded, f"rep long, vector {kind}, copies long, filters array<long>"))
+    placed = held.select("rep", F.explode("filters").alias("filter"))
     sizes = placed.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = placed.join(sizes, "filter")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("lo"), F.greatest(k, F.col("own")).alias("hi")))
     tiled = (
-        sized.withColumns({"tiles": tiles, "own": own}).withColumn("pair", F.explode(pairs))
-        .select("filter", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "own", "rep")
-        .join(vectors.select("rep", F.col("embedding").alias("vector")), "rep")
+        placed.join(sizes, "filter").withColumns({"tiles": tiles, "own": own}).withColumn("pair", F.explode(pairs))
+        .select("filter", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "own", "rep").join(held, "rep")
     )
+    key = ["filter", "lo", "hi"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = np.stack([t.column(c).to_numpy() for c in ("filter", "lo", "hi")], axis=1)
-            own, ids = t.column("own").to_numpy(), t.column("rep").to_numpy()
-            lists = t.column("vector").combine_chunks()
-            values, starts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            edge = _runs(key)
+        def solved(t: pa.Table, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+            own_, ids, copies = (t.column(c).to_numpy() for c in ("own", "rep", "copies"))
+            (values, starts), (filters, from_) = (
+                (x.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())])) for x in (t.column(c).combine_chunks() for c in ("vector", "filters"))
+            )
+            edge = _runs(keys)
             for at, to in zip(edge[:-1], edge[1:], strict=True):
                 if to - at > 1:
                     x = values[starts[at] : starts[to]].reshape(to - at, -1).astype(np.float64)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    for a, b in _close(ids[at:to], own[at:to] if key[at, 1] != key[at, 2] else np.zeros(to - at, int), x, cosine):
-                        if len(a):
-                            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    tile_ = own_[at:to] if keys[at, 1] != keys[at, 2] else np.zeros(to - at, np.int64)
+                    rows, others, root = _resolved(keys[at, 0], tile_, x, copies[at:to], [filters[from_[i] : from_[i + 1]] for i in range(at, to)], cosine)
+                    if len(rows):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows]), pa.array(others.astype(np.int64)), pa.array(ids[at + root])], ["rep", "others", "root"])
 
         wait: list[pa.RecordBatch] = []
         for batch in batches:
@@ -168,16 +197,16 @@ def links(vectors: DataFrame, cosine: float = COSINE, per_vector: float = PER_VE
                 continue
             wait.append(batch)
             t = pa.Table.from_batches(wait)
-            last = np.stack([t.column(c).to_numpy() for c in ("filter", "lo", "hi")], axis=1)
-            cut = _runs(last)[-2]  # the last group may go on in the next batch
+            keys = np.stack([t.column(c).to_numpy() for c in key], axis=1)
+            cut = _runs(keys)[-2]  # the last group may go on in the next batch
             if cut:
-                yield from solved(t.slice(0, cut))
+                yield from solved(t.slice(0, cut), keys[:cut])
                 wait = t.slice(cut).combine_chunks().to_batches()
         if wait:
-            yield from solved(pa.Table.from_batches(wait))
+            t = pa.Table.from_batches(wait)
+            yield from solved(t, np.stack([t.column(c).to_numpy() for c in key], axis=1))
 
-    key = ["filter", "lo", "hi"]
-    return tiled.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "a long, b long").distinct()
+    return tiled.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "rep long, others long, root long")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, per_vector: float = PER_VECTOR, codes: int = CODES, tile: int = TILE) -> DataFrame:
@@ -190,11 +219,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, per_vector: f
     rows = rows.withColumn("sound", sound)
     grouped = rows.where("sound").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     copies = checkpointed(grouped.withColumn("rep", F.monotonically_increasing_id()))  # numbers hold once written
-    found = checkpointed(links(copies.select("rep", "embedding"), cosine, per_vector, codes, tile))
-    both = found.union(found.select("b", "a"))
-    sizes = copies.select(F.col("rep").alias("b"), "copies")
-    linked = both.join(sizes, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
-    component = connected_components(found).withColumnsRenamed({"id": "rep"})
+    found = checkpointed(links(copies.select("rep", "embedding", "copies"), cosine, per_vector, codes, tile).groupBy("rep", "root").agg(F.sum("others").alias("others")))
+    linked = found.groupBy("rep").agg(F.sum("others").alias("others"))
+    component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"id": "rep"})
     classes = (
         copies.join(linked, "rep", "left").join(component, "rep", "left")
         .select("embedding", "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("class"))
