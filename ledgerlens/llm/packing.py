@@ -38,7 +38,7 @@ from ledgerlens.plans.storage import checkpointed
 WINDOW = 1024
 SHARD_PIECES = 1500
 QUERY_TERMS = 48
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 
 
 #: The pre-token pattern of byte-level BPE vocabularies of this kind (fixed value).
