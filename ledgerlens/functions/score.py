@@ -81,12 +81,16 @@ def abuse(df: DataFrame, into: str = "abuse") -> DataFrame:
     # whole points of 30 % of the keyword score, cut off
     score = _clamped(F.floor(keyword["score"] * 3 / 10) + _points(flex, 35) + F.when(block, 25).when(national, 15).otherwise(0) + _points(ghost, 15) + _points(cloned, 15))
     level = lambda s: F.when(s >= 80, "CRITICAL").when(s >= 55, "HIGH").when(s >= 30, "MEDIUM").otherwise("LOW")
+    t = vocab.TRIGGERS
+    own = F.col("actual_occupant")
     evidence = F.array_compact(F.array(
-        F.when(keyword["delimiters"] >= 2, F.concat(F.lit("several title delimiters: "), keyword["delimiters"].cast("string"))).when(keyword["delimiters"] == 1, "one title delimiter"),
-        F.when(F.size(keyword["modifiers"]) > 0, F.concat(F.lit("marketing terms: "), F.array_join(keyword["modifiers"], ", "))),
-        F.when(keyword["city_added"], "city added to the title"), F.when(keyword["words"] >= 6, "long title"),
-        F.when(flex, "flexible office"), F.when(block, "VoIP block").when(national, "national VoIP number"),
-        F.when(ghost, "no traceable registration"), F.when(cloned, "part of a network"),
+        F.when(keyword["delimiters"] >= 2, F.format_string(t["delimiters"], keyword["delimiters"])).when(keyword["delimiters"] == 1, t["delimiter"]),
+        F.when(F.size(keyword["modifiers"]) > 0, F.format_string(t["modifiers"], F.array_join(keyword["modifiers"], ", "))),
+        F.when(keyword["city_added"], F.format_string(t["city"], F.concat(F.upper(F.substring(F.col("city"), 1, 1)), F.lower(F.substr(F.col("city"), F.lit(2)))))),
+        F.when(keyword["words"] >= 6, F.format_string(t["words"], keyword["words"])),
+        F.when(flex, F.format_string(t["flex"], F.coalesce(F.nullif(text(own), F.lit("")), F.lit("Regus/Spaces")))),
+        F.when(block, F.format_string(t["block"], phone)).when(national, F.format_string(t["national"], phone)),
+        F.when(ghost, t["ghost"]), F.when(cloned, F.format_string(t["cloned"], F.col("network_cluster_size").cast("string"))),
     ))
     made = let(score, lambda s: F.struct(s.alias("overall_score"), level(s).alias("confidence"), evidence.alias("evidence_points"), keyword.alias("keyword")))
     return df.withColumn("__kw", keyword_stuffing(F.col("name"), F.col("city"))).withColumn(into, made).drop("__kw")

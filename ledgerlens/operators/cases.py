@@ -9,8 +9,6 @@ from ledgerlens.functions import vocab
 from ledgerlens.functions.normalize import text
 from ledgerlens.operators.networks import numbered
 
-#: Statuses that are followed up (fixed values).
-OPEN = ["submitted", "pending", "in_review"]
 DOSSIER = [
     "business_name_on_profile", "google_maps_url", "physical_address", "actual_occupant_and_business_type",
     "commercial_register_kvk_status", "policy_violation_details",
@@ -71,8 +69,7 @@ def dossier(locations: DataFrame) -> DataFrame:
     """The six dossier columns of reportable locations, with their defaults."""
     flagged = F.coalesce("is_reportable", "is_fraud", F.lit(False)) if "is_fraud" in locations.columns else F.coalesce("is_reportable", F.lit(False))
     source = ["name", "url", "address", "actual_occupant", "kvk_status", "violation_details"]
-    default = ["Unknown business", "", "", "Unverified business location", "No commercial registration at this address", "Potential policy concern"]
-    return locations.where(flagged).select(*[F.coalesce(F.nullif(text(F.col(c)), F.lit("")), F.lit(d)).alias(n) for c, d, n in zip(source, default, DOSSIER, strict=True)])
+    return locations.where(flagged).select(*[F.coalesce(F.nullif(text(F.col(c)), F.lit("")), F.lit(d)).alias(n) for c, d, n in zip(source, vocab.DOSSIER_DEFAULTS, DOSSIER, strict=True)])
 
 
 def follow_up(submissions: DataFrame, now: Column, days: int = 7) -> DataFrame:
@@ -80,7 +77,7 @@ def follow_up(submissions: DataFrame, now: Column, days: int = 7) -> DataFrame:
     if days < 1:
         raise ValueError("days must be 1 or more")
     made = F.coalesce(F.try_to_timestamp(F.col("created_at")), F.timestamp_seconds(F.lit(0)))
-    return submissions.where(F.lower(text(F.col("status"))).isin(*OPEN) & (made <= now - F.expr(f"INTERVAL {int(days)} DAYS")))
+    return submissions.where(F.lower(text(F.col("status"))).isin(*vocab.FOLLOW_UP_STATUSES) & (made <= now - F.expr(f"INTERVAL {int(days)} DAYS")))
 
 
 def tally(df: DataFrame, column: str, missing: str) -> DataFrame:

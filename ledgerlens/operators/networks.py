@@ -19,8 +19,9 @@ def members(keyed: DataFrame, least: int = 2) -> DataFrame:
     return found.join(sizes.select("component"), "component", "left_semi").select("component", "id")
 
 
-def _points(condition: Column, n: int, reason: str) -> Column:
-    return F.when(condition, F.struct(F.lit(n).alias("points"), F.lit(reason).alias("reason")))
+def _points(condition: Column, n: int, reason: str, *values: Column) -> Column:
+    said = F.format_string(vocab.NETWORK_REASONS[reason], *values) if values else F.lit(vocab.NETWORK_REASONS[reason])
+    return F.when(condition, F.struct(F.lit(n).alias("points"), said.alias("reason")))
 
 
 def scored(member: DataFrame, biz: DataFrame) -> DataFrame:
@@ -39,11 +40,11 @@ def scored(member: DataFrame, biz: DataFrame) -> DataFrame:
     )
     m, d, p, a = (F.col(f"{x}_count") for x in ("member", "domain", "phone", "address"))
     reasons = F.array_compact(F.array(
-        F.coalesce(_points(m >= 10, 25, "large network"), _points(m >= 5, 15, "network of linked profiles"), _points(m >= 2, 8, "profiles share infrastructure")),
-        F.coalesce(_points((d == 1) & (m >= 3), 25, "one domain for several locations"), _points((d > 1) & (d <= 3) & (m >= 5), 15, "concentrated domains")),
-        F.coalesce(_points((p == 1) & (m >= 2), 20, "one phone number for several profiles"), _points((p > 1) & (p <= m / 2), 12, "shared telephony")),
-        F.coalesce(_points(F.col("has_block"), 15, "SIP trunk block"), _points(F.col("has_voip"), 10, "national VoIP numbers")),
-        _points((a == 1) & (m >= 3), 20, "one address area for several profiles"),
+        F.coalesce(_points(m >= 10, 25, "large", m), _points(m >= 5, 15, "linked", m), _points(m >= 2, 8, "shared", m)),
+        F.coalesce(_points((d == 1) & (m >= 3), 25, "one_domain"), _points((d > 1) & (d <= 3) & (m >= 5), 15, "few_domains", d, m)),
+        F.coalesce(_points((p == 1) & (m >= 2), 20, "one_phone"), _points((p > 1) & (p <= m / 2), 12, "few_phones")),
+        F.coalesce(_points(F.col("has_block"), 15, "block"), _points(F.col("has_voip"), 10, "voip")),
+        _points((a == 1) & (m >= 3), 20, "one_place", m),
     ))
     total = F.least(F.lit(100), F.aggregate(F.col("reasons"), F.lit(0), lambda s, r: s + r["points"]))
     severity = F.when(F.col("suspicion_score") >= 70, "CRITICAL").when(F.col("suspicion_score") >= 50, "HIGH").when(F.col("suspicion_score") >= 30, "MEDIUM").otherwise("LOW")

@@ -269,7 +269,7 @@ def evidence_integrity(spark: SparkSession, d: str) -> DataFrame:
 @query
 def follow_up_queue(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select(
-        F.col("event_id").alias("case_id"), F.element_at(F.array(F.lit("SUBMITTED"), F.lit("pending"), F.lit("closed")), (F.col("event_id") % 3 + 1).cast("int")).alias("status"),
+        F.col("event_id").alias("case_id"), F.element_at(F.array(F.lit("SUBMITTED"), F.lit("awaiting_google_review"), F.lit("closed")), (F.col("event_id") % 3 + 1).cast("int")).alias("status"),
         F.when(F.col("event_id") % 11 == 0, F.lit("not-a-date")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("created_at"),
     )
     return cases.follow_up(e, F.lit(NOW).cast("timestamp"), 7)

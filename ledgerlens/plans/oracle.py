@@ -213,7 +213,7 @@ def oracle_sql() -> dict[str, str]:
         "insert_ignore": f"WITH {BIZ} SELECT id, normalized_phone FROM biz WHERE id % 2 = 0",
         "evidence_hash": "SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR) || '|LISTING|' || o_orderstatus || '|' || o_orderpriority || '|' || strftime(o_orderdate, '%Y-%m-%d')) AS sha256_hash FROM orders",
         "evidence_integrity": "SELECT o_orderkey % 10 <> 0 AS intact, count(*) AS n FROM orders GROUP BY 1",
-        "follow_up_queue": "SELECT event_id AS case_id, CASE event_id % 3 WHEN 0 THEN 'SUBMITTED' WHEN 1 THEN 'pending' END AS status, CASE WHEN event_id % 11 = 0 THEN 'not-a-date' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS created_at FROM events WHERE event_id % 3 <> 2 AND (event_id % 11 = 0 OR date_trunc('second', ts) <= TIMESTAMP '2024-01-25 00:00:00')",
+        "follow_up_queue": "SELECT event_id AS case_id, CASE event_id % 3 WHEN 0 THEN 'SUBMITTED' WHEN 1 THEN 'awaiting_google_review' END AS status, CASE WHEN event_id % 11 = 0 THEN 'not-a-date' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS created_at FROM events WHERE event_id % 3 <> 2 AND (event_id % 11 = 0 OR date_trunc('second', ts) <= TIMESTAMP '2024-01-25 00:00:00')",
         "campaign_batches": f"WITH {_BATCHED} SELECT id, violation_category, batch_id, route FROM routed",
         "campaign_manifest": f"WITH {_BATCHED} SELECT batch_id, route, count(*) AS locations FROM routed GROUP BY 1, 2",
         "batch_parts": f"WITH {P}, n AS (SELECT id, target_name, row_number() OVER (PARTITION BY target_name ORDER BY id) AS r, count(*) OVER (PARTITION BY target_name) AS c FROM profiles), q AS (SELECT *, CAST(floor((r - 1) / 18) AS BIGINT) + 1 AS part FROM n) SELECT id, target_name, part, CASE WHEN c > 18 THEN 'Part ' || CAST(part AS VARCHAR) ELSE '' END AS part_label FROM q",
@@ -229,7 +229,7 @@ def oracle_sql() -> dict[str, str]:
         "case_businesses_semi": f"WITH {P} SELECT id, name FROM profiles WHERE id IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 7)",
         "review_outcomes": "WITH a AS (SELECT l_orderkey AS id, arg_max(l_returnflag, l_shipdate + to_microseconds(l_linenumber)) AS f FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1) SELECT CASE WHEN f IS NULL THEN 'POTENTIAL' WHEN f = 'A' THEN 'VERIFIED' ELSE 'REJECTED' END AS status, count(*) AS n FROM orders LEFT JOIN a ON id = o_orderkey GROUP BY 1",
         "outcome_status": "SELECT CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) THEN 'ACTION_OBSERVED' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1",
-        "dossier_export": f"WITH {_audit('')} SELECT name AS business_name_on_profile, coalesce(nullif(website, ''), '') AS google_maps_url, address AS physical_address, coalesce(nullif(actual_occupant, ''), 'Unverified business location') AS actual_occupant_and_business_type, coalesce(nullif(kvk_status, ''), 'No commercial registration at this address') AS commercial_register_kvk_status, 'Potential policy concern' AS policy_violation_details FROM audited WHERE is_reportable",
+        "dossier_export": f"WITH {_audit('')} SELECT name AS business_name_on_profile, coalesce(nullif(website, ''), '') AS google_maps_url, address AS physical_address, coalesce(nullif(actual_occupant, ''), 'Unstaffed Shared Facility') AS actual_occupant_and_business_type, coalesce(nullif(kvk_status, ''), 'Unregistered at this location') AS commercial_register_kvk_status, 'Policy violation' AS policy_violation_details FROM audited WHERE is_reportable",
         "page_footprint": f"""SELECT url, {_HOST.format('url')} AS domain, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'GTM-[A-Z0-9]+'))), '|') AS gtm,
             array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?i)(?:kvk|handelsregister|dossier)[^0-9]{{0,25}}([0-9]{{8}})\\b', 1))), '|') AS kvk, array_to_string(list_filter([{", ".join(f"CASE WHEN {_any('lower(html)', w)} THEN {_q(x)} END" for w, x in vocab.CLAIMS)}], lambda x: x IS NOT NULL), '|') AS claims, CAST(length(html) AS INT) AS html_length FROM pages""",
         "footprint_match": f"SELECT url FROM pages WHERE {_any('lower(html)', [x for w, _ in vocab.CLAIMS for x in w])} OR regexp_matches(html, 'GTM-[A-Z0-9]+') OR regexp_matches(html, '\\b(085[\\s\\-]?[0-9]{{3}}[\\s\\-]?[0-9]{{4}}|088[\\s\\-]?[0-9]{{3}}[\\s\\-]?[0-9]{{4}}|0[1-9][0-9][\\s\\-]?[0-9]{{3}}[\\s\\-]?[0-9]{{4}})\\b')",
