@@ -176,6 +176,7 @@ class Labeller:
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """[texts, labels]: expected number of words with each label."""
         listed = [words_of(t) for t in texts]
+        listed = [ws if any(c.isalpha() for w in ws for c in w) else [] for ws in listed]  # other numerals are no letters
         ids = self._ids(listed)
         n, total = len(self.field.labels), np.zeros((len(texts), len(self.field.labels)))
         sizes = np.array([len(i) for i in ids])

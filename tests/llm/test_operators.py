@@ -314,7 +314,7 @@ def test_field_inference_is_exact():
                 joint[a, b, c] = t[:, a].mean() * p[0, a] * t[a, b] * p[1, b] * t[b, c] * p[2, c]
     joint /= joint.sum()
     assert langid.forward_backward(e[None, :3], t)[0][0, 0] == pytest.approx(joint.sum(axis=(1, 2)), abs=1e-9)
-    names, scores = langid.Labeller(f).label([text, None, "123 !", words(80, 30, "vwxyz")])
+    names, scores = langid.Labeller(f).label([text, None, "123 ² !", words(80, 30, "vwxyz")])
     assert names == ["p", "und", "und", "q"] and scores[1] == scores[2] == 0 and m[0][:60, 0].mean() > 0.9 and m[0][-30:, 1].mean() > 0.9
 
 
