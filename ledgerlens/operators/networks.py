@@ -145,6 +145,13 @@ def syndicate(profiles: DataFrame, hubs: dict[str, str], excluded: list[str]) ->
     return voip.union(hub).distinct().join(out, "id", "left_anti")
 
 
+def named_syndicates(profiles: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """(syndicate, id): listings whose target's name holds one of a syndicate's words."""
+    target = text(F.col("target_name"))
+    each = F.array_compact(F.array(*[F.when(any_contained(target, words), name) for name, words in names.items()]))
+    return profiles.select(F.explode(each).alias("syndicate"), "id")
+
+
 def dense_hubs(profiles: DataFrame, hubs: dict[str, str], least: int = 5, shown: int = 8) -> DataFrame:
     """hub_name, total_profiles, unique_trades_count, sample_trades of hubs with `least` profiles or more."""
     where = F.concat_ws("\n", F.lower(text(F.col("address"))), F.lower(text(F.col("site_address"))))

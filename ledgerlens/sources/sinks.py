@@ -58,6 +58,22 @@ def network_report(network: dict[str, object], members: DataFrame, edges: DataFr
     return "\n".join(lines)
 
 
+def intelligence_report(metrics: dict[str, object], hubs: DataFrame, shown: int = 8, trades: int = 4) -> str:
+    """Markdown of the corpus metrics and the densest hubs, each with some of its trades."""
+    lines = ["# Network intelligence", "", *[f"- {k.replace('_', ' ')}: {v}" for k, v in metrics.items()], "", "## Dense hubs", ""]
+    for r in hubs.orderBy(F.desc("total_profiles"), "hub_name").limit(shown).collect():
+        lines.append(f"- {r['hub_name']}: {r['total_profiles']} profiles, {r['unique_trades_count']} trades ({', '.join(r['sample_trades'][:trades])})")
+    return "\n".join([*lines, ""])
+
+
+def master_report(groups: DataFrame, shown: int = 500) -> str:
+    """Markdown table of case groups."""
+    head = ["target_name", "case_id", "status", "email_verified", "locations"]
+    rows = groups.orderBy("target_name", "case_id").limit(shown).collect()
+    lines = ["# Cases", "", "| " + " | ".join(head) + " |", "|" + " --- |" * len(head)]
+    return "\n".join([*lines, *["| " + " | ".join(str(r[c]) for c in head) + " |" for r in rows], ""])
+
+
 def explanation(points: list[str], limit: int = 1000) -> str:
     """Bullets that fit the limit, cut at a line end."""
     text = "\n".join(f"- {p}" for p in points)

@@ -139,3 +139,24 @@ def test_sources_and_sinks(spark, tmp_path):
         sinks.write_csv(old.limit(0), f"file://{tmp_path}/y", allow_empty=False)
     assert "not found" in sinks.network_report({}, old, old)
     assert len(sinks.explanation(["x" * 300] * 5)) <= 1000
+
+
+def test_migration_config_and_reports(spark, tmp_path):
+    from ledgerlens.plans import config
+    from ledgerlens.sources import migration
+
+    rows = [(1, "T", '{"title": "A B.V.", "telephone": "+31 20 1234567", "address": "Laan 1, 1111 AA Delft", "website": "www.a.nl"}'), (2, "T", '{"title": "A B.V.", "telephone": "020", "address": "Laan 1, 1111 AA Delft"}')]
+    docs = readers.documents(spark.createDataFrame(rows, "id long, target_name string, data string"))
+    made = migration.businesses(docs)
+    r = made.first()
+    assert made.count() == 1 and (r["id"], r["normalized_phone"], r["house_number"], r["normalized_name"], r["domain"]) == (1, "0201234567", "1", "a", "a.nl")
+    snaps = migration.snapshots(docs.withColumn("snapshot_timestamp", F.lit("2024-01-01").cast("timestamp")), made)
+    assert snaps.count() == 2 and snaps.select("business_id").distinct().first()[0] == 1
+    assert migration.verification(made).first()["phones"] == 1
+    assert config.load("/nowhere")["batch_size"] == 20
+    (tmp_path / "c.json").write_text('{"batch_size": 5}')
+    assert config.load(str(tmp_path / "c.json"))["batch_size"] == 5
+    hubs = spark.createDataFrame([("H", 6, 2, ["a", "b"])], "hub_name string, total_profiles int, unique_trades_count int, sample_trades array<string>")
+    assert "H: 6 profiles" in sinks.intelligence_report({"total_locations": 6}, hubs)
+    named = networks.named_syndicates(spark.createDataFrame([(1, "Skibox NL"), (2, "x")], "id long, target_name string"), {"boxes": ["Skibox", "Topspace"]})
+    assert [tuple(r) for r in named.collect()] == [("boxes", 1)]
