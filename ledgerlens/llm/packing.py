@@ -12,14 +12,14 @@ remains of it stays unused. Pieces without a lexical neighbour are taken in leng
 A shard therefore leaves at most one window short of full.
 
 Cases: null and empty texts are the single id 0. Repeated rows and null doc_ids are
-separate documents, packed like any other. Long texts are tokenised in bounded slices
-cut where the tokenizer's own pre-tokens end. Extra columns are ignored. No rows in, no
-rows out.
+separate documents, packed like any other. Long texts are tokenised whole. Extra columns
+are ignored. No rows in, no rows out.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import sys
 import zlib
@@ -38,16 +38,10 @@ from ledgerlens.plans.storage import checkpointed
 WINDOW = 1024
 SHARD_PIECES = 1500
 QUERY_TERMS = 48
-CACHE_WORDS = 1_500_000
 
 
 #: The pre-token pattern of byte-level BPE vocabularies of this kind (fixed value).
 PRE_TOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-def single_spaced(text: str) -> bool:
-    """Whether the only white space is single spaces and line feeds between other characters."""
-    return "\0" not in text and text.split() == text.replace("\n", " ").split(" ")
-
-
 def byte_level(path: str) -> tiktoken.Encoding:
     """The byte-level BPE vocabulary of a tokenizers file, merged by rank."""
     with open(path, encoding="utf-8") as f:
@@ -58,43 +52,30 @@ def byte_level(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
 
-class ChunkIds(dict):
-    """chunk -> its ids as little-endian uint32 bytes; short chunks are kept."""
-
-    def __init__(self, model: tiktoken.Encoding) -> None:
-        super().__init__()
-        self.encode = model.encode_ordinary
+#: Runs of white space from this length on are left to the tokenizers library: the other's pattern engine gives up.
+LONG_SPACE = re.compile(r"\s{20000}")
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        found = array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
-        if len(chunk) <= 48:
-            self[chunk] = found
-        return found
 
+class TextTokenizer:
+    """ids of whole texts as little-endian uint32 bytes."""
 
-class WordTokenizer:
-    """ids of whole texts as little-endian uint32 bytes.
+    def __init__(self, path: str) -> None:
+        self.path, self.ordinary, self.library = path, byte_level(path).encode_ordinary, None
 
-    The pre-tokens never join a non-space character to white space after it, and a single
-    line feed between non-spaces is a pre-token of its own. So a text whose white space
-    is single spaces and line feeds is the concatenation of its chunks, cut before each
-    space and around each line feed; chunks recur, and the ids of up to `cache_words` are
-    kept. Any other text is encoded whole.
-    """
+    def encode(self, text: str) -> bytes:
+        if len(text) >= 20_000 and LONG_SPACE.search(text):
+            ids = self._library().encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.ordinary(text)
+        return array("I", ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}I", *ids)
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
-        self.cache_words, self.known = cache_words, ChunkIds(byte_level(path))
+    def _library(self):  # noqa: ANN202
+        if self.library is None:
+            from tokenizers import Tokenizer
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not single_spaced(text):
-            return np.array(self.known.encode(text), dtype="<u4").tobytes()
-        if len(self.known) > self.cache_words:
-            self.known.clear()
-        chunks = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return b"".join(map(self.known.__getitem__, chunks))
+            self.library = Tokenizer.from_file(self.path)
+            self.library.encode_special_tokens = True
+        return self.library
 
 
 def _signature(ids: np.ndarray) -> int:
@@ -111,11 +92,11 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFram
     """doc_id, doc_tokens, crcs (of its whole windows), tail (ids left over), signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, size = WordTokenizer(tokenizer), 4 * window
+        model, size = TextTokenizer(tokenizer), 4 * window
         for batch in batches:
             totals, crcs, tails, signatures = [], [], [], []
             for text in batch.column(1).to_pylist():
-                ids = words.encode(text) + b"\0\0\0\0"
+                ids = model.encode(text or "") + b"\0\0\0\0"
                 full = len(ids) // size * size
                 totals.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + size]) for i in range(0, full, size)])

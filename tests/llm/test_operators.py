@@ -198,12 +198,13 @@ def vocabulary():
 def test_tokens_equal_the_library(vocabulary):
     from tokenizers import Tokenizer
 
-    model, own, r = Tokenizer.from_file(vocabulary), packing.WordTokenizer(vocabulary), random.Random(3)
+    model, own, r = Tokenizer.from_file(vocabulary), packing.TextTokenizer(vocabulary), random.Random(3)
     model.encode_special_tokens = True
     parts = [" ", "  ", "\n", "a", "B1", "don't", "é", "...", "<|endoftext|>", "日本", "👍", "12", "|", "\t", "\xa0", " ", "\r\n", "\0", "\x1c"]
     for _ in range(3000):
         t = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
         assert np.frombuffer(own.encode(t), "<u4").tolist() == model.encode(t, add_special_tokens=False).ids
+    assert len(own.encode("a" + " " * 1_500_000 + "b")) > 4
 
 
 def check_packing(got, want):
@@ -219,7 +220,7 @@ def check_packing(got, want):
 
 
 def test_packing_round_trip(spark, odd, vocabulary):
-    own = packing.WordTokenizer(vocabulary)
+    own = packing.TextTokenizer(vocabulary)
     ids = {r["doc_id"]: np.append(np.frombuffer(own.encode(r["text"] or ""), "<u4"), 0).astype("<u4") for r in odd.collect()}
     got = packing.packed(odd, vocabulary).collect()
     check_packing(got, [*ids.values(), ids[5]])
