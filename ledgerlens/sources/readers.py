@@ -37,7 +37,7 @@ def documents(rows: DataFrame, target: str | None = None, strict: bool = False)
 
 
 def formatted(listings: DataFrame) -> DataFrame:
-    """Listing fields with the sentinel `unknown` where nothing is known (for display only)."""
+    """Listing fields with `unknown` where nothing is known (for display only)."""
     return listings.select("id", *[F.coalesce(F.nullif(text(F.col(c)), F.lit("")), F.lit("unknown")).alias(c) for c in ("name", "address", "phone", "website", "url", "category")])
 
 
