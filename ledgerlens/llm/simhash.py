@@ -23,12 +23,13 @@ Repeated rows come back as often as they occur.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import documents
@@ -124,13 +125,130 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, pair_
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: The pipeline's stage: five-word shingles and exact Jaccard similarity (the op5 contract binds only op5_simhash).
+STAGE_WIDTH, SIMILARITY = 5, 0.8
+#: Min-wise bands that propose candidates: a pair at 0.8 shares one with probability 1 - (1 - 0.8^4)^20 = 0.99997.
+BANDS, BAND_ROWS = 20, 4
+HUB_PAIRS, HUB_SALTS = 64, 16
+_RNG = np.random.default_rng(5)
+_FACTOR = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+
+
+def shingle_set(text: str | None, width: int = STAGE_WIDTH) -> np.ndarray:
+    """The distinct shingle hashes of one whole text, rising; empty without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1)
+    columns = [words[k : n + k] for k in range(min(width, len(words)))]
+    return np.unique(np.fromiter((h(b" ".join(x), 42) for x in zip(*columns, strict=True)), dtype=np.uint64, count=n))
+
+
+def band_keys(shingles: np.ndarray, chunk: int = 8_192) -> np.ndarray:
+    """BANDS keys of BAND_ROWS min-wise hashes each."""
+    least = np.full(len(_FACTOR), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), chunk):
+        x = shingles[None, at : at + chunk] * _FACTOR[:, None] + _SHIFT[:, None]
+        least = np.minimum(least, x.min(axis=1))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), 42) for r in rows], np.uint64).view(np.int64)
+
+
+def _sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, v (names the shingle set), size, bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            v = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in found], np.uint64).view(np.int64)
+            bands = pa.array([band_keys(x) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v), pa.array([len(x) for x in found], pa.int64()), bands], ["doc_id", "v", "size", "bands"])
+
+    return documents(docs).mapInArrow(run, "doc_id long, v long, size long, bands array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are that similar; the set of a hub is dealt over several tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    hubs = pairs.groupBy("a").agg(F.when(F.count(F.lit(1)) > HUB_PAIRS, HUB_SALTS).otherwise(1).alias("salts"))
+    left = sets.withColumnsRenamed({"v": "a", "shingles": "x"}).join(hubs, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    dealt = pairs.join(hubs, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
+    right = sets.withColumnsRenamed({"v": "b", "shingles": "y"})
+    return dealt.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Gives back what finished queries and fitted models hold in the driver."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def near_copies(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of the relation "Jaccard similarity of the shingle sets at least `similarity`".
+
+    Equal sets are one vertex. Vertices that share a band are candidates, all of them:
+    first each with the least of its bucket, which joins a large group in linear work, then
+    every pair of a bucket that is not known to be joined through at most two of these. Each is
+    verified exactly.
+    """
+    _tidy(docs.sparkSession)
+    rows = checkpointed(_sketches(docs, width))
+    prints = checkpointed(rows.groupBy("v").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("bands").alias("bands")))
+    keyed = prints.select("v", "size", F.posexplode("bands").alias("band", "key"))
+    buckets = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.min_by("size", "v").alias("least_size")).where("n > 1").drop("n")
+    placed = checkpointed(keyed.join(buckets, ["band", "key"]))
+    in_range = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    wanted = placed.select("v").distinct()
+    ids = prints.join(wanted, "v").select(F.col("rep").alias("doc_id")).dropna()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
+            v = np.array([xxhash.xxh64_intdigest(x, 42) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(found, pa.binary())], ["v", "shingles"])
+
+    texts = documents(docs)
+    chosen = texts.join(ids, "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
+    sets = checkpointed(chosen.mapInArrow(hashed, "v long, shingles binary").dropDuplicates(["v"]).join(wanted, "v", "left_semi"))
+    stars = checkpointed(placed.where("v <> least").where(in_range(F.col("size"), F.col("least_size"))).select(F.col("least").alias("a"), F.col("v").alias("b")).distinct())
+    joined = checkpointed(_verified(stars, sets, similarity))
+    hop = joined.groupBy("b").agg(F.min("a").alias("a"))
+    over = hop.select(F.col("b").alias("a"), F.col("a").alias("above"))
+    first = hop.join(over, "a", "left").select(F.col("b").alias("v"), F.coalesce("above", "a").alias("up"))
+    parts = checkpointed(placed.join(first, "v", "left").select("band", "key", "v", "size", F.coalesce("up", "v").alias("part")))
+    largest = parts.groupBy("band", "key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    apart = parts.join(largest, ["band", "key"]).where("part <> main").select("band", "key", F.col("v").alias("w"), F.col("size").alias("w_size"), F.col("part").alias("w_part"))
+    crossing = (
+        parts.join(apart, ["band", "key"]).where("part <> w_part").where(in_range(F.col("size"), F.col("w_size")))
+        .select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+    )
+    rest = checkpointed(crossing.join(stars, ["a", "b"], "left_anti"))
+    edges = checkpointed(joined.unionByName(_verified(rest, sets, similarity)))
+    _tidy(docs.sparkSession)
+    found = connected_components(edges).withColumnsRenamed({"id": "v"})
+    classes = prints.join(found, "v", "left").select("v", "rep", F.coalesce("component", "v").alias("class"))
+    least = classes.groupBy("class").agg(F.min("rep").alias("component_id"))
+    return rows.join(classes.join(least, "class").select("v", "component_id"), "v").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their group, one of each; all columns stay.
 
+    Groups are those of near_copies: five-word shingles at a similarity of 0.8 or more.
     Rows with a null doc_id have no group of their own and stay. Rows that repeat a
     doc_id are the same document: one of them stays.
     """
-    groups = near_duplicates(docs)
+    groups = near_copies(docs)
     chosen = checkpointed(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     once, often = chosen.where("n = 1").select("doc_id"), chosen.where("n > 1").select("doc_id")
     single = docs.join(once, "doc_id", "left_semi")

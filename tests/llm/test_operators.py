@@ -92,6 +92,35 @@ def test_simhash_on_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_stage_groups_equal_brute_force_at_the_similarity(spark):
+    r, texts = random.Random(11), []
+    for base in range(25):  # edits anywhere, enough of them to lie on both sides of 0.8
+        w = words(base + 500, 200).split()
+        texts.append(" ".join(w))
+        for k in range(4):
+            x = list(w)
+            for at in r.sample(range(200), 2 * k + 1):
+                x[at] = f"edit{r.random()}"
+            texts.append(" ".join(x))
+    chain = words(999, 300).split()
+    texts += [" ".join(chain[k : k + 200]) for k in range(0, 100, 9)]
+    texts += [" ".join(w for at, w in enumerate(chain) if at != k) for k in range(90)]  # a crowd of near copies
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    found = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                found += len(sets[a] & sets[b]) < len(sets[a] | sets[b])
+                x, y = sorted((group[a], group[b]))
+                group = [x if g == y else g for g in group]
+    assert found > 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == dict(enumerate(group))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(group))
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def brute_counts(text):
     w = [x.decode() for x in (text or "").encode().split()]
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
