@@ -33,7 +33,9 @@ WHITE = " \t\n\r\x0b\x0c"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 STATISTICS = ["x_length", "x_word", "x_symbols", "x_lines", "x_repeats"]
 #: Least standard deviation of each statistic: differences below it carry no signal.
-FLOORS = [0.25, 0.05, 0.05, 0.25, 0.2]
+FLOORS = [0.25, 0.05, 0.05, 0.05, 0.08]
+#: What a text may repeat at no cost: one line and the words of a short line, twice; never over this share of the text.
+FREE_LINES, FREE_WORDS, FREE_SHARE = 1.0, 24.0, 0.2
 #: Upper 0.9999 quantile of chi-square with five degrees of freedom (fixed value).
 REJECT = 25.745
 #: Quantiles 0.975 and 0.75 of the same law, for reweighting and the support's scale (fixed values).
@@ -66,6 +68,11 @@ def counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeats
 
 
+def _beyond(repeated: Column, free: float, size: Column) -> Column:
+    """What is repeated beyond the free part of a text of that size."""
+    return F.greatest(repeated - F.least(F.lit(free), FREE_SHARE * size), F.lit(0.0))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts, n_lines, base_failed and the transformed statistics."""
 
@@ -82,15 +89,15 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"),
     )
     rows = read.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in [*COUNTS, "n_lines"]))
-    some = F.greatest(F.col("n_words"), F.lit(1))
+    some, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     return rows.select(
         "*",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         F.log1p("n_words").alias("x_length"),
         F.log1p(F.col("word_chars") / some).alias("x_word"),
         F.log1p(20 * F.col("n_symbols") / some).alias("x_symbols"),
-        F.log1p(2 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("x_lines"),
-        F.log1p(2 * F.col("n_repeat_words") / some).alias("x_repeats"),
+        F.log1p(5 * _beyond(F.col("n_dup_lines"), FREE_LINES, lines) / lines).alias("x_lines"),
+        F.log1p(5 * _beyond(F.col("n_repeat_words"), FREE_WORDS, some) / some).alias("x_repeats"),
     )
 
 

@@ -141,6 +141,18 @@ def test_rules_reject_outliers_and_keep_the_rest(spark, odd):
     assert rules.judged(odd).count() == 10 and rules.judged(odd.limit(0)).count() == 0
 
 
+def test_rules_reject_repeated_lines_but_not_one(spark):
+    line = lambda i, k: words(7_000 + 100 * i + k, 4 if k < 6 else 16)
+    text = lambda i, n, dup: "\n".join([line(i, k) for k in range(n - dup)] + [line(i, k) for k in range(dup)])
+    rows = [(i, text(i, 16 + i % 8, 0), "en", "s") for i in range(300)] + [(1000 + i, text(500 + i, 20, 6), "en", "s") for i in range(5)]
+    rows += [(2000 + i, text(600 + i, 20, 1), "en", "s") for i in range(5)]
+    rows += [(3000 + i, words(9_000 + i, 200) + " " + " ".join([words(9_500 + i, 10)] * 6), "en", "s") for i in range(5)]
+    got = {r["doc_id"]: r for r in rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert not any(got[k + i]["kept"] for k in (1000, 3000) for i in range(5))
+    assert all(got[2000 + i]["kept"] for i in range(5)) and sum(got[i]["kept"] for i in range(300)) >= 297
+
+
 def test_determinant_is_robust(spark):
     """A quarter of wild rows moves the plain mean, not the estimate."""
     rng = np.random.default_rng(0)
