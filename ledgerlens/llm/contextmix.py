@@ -456,7 +456,7 @@ def score(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS, l
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = mixer.value.log10(batch.column(0).to_pylist(), batch.column(2).to_numpy()).astype("<f2")
+            found = mixer.value.log10(batch.column(0).to_pylist(), batch.column(2).to_numpy()).astype("<f4")
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([x.tobytes() for x in found], pa.binary())], ["word", "c", "lp"])
 
     lengths = vocabulary.select("word", "c", "uses").mapInArrow(coded, "word binary, c long, lp binary")
@@ -471,7 +471,7 @@ def score(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS, l
         pos = right.column("pos").to_numpy()
         c, lp = np.zeros(len(pos)), np.zeros((len(pos), CLASSES))
         c[pos] = right.column("c").to_numpy()
-        lp[pos] = np.frombuffer(b"".join(right.column("lp").to_pylist()), "<f2").reshape(-1, CLASSES)
+        lp[pos] = np.frombuffer(b"".join(right.column("lp").to_pylist()), "<f4").reshape(-1, CLASSES)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         add = lambda x: np.bincount(doc, weights=x, minlength=len(sizes))
         base = add(np.log10(c + 1)[ids]) - bottom * sizes

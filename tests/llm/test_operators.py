@@ -387,6 +387,15 @@ def test_context_mixing(spark, odd):
     assert contextmix.score(odd.limit(0), held).count() == 0
 
 
+def test_context_mixing_scores_one_unbroken_token(spark):
+    r = random.Random(21)
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))
+    rows = [(i, words(i, 80)) for i in range(40)] + [(1000, long), (1001, words(3, 20) + " " + long + " " + words(4, 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in contextmix.score(docs, F.col("doc_id") >= 1000).collect()}
+    assert np.isfinite(list(got.values())).all() and got[1000] < -65_520 and got[1001] < got[1000]
+
+
 def test_bits_are_a_distribution():
     """Over all one-byte tokens and longer ones, probabilities stay within one."""
     raw = np.zeros((2, contextmix.SLOTS))
