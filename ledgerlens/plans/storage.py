@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Only where that is unset (tests, a single machine) a temporary folder of this
-    machine is taken.
+    Only a local master (tests, a single machine), where one machine holds everything,
+    falls back to a temporary folder; a cluster without that setting is an error.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/ledgerlens-checkpoints"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.gettempdir() + "/ledgerlens-checkpoints"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -22,3 +27,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of shared storage, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
