@@ -28,11 +28,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.training import chosen_texts, trained
+
 SAMPLE_ROWS = 3_000
 SEGMENT, SEGMENTS = 24, 6
 BUCKETS = 1 << 16
@@ -239,19 +240,14 @@ class Labeller:
         return names, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def sample(docs: DataFrame, usable: Column | None = None, rows: int = SAMPLE_ROWS) -> pd.DataFrame:
-    """text and lang of at most `rows` labelled documents, by id hash; only their ids are broadcast."""
+def fit(docs: DataFrame, usable: Column | None = None, rows: int = SAMPLE_ROWS) -> Field:
+    """The field of at most `rows` labelled documents, by id hash; of several langs of one id the first counts."""
     known = docs.where("doc_id is not null and lang is not null")
     known = known.where(usable) if usable is not None else known
-    chosen = known.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64(F.lit("lang"), "doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = texts.where("lang is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    return found.toPandas().sort_values("doc_id", ignore_index=True).assign(text=lambda d: d["text"].fillna(""))
-
-
-def fit(docs: DataFrame, usable: Column | None = None, rows: int = SAMPLE_ROWS) -> Field:
-    found = sample(docs, usable, rows)
-    return Field(found["text"].tolist(), found["lang"].tolist())
+    named = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    least = named.select("doc_id").distinct().orderBy(F.xxhash64(F.lit("lang"), "doc_id"), "doc_id").limit(rows)
+    chosen = named.join(F.broadcast(least), "doc_id").groupBy("doc_id").agg(F.min("lang").alias("y"))
+    return trained(chosen_texts(docs.where("lang is not null"), chosen), Field)
 
 
 def label(docs: DataFrame, field: Field) -> Column:

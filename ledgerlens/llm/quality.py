@@ -5,7 +5,7 @@ per word of character classes, by its repetition and by its word lengths, encode
 tanh layer h, and weighted by gated attention softmax(w . (tanh(V h) * sigmoid(U h))).
 The weighted sum of the encodings is scored by a logistic output. All weights are learned
 together from document labels by gradient descent on a bounded sample (`SAMPLE_ROWS`
-labelled rows by id hash) on the driver; the model is a few kilobytes and is broadcast.
+labelled rows by id hash) in one task; the model is a few kilobytes and is broadcast.
 Scoring is one pass over whole texts, no shuffle.
 
 Cases: null and empty texts are one empty passage, scored like any other. Without labels,
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.training import labelled_sample
+from ledgerlens.llm.training import labelled_sample, trained
 
 PASSAGE = 64
 SAMPLE_ROWS = 4_000
@@ -145,16 +145,16 @@ class Attention:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(texts: list[str], y: np.ndarray) -> Attention | float:
+def train(texts: list[str], labels: list[int]) -> Attention | float:
     """The model, or the share of good texts where labels can't be told apart."""
+    y = np.array(labels, np.int64)
     if len(y) < 4 or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
     return Attention().fit([passages(t) for t in texts], y.astype(np.float64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = SAMPLE_ROWS) -> Attention | float:
-    sample = labelled_sample(docs, labels, "quality", F.lit(True) if usable is None else usable, rows)
-    return train(sample["text"].tolist(), sample["y"].to_numpy(np.int64))
+    return trained(labelled_sample(docs, labels, "quality", F.lit(True) if usable is None else usable, rows), train)
 
 
 def score(docs: DataFrame, model: Attention | float) -> Column:

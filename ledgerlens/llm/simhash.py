@@ -129,7 +129,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, pair_
 STAGE_WIDTH, SIMILARITY = 5, 0.8
 #: Min-wise bands that propose candidates: a pair at 0.8 shares one with probability 1 - (1 - 0.8^4)^20 = 0.99997.
 BANDS, BAND_ROWS = 20, 4
-HUB_PAIRS, HUB_SALTS = 64, 16
+#: Members of a block that one task compares at a time.
+TILE = 512
+#: So many ids (8 MB) are broadcast at most; beyond, joins shuffle.
+BROADCAST_IDS = 1_000_000
 _RNG = np.random.default_rng(5)
 _FACTOR = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
@@ -168,48 +171,99 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, v long, size long, bands array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are that similar; the set of a hub is dealt over several tasks."""
+def _linked(sets: list[np.ndarray], side: np.ndarray, similarity: float, width: int = 4_096) -> np.ndarray:
+    """The place of each set's least component member, by pairs of that similarity; sides 1 and 2 are compared with one another only, 0 with all."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1  # a shingle of one set is in no intersection
+    kept = count[column] > 1
+    owner, column = owner[kept], shared[column[kept]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        here = slice(*np.searchsorted(column, [at, at + width]))
+        holds = np.zeros((len(sets), width), np.float32)
+        holds[owner[here], column[here] - at] = 1
+        both += holds @ holds.T
+    near = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+    near &= (side[:, None] != side[None, :]) | (side[:, None] == 0)
+    label = np.arange(len(sets))
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], len(sets)).min(axis=1))
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _blocks(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, v, root) of members(bucket, i, j, side, v): root is the least member that v is joined to in its block (bucket, i, j).
+
+    A block holds a bounded number of members and leaves one row for each of them; pairs are never written out.
+    """
+    key = ["bucket", "i", "j"]
+
+    def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.sort_by([(c, "ascending") for c in [*key, "v"]])
+        keys = np.stack([t.column(c).to_numpy() for c in key], axis=1)
+        v, side, bucket = (t.column(c).to_numpy() for c in ("v", "side", "bucket"))
+        found, edge = t.column("shingles").to_pylist(), np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+        root = np.empty(len(v), np.int64)
+        for at, to in zip(edge[:-1], edge[1:], strict=True):
+            root[at:to] = v[at:to][_linked([np.frombuffer(x, np.uint64) for x in found[at:to]], side[at:to], similarity)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(v), pa.array(root)], ["bucket", "v", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: list[pa.RecordBatch] = []
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            wait.append(batch)
+            t = pa.Table.from_batches(wait)
+            last = [t.column(c)[-1] for c in key]  # the last block may go on in the next batch
+            ended = np.flatnonzero(np.any([t.column(c).to_numpy() != x.as_py() for c, x in zip(key, last, strict=True)], axis=0))
+            if len(ended):
+                yield from solved(t.slice(0, ended[-1] + 1))
+                wait = t.slice(ended[-1] + 1).combine_chunks().to_batches()
+        if wait:
+            yield from solved(pa.Table.from_batches(wait))
+
+    return members.join(sets, "v").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "bucket long, v long, root long")
 
-    hubs = pairs.groupBy("a").agg(F.when(F.count(F.lit(1)) > HUB_PAIRS, HUB_SALTS).otherwise(1).alias("salts"))
-    left = sets.withColumnsRenamed({"v": "a", "shingles": "x"}).join(hubs, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    dealt = pairs.join(hubs, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
-    right = sets.withColumnsRenamed({"v": "b", "shingles": "y"})
-    return dealt.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+def _few(ids: DataFrame) -> DataFrame:
+    """ids (checkpointed), to be broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _tidy(spark: SparkSession) -> None:
-    """Gives back what finished queries and fitted models hold in the driver."""
+    """Gives back what finished queries hold in the driver."""
     gc.collect()
     spark._jvm.System.gc()
 
 
-def near_copies(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """(doc_id, component_id) of the relation "Jaccard similarity of the shingle sets at least `similarity`".
 
-    Equal sets are one vertex. Vertices that share a band are candidates, all of them:
-    first each with the least of its bucket, which joins a large group in linear work, then
-    every pair of a bucket that is not known to be joined through at most two of these. Each is
-    verified exactly.
+    Equal sets are one vertex. Vertices that share a band are candidates, all of them, and
+    are verified exactly; buckets with the same members count once. A bucket is dealt into
+    blocks of about `tile` members, each with the bucket's least member, so a large group
+    of near copies is mostly joined through that one, in linear work. In a bucket of
+    several blocks, members outside its largest part are then compared with all of it,
+    tile by tile: exact, in blocks of bounded size, at most quadratic in the members that
+    are similar to the rest but not near copies of it.
     """
     _tidy(docs.sparkSession)
     rows = checkpointed(_sketches(docs, width))
-    prints = checkpointed(rows.groupBy("v").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("bands").alias("bands")))
-    keyed = prints.select("v", "size", F.posexplode("bands").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.min_by("size", "v").alias("least_size")).where("n > 1").drop("n")
-    placed = checkpointed(keyed.join(buckets, ["band", "key"]))
-    in_range = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9
+    prints = checkpointed(rows.groupBy("v").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")))
+    keyed = prints.select("v", F.posexplode("bands").alias("band", "key"))
+    members = [F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.bit_xor("v").alias("x"), F.bit_xor(F.xxhash64("v")).alias("y")]
+    buckets = keyed.groupBy("band", "key").agg(*members).where("n > 1").groupBy("n", "least", "x", "y").agg(F.min(F.struct("band", "key")).alias("b"))
+    buckets = checkpointed(buckets.select("b.*", "n", "least", F.monotonically_increasing_id().alias("bucket")))
+    placed = checkpointed(keyed.join(buckets, ["band", "key"]).select("bucket", "v", (F.col("v") == F.col("least")).alias("head"), F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
     wanted = placed.select("v").distinct()
-    ids = prints.join(wanted, "v").select(F.col("rep").alias("doc_id")).dropna()
+    ids = checkpointed(prints.join(wanted, "v").select(F.col("rep").alias("doc_id")).dropna())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,22 +272,24 @@ def near_copies(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = S
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(found, pa.binary())], ["v", "shingles"])
 
     texts = documents(docs)
-    chosen = texts.join(ids, "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
-    sets = checkpointed(chosen.mapInArrow(hashed, "v long, shingles binary").dropDuplicates(["v"]).join(wanted, "v", "left_semi"))
-    stars = checkpointed(placed.where("v <> least").where(in_range(F.col("size"), F.col("least_size"))).select(F.col("least").alias("a"), F.col("v").alias("b")).distinct())
-    joined = checkpointed(_verified(stars, sets, similarity))
-    hop = joined.groupBy("b").agg(F.min("a").alias("a"))
-    over = hop.select(F.col("b").alias("a"), F.col("a").alias("above"))
-    first = hop.join(over, "a", "left").select(F.col("b").alias("v"), F.coalesce("above", "a").alias("up"))
-    parts = checkpointed(placed.join(first, "v", "left").select("band", "key", "v", "size", F.coalesce("up", "v").alias("part")))
-    largest = parts.groupBy("band", "key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    apart = parts.join(largest, ["band", "key"]).where("part <> main").select("band", "key", F.col("v").alias("w"), F.col("size").alias("w_size"), F.col("part").alias("w_part"))
-    crossing = (
-        parts.join(apart, ["band", "key"]).where("part <> w_part").where(in_range(F.col("size"), F.col("w_size")))
-        .select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-    )
-    rest = checkpointed(crossing.join(stars, ["a", "b"], "left_anti"))
-    edges = checkpointed(joined.unionByName(_verified(rest, sets, similarity)))
+    chosen = texts.join(_few(ids), "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))
+    sets = checkpointed(chosen.mapInArrow(hashed, "v long, shingles binary").join(wanted, "v", "left_semi").dropDuplicates(["v"]))
+    part = lambda c, n, salt: F.pmod(F.xxhash64(F.lit(salt), c), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    spread = F.when(F.col("head"), every(F.col("tiles"))).otherwise(F.array(part("v", F.col("tiles"), 1)))
+    first = checkpointed(_blocks(placed.select("bucket", F.explode(spread).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "v"), sets, similarity))
+    edges = first.where("v <> root").select(F.col("root").alias("a"), F.col("v").alias("b"))
+    crowded = placed.where("tiles > 1").select("bucket").distinct()
+    if not crowded.isEmpty():
+        parts = checkpointed(first.join(crowded, "bucket", "left_semi").groupBy("bucket", "v").agg(F.min("root").alias("root")))
+        sizes = parts.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+        main = checkpointed(main.where("n > most").select("bucket", "main", F.ceil(F.col("n") / tile).cast("int").alias("js"), F.ceil((F.col("n") - F.col("most")) / tile).cast("int").alias("is")))
+        whole = parts.join(main, "bucket")
+        left = whole.where("root <> main").select("bucket", part("v", F.col("is"), 2).alias("i"), F.explode(every(F.col("js"))).alias("j"), F.lit(1).alias("side"), "v")
+        right = whole.select("bucket", F.explode(every(F.col("is"))).alias("i"), part("v", F.col("js"), 3).alias("j"), F.lit(2).alias("side"), "v")
+        crossed = _blocks(left.unionByName(right), sets, similarity).where("v <> root")
+        edges = edges.unionByName(crossed.select(F.col("root").alias("a"), F.col("v").alias("b")))
     _tidy(docs.sparkSession)
     found = connected_components(edges).withColumnsRenamed({"id": "v"})
     classes = prints.join(found, "v", "left").select("v", "rep", F.coalesce("component", "v").alias("class"))
@@ -246,11 +302,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Groups are those of near_copies: five-word shingles at a similarity of 0.8 or more.
     Rows with a null doc_id have no group of their own and stay. Rows that repeat a
-    doc_id are the same document: one of them stays.
+    doc_id are the same document: it stays if it names the group of one of them, as the
+    row whose text sorts first.
     """
-    groups = near_copies(docs)
-    chosen = checkpointed(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    once, often = chosen.where("n = 1").select("doc_id"), chosen.where("n > 1").select("doc_id")
-    single = docs.join(once, "doc_id", "left_semi")
-    repeated = docs.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    own = F.col("doc_id") == F.col("component_id")
+    groups = near_copies(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+    judged = checkpointed(groups.agg(F.max(own).alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"))
+    id_ = docs["doc_id"].cast("long")
+    odd, often = judged.select("__id"), judged.where("stays").select("__id")
+    single = docs.join(_few(odd), id_ == F.col("__id"), "left_anti")  # null ids match nothing and stay
+    several = docs.join(_few(often), id_ == F.col("__id"), "left_semi").groupBy(id_.alias("__id"))
+    first = several.agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("row"))
+    return single.unionByName(first.select("row.*"))

@@ -10,8 +10,8 @@ times its length; a text's is compared after normalising by length: mean over al
 the share of strongly toxic words, the strongest word. A logistic regression over these,
 fitted on texts the counts have not seen, gives the score.
 
-The models are fitted on a bounded sample of labelled rows (`SAMPLE_ROWS`, by id hash) on
-the driver and broadcast: their size is bounded by the sample. Scoring is one pass of
+The models are fitted on a bounded sample of labelled rows (`SAMPLE_ROWS`, by id hash) in
+one task and broadcast: their size is bounded by the sample. Scoring is one pass of
 whole texts, no shuffle; each worker keeps the evidence of recent distinct words.
 
 Cases: null and empty texts have no words and get the score of no evidence. Without
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.training import fit_logistic, labelled_sample, logistic
+from ledgerlens.llm.training import fit_logistic, labelled_sample, logistic, trained
 
 ORDER = 5
 SAMPLE_ROWS = 5_000
@@ -159,7 +159,8 @@ def _features(evidence: np.ndarray) -> list[float]:
 class Scorer:
     """Fitted models and calibration; picklable, of bounded size."""
 
-    def __init__(self, texts: list[str], y: np.ndarray) -> None:
+    def __init__(self, texts: list[str], labels: list[int]) -> None:
+        y = np.array(labels, np.int64)
         self.share = float(y.mean()) if len(y) else 0.0
         self.models = None
         if len(y) < 4 or y.min() == y.max():
@@ -188,8 +189,7 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = SAMPLE_ROWS) -> Scorer:
-    sample = labelled_sample(docs, labels, "toxic", F.lit(True) if usable is None else usable, rows)
-    return Scorer(sample["text"].tolist(), sample["y"].to_numpy(np.int64))
+    return trained(labelled_sample(docs, labels, "toxic", F.lit(True) if usable is None else usable, rows), Scorer)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> Column:

@@ -1,9 +1,12 @@
-"""Bounded samples of labelled rows, and a small logistic regression."""
+"""Bounded samples of labelled rows, models learned from them in one task, and a small logistic regression."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,22 +17,43 @@ def hashed_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.where(key <= F.lit(least)) if least is not None else df.limit(0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int) -> pd.DataFrame:
-    """text and label of at most `rows` labelled documents, drawn by id hash.
+def chosen_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, text, y of the chosen(doc_id, y) documents, a few thousand at most, which alone are broadcast.
+
+    Where several rows share an id, the text that sorts first counts; a null text is empty.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int) -> DataFrame:
+    """doc_id, text and label y of at most `rows` labelled documents, drawn by id hash.
 
     labels(doc_id, <label>): null labels are left out; of several for one id the largest
-    counts. The chosen ids, `rows` at most, are the only side that is broadcast.
+    counts.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where("doc_id is not null and y is not null").where(usable)
         .groupBy("doc_id").agg(F.max("y").alias("y"))
     )
-    chosen = known.orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    found = joined.select("doc_id", "text", "y").toPandas().sort_values("doc_id", ignore_index=True)
-    return found.assign(text=found["text"].fillna(""))
+    return chosen_texts(docs, known.orderBy(F.xxhash64(F.lit(label), "doc_id"), "doc_id").limit(rows))
+
+
+def trained(sample: DataFrame, learn: Callable[[list, list], object]) -> object:
+    """learn(texts, y) of a bounded sample(doc_id, text, y), rows in the order of doc_id.
+
+    It runs in one task of an executor, which a lost executor only repeats; the driver
+    gets the finished model, never the texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        model = pickle.dumps(learn([r[1] for r in rows], [r[2] for r in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    found = sample.select("doc_id", "text", "y").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else learn([], [])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -116,7 +116,8 @@ def test_stage_groups_equal_brute_force_at_the_similarity(spark):
                 group = [x if g == y else g for g in group]
     assert found > 30
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == dict(enumerate(group))
+    for tile in (simhash.TILE, 16):  # in one block, and dealt over blocks
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs, tile=tile).collect()} == dict(enumerate(group))
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(group))
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
