@@ -6,8 +6,9 @@ of equal weights), raised where needed so that no source is repeated more than
 `max_repeat` times within the budget. The budget is the least that shows every source
 once in full ("cover", nothing is left out), or a number of tokens.
 
-Weights are realised as budgeted block permutations. Each source's documents fall by hash
-into `blocks` blocks; every epoch orders the blocks, and the documents of a block, by
+Weights are realised as budgeted block permutations. Each source's documents fall by a hash
+of id and text into blocks, `blocks` of them or, in a large table, one for every `PER_BLOCK`
+rows; every epoch orders the blocks, and the documents of a block, by
 fresh hashes. Whole epochs take all; the last, partial epoch takes blocks while the
 running total stays within what is left of the budget, and of the block at the border
 the documents that still fit. The windows run over the blocks of a source, or over one
@@ -16,7 +17,8 @@ block's documents, never over a source.
 Cases: tokens are words; null and empty texts have none. A null source is a source of its
 own. A source without tokens has weight 0 and is shown once, as it costs nothing. Rows
 with a null doc_id, and repeated rows, are documents like others (their ties are broken
-by text hash, then arbitrarily among equal rows). Extra columns are ignored.
+by text hash, then arbitrarily among equal rows). Extra columns, whatever their names, are
+ignored by the schedule and kept by `mixed`.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from ledgerlens.plans.storage import checkpointed
 
 ENTROPY_SHARE = 0.97
 MAX_REPEAT = 2.0
-BLOCKS = 1024
+BLOCKS, PER_BLOCK = 1024, 4096
+#: So many blocks (about 40 bytes each) are broadcast at most; beyond, rows are shuffled to them.
+BROADCAST_BLOCKS = 500_000
 STEPS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,19 +42,21 @@ def _hash(*parts: str | int | Column) -> Column:
     return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
-def _block(h: Column, blocks: int) -> Column:
-    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % blocks).cast("int")
+def _described(docs: DataFrame, seed: int) -> dict[str, Column]:
+    """source_key, n_tokens, doc_name and spot (a 32-bit hash of id and text) of a row."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    name = F.concat_ws("|", F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("null")), F.md5(text.cast("binary")))
+    return {
+        "source_key": F.coalesce(docs["source"].cast("string"), F.lit("\0")),
+        "n_tokens": F.regexp_count(text, F.lit(WORD)).cast("long"),
+        "doc_name": name,
+        "spot": F.conv(F.substring(_hash("block", seed, name), 1, 8), 16, 10).cast("long"),
+    }
 
 
-def measured(docs: DataFrame, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, source_key, n_tokens, blk: one narrow row a document."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), source.alias("source_key"),
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
-        _block(_hash("block", seed, doc), blocks).alias("blk"),
-    )
+def measured(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """doc_id, source_key, n_tokens, doc_name, spot: one narrow row a document."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), *[c.alias(k) for k, c in _described(docs, seed).items()])
 
 
 def exponent(shares: Column, entropy_share: float, max_repeat: float, cover: bool, budget_share: Column) -> Column:
@@ -118,19 +124,13 @@ def weights(rows: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeat: f
     return checkpointed(priced.select("*", whole.alias("epochs")).withColumn("part", F.col("quota") - F.col("epochs") * F.col("tokens")))
 
 
-def schedule(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeat: float = MAX_REPEAT, budget: int | None = None, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, source, n_tokens, epoch, block_rank, doc_key, exponent, weight: one row a showing.
-
-    Within a source, epochs follow one another, in each the blocks by block_rank, in each
-    block the documents by doc_key.
-    """
-    rows = checkpointed(measured(docs, seed, blocks))
-    plan = weights(rows, entropy_share, max_repeat, budget)
-    sizes = rows.groupBy("source_key", "blk").agg(F.sum("n_tokens").alias("block_tokens"))
+def _placed(rows: DataFrame, plan: DataFrame, seed: int, blocks: int) -> DataFrame:
+    """The blocks that each epoch of a source shows; at most one of them, at the border, in part."""
+    sizes = rows.groupBy("source_key", (F.col("spot") % blocks).cast("int").alias("blk")).agg(F.sum("n_tokens").alias("block_tokens"))
     last = F.col("epochs") + F.when(F.col("part") > 0, 0).otherwise(-1)
     epochs = plan.where(last >= 0).select("source_key", "exponent", "weight", "epochs", "part", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("epoch"))
     order = W.partitionBy("source_key", "epoch").orderBy("block_key", "blk")
-    placed = checkpointed(
+    return checkpointed(
         sizes.join(epochs, "source_key")
         .withColumn("block_key", _hash("order", seed, F.col("epoch"), F.col("source_key"), F.col("blk")))
         .withColumns({"block_rank": F.row_number().over(order), "upto": F.sum("block_tokens").over(order.rowsBetween(W.unboundedPreceding, 0))})
@@ -138,26 +138,49 @@ def schedule(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeat:
         .where("left >= 0 and (epoch < epochs or left > 0 or block_tokens = 0)")
         .select("source_key", "blk", "epoch", "block_rank", "exponent", "weight", "left", (F.col("left") < F.col("block_tokens")).alias("border"))
     )
-    shown = rows.join(placed, ["source_key", "blk"]).withColumn(
-        "doc_key", _hash("doc", seed, F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    )
+
+
+def _plan(docs: DataFrame, entropy_share: float, max_repeat: float, budget: int | None, seed: int, blocks: int) -> tuple[DataFrame, DataFrame, int]:
+    """(measured rows, placed blocks, number of blocks)."""
+    rows = checkpointed(measured(docs, seed))
+    n = rows.count()
+    while blocks * PER_BLOCK < n:
+        blocks *= 2
+    return rows, _placed(rows, weights(rows, entropy_share, max_repeat, budget), seed, blocks), blocks
+
+
+def _within(border: DataFrame, seed: int) -> DataFrame:
+    """The rows of blocks at the border that still fit, in the order of their keys; the window is over one block."""
     within = W.partitionBy("source_key", "epoch").orderBy("doc_key", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    # at most one block of a source and epoch is at the border, so this window is over that block
-    cut = shown.where("border").withColumn("run", F.sum("n_tokens").over(within)).where(F.col("run") <= F.col("left")).drop("run")
+    keyed = border.withColumn("doc_key", _hash("doc", seed, F.col("epoch"), F.col("doc_name")))
+    return keyed.withColumn("run", F.sum("n_tokens").over(within)).where(F.col("run") <= F.col("left")).drop("run")
+
+
+def schedule(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeat: float = MAX_REPEAT, budget: int | None = None, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
+    """doc_id, source, n_tokens, epoch, block_rank, doc_key, exponent, weight: one row a showing.
+
+    Within a source, epochs follow one another, in each the blocks by block_rank, in each
+    block the documents by doc_key.
+    """
+    rows, placed, blocks = _plan(docs, entropy_share, max_repeat, budget, seed, blocks)
+    shown = rows.withColumn("blk", (F.col("spot") % blocks).cast("int")).join(placed, ["source_key", "blk"])
+    whole = shown.where("not border").withColumn("doc_key", _hash("doc", seed, F.col("epoch"), F.col("doc_name")))
     source = F.when(F.col("source_key") != "\0", F.col("source_key")).alias("source")
-    return shown.where("not border").unionByName(cut).select("doc_id", source, "n_tokens", "epoch", "block_rank", "doc_key", "exponent", "weight")
+    return whole.unionByName(_within(shown.where("border"), seed)).select("doc_id", source, "n_tokens", "epoch", "block_rank", "doc_key", "exponent", "weight")
 
 
-def mixed(docs: DataFrame, **options: float) -> DataFrame:
+def mixed(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeat: float = MAX_REPEAT, budget: int | None = None, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
     """docs with each row as often as the schedule shows it; all columns stay.
 
-    Rows with a null doc_id, which a schedule cannot name, are shown once.
+    Rows meet the list of placed blocks, which is broadcast while it is short; only the
+    rows of blocks at the border are shuffled.
     """
-    times = schedule(docs.where("doc_id is not null"), **options).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("__times"))
-    per_row = docs.where("doc_id is not null").groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("__rows"))
-    # rows that repeat a document share its showings, each rounded up
-    keyed = times.alias("t").join(per_row.alias("r"), (F.col("t.doc_id") == F.col("r.doc_id")) & F.col("t.source").eqNullSafe(F.col("r.source")))
-    keyed = keyed.select(F.col("t.doc_id").alias("__doc"), F.col("t.source").alias("__source"), F.ceil(F.col("__times") / F.col("__rows")).cast("int").alias("__times"))
-    shown = docs.join(keyed, (docs["doc_id"] == F.col("__doc")) & docs["source"].eqNullSafe(F.col("__source")))
-    repeated = shown.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
-    return repeated.unionByName(docs.where("doc_id is null"))
+    _, placed, blocks = _plan(docs, entropy_share, max_repeat, budget, seed, blocks)
+    short = F.broadcast if placed.count() <= BROADCAST_BLOCKS else (lambda df: df)
+    described = _described(docs, seed)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in described.items() if k != "n_tokens"], described["n_tokens"].alias("n_tokens"))
+    rows = rows.withColumn("blk", (F.col("spot") % blocks).cast("int"))
+    times = checkpointed(placed.where("not border").groupBy("source_key", "blk").agg(F.count(F.lit(1)).cast("int").alias("times")))
+    whole = rows.join(short(times), ["source_key", "blk"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    cut = rows.join(short(placed.where("border").select("source_key", "blk", "epoch", "left")), ["source_key", "blk"])
+    return whole.select("row.*").unionByName(_within(cut, seed).select("row.*"))

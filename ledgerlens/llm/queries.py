@@ -74,8 +74,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 MIXING_SQL = r"""
 WITH RECURSIVE docs AS (
-  SELECT doc_id, coalesce(source, chr(0)) AS k, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens,
-    CAST('0x' || substr(md5('block|7|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) % 1024 AS blk FROM documents),
+  SELECT *, CAST('0x' || substr(md5('block|7|' || doc_name), 1, 8) AS BIGINT) % blocks AS blk FROM (
+    SELECT doc_id, coalesce(source, chr(0)) AS k, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens,
+      coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) AS doc_name FROM documents) named,
+    (SELECT CAST(pow(2, greatest(10, ceil(log2(greatest(count(*), 1) / 4096.0)))) AS BIGINT) AS blocks FROM documents) sized),
 totals AS (SELECT k, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM docs GROUP BY k),
 whole AS (SELECT CAST(sum(tokens) AS DOUBLE) AS a, ln(count(*)) AS ln_s FROM totals WHERE tokens > 0),
 p AS (SELECT tokens / a AS p FROM totals, whole WHERE tokens > 0),
@@ -99,7 +101,7 @@ keyed AS (SELECT s.k, s.blk, s.bt, e.exponent, e.weight, e.epochs, e.part, e.epo
 ranked AS (SELECT *, row_number() OVER (PARTITION BY k, epoch ORDER BY bk, blk) AS block_rank, sum(bt) OVER (PARTITION BY k, epoch ORDER BY bk, blk ROWS UNBOUNDED PRECEDING) AS upto FROM keyed),
 placed AS (SELECT *, CASE WHEN epoch < epochs THEN bt ELSE part - upto + bt END AS room FROM ranked),
 taken AS (SELECT * FROM placed WHERE room >= 0 AND (epoch < epochs OR room > 0 OR bt = 0)),
-shown AS (SELECT d.doc_id, d.source, d.n_tokens, t.k, t.epoch, t.block_rank, md5('doc|7|' || CAST(t.epoch AS VARCHAR) || '|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')) AS doc_key, t.exponent, t.weight, t.room, t.room < t.bt AS border
+shown AS (SELECT d.doc_id, d.source, d.n_tokens, t.k, t.epoch, t.block_rank, md5('doc|7|' || CAST(t.epoch AS VARCHAR) || '|' || d.doc_name) AS doc_key, t.exponent, t.weight, t.room, t.room < t.bt AS border
   FROM docs d JOIN taken t USING (k, blk)),
 run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY k, epoch, border ORDER BY doc_key, n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM shown)
 SELECT doc_id, source, n_tokens, epoch, block_rank, doc_key, round(exponent, 6) AS exponent, round(weight, 6) AS weight FROM run WHERE NOT border OR upto <= room
