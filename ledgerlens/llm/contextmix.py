@@ -1,193 +1,116 @@
 """Language-model scores by online logistic context mixing.
 
-A token (a word, or the end of a text) is coded bit by bit: its bytes, then a closing
-space. Several predictors look at one bit each time, through hashed contexts: the last 1,
-2 and 3 bytes of the token with the class of its text, the last 4 and 6 bytes, and the
-whole prefix among the words of a lexicon, with and without the class. A
-predictor's state is the number of zeros and ones that the training tokens of the whole
-corpus showed in that context. Their stretched probabilities are combined by logistic
-mixing whose weights are gated: chosen by the place in the token, by how much of it the
-lexicon has seen and, for every predictor, by how much that has seen. Weights are learned online, token after token, against states
-from which the token itself is taken out. The mixed probability is refined adaptively: by
-an error table learned online over (bits of the byte so far, probability), and within
-each text by Bayesian mixing, as the text goes on, of what its class predicts and of
-caches of the text's own tokens in several strengths. The log10 probabilities add up to
-total bits; naming the class is paid for. Classes are those of a mixture over byte pairs, fitted without labels on
-`CLASS_ROWS` training texts.
+A token (a word, or the end of a text) is coded bit by bit in two parts. First its cell:
+the leading `bits` bits of its hash, enough to tell the vocabulary's words apart, each bit
+predicted in three hashed contexts: the bits so far alone, with the token before, and with
+the two tokens before. A predictor's state is the number of zeros and ones that the
+training tokens of the whole corpus showed there. Their stretched probabilities are
+combined by logistic mixing whose weights are gated, chosen by the place of the bit and by
+how much either of the longer contexts has seen. Coding is online, predict and then learn:
+a batch of tokens is coded by the weights that the batches before it have left, then the
+weights learn from it; and the token itself is taken out of every state that codes it, so
+a training text is scored by all the other texts, as a held-out text is. The mixed
+probability is refined adaptively by an error table learned online over (confidence,
+probability). Then the word within its cell: by its count in the training texts, or, where
+no other training token holds it, spelled byte by byte, with the same kind of gated and
+refined online mixing over hashed contexts of the last 1, 2, 3 and 5 bytes. Within each
+text the total is refined as the text is read, by online Bayesian mixing of these
+predictions with caches of the text's own tokens in several strengths.
 
 How it is spread out: each task cuts its texts into chunks of about `CHUNK_TOKENS` tokens
-and writes, once, the texts as numbers in the chunk's dictionary. The dictionaries give
-the exact token counts of the corpus (they grow with it); the vocabulary is coded once,
-each distinct token once, however often it occurs; a join brings count and code length
-back to the chunks, where the texts are summed. Bit states are summed by slices of their
-tables, whose sizes are parameters; so is the lexicon's (`LEXICON_WORDS`, the words above
-the least count at which no more fit); the mixing weights are fitted on `MIX_TOKENS`
-training tokens. Those bounded parts are what is broadcast.
+and writes them once, as numbers into the chunk's dictionary of words and of distinct
+token triples. Words go to shards by hash, triples to shards by the token before (for a
+frequent one also by a hash class of the token before that, so that no shard is hot); what
+is moved are packed arrays. A word shard counts its words over the corpus; a triple shard
+holds all triples of its contexts, so its states are exact, without collisions beyond
+those of 32-bit hashes, learns its own weights and codes every distinct triple once. What
+is gathered grows with the corpus: words, counts, triples, and the number of shards. Only
+three things are broadcast: counts of the cells (2^`MOST_BITS` at most), the spelling
+model (fixed tables of byte contexts) and the frequent tokens, those with over half a
+shard of occurrences.
 
 Cases: null texts are empty: one end token. Rows with a null doc_id are scored and train
 the model as not held out. Repeated rows count as often as they occur. No training tokens
-leave uniform bits. Extra columns are ignored.
+leave uniform bits. Extra columns are ignored. bits_per_byte is null for a text without bytes.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.training import hashed_sample
-from ledgerlens.plans.storage import checkpointed, shared_dir
+from ledgerlens.plans.storage import checkpointed, removed, shared_dir
 
-CHUNK_TOKENS = 2_000_000
-LEXICON_WORDS = 150_000
-MIX_TOKENS = 40_000
-WORDS_A_TASK = 800_000
-CLASSES, CLASS_ROWS, PAIRS = 4, 1_500, 2_048
+CHUNK_TOKENS = 1_000_000
+SHARD_WORDS, SHARD_TRIPLES = 400_000, 1_000_000
+LEAST_BITS, MOST_BITS = 8, 20
 END = b"\n"
-ORDERS = (1, 2, 3, 4, 6)
-CLASSED = (True, True, True, False, False)
-TABLE_BITS = (18, 20, 21, 21, 21)
-LEXICON_BITS = 22
+ORDERS = (1, 2, 3, 5)
+TABLE_BITS = (16, 18, 19, 20)
 SLICE = 1 << 15
-CONFIDENCE = 12
+CONFIDENCE = 8
 PLACES = 3
-GATES = PLACES * CONFIDENCE
 STRENGTHS = (10_000.0, 1_000.0, 100.0, 10.0)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xD6E8FEB86659FD93)
 
 
-_SALT = np.arange(CLASSES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-class Classes:
-    """A mixture over byte pairs: which kind of text this is."""
-
-    def __init__(self, texts: list[str | None], classes: int = CLASSES) -> None:
-        total = np.zeros(65_536)
-        for t in texts:
-            total += self._pairs(t)
-        chosen = np.argsort(-total, kind="stable")[:PAIRS]
-        self.number = np.full(65_536, PAIRS, np.int64)
-        self.number[chosen] = np.arange(len(chosen))
-        self.log = np.full((classes, PAIRS), -math.log(PAIRS))
-        x = np.array([self._pairs(t)[chosen] for t in texts]).reshape(-1, PAIRS)
-        x = x[x.sum(axis=1) >= 50]
-        if len(x) < classes:
-            return
-        share = (x + 0.01) / (x + 0.01).sum(axis=1, keepdims=True)
-        centres = [0]
-        for _ in range(1, classes):  # farthest first
-            near = np.max([np.sqrt(share) @ np.sqrt(share[c]) for c in centres], axis=0)
-            centres.append(int(near.argmin()))
-        self.log = np.log(share[centres])
-        x = x / np.maximum(1, x.sum(axis=1, keepdims=True) / 200)  # a long text counts as 200 pairs
-        for _ in range(25):
-            fit = x @ self.log.T
-            member = np.exp(fit - fit.max(axis=1, keepdims=True))
-            member /= member.sum(axis=1, keepdims=True)
-            mass = member.T @ x + 0.05
-            self.log = np.log(mass / mass.sum(axis=1, keepdims=True))
-
-    @staticmethod
-    def _pairs(text: str | None) -> np.ndarray:
-        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8).astype(np.int64)
-        return np.bincount(raw[:-1] * 256 + raw[1:], minlength=65_536) if len(raw) > 1 else np.zeros(65_536, np.int64)
-
-    def of(self, text: str | None) -> int:
-        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8).astype(np.int64)
-        if len(raw) < 2:
-            return 0
-        counts = np.bincount(self.number[raw[:-1] * 256 + raw[1:]], minlength=PAIRS + 1)[:PAIRS]
-        return int((self.log @ counts).argmax())
-
-
 class Spelling:
     """The distinct coded bytes of some words: contexts of each, and which words use it."""
 
-    def __init__(self, words: list[bytes], classes: np.ndarray | None = None, orders: tuple[int, ...] = ORDERS) -> None:
+    def __init__(self, words: list[bytes]) -> None:
         coded = [w if w == END else w + b" " for w in words]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         data = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(data)) - np.repeat(starts, sizes)
-        before = np.zeros((max(orders, default=0), len(data)), np.uint64)
-        for k in range(len(before)):  # the byte k + 1 back, 0 before the token
-            before[k, k + 1 :] = np.where(place[k + 1 :] > k, data[: len(data) - k - 1], 0)
-        prefix = np.zeros(len(data), np.uint64)
-        longest = int(sizes.max()) if len(sizes) else 0
-        order = np.argsort(-sizes, kind="stable")
-        for k in range(1, longest):  # the whole prefix, place after place
-            at = starts[order[: np.searchsorted(-sizes[order], -k)]] + k
-            h = (prefix[at - 1] ^ (data[at - 1] + np.uint64(1))) * _MIX
-            prefix[at] = h ^ (h >> np.uint64(31))
-        key = (prefix ^ (data + np.uint64(257))) * _MIX2
-        key ^= key >> np.uint64(29)
-        if classes is not None:
-            key ^= _SALT[np.repeat(classes, sizes) + 1]
-        _, first, self.inverse = np.unique(key, return_index=True, return_inverse=True)
-        self.word = np.repeat(np.arange(len(words)), sizes)
-        self.classes = None if classes is None else np.repeat(classes, sizes)[first]
-        self.byte, self.place, self.prefix = data[first].astype(np.int64), place[first], prefix[first]
-        self.contexts = []
-        for order_ in orders:
-            h = np.full(len(first), np.uint64(order_))
-            for k in range(order_):
-                h = (h ^ before[k, first]) * _MIX
+        place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        contexts, key = [], np.zeros(len(data), np.uint64)
+        for order in ORDERS:
+            h = np.full(len(data), np.uint64(order))
+            for k in range(order):  # the byte k + 1 back, 0 before the token
+                back = np.zeros(len(data), np.uint64)
+                back[k + 1 :] = np.where(place[k + 1 :] > k, data[: max(len(data) - k - 1, 0)], 0)
+                h = (h ^ back) * _MIX
                 h ^= h >> np.uint64(31)
-            self.contexts.append(h)
+            contexts.append(h)
+            key = (key ^ h) * _MIX2
+        key = (key ^ (data + np.uint64(257)) ^ (np.minimum(place, PLACES - 1).astype(np.uint64) << np.uint64(12))) * _MIX2
+        _, first, self.inverse = np.unique(key ^ (key >> np.uint64(29)), return_index=True, return_inverse=True)
+        self.word = np.repeat(np.arange(len(words)), sizes)
+        self.byte, self.place = data[first].astype(np.int64), np.minimum(place[first], PLACES - 1)
+        self.contexts = [h[first] for h in contexts]
+        self.uses = np.bincount(self.inverse, minlength=len(first)).astype(np.float64)
         self.n_words = len(words)
 
     def bit(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The node (bits of the byte so far, with a leading 1) and the k-th bit, of every coded byte."""
         return (self.byte | 256) >> (8 - k), (self.byte >> (7 - k)) & 1
 
-    def salt(self, z: int | None) -> np.ndarray | np.uint64:
-        """Of class z, or of the class of each word."""
-        return _SALT[(self.classes if z is None else z) + 1]
-
-    def slot(self, o: int, node: np.ndarray, z: int | None = None) -> np.ndarray:
-        h = self.contexts[o] + node.astype(np.uint64)
-        h = ((h ^ self.salt(z)) if CLASSED[o] else h) * _MIX2
-        return (h >> np.uint64(64 - TABLE_BITS[o])).astype(np.int64)
-
-    def lexicon_key(self, node: np.ndarray, salt: np.ndarray | np.uint64) -> np.ndarray:
-        h = ((self.prefix + node.astype(np.uint64)) ^ salt) * _MIX2
-        return h ^ (h >> np.uint64(32))
-
-    def weights(self, counts: np.ndarray) -> np.ndarray:
-        """How often each distinct coded byte occurs, from the words' counts."""
-        return np.bincount(self.inverse, weights=counts[self.word], minlength=len(self.byte))
+    def slot(self, o: int, node: np.ndarray) -> np.ndarray:
+        h = (self.contexts[o] + node.astype(np.uint64)) * _MIX2
+        return (h >> np.uint64(64 - TABLE_BITS[o])).astype(np.int64) + _OFFSET[o]
 
 
 _OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 SLOTS = int(_OFFSET[-1])
 
 
-def states(words: list[bytes], counts: np.ndarray, total: np.ndarray) -> None:
-    """Adds to total [2, SLOTS] the zeros and ones in every context; counts [words, CLASSES]."""
+def states(words: list[bytes], total: np.ndarray) -> None:
+    """Adds to total [2, SLOTS] the zeros and ones in every byte context of the words, once each."""
+    flat = total.reshape(-1)
     for at in range(0, len(words), 50_000):
         s = Spelling(words[at : at + 50_000])
-        by_class = [s.weights(counts[at : at + 50_000, z]) for z in range(CLASSES)]
-        live = [np.flatnonzero(n) for n in by_class]
-        every = np.sum(by_class, axis=0)
-        flat = total.reshape(-1)
         for k in range(8):
             node, bit = s.bit(k)
             for o in range(len(ORDERS)):
-                start = _OFFSET[o] + bit * SLOTS
-                if CLASSED[o]:
-                    for z in range(CLASSES):
-                        np.add.at(flat, (s.slot(o, node, z) + start)[live[z]], by_class[z][live[z]])
-                else:
-                    np.add.at(flat, s.slot(o, node) + start, every)
+                np.add.at(flat, s.slot(o, node) + bit * SLOTS, s.uses)
 
 
 def _stretch(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
@@ -195,174 +118,181 @@ def _stretch(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 
 
 def _confidence(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(n + 1.0).astype(np.int64), CONFIDENCE - 1)
-
-
-class Mixer:
-    """Predictor states in compact form, gated weights and the error table."""
-
-    def __init__(self, counts: np.ndarray, words: list[bytes], word_counts: np.ndarray) -> None:
-        self.stretch = (_stretch(counts[1], counts[0]) * 64).clip(-900, 900).astype(np.int16)
-        self.seen = _confidence(counts.sum(axis=0)).astype(np.uint8)
-        size = 1 << LEXICON_BITS
-        self.tag, self.word_stretch, self.word_seen = np.zeros(size, np.uint8), np.zeros(size, np.int16), np.zeros(size, np.uint8)
-        best = np.zeros(size, np.float32)  # where two meet in a slot, the more frequent stays
-        s = Spelling(words, orders=())
-        for z in range(-1, CLASSES):
-            n = s.weights(word_counts.sum(axis=1) if z < 0 else word_counts[:, z])
-            live = np.flatnonzero(n)
-            for k in range(8):
-                node, bit = s.bit(k)
-                key, inverse = np.unique(s.lexicon_key(node, s.salt(z))[live], return_inverse=True)
-                ones = np.bincount(inverse, weights=(n * bit)[live], minlength=len(key))
-                total = np.bincount(inverse, weights=n[live], minlength=len(key))
-                rising = np.argsort(total, kind="stable")
-                key, ones, total = key[rising], ones[rising], total[rising]
-                at = self._slot(key)
-                more = total > best[at]
-                key, ones, total, at = key[more], ones[more], total[more], at[more]
-                best[at] = total
-                self.tag[at] = self._tag(key)
-                self.word_stretch[at] = (_stretch(ones, total - ones) * 64).clip(-900, 900).astype(np.int16)
-                self.word_seen[at] = _confidence(total).astype(np.uint8)
-        inputs = len(ORDERS) + 2
-        self.gate = np.full((GATES, inputs, CONFIDENCE), 0.15)
-        self.gate[:, :, 0] = 0.0
-        sure = np.arange(GATES) % CONFIDENCE >= 5  # the lexicon has seen the prefix often
-        self.gate[sure] *= 0.2
-        self.gate[sure, -1] = 1.0
-        self.bias = np.zeros(GATES)
-        self.refine = np.zeros((256, 33))  # added to the stretched probability
-
-    @staticmethod
-    def _slot(key: np.ndarray) -> np.ndarray:
-        return (key & np.uint64((1 << LEXICON_BITS) - 1)).astype(np.int64)
-
-    @staticmethod
-    def _tag(key: np.ndarray) -> np.ndarray:
-        return (key >> np.uint64(56)).astype(np.uint8) | np.uint8(1)
-
-    def inputs(self, s: Spelling, k: int, z: int | None = None, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """Node, bit, and per predictor the stretched probability and confidence of bit k.
-
-        z: the class, where s has none of its own. counts: raw states, from which one
-        occurrence of the coded bit is taken out.
-        """
+    """The binary order of n + 1, up to CONFIDENCE - 1, read off the float's exponent."""
+    return np.minimum((n + np.float32(1)).astype(np.float32).view(np.int32) >> 23, 126 + CONFIDENCE) - 127
+
+
+class Gated:
+    """Weights of a logistic mix, one set a gate, and the error table that refines it; both learned online."""
+
+    def __init__(self, gates: int, inputs: int, cells: int) -> None:
+        self.weight, self.bias, self.refine = np.full((inputs, gates), 1.0 / inputs), np.zeros(gates), np.zeros((cells, 33))
+        self.seen, self.bias_seen, self.refine_seen = np.full((inputs, gates), 1e-2), np.full(gates, 1e-2), np.full((cells, 33), 30.0)
+
+    def mixed(self, st: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        x = self.bias[gate]
+        for w, s in zip(self.weight, st, strict=True):
+            x = x + w[gate] * s
+        return x.clip(-14, 14)
+
+    def refined(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        spot = cell * 33 + np.rint(x * (16 / 14)).astype(np.int64) + 16
+        return (x + self.refine.ravel()[spot]).clip(-14, 14), spot
+
+    def online(self, st: list[np.ndarray], gate: np.ndarray, cell: np.ndarray, bit: np.ndarray, n: np.ndarray, rate: float = 0.02) -> np.ndarray:
+        """Natural log probability of each bit; the weights then learn from bits that occur n times."""
+        x = self.mixed(st, gate)
+        y, spot = self.refined(x, cell)
+        miss, gates = n * (bit - 1 / (1 + np.exp(-x))), len(self.bias)
+        for i, s in enumerate(st):
+            g = np.bincount(gate, weights=miss * s, minlength=gates)
+            self.seen[i] += g * g
+            self.weight[i] += rate * g / np.sqrt(self.seen[i])
+        g = np.bincount(gate, weights=miss, minlength=gates)
+        self.bias_seen += g * g
+        self.bias += rate * g / np.sqrt(self.bias_seen)
+        logs = -np.log1p(np.exp(np.where(bit == 1, -y, y)))
+        late = np.bincount(spot, weights=n * (bit - np.where(bit == 1, np.exp(logs), 1 - np.exp(logs))), minlength=self.refine.size)
+        self.refine_seen += np.bincount(spot, weights=n, minlength=self.refine.size).reshape(self.refine.shape)
+        self.refine += 2.0 * late.reshape(self.refine.shape) / self.refine_seen
+        return logs
+
+    def log(self, st: list[np.ndarray], gate: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """Natural log probability of each bit."""
+        y, _ = self.refined(self.mixed(st, gate), cell)
+        return -np.log1p(np.exp(np.where(bit == 1, -y, y)))
+
+
+class Speller:
+    """Byte-level predictor states and their mix."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts, self.mix = counts, Gated(PLACES * CONFIDENCE * CONFIDENCE, len(ORDERS), 256)
+
+    def inputs(self, s: Spelling, k: int, own: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """own: one occurrence of the coded bit is taken out of every state."""
         node, bit = s.bit(k)
-        st = np.empty((len(ORDERS) + 2, len(node)))
-        cf = np.empty((len(ORDERS) + 2, len(node)), np.int64)
+        st, cf = [], []
         for o in range(len(ORDERS)):
-            at = s.slot(o, node, z) + _OFFSET[o]
-            if counts is None:
-                st[o], cf[o] = self.stretch[at], self.seen[at]
-            else:
-                zeros, ones = np.maximum(counts[0, at] - (1 - bit), 0), np.maximum(counts[1, at] - bit, 0)
-                st[o], cf[o] = _stretch(ones, zeros) * 64, _confidence(zeros + ones)
-        for row, salt in ((-2, s.salt(-1)), (-1, s.salt(z))):
-            key = s.lexicon_key(node, salt)
-            at = self._slot(key)
-            hit = self.tag[at] == self._tag(key)
-            st[row], cf[row] = np.where(hit, self.word_stretch[at], 0), np.where(hit, self.word_seen[at], 0)
-        return node, bit, st / 64, cf, np.minimum(s.place, PLACES - 1) * CONFIDENCE + cf[-1]
-
-    def mixed(self, st: np.ndarray, cf: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        total = self.bias[gate]
-        for o in range(len(st)):
-            total = total + self.gate[gate, o, cf[o]] * st[o]
-        return total.clip(-14, 14)
-
-    def refined(self, x: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = np.rint(x * (16 / 14)).astype(np.int64) + 16
-        return (x + self.refine[node, cell]).clip(-14, 14), cell
-
-    def learn(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, passes: int = 2, batch: int = 64, rate: float = 0.02) -> Mixer:
-        """Online over the words, in order; counts are the raw states."""
-        g2, b2, r2 = np.full_like(self.gate, 1e-2), np.full_like(self.bias, 1e-2), np.full_like(self.refine, 1.0)
-        for _ in range(passes):
-            for at in range(0, len(words), batch):
-                s = Spelling(words[at : at + batch], classes[at : at + batch])
-                n = s.weights(np.ones(min(batch, len(words) - at)))
-                for k in range(8):
-                    node, bit, st, cf, gate = self.inputs(s, k, None, counts)
-                    x = self.mixed(st, cf, gate)
-                    y, cell = self.refined(x, node)
-                    miss = n * (bit - 1 / (1 + np.exp(-x)))
-                    for o in range(len(st)):
-                        spot = gate * CONFIDENCE + cf[o]
-                        g = np.bincount(spot, weights=miss * st[o], minlength=GATES * CONFIDENCE).reshape(GATES, CONFIDENCE)
-                        g2[:, o] += g * g
-                        self.gate[:, o] += rate * g / np.sqrt(g2[:, o])
-                    g = np.bincount(gate, weights=miss, minlength=GATES)
-                    b2 += g * g
-                    self.bias += rate * g / np.sqrt(b2)
-                    late = n * (bit - 1 / (1 + np.exp(-y)))
-                    spot = node * 33 + cell
-                    g = np.bincount(spot, weights=late, minlength=self.refine.size).reshape(self.refine.shape)
-                    r2 += np.bincount(spot, weights=n, minlength=self.refine.size).reshape(self.refine.shape)
-                    self.refine += 2.0 * g / (r2 + 30)
-        return self
-
-    def log10(self, words: list[bytes], uses: np.ndarray) -> np.ndarray:
-        """[words, CLASSES] log10 probability of each token in texts of the classes that use it (bits of uses)."""
-        found = np.full((len(words), CLASSES), np.nan)
-        for z in range(CLASSES):
-            rows = np.flatnonzero(uses >> z & 1)
-            for at in range(0, len(rows), 20_000):
-                part = rows[at : at + 20_000]
-                s = Spelling([words[i] for i in part])
-                logs = np.zeros(len(s.byte))
-                for k in range(8):
-                    node, bit, st, cf, gate = self.inputs(s, k, z)
-                    y, _ = self.refined(self.mixed(st, cf, gate), node)
-                    logs -= np.logaddexp(0, np.where(bit == 1, -y, y))
-                found[part, z] = np.bincount(s.word, weights=logs[s.inverse], minlength=s.n_words)
-        return found / math.log(10)
+            at = s.slot(o, node)
+            zeros, ones = self.counts[0, at], self.counts[1, at]
+            if own:
+                zeros, ones = np.maximum(zeros - (1 - bit), 0), np.maximum(ones - bit, 0)
+            st.append(_stretch(ones, zeros)), cf.append(_confidence(zeros + ones))
+        return st, (s.place * CONFIDENCE + cf[2]) * CONFIDENCE + cf[3], node, bit
+
+    def log10(self, words: list[bytes], own: bool, batch: int = 4_000) -> np.ndarray:
+        """log10 probability of each spelling; own: of training words, of which one is taken out, and the weights learn on."""
+        found = [np.zeros(0)]
+        for at in range(0, len(words), batch):
+            s = Spelling(words[at : at + batch])
+            logs = np.zeros(len(s.byte))
+            for k in range(8):
+                coded_ = self.inputs(s, k, own)
+                logs += self.mix.online(*coded_, s.uses) if own else self.mix.log(*coded_)
+            found.append(np.bincount(s.word, weights=logs[s.inverse], minlength=s.n_words))
+        return np.concatenate(found) / math.log(10)
+
+
+def hash32(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 7) >> 32
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def chunked(docs: DataFrame, held_out: Column, classes: Classes, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """One row a chunk: its texts as numbers in its dictionary, the dictionary, training counts."""
-    schema = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, classes array<int>, ids binary, words array<binary>, counts array<array<int>>"
-    kinds = docs.sparkSession.sparkContext.broadcast(classes)
+def _pack(x: np.ndarray) -> bytes:
+    """x in byte planes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+
+
+def _unpack(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    data = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    planes = data.reshape(size, len(data) // size)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _join(words: list[bytes]) -> bytes:
+    return zstandard.compress(b" ".join(words), 1)  # no word holds a space
+
+
+def _split(raw: bytes) -> list[bytes]:
+    return zstandard.decompress(raw).split(b" ")
+
+
+def _row(fields: dict[str, tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in fields.values()], list(fields))
+
+
+def _rows(fields: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], list(fields))
+
+
+def chunked(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """One row a chunk: its texts as numbers of triples, its triples (sorted by the tokens before) and its words (sorted by hash)."""
+    schema = (
+        "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, bytes array<long>, n_triples long, n_words long, triples binary, "
+        "pairs binary, before binary, counts binary, held_use binary, word_of binary, words binary, word_hash binary, word_counts binary"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
         number: dict[bytes, int] = {}
-        docs_, held_, ids_, class_ = [], [], [], []
+        docs_, held_, ids_, bytes_ = [], [], [], []
         total = 0
 
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(i) for i in ids_], np.int32)
-            flat = np.concatenate(ids_)
+            words, flat = list(number), np.concatenate(ids_)
+            h = np.fromiter(map(hash32, words), np.uint64, len(words))
+            order = np.argsort(h, kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            flat, h, words = place[flat], h[order], [words[i] for i in order]
+            starts = np.cumsum(sizes) - sizes
+            now, end = h[flat], np.uint64(hash32(END))
+            one, two = np.concatenate([[end], now[:-1]]), np.concatenate([[end, end], now[:-2]])[: len(now)]
+            one[starts], two[starts] = end, end
+            later = starts[sizes > 1] + 1
+            two[later] = end
+            pairs, before = one << np.uint64(32) | now, (two >> np.uint64(16)).astype(np.uint16)
+            key = (pairs ^ (before.astype(np.uint64) * _MIX2)) * _MIX
+            _, first, triple = np.unique(key ^ (key >> np.uint64(32)), return_index=True, return_inverse=True)
+            by = np.argsort(pairs[first], kind="stable")
+            place = np.empty(len(first), np.uint32)
+            place[by] = np.arange(len(first))
+            first, triple = first[by], place[triple]
             train = np.repeat(~np.array(held_, dtype=bool), sizes)
-            cell = flat.astype(np.int64) * CLASSES + np.repeat(np.array(class_), sizes)
-            counts = np.bincount(cell[train], minlength=len(number) * CLASSES).reshape(-1, CLASSES)
-            used = np.bincount(cell, minlength=len(number) * CLASSES).reshape(-1, CLASSES) > 0
-            counts = np.column_stack([counts, used @ (1 << np.arange(CLASSES))]).astype(np.int32).ravel()
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(number) + 1, dtype=np.int32) * (CLASSES + 1)), pa.array(counts))
-            row = [[chunk], [docs_], [held_], [sizes], [class_], [zstandard.compress(flat.tobytes(), 1)], [list(number)]]
-            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.binary())]
-            columns = [pa.array(v, t) for v, t in zip(row, types, strict=True)]
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(number)], pa.int32()), listed))
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_ids", "held", "sizes", "classes", "ids", "words", "counts"])
+            counts = np.bincount(triple[train], minlength=len(first)).astype(np.uint32)
+            word_counts = np.bincount(flat[train], minlength=len(words)).astype(np.uint32)
+            held_use = np.zeros(len(first), np.uint8)
+            held_use[triple[~train]] = 1
+            pairs, before, word_of = pairs[first], before[first], flat[first].astype(np.uint32)
+            b = pa.binary()
+            return _row({
+                "chunk": (chunk, pa.int64()), "doc_ids": (docs_, pa.list_(pa.int64())), "held": (held_, pa.list_(pa.bool_())), "sizes": (sizes, pa.list_(pa.int32())),
+                "bytes": (bytes_, pa.list_(pa.int64())), "n_triples": (len(first), pa.int64()), "n_words": (len(words), pa.int64()), "triples": (_pack(triple), b),
+                "pairs": (_pack(np.diff(pairs, prepend=np.uint64(0))), b), "before": (_pack(before), b), "counts": (_pack(counts), b), "held_use": (_pack(held_use), b), "word_of": (_pack(word_of), b),
+                "words": (_join(words), b), "word_hash": (_pack(h.astype(np.uint32)), b), "word_counts": (_pack(word_counts), b),
+            })
 
         for batch in batches:
             for doc, text, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = tokens_of(text)
                 for w in set(tokens).difference(number):
                     number[w] = len(number)
-                ids_.append(np.fromiter(map(number.__getitem__, tokens), np.uint32, len(tokens)))
-                docs_.append(doc), held_.append(bool(held)), class_.append(kinds.value.of(text))
+                ids_.append(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)))
+                docs_.append(doc), held_.append(bool(held)), bytes_.append(len((text or "").encode("utf-8", "surrogatepass")))
                 total += len(tokens)
                 if total >= chunk_tokens:
                     yield flush()
                     chunk, total, number = chunk + 1, 0, {}
-                    docs_, held_, ids_, class_ = [], [], [], []
+                    docs_, held_, ids_, bytes_ = [], [], [], []
         if ids_:
             yield flush()
 
@@ -370,136 +300,305 @@ def chunked(docs: DataFrame, held_out: Column, classes: Classes, chunk_tokens: i
     return read.mapInArrow(run, schema)
 
 
-def fit(vocabulary: DataFrame, lexicon_words: int = LEXICON_WORDS, mix_tokens: int = MIX_TOKENS) -> Mixer:
-    """The mixer for vocabulary(word, c), of which only c > 0 trains."""
-    seen, by_class = vocabulary.where("c > 0"), [f"c{z}" for z in range(CLASSES)]
-    spread = seen.groupBy(F.floor(F.log2("c") * 4).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("mass")).collect()
-    spread = sorted((r["level"], r["n"], r["mass"]) for r in spread)
-    least, room = 0.0, lexicon_words
-    for level, n, _ in reversed(spread):
-        room -= n
-        if room < 0:
-            least = 2 ** ((level + 1) / 4) - 1e-9
-            break
-    found = seen.where(F.col("c") >= least).select("word", *by_class).toLocalIterator()
-    words, flat = [], array("q")
-    for r in found:
-        words.append(bytes(r[0]))
-        flat.extend(r[1:])
-    order = sorted(range(len(words)), key=words.__getitem__)
-    words, counts = [words[i] for i in order], np.array(flat, dtype=np.float64).reshape(-1, CLASSES)[order]
+def _slices(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Where each of `shards` equal ranges of 32-bit hashes begins in sorted hashes, and the end."""
+    edges = np.array([-(-(k << 32) // shards) for k in range(shards)] + [1 << 32], np.uint64)
+    return np.searchsorted(hashes, edges)
+
+
+def counted_words(chunks: DataFrame, shards: int) -> DataFrame:
+    """One row a shard: its distinct words, their training counts, and for each chunk where its words stand among them."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, words, h, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                words, h, c = _split(words), _unpack(h, "<u4"), _unpack(c, "<u4")
+                edge = _slices(h, shards)
+                parts = [(k, slice(edge[k], edge[k + 1])) for k in np.flatnonzero(np.diff(edge)).tolist()]
+                yield _rows({"shard": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "counts": pa.binary()}, [(k, chunk, _join(words[x]), _pack(c[x])) for k, x in parts])
+
+    def merged(t: pa.Table) -> pa.Table:
+        number: dict[bytes, int] = {}
+        chunks_, places, sums = [], [], []
+        for chunk, words, c in sorted(zip(*(t.column(x).to_pylist() for x in ("chunk", "words", "counts")), strict=True)):
+            words = _split(words)
+            for w in words:
+                number.setdefault(w, len(number))
+            place = np.fromiter(map(number.__getitem__, words), np.uint32, len(words))
+            chunks_.append(chunk), places.append(_pack(place)), sums.append((place, _unpack(c, "<u4")))
+        total = np.zeros(len(number), np.int64)
+        for place, c in sums:
+            total[place] += c
+        row = [[t.column("shard")[0].as_py()], [_join(list(number))], [_pack(total)], [chunks_], [places], [int(total.sum())], [int((total > 0).sum())], [int((total == 1).sum())]]
+        types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.int64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(v, k) for v, k in zip(row, types, strict=True)], names=["shard", "words", "totals", "chunks", "places", "n", "v", "once"])
+
+    sent = chunks.select("chunk", "words", "word_hash", "word_counts").mapInArrow(dealt, "shard int, chunk long, words binary, counts binary")
+    return sent.repartition(shards, "shard").groupBy("shard").applyInArrow(merged, "shard int, words binary, totals binary, chunks array<long>, places array<binary>, n long, v long, once long")
+
+
+def cell_counts(words: DataFrame, bits: int) -> np.ndarray:
+    """Training tokens in each of the 2^bits cells; summed on the executors, a bounded array comes back."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SLOTS))
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            counts = np.stack([c.to_numpy().astype(np.float64) for c in batch.columns[1:]], axis=1)
-            states(batch.column(0).to_pylist(), counts, total)
-        for at in range(0, SLOTS, SLICE):
-            part = total[:, at : at + SLICE].astype(np.float32)
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["at", "part"])
+            for listed, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                listed = _split(listed)
+                cell = np.fromiter(map(hash32, listed), np.int64, len(listed)) >> (32 - bits)
+                total += np.bincount(cell, weights=_unpack(c, "<i8"), minlength=len(total)).astype(np.int64)
+        for at in range(0, len(total), SLICE):
+            if total[at : at + SLICE].any():
+                yield _row({"at": (at, pa.int64()), "part": (total[at : at + SLICE].tobytes(), pa.binary())})
+
+    total = np.zeros(1 << bits, np.int64)
+    for r in _summed(words.select("words", "totals").mapInArrow(partial, "at long, part binary"), "<i8"):
+        part = np.frombuffer(bytes(r["part"]), "<i8")
+        total[r["at"] : r["at"] + len(part)] = part
+    return total
+
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(parts: DataFrame, kind: str) -> Iterator:
+    """Slices (at, part) added up by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(part, np.float32).astype(np.float64)
+                x = np.frombuffer(part, kind)
                 found[at] = found[at] + x if at in found else x
         for at, x in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["at", "part"])
+            yield _row({"at": (at, pa.int64()), "part": (x.tobytes(), pa.binary())})
+
+    return parts.repartition("at").mapInArrow(run, "at long, part binary").toLocalIterator()
+
+
+def spelling_states(words: DataFrame) -> np.ndarray:
+    """The byte contexts' zeros and ones over the training words, each counted once."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, SLOTS), np.float32)
+        for batch in batches:
+            for listed, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                states([w for w, n in zip(_split(listed), _unpack(c, "<i8").tolist(), strict=True) if n], total)
+        for at in range(0, SLOTS, SLICE):
+            part = total[:, at : at + SLICE]
+            if part.any():
+                yield _row({"at": (at, pa.int64()), "part": (part.tobytes(), pa.binary())})
 
-    tasks = max(1, -(-sum(n for _, n, _ in spread) // WORDS_A_TASK))
-    slices = seen.select("word", *by_class).coalesce(tasks).mapInArrow(partial, "at long, part binary").repartition("at").mapInArrow(summed, "at long, part binary").toLocalIterator()
     raw = np.zeros((2, SLOTS), np.float32)
-    for r in slices:
-        part = np.frombuffer(bytes(r["part"]), np.float32).reshape(2, -1)
+    for r in _summed(words.select("words", "totals").mapInArrow(partial, "at long, part binary"), "<f4"):
+        part = np.frombuffer(bytes(r["part"]), "<f4").reshape(2, -1)
         raw[:, r["at"] : r["at"] + part.shape[1]] = part
-    mixer = Mixer(raw, words, counts)
-    rare_words = sum(n for _, n, _ in spread) - len(words)
-    rare_mass = sum(m for _, _, m in spread) - counts.sum()
-    rng = np.random.default_rng(4)
-    stream: list[tuple[bytes, int]] = []
-
-    def draw(found: list[bytes], c: np.ndarray, n: int) -> None:
-        if n > 0 and len(found):
-            cells = rng.choice(c.size, n, p=c.ravel() / c.sum())
-            stream.extend((found[i // CLASSES], int(i % CLASSES)) for i in cells)
-
-    if len(words):
-        draw(words, counts, int(mix_tokens * counts.sum() / (counts.sum() + rare_mass)))
-    if rare_words > 0:
-        keep = int(min(1.0, 20_000 / rare_words) * (1 << 20))
-        rare = seen.where(F.col("c") < least).where(F.pmod(F.xxhash64("word"), F.lit(1 << 20)) <= keep).select("word", *by_class).collect()
-        rare = sorted((bytes(r[0]), *r[1:]) for r in rare)
-        draw([r[0] for r in rare], np.array([r[1:] for r in rare], dtype=np.float64).reshape(-1, CLASSES), mix_tokens - len(stream))
-    rng.shuffle(stream)
-    return mixer.learn([w for w, _ in stream], np.array([z for _, z in stream], dtype=np.int64), raw)
-
-
-def score(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS, lexicon_words: int = LEXICON_WORDS, mix_tokens: int = MIX_TOKENS) -> DataFrame:
+    return raw
+
+
+class Cells:
+    """Counts of the cells at every depth, and the mass left to unknown words."""
+
+    def __init__(self, counts: np.ndarray, once: int) -> None:
+        self.bits = int(math.log2(len(counts)))
+        self.leaf, self.unknown = counts, max(1, once) / len(counts)
+        self.depth = [counts]
+        while len(self.depth[0]) > 1:
+            self.depth.insert(0, self.depth[0].reshape(-1, 2).sum(axis=1))
+
+    def in_cell(self, words: list[bytes], c: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each word within its cell, for training texts (one token taken out) and for others.
+
+        counts: the states of the spelling model.
+        """
+        cell = np.fromiter(map(hash32, words), np.int64, len(words)) >> (32 - self.bits)
+        leaf, speller = self.leaf[cell], Speller(counts)
+        spelled = lambda rows, own: np.minimum(speller.log10([words[i] for i in rows], own) + self.bits * math.log10(2), 0)
+        once, new = np.flatnonzero(c == 1), np.flatnonzero(c == 0)
+        train = np.log10(np.maximum(c - 1, 1) / (np.maximum(leaf - 1, 0) + self.unknown))
+        train[once] = np.log10(self.unknown / (np.maximum(leaf[once] - 1, 0) + self.unknown)) + spelled(once, True)
+        other = np.log10(np.maximum(c, 1) / (leaf + self.unknown))
+        other[new] = np.log10(self.unknown / (leaf[new] + self.unknown)) + spelled(new, False)
+        return train, other
+
+
+class Router:
+    """Which shard a triple goes to: by the token before it, and for frequent ones by a class of the one before that."""
+
+    def __init__(self, frequent: dict[int, int], shards: int) -> None:
+        self.hash = np.array(sorted(frequent), np.uint64)
+        self.classes = np.array([frequent[h] for h in sorted(frequent)], np.uint64)
+        self.shards = shards
+
+    def context(self, pairs: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """A 64-bit name of the order-1 context: the token before and its class."""
+        one = pairs >> np.uint64(32)
+        classes = np.ones(len(one), np.uint64)
+        if len(self.hash):
+            at = np.minimum(np.searchsorted(self.hash, one), len(self.hash) - 1)
+            classes = np.where(self.hash[at] == one, self.classes[at], classes)
+        return one << np.uint64(16) | before.astype(np.uint64) % classes
+
+    def shard(self, context: np.ndarray) -> np.ndarray:
+        h = (context * _MIX) >> np.uint64(32)
+        return ((h * np.uint64(self.shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def _groups(key: np.ndarray) -> np.ndarray:
+    """The number of each run of equal keys."""
+    return np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
+def coded(context: np.ndarray, pairs: np.ndarray, before: np.ndarray, n: np.ndarray, held: np.ndarray, cells: Cells, batch: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of the cell of every triple of a shard, which holds all triples of its contexts.
+
+    First for training texts, the token itself taken out, then for held-out texts, where
+    they use it (held). Bit by bit: states are sums over the shard; batches are spread
+    evenly over its contexts, each coded by the weights so far, which then learn from it.
+    """
+    bits, word = cells.bits, pairs & np.uint64(0xFFFFFFFF)
+    _, dense1 = np.unique(context, return_inverse=True)
+    _, dense2 = np.unique((pairs >> np.uint64(32)) << np.uint64(16) | before.astype(np.uint64), return_inverse=True)
+    key2 = dense2.astype(np.uint64) << np.uint64(32) | word
+    order = np.argsort(key2, kind="stable")
+    key2, word, n, held = key2[order], word[order], n[order].astype(np.float32), held[order]
+    key1, inverse = np.unique(dense1[order].astype(np.uint64) << np.uint64(32) | word, return_inverse=True)
+    n1 = np.bincount(inverse, weights=n, minlength=len(key1))
+    logs, held_logs = np.zeros(len(word)), np.zeros(len(word))
+    mix, steps = Gated(CONFIDENCE * CONFIDENCE, 3, CONFIDENCE), max(1, len(word) // batch)
+    parts = [(slice(j, None, steps), np.flatnonzero(held[j::steps])) for j in range(steps)]
+    own = np.minimum(n, 1)
+    for k in range(bits):
+        shift, bit = np.uint64(32 - k), ((word >> np.uint64(31 - k)) & np.uint64(1)).astype(np.float32)
+        two = cells.depth[k + 1].reshape(-1, 2).astype(np.float32)[(word >> shift).astype(np.int64)]
+        g1, g2 = _groups(key1 >> shift), _groups(key2 >> shift)
+        all1, up1 = np.bincount(g1, weights=n1), np.bincount(g1, weights=n1 * ((key1 >> np.uint64(31 - k)) & np.uint64(1)))
+        all2, up2 = np.bincount(g2, weights=n), np.bincount(g2, weights=n * bit)
+        states_ = [(two[:, 0], two[:, 1])]
+        for every, up, g in ((all1, up1, g1[inverse]), (all2, up2, g2)):
+            states_.append(((every - up).astype(np.float32)[g], up.astype(np.float32)[g]))
+
+        def inputs(seen: list[tuple[np.ndarray, np.ndarray]], b: np.ndarray) -> tuple:
+            cf = [_confidence(z + o) for z, o in seen[1:]]
+            return [_stretch(o, z) for z, o in seen], cf[0] * CONFIDENCE + cf[1], cf[1], b
+
+        for rows, used in parts:
+            b, seen = bit[rows], [(z[rows], o[rows]) for z, o in states_]
+            if len(used):
+                held_logs[rows][used] += mix.log(*inputs([(z[used], o[used]) for z, o in seen], b[used]))
+            one, zero = own[rows] * b, own[rows] * (1 - b)
+            logs[rows] += mix.online(*inputs([(np.maximum(z - zero, 0), np.maximum(o - one, 0)) for z, o in seen], b), n[rows])
+    found, held_found = np.empty(len(word)), np.empty(len(word))
+    found[order], held_found[order] = logs / math.log(10), held_logs / math.log(10)
+    return found, held_found
+
+
+def score(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS, shard_words: int = SHARD_WORDS, shard_triples: int = SHARD_TRIPLES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/contextmix-{uuid.uuid4().hex}"
-    known = F.col("doc_id").isNotNull() & ~held_out
-    sample = hashed_sample(docs.where(known), F.xxhash64(F.lit("class"), F.col("doc_id").cast("long")), CLASS_ROWS)
-    classes = Classes(sorted(r["text"] or "" for r in sample.select(F.col("text").cast("string").alias("text")).collect()))
-    chunked(docs, held_out, classes, chunk_tokens).write.option("compression", "zstd").parquet(f"{folder}/chunks")
-    entries = spark.read.parquet(f"{folder}/chunks").select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "e")).select("chunk", "pos", F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
-    by_class = [F.sum(F.col("c")[z].cast("long")).alias(f"c{z}") for z in range(CLASSES)]
-    uses = F.bit_or(F.col("c")[CLASSES]).alias("uses")  # the classes whose texts hold the word
-    counted = entries.groupBy("word").agg(*by_class, uses).withColumn("c", sum((F.col(f"c{z}") for z in range(1, CLASSES)), F.col("c0")))
-    counted.write.option("compression", "zstd").parquet(f"{folder}/words")
-    vocabulary = spark.read.parquet(f"{folder}/words")
-    totals = vocabulary.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    chunked(docs, held_out, chunk_tokens).write.option("compression", "none").parquet(f"{folder}/chunks")
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    size = chunks.agg(F.sum("n_triples").alias("t"), F.sum("n_words").alias("w")).first()
+    shards = max(1, -(-int(size["t"] or 0) // shard_triples))
+    counted_words(chunks, max(1, -(-int(size["w"] or 0) // shard_words))).write.option("compression", "none").parquet(f"{folder}/words")
+    words = spark.read.parquet(f"{folder}/words")
+    totals = words.agg(*[F.sum(c).alias(c) for c in ("n", "v", "once")]).first()
     n_train, distinct = int(totals["n"] or 0), int(totals["v"] or 0)
-    mixer = spark.sparkContext.broadcast(fit(vocabulary, lexicon_words, mix_tokens))
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(distinct + 1)) + 2))
+    cells = spark.sparkContext.broadcast(Cells(cell_counts(words, bits), int(totals["once"] or 0)))
+    spelling = spark.sparkContext.broadcast(spelling_states(words))
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = mixer.value.log10(batch.column(0).to_pylist(), batch.column(2).to_numpy()).astype("<f4")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([x.tobytes() for x in found], pa.binary())], ["word", "c", "lp"])
+            for listed, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                listed, c = _split(listed), _unpack(c, "<i8")
+                hot = np.flatnonzero(c > shard_triples // 2)
+                yield pa.RecordBatch.from_arrays([pa.array([hash32(listed[i]) for i in hot], pa.int64()), pa.array(c[hot])], ["h", "c"])
+
+    hot = words.select("words", "totals").mapInArrow(often, "h long, c long").collect()  # few: half a shard of tokens each
+    router = spark.sparkContext.broadcast(Router({r["h"]: min(1 << 16, 2 * r["c"] // shard_triples + 1) for r in hot}, shards))
+
+    answer = {"chunk": pa.int64(), "kind": pa.int32(), "shard": pa.int32(), "lp": pa.binary(), "held_lp": pa.binary(), "c": pa.binary()}
 
-    lengths = vocabulary.select("word", "c", "uses").mapInArrow(coded, "word binary, c long, lp binary")
-    found = entries.select("chunk", "pos", "word").join(lengths, "word").select("chunk", "pos", "c", "lp")
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, listed, c, chunks_, places in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                c = _unpack(c, "<i8")
+                listed, c = cells.value.in_cell(_split(listed), c, spelling.value), c
+                train, other = (x.astype("<f4") for x in listed)
+                places = [_unpack(x, "<u4") for x in places]
+                yield _rows(answer, [(chunk, 0, shard, _pack(train[x]), _pack(other[x]), _pack(c[x])) for chunk, x in zip(chunks_, places, strict=True)])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        route, b = router.value, pa.binary()
+        for batch in batches:
+            for chunk, pairs, before, n, held in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                pairs, before, n, held = np.cumsum(_unpack(pairs, "<u8")), _unpack(before, "<u2"), _unpack(n, "<u4"), _unpack(held, "u1")
+                to = route.shard(route.context(pairs, before))
+                order = np.argsort(to, kind="stable")
+                edge = np.searchsorted(to[order], np.arange(shards + 1))
+                parts = [(k, order[edge[k] : edge[k + 1]]) for k in np.flatnonzero(np.diff(edge)).tolist()]
+                rows = [(k, chunk, _pack(np.diff(pairs[x], prepend=np.uint64(0))), _pack(before[x]), _pack(n[x]), _pack(held[x])) for k, x in parts]
+                yield _rows({"shard": pa.int32(), "chunk": pa.int64(), "pairs": b, "before": b, "counts": b, "held_use": b}, rows)
+
+    def solved(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(t.column(x).to_pylist() for x in ("chunk", "pairs", "before", "counts", "held_use")), strict=True))
+        pairs = [np.cumsum(_unpack(r[1], "<u8")) for r in rows]
+        edge = np.cumsum([len(x) for x in pairs])[:-1]
+        pairs, before, n = np.concatenate(pairs), np.concatenate([_unpack(r[2], "<u2") for r in rows]), np.concatenate([_unpack(r[3], "<u4") for r in rows])
+        key = (pairs ^ (before.astype(np.uint64) * _MIX2)) * _MIX
+        _, first, inverse = np.unique(key ^ (key >> np.uint64(32)), return_index=True, return_inverse=True)
+        n, held, uses = np.bincount(inverse, weights=n), np.zeros(len(first), bool), np.concatenate([_unpack(r[4], "u1") for r in rows]) > 0
+        held[inverse[uses]] = True
+        pairs, before = pairs[first], before[first]
+        lp, held_lp = (x[inverse].astype("<f4") for x in coded(router.value.context(pairs, before), pairs, before, n, held, cells.value))
+        shard, split = t.column("shard")[0].as_py(), lambda x: np.split(x, edge)
+        out = [(r[0], 1, shard, _pack(x), _pack(y[u]), None) for r, x, y, u in zip(rows, split(lp), split(held_lp), split(uses), strict=True)]
+        return pa.Table.from_batches([_rows(answer, out)])
+
+    reply = "chunk long, kind int, shard int, lp binary, held_lp binary, c binary"
+    in_cell = words.select("shard", "words", "totals", "chunks", "places").mapInArrow(within, reply)
+    sent = chunks.select("chunk", "pairs", "before", "counts", "held_use").mapInArrow(dealt, "shard int, chunk long, pairs binary, before binary, counts binary, held_use binary")
+    answers = in_cell.unionByName(sent.repartition(shards, "shard").groupBy("shard").applyInArrow(solved, reply))
     bottom = math.log10(n_train + distinct + 1)
 
     def summed(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        got = sorted(zip(*(right.column(x).to_pylist() for x in ("kind", "shard", "lp", "held_lp", "c")), strict=True), key=lambda r: r[:2])
+        take = lambda kind, at, form: np.concatenate([_unpack(r[at], form) for r in got if r[0] == kind])
+        in_word, held_word, c = take(0, 2, "<f4").astype(np.float64), take(0, 3, "<f4").astype(np.float64), take(0, 4, "<i8")  # words are sorted by hash, so shards follow one another
+        pairs, before = np.cumsum(_unpack(left.column("pairs")[0].as_py(), "<u8")), _unpack(left.column("before")[0].as_py(), "<u2")
+        order = np.argsort(router.value.shard(router.value.context(pairs, before)), kind="stable")
+        lp, held_lp = np.empty(len(pairs)), np.zeros(len(pairs))
+        lp[order] = take(1, 2, "<f4")
+        held_lp[order[_unpack(left.column("held_use")[0].as_py(), "u1")[order] > 0]] = take(1, 3, "<f4")
+        triple, word_of = _unpack(left.column("triples")[0].as_py(), "<u4"), _unpack(left.column("word_of")[0].as_py(), "<u4")
         sizes = np.array(left.column("sizes")[0].as_py(), np.int64)
-        ids = np.frombuffer(zstandard.decompress(left.column("ids")[0].as_py()), np.uint32).astype(np.int64)
-        pos = right.column("pos").to_numpy()
-        c, lp = np.zeros(len(pos)), np.zeros((len(pos), CLASSES))
-        c[pos] = right.column("c").to_numpy()
-        lp[pos] = np.frombuffer(b"".join(right.column("lp").to_pylist()), "<f4").reshape(-1, CLASSES)
+        ids = word_of[triple].astype(np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         add = lambda x: np.bincount(doc, weights=x, minlength=len(sizes))
-        base = add(np.log10(c + 1)[ids]) - bottom * sizes
-        order = np.argsort(doc * (int(ids.max()) + 1) + ids, kind="stable")
-        group = (doc[order] * (int(ids.max()) + 1) + ids[order])
+        p = np.where(np.array(left.column("held")[0].as_py(), bool)[doc], held_lp[triple] + held_word[ids], lp[triple] + in_word[ids])
+        order = np.argsort(doc * (len(c) + 1) + ids, kind="stable")
+        group = doc[order] * (len(c) + 1) + ids[order]
         fresh = np.flatnonzero(np.diff(group, prepend=-1))
-        before = np.empty(len(ids))
-        before[order] = np.arange(len(ids)) - np.repeat(fresh, np.diff(fresh, append=len(ids)))
+        earlier = np.empty(len(ids))  # how often the text has used the token so far
+        earlier[order] = np.arange(len(ids)) - np.repeat(fresh, np.diff(fresh, append=len(ids)))
         at = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        kinds = np.array(left.column("classes")[0].as_py(), np.int64)
-        p = lp[ids, kinds[doc]]
-        sums, likely = [add(p)], 10.0**p  # of the text's class; leaving the others out of the mixture can only cost
+        sums, likely = [add(p)], 10.0 ** np.maximum(p, -300)
         for strength in STRENGTHS:
-            sums.append(add(np.log10((strength * likely + before) / (strength + at))))
+            seen = np.log10(np.maximum(strength * likely + earlier, 1e-300) / (strength + at))
+            sums.append(add(np.where(earlier > 0, seen, p + np.log10(strength / (strength + at)))))
         sums = np.array(sums) * math.log(10)
         top = sums.max(axis=0)
-        models = CLASSES * (1 + len(STRENGTHS))
-        total = (top + np.log(np.exp(sums - top).sum(axis=0) / models)) / math.log(10)
-        known = add((c > 0)[ids])
-        values = [left.column("doc_ids")[0].values, left.column("held")[0].values, sizes, known.astype(np.int64), np.full(len(sizes), n_train), base, total]
-        return pa.table([pa.array(v, t) if isinstance(v, np.ndarray) else v for v, t in zip(values, types, strict=True)], names=names)
-
-    scored = (
-        spark.read.parquet(f"{folder}/chunks").select("chunk", "doc_ids", "held", "sizes", "classes", "ids").groupBy("chunk")
-        .cogroup(found.groupBy("chunk"))
-        .applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    )
+        total = (top + np.log(np.exp(sums - top).sum(axis=0) / len(sums))) / math.log(10)
+        n_bytes = np.array(left.column("bytes")[0].as_py(), np.float64)
+        per_byte = pa.array(np.where(n_bytes > 0, -total / math.log10(2) / np.maximum(n_bytes, 1), np.nan), pa.float64(), from_pandas=True)
+        base, known = add(np.log10(c + 1.0)[ids]) - bottom * sizes, add((c > 0)[ids]).astype(np.int64)
+        columns = [left.column("doc_ids")[0].values, left.column("held")[0].values, sizes, known, np.full(len(sizes), n_train), base, total, per_byte]
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+        return pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=names)
+
+    texts = chunks.select("chunk", "doc_ids", "held", "sizes", "bytes", "triples", "pairs", "before", "held_use", "word_of")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    tasks = max(1, chunks.count())
+    scored = texts.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(summed, schema)
     result = checkpointed(scored)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    removed(spark, folder)
     return result

@@ -397,17 +397,70 @@ def test_context_mixing_scores_one_unbroken_token(spark):
     assert np.isfinite(list(got.values())).all() and got[1000] < -65_520 and got[1001] < got[1000]
 
 
-def test_bits_are_a_distribution():
-    """Over all one-byte tokens and longer ones, probabilities stay within one."""
-    raw = np.zeros((2, contextmix.SLOTS))
-    counts = np.zeros((3, contextmix.CLASSES))
-    counts[:, 0] = (5, 3, 1)
-    vocabulary = [b"ab", b"b", contextmix.END]
-    contextmix.states(vocabulary, counts, raw)
-    m = contextmix.Mixer(raw.astype(np.float32), vocabulary, counts)
-    tokens = [contextmix.END, *[bytes([x]) for x in range(256) if x not in b" \n"], *[bytes([x, y]) for x in b"ab" for y in range(256) if y not in b" "]]
-    p = 10.0 ** m.log10(tokens, np.ones(len(tokens), np.int64))[:, 0]
-    assert p.sum() <= 1 + 1e-9 and p[tokens.index(b"b")] > p[tokens.index(b"q")]
+def test_context_mixing_states_equal_brute_force():
+    """Every state is counted anew from all triples that share its context and leading bits."""
+    r = random.Random(8)
+    vocabulary = [contextmix.hash32(words(k, 1).encode()) for k in range(40)]
+    triples = {(r.choice(vocabulary[:6]), r.choice(vocabulary[:3]), r.choice(vocabulary)): r.randint(0, 3) for _ in range(150)}
+    one, two, now = (np.array([t[k] for t in triples], np.uint64) for k in range(3))
+    n, held, before = np.array(list(triples.values())), np.array([r.random() < 0.3 for _ in triples]), (two >> np.uint64(16)).astype(np.uint16)
+    cells = contextmix.Cells(np.bincount((now >> np.uint64(24)).astype(int), weights=n, minlength=256).astype(int), 3)
+    pairs = one << np.uint64(32) | now
+    got = contextmix.coded(contextmix.Router({}, 1).context(pairs, before), pairs, before, n, held, cells)
+    order = sorted(range(len(n)), key=lambda i: (int(one[i]), int(before[i]), int(now[i])))
+    o, t, w, c = [int(one[i]) for i in order], [int(before[i]) for i in order], [int(now[i]) for i in order], [int(n[i]) for i in order]
+    mix, logs, held_logs, h = contextmix.Gated(64, 3, 8), 0.0, 0.0, held[order]
+    for k in range(8):
+        bit = np.array([x >> (31 - k) & 1 for x in w])
+
+        def state(i, same, out):
+            rows = [j for j in range(len(w)) if same(i, j) and w[j] >> (32 - k) == w[i] >> (32 - k)]  # noqa: B023
+            ones = sum(c[j] for j in rows if bit[j]) - (out and bit[i] and c[i] > 0)  # noqa: B023
+            return sum(c[j] for j in rows if not bit[j]) - (out and not bit[i] and c[i] > 0), ones  # noqa: B023
+
+        def inputs(out):
+            kinds = [lambda i, j: True, lambda i, j: o[i] == o[j], lambda i, j: (o[i], t[i]) == (o[j], t[j])]
+            seen = [np.array([state(i, same, out) for i in range(len(w))], np.float32) for same in kinds]  # noqa: B023
+            st = [np.log((x[:, 1] + 0.4) / (x[:, 0] + 0.4)) for x in seen]
+            cf = [np.minimum(np.floor(np.log2(x.sum(axis=1) + 1)), 7).astype(int) for x in seen]
+            return st, cf[1] * 8 + cf[2], cf[2]
+
+        held_logs = held_logs + mix.log(*inputs(False), bit)
+        logs = logs + mix.online(*inputs(True), bit, np.array(c, np.float32))
+    assert got[0][order] == pytest.approx(logs / np.log(10), abs=1e-4)
+    assert got[1][order][h] == pytest.approx(held_logs[h] / np.log(10), abs=1e-4)
+
+
+def test_texts_are_a_distribution(spark):
+    """The probabilities of different held-out texts add up to less than one, known words or not."""
+    train = [(k, words(k % 7, 12)) for k in range(40)]
+    known = sorted({w for _, t in train for w in t.split()})
+    texts = ["", *known, *"abcdefghij", *[f"{a} {b}" for a in known[:12] for b in known[:12]], *[x + y for x in "abc" for y in "abc"]]
+    rows = train + [(1000 + k, t) for k, t in enumerate(dict.fromkeys(texts))]
+    got = contextmix.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 1000).where("held_out").collect()
+    p = {r["doc_id"]: 10 ** r["score"] for r in got}
+    assert len(p) == len(rows) - 40 and sum(p.values()) <= 1
+    first = {t.split()[0] for _, t in train}
+    beginning = [p[1001 + known.index(w)] for w in first]
+    assert min(beginning) > np.mean([p[1001 + k] for k, w in enumerate(known) if w not in first]), "the start of a text is a context"
+
+
+def test_context_mixing_on_tiny_vocabularies(spark):
+    r = random.Random(4)
+    for texts in [["a"], ["w"] * 500, ["ab a", "abc"], [None], ["a b", "a b"], [" ".join(r.choice(["a", "b", "abcd"]) for _ in range(r.randint(0, 5))) for _ in range(30)]]:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = contextmix.score(docs, F.col("doc_id") == 0, chunk_tokens=7, shard_words=3, shard_triples=5).collect()
+        assert len(got) == len(texts) and all(np.isfinite(x["score"]) and x["score"] <= 0 for x in got)
+        assert all((x["bits_per_byte"] is None) == (not texts[x["doc_id"]]) for x in got)
+
+
+def test_context_mixing_does_not_depend_on_how_texts_are_dealt(spark):
+    rows = [(k, words(k % 50, 40)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = is_fold(F.col("doc_id"), 7, 2)
+    one = {r["doc_id"]: r["score"] for r in contextmix.score(docs.repartition(3), held, chunk_tokens=900).collect()}
+    two = {r["doc_id"]: r["score"] for r in contextmix.score(docs.repartition(5), held, chunk_tokens=2_000).collect()}
+    assert one == pytest.approx(two, rel=1e-4)
 
 
 def brute_cut(content, boilerplate, edges):
