@@ -5,8 +5,9 @@ the leading `bits` bits of its hash, enough to tell the vocabulary's words apart
 predicted in three hashed contexts: the bits so far alone, with the token before, and with
 the two tokens before. A predictor's state is the number of zeros and ones that the
 training tokens of the whole corpus showed there. Their stretched probabilities are
-combined by logistic mixing whose weights are gated, chosen by the place of the bit and by
-how much either of the longer contexts has seen. Coding is online, predict and then learn:
+combined by logistic mixing whose weights are gated, chosen by
+how much either of the longer contexts has seen; where neither has seen anything, the first predictor stands alone.
+Coding is online, predict and then learn:
 a batch of tokens is coded by the weights that the batches before it have left, then the
 weights learn from it; and the token itself is taken out of every state that codes it, so
 a training text is scored by all the other texts, as a held-out text is. The mixed
@@ -18,8 +19,7 @@ text the total is refined as the text is read, by online Bayesian mixing of thes
 predictions with caches of the text's own tokens in several strengths.
 
 How it is spread out: each task cuts its texts into chunks of about `CHUNK_TOKENS` tokens
-and writes them once, as numbers into the chunk's dictionary of words and of distinct
-token triples. Words go to shards by hash, triples to shards by the token before (for a
+and writes them once, as numbers into the chunk's dictionary of words. Words go to shards by hash, distinct token triples to shards by the token before (for a
 frequent one also by a hash class of the token before that, so that no shard is hot); what
 is moved are packed arrays. A word shard counts its words over the corpus; a triple shard
 holds all triples of its contexts, so its states are exact, without collisions beyond
@@ -39,6 +39,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.plans.storage import checkpointed, removed, shared_dir
 
-CHUNK_TOKENS = 1_000_000
-SHARD_WORDS, SHARD_TRIPLES = 400_000, 1_000_000
+CHUNK_TOKENS = 2_000_000
+SHARD_WORDS, SHARD_TOKENS = 400_000, 1_500_000
 LEAST_BITS, MOST_BITS = 8, 20
 END = b"\n"
 ORDERS = (1, 2, 3, 5)
@@ -232,10 +233,10 @@ def _rows(fields: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
 
 
 def chunked(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """One row a chunk: its texts as numbers of triples, its triples (sorted by the tokens before) and its words (sorted by hash)."""
+    """One row a chunk: its texts as numbers of its words, and the words, sorted by hash, with training counts."""
     schema = (
-        "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, bytes array<long>, n_triples long, n_words long, triples binary, "
-        "pairs binary, before binary, counts binary, held_use binary, word_of binary, words binary, word_hash binary, word_counts binary"
+        "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, bytes array<long>, n_tokens long, n_words long, ids binary, "
+        "words binary, word_hash binary, word_counts binary"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,36 +250,18 @@ def chunked(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS)
         def flush() -> pa.RecordBatch:
             sizes = np.array([len(i) for i in ids_], np.int32)
             words, flat = list(number), np.concatenate(ids_)
-            h = np.fromiter(map(hash32, words), np.uint64, len(words))
+            h = np.fromiter(map(hash32, words), np.uint32, len(words))
             order = np.argsort(h, kind="stable")
-            place = np.empty(len(words), np.int64)
+            place = np.empty(len(words), np.uint32)
             place[order] = np.arange(len(words))
-            flat, h, words = place[flat], h[order], [words[i] for i in order]
-            starts = np.cumsum(sizes) - sizes
-            now, end = h[flat], np.uint64(hash32(END))
-            one, two = np.concatenate([[end], now[:-1]]), np.concatenate([[end, end], now[:-2]])[: len(now)]
-            one[starts], two[starts] = end, end
-            later = starts[sizes > 1] + 1
-            two[later] = end
-            pairs, before = one << np.uint64(32) | now, (two >> np.uint64(16)).astype(np.uint16)
-            key = (pairs ^ (before.astype(np.uint64) * _MIX2)) * _MIX
-            _, first, triple = np.unique(key ^ (key >> np.uint64(32)), return_index=True, return_inverse=True)
-            by = np.argsort(pairs[first], kind="stable")
-            place = np.empty(len(first), np.uint32)
-            place[by] = np.arange(len(first))
-            first, triple = first[by], place[triple]
+            flat, words = place[flat], [words[i] for i in order]
             train = np.repeat(~np.array(held_, dtype=bool), sizes)
-            counts = np.bincount(triple[train], minlength=len(first)).astype(np.uint32)
-            word_counts = np.bincount(flat[train], minlength=len(words)).astype(np.uint32)
-            held_use = np.zeros(len(first), np.uint8)
-            held_use[triple[~train]] = 1
-            pairs, before, word_of = pairs[first], before[first], flat[first].astype(np.uint32)
+            counts = np.bincount(flat[train], minlength=len(words)).astype(np.uint32)
             b = pa.binary()
             return _row({
                 "chunk": (chunk, pa.int64()), "doc_ids": (docs_, pa.list_(pa.int64())), "held": (held_, pa.list_(pa.bool_())), "sizes": (sizes, pa.list_(pa.int32())),
-                "bytes": (bytes_, pa.list_(pa.int64())), "n_triples": (len(first), pa.int64()), "n_words": (len(words), pa.int64()), "triples": (_pack(triple), b),
-                "pairs": (_pack(np.diff(pairs, prepend=np.uint64(0))), b), "before": (_pack(before), b), "counts": (_pack(counts), b), "held_use": (_pack(held_use), b), "word_of": (_pack(word_of), b),
-                "words": (_join(words), b), "word_hash": (_pack(h.astype(np.uint32)), b), "word_counts": (_pack(word_counts), b),
+                "bytes": (bytes_, pa.list_(pa.int64())), "n_tokens": (len(flat), pa.int64()), "n_words": (len(words), pa.int64()), "ids": (_pack(flat), b),
+                "words": (_join(words), b), "word_hash": (_pack(np.diff(h[order], prepend=np.uint32(0))), b), "word_counts": (_pack(counts), b),
             })
 
         for batch in batches:
@@ -286,7 +269,7 @@ def chunked(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS)
                 tokens = tokens_of(text)
                 for w in set(tokens).difference(number):
                     number[w] = len(number)
-                ids_.append(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)))
+                ids_.append(np.fromiter(map(number.__getitem__, tokens), np.uint32, len(tokens)))
                 docs_.append(doc), held_.append(bool(held)), bytes_.append(len((text or "").encode("utf-8", "surrogatepass")))
                 total += len(tokens)
                 if total >= chunk_tokens:
@@ -300,6 +283,20 @@ def chunked(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS)
     return read.mapInArrow(run, schema)
 
 
+#: A triple is 64 bits: 32 of the hash of the token before, 20 of the token's cell, 12 of the hash of the token two before.
+CELL, BEFORE = np.uint64(MOST_BITS), np.uint64(32 - MOST_BITS)
+
+
+def triples(flat: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct triples of a chunk, rising, and which one each token is."""
+    now, end = hashes.astype(np.uint64)[flat], np.uint64(hash32(END))
+    starts = np.cumsum(sizes) - sizes
+    one, two = np.concatenate([[end], now[:-1]]), np.concatenate([[end, end], now[:-2]])[: len(now)]
+    one[starts], two[starts], two[starts[sizes > 1] + 1] = end, end, end
+    cell = now >> np.uint64(32 - bits) << (CELL - np.uint64(bits))
+    return np.unique(one << np.uint64(32) | cell << BEFORE | two >> CELL, return_inverse=True)
+
+
 def _slices(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Where each of `shards` equal ranges of 32-bit hashes begins in sorted hashes, and the end."""
     edges = np.array([-(-(k << 32) // shards) for k in range(shards)] + [1 << 32], np.uint64)
@@ -312,7 +309,7 @@ def counted_words(chunks: DataFrame, shards: int) -> DataFrame:
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, words, h, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                words, h, c = _split(words), _unpack(h, "<u4"), _unpack(c, "<u4")
+                words, h, c = _split(words), np.cumsum(_unpack(h, "<u4"), dtype=np.uint64), _unpack(c, "<u4")
                 edge = _slices(h, shards)
                 parts = [(k, slice(edge[k], edge[k + 1])) for k in np.flatnonzero(np.diff(edge)).tolist()]
                 yield _rows({"shard": pa.int32(), "chunk": pa.int64(), "words": pa.binary(), "counts": pa.binary()}, [(k, chunk, _join(words[x]), _pack(c[x])) for k, x in parts])
@@ -393,30 +390,54 @@ def spelling_states(words: DataFrame) -> np.ndarray:
     return raw
 
 
+def spelled(words: list[bytes], c: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """log10 probability of the spelling of words that one training token or none holds, 0 for the others.
+
+    counts: the states of the spelling model.
+    """
+    speller, found = Speller(counts), np.zeros(len(words))
+    for times, own in ((1, True), (0, False)):
+        rows = np.flatnonzero(c == times)
+        found[rows] = speller.log10([words[i] for i in rows], own)
+    return found
+
+
 class Cells:
     """Counts of the cells at every depth, and the mass left to unknown words."""
 
     def __init__(self, counts: np.ndarray, once: int) -> None:
         self.bits = int(math.log2(len(counts)))
         self.leaf, self.unknown = counts, max(1, once) / len(counts)
-        self.depth = [counts]
-        while len(self.depth[0]) > 1:
-            self.depth.insert(0, self.depth[0].reshape(-1, 2).sum(axis=1))
-
-    def in_cell(self, words: list[bytes], c: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each word within its cell, for training texts (one token taken out) and for others.
-
-        counts: the states of the spelling model.
-        """
-        cell = np.fromiter(map(hash32, words), np.int64, len(words)) >> (32 - self.bits)
-        leaf, speller = self.leaf[cell], Speller(counts)
-        spelled = lambda rows, own: np.minimum(speller.log10([words[i] for i in rows], own) + self.bits * math.log10(2), 0)
-        once, new = np.flatnonzero(c == 1), np.flatnonzero(c == 0)
-        train = np.log10(np.maximum(c - 1, 1) / (np.maximum(leaf - 1, 0) + self.unknown))
-        train[once] = np.log10(self.unknown / (np.maximum(leaf[once] - 1, 0) + self.unknown)) + spelled(once, True)
-        other = np.log10(np.maximum(c, 1) / (leaf + self.unknown))
-        other[new] = np.log10(self.unknown / (leaf[new] + self.unknown)) + spelled(new, False)
-        return train, other
+
+    @cached_property
+    def depth(self) -> list[np.ndarray]:
+        found = [self.leaf]
+        while len(found[0]) > 1:
+            found.insert(0, found[0].reshape(-1, 2).sum(axis=1))
+        return found
+
+    @cached_property
+    def paths(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per depth the log probability of the way to each node by cell counts alone: one token of it taken out, and as it is."""
+        found = []
+        for own in (1, 0):
+            logs = [np.zeros(1)]
+            for k in range(self.bits):
+                below, above = self.depth[k + 1], np.repeat(self.depth[k], 2)
+                logs.append(np.repeat(logs[-1], 2) + np.log((np.maximum(below - own, 0) + 0.4) / (np.maximum(above - own, 0) + 0.8)))
+            found.append(logs)
+        return found[0], found[1]
+
+    def rest(self, k: int, cell: np.ndarray, own: bool) -> np.ndarray:
+        """Log probability of the bits of a cell from depth k on, by cell counts alone."""
+        logs = self.paths[0 if own else 1]
+        return logs[self.bits][cell] - logs[k][cell >> (self.bits - k)]
+
+    def in_cell(self, hashes: np.ndarray, c: np.ndarray, spelling: np.ndarray, own: int) -> np.ndarray:
+        """log10 probability of each word within its cell; own: one token of it is taken out."""
+        leaf, c = np.maximum(self.leaf[hashes.astype(np.int64) >> (32 - self.bits)] - own, 0), c - own
+        new = np.log10(self.unknown / (leaf + self.unknown)) + np.minimum(spelling + self.bits * math.log10(2), 0)
+        return np.where(c > 0, np.log10(np.maximum(c, 1) / (leaf + self.unknown)), new)
 
 
 class Router:
@@ -427,14 +448,14 @@ class Router:
         self.classes = np.array([frequent[h] for h in sorted(frequent)], np.uint64)
         self.shards = shards
 
-    def context(self, pairs: np.ndarray, before: np.ndarray) -> np.ndarray:
+    def context(self, triple: np.ndarray) -> np.ndarray:
         """A 64-bit name of the order-1 context: the token before and its class."""
-        one = pairs >> np.uint64(32)
+        one, before = triple >> np.uint64(32), triple & np.uint64((1 << int(BEFORE)) - 1)
         classes = np.ones(len(one), np.uint64)
         if len(self.hash):
             at = np.minimum(np.searchsorted(self.hash, one), len(self.hash) - 1)
             classes = np.where(self.hash[at] == one, self.classes[at], classes)
-        return one << np.uint64(16) | before.astype(np.uint64) % classes
+        return one << BEFORE | before % classes
 
     def shard(self, context: np.ndarray) -> np.ndarray:
         h = (context * _MIX) >> np.uint64(32)
@@ -446,58 +467,81 @@ def _groups(key: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
-def coded(context: np.ndarray, pairs: np.ndarray, before: np.ndarray, n: np.ndarray, held: np.ndarray, cells: Cells, batch: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
+def coded(context: np.ndarray, triple: np.ndarray, n: np.ndarray, held: np.ndarray, cells: Cells, batch: int = 16_384) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of the cell of every triple of a shard, which holds all triples of its contexts.
 
     First for training texts, the token itself taken out, then for held-out texts, where
     they use it (held). Bit by bit: states are sums over the shard; batches are spread
     evenly over its contexts, each coded by the weights so far, which then learn from it.
+    Triples leave once no other training token shares their order-1 context and bits: the
+    longer contexts then say nothing on the bits that follow.
     """
-    bits, word = cells.bits, pairs & np.uint64(0xFFFFFFFF)
+    bits, low = cells.bits, np.uint64(32)
+    cell = (triple >> BEFORE) & np.uint64((1 << MOST_BITS) - 1)
+    word = cell << BEFORE  # the code, from the 32nd bit on
     _, dense1 = np.unique(context, return_inverse=True)
-    _, dense2 = np.unique((pairs >> np.uint64(32)) << np.uint64(16) | before.astype(np.uint64), return_inverse=True)
-    key2 = dense2.astype(np.uint64) << np.uint64(32) | word
-    order = np.argsort(key2, kind="stable")
-    key2, word, n, held = key2[order], word[order], n[order].astype(np.float32), held[order]
-    key1, inverse = np.unique(dense1[order].astype(np.uint64) << np.uint64(32) | word, return_inverse=True)
-    n1 = np.bincount(inverse, weights=n, minlength=len(key1))
+    _, dense2 = np.unique(triple >> low << BEFORE | triple & np.uint64((1 << int(BEFORE)) - 1), return_inverse=True)
+    key2 = dense2.astype(np.uint64) << low | word
+    live = np.argsort(key2, kind="stable")
+    key2, word, n = key2[live], word[live], n.astype(np.float32)[live]
+    cell, used = (cell >> (CELL - np.uint64(bits))).astype(np.int64)[live], held[live]
+    key1, inverse = np.unique(dense1[live].astype(np.uint64) << low | word, return_inverse=True)
+    n1, held1 = np.bincount(inverse, weights=n, minlength=len(key1)), np.bincount(inverse, weights=used, minlength=len(key1))
     logs, held_logs = np.zeros(len(word)), np.zeros(len(word))
-    mix, steps = Gated(CONFIDENCE * CONFIDENCE, 3, CONFIDENCE), max(1, len(word) // batch)
-    parts = [(slice(j, None, steps), np.flatnonzero(held[j::steps])) for j in range(steps)]
-    own = np.minimum(n, 1)
+    mix = Gated(CONFIDENCE * CONFIDENCE, 3, CONFIDENCE)
     for k in range(bits):
-        shift, bit = np.uint64(32 - k), ((word >> np.uint64(31 - k)) & np.uint64(1)).astype(np.float32)
-        two = cells.depth[k + 1].reshape(-1, 2).astype(np.float32)[(word >> shift).astype(np.int64)]
-        g1, g2 = _groups(key1 >> shift), _groups(key2 >> shift)
-        all1, up1 = np.bincount(g1, weights=n1), np.bincount(g1, weights=n1 * ((key1 >> np.uint64(31 - k)) & np.uint64(1)))
+        shift, last = np.uint64(32 - k), np.uint64(31 - k)
+        g1 = _groups(key1 >> shift)
+        all1 = np.bincount(g1, weights=n1)
+        alone = (all1 == 0) | (all1 <= 1) & (np.bincount(g1, weights=held1) == 0)
+        if alone.any():
+            stay1 = ~alone[g1]
+            stay = stay1[inverse]
+            gone = ~stay
+            logs[live[gone]] += np.where(n[gone] > 0, cells.rest(k, cell[gone], True), 0)
+            held_logs[live[gone]] += cells.rest(k, cell[gone], False)
+            key1, n1, held1, g1, place = key1[stay1], n1[stay1], held1[stay1], _groups(key1[stay1] >> shift), np.cumsum(stay1) - 1
+            live, key2, word, n, cell, used, inverse = live[stay], key2[stay], word[stay], n[stay], cell[stay], used[stay], place[inverse[stay]]
+            all1 = np.bincount(g1, weights=n1)
+        if not len(live):
+            break
+        bit = ((word >> last) & np.uint64(1)).astype(np.float32)
+        two = cells.depth[k + 1].reshape(-1, 2).astype(np.float32)[cell >> (bits - k)]
+        up1, g2 = np.bincount(g1, weights=n1 * ((key1 >> last) & np.uint64(1))), _groups(key2 >> shift)
         all2, up2 = np.bincount(g2, weights=n), np.bincount(g2, weights=n * bit)
         states_ = [(two[:, 0], two[:, 1])]
         for every, up, g in ((all1, up1, g1[inverse]), (all2, up2, g2)):
             states_.append(((every - up).astype(np.float32)[g], up.astype(np.float32)[g]))
+        now, held_now, own = np.zeros(len(live)), np.zeros(len(live)), np.minimum(n, 1)
 
         def inputs(seen: list[tuple[np.ndarray, np.ndarray]], b: np.ndarray) -> tuple:
             cf = [_confidence(z + o) for z, o in seen[1:]]
             return [_stretch(o, z) for z, o in seen], cf[0] * CONFIDENCE + cf[1], cf[1], b
 
-        for rows, used in parts:
-            b, seen = bit[rows], [(z[rows], o[rows]) for z, o in states_]
-            if len(used):
-                held_logs[rows][used] += mix.log(*inputs([(z[used], o[used]) for z, o in seen], b[used]))
+        steps = max(1, len(live) // batch)
+        for rows in (slice(j, None, steps) for j in range(steps)):
+            b, seen, some = bit[rows], [(z[rows], o[rows]) for z, o in states_], np.flatnonzero(used[rows])
+            if len(some):
+                held_now[rows][some] = mix.log(*inputs([(z[some], o[some]) for z, o in seen], b[some]))
             one, zero = own[rows] * b, own[rows] * (1 - b)
-            logs[rows] += mix.online(*inputs([(np.maximum(z - zero, 0), np.maximum(o - one, 0)) for z, o in seen], b), n[rows])
-    found, held_found = np.empty(len(word)), np.empty(len(word))
-    found[order], held_found[order] = logs / math.log(10), held_logs / math.log(10)
-    return found, held_found
+            now[rows] = mix.online(*inputs([(np.maximum(z - zero, 0), np.maximum(o - one, 0)) for z, o in seen], b), n[rows])
+        logs[live] += now
+        held_logs[live] += held_now
+    return logs / math.log(10), held_logs / math.log(10)
 
 
-def score(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS, shard_words: int = SHARD_WORDS, shard_triples: int = SHARD_TRIPLES) -> DataFrame:
+#: Log probabilities travel as whole multiples of 2^-14 (6e-5).
+STEP = 1 << 14
+
+
+def score(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS, shard_words: int = SHARD_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/contextmix-{uuid.uuid4().hex}"
     chunked(docs, held_out, chunk_tokens).write.option("compression", "none").parquet(f"{folder}/chunks")
     chunks = spark.read.parquet(f"{folder}/chunks")
-    size = chunks.agg(F.sum("n_triples").alias("t"), F.sum("n_words").alias("w")).first()
-    shards = max(1, -(-int(size["t"] or 0) // shard_triples))
+    size = chunks.agg(F.sum("n_tokens").alias("t"), F.sum("n_words").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    shards = max(1, -(-int(size["t"] or 0) // shard_tokens))
     counted_words(chunks, max(1, -(-int(size["w"] or 0) // shard_words))).write.option("compression", "none").parquet(f"{folder}/words")
     words = spark.read.parquet(f"{folder}/words")
     totals = words.agg(*[F.sum(c).alias(c) for c in ("n", "v", "once")]).first()
@@ -510,71 +554,72 @@ def score(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS, s
         for batch in batches:
             for listed, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 listed, c = _split(listed), _unpack(c, "<i8")
-                hot = np.flatnonzero(c > shard_triples // 2)
+                hot = np.flatnonzero(c > shard_tokens // 2)
                 yield pa.RecordBatch.from_arrays([pa.array([hash32(listed[i]) for i in hot], pa.int64()), pa.array(c[hot])], ["h", "c"])
 
     hot = words.select("words", "totals").mapInArrow(often, "h long, c long").collect()  # few: half a shard of tokens each
-    router = spark.sparkContext.broadcast(Router({r["h"]: min(1 << 16, 2 * r["c"] // shard_triples + 1) for r in hot}, shards))
-
+    router = spark.sparkContext.broadcast(Router({r["h"]: min(1 << int(BEFORE), 2 * r["c"] // shard_tokens + 1) for r in hot}, shards))
     answer = {"chunk": pa.int64(), "kind": pa.int32(), "shard": pa.int32(), "lp": pa.binary(), "held_lp": pa.binary(), "c": pa.binary()}
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, listed, c, chunks_, places in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 c = _unpack(c, "<i8")
-                listed, c = cells.value.in_cell(_split(listed), c, spelling.value), c
-                train, other = (x.astype("<f4") for x in listed)
+                lp = np.rint(-STEP * spelled(_split(listed), c, spelling.value)).astype("<u8")  # a token may be very long
                 places = [_unpack(x, "<u4") for x in places]
-                yield _rows(answer, [(chunk, 0, shard, _pack(train[x]), _pack(other[x]), _pack(c[x])) for chunk, x in zip(chunks_, places, strict=True)])
+                yield _rows(answer, [(chunk, 0, shard, _pack(lp[x]), None, _pack(c[x])) for chunk, x in zip(chunks_, places, strict=True)])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         route, b = router.value, pa.binary()
         for batch in batches:
-            for chunk, pairs, before, n, held in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                pairs, before, n, held = np.cumsum(_unpack(pairs, "<u8")), _unpack(before, "<u2"), _unpack(n, "<u4"), _unpack(held, "u1")
-                to = route.shard(route.context(pairs, before))
+            for chunk, held, sizes, ids, h in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                sizes = np.array(sizes, np.int64)
+                found, which = triples(_unpack(ids, "<u4"), np.cumsum(_unpack(h, "<u4"), dtype=np.uint64), sizes, bits)
+                held = np.repeat(np.array(held, bool), sizes)
+                n, uses = np.bincount(which[~held], minlength=len(found)).astype("<u4"), np.zeros(len(found), np.uint8)
+                uses[which[held]] = 1
+                to = route.shard(route.context(found))
                 order = np.argsort(to, kind="stable")
                 edge = np.searchsorted(to[order], np.arange(shards + 1))
                 parts = [(k, order[edge[k] : edge[k + 1]]) for k in np.flatnonzero(np.diff(edge)).tolist()]
-                rows = [(k, chunk, _pack(np.diff(pairs[x], prepend=np.uint64(0))), _pack(before[x]), _pack(n[x]), _pack(held[x])) for k, x in parts]
-                yield _rows({"shard": pa.int32(), "chunk": pa.int64(), "pairs": b, "before": b, "counts": b, "held_use": b}, rows)
+                rows = [(k, chunk, _pack(np.diff(found[x], prepend=np.uint64(0))), _pack(n[x]), _pack(uses[x])) for k, x in parts]
+                yield _rows({"shard": pa.int32(), "chunk": pa.int64(), "triples": b, "counts": b, "uses": b}, rows)
 
     def solved(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(x).to_pylist() for x in ("chunk", "pairs", "before", "counts", "held_use")), strict=True))
-        pairs = [np.cumsum(_unpack(r[1], "<u8")) for r in rows]
-        edge = np.cumsum([len(x) for x in pairs])[:-1]
-        pairs, before, n = np.concatenate(pairs), np.concatenate([_unpack(r[2], "<u2") for r in rows]), np.concatenate([_unpack(r[3], "<u4") for r in rows])
-        key = (pairs ^ (before.astype(np.uint64) * _MIX2)) * _MIX
-        _, first, inverse = np.unique(key ^ (key >> np.uint64(32)), return_index=True, return_inverse=True)
-        n, held, uses = np.bincount(inverse, weights=n), np.zeros(len(first), bool), np.concatenate([_unpack(r[4], "u1") for r in rows]) > 0
-        held[inverse[uses]] = True
-        pairs, before = pairs[first], before[first]
-        lp, held_lp = (x[inverse].astype("<f4") for x in coded(router.value.context(pairs, before), pairs, before, n, held, cells.value))
-        shard, split = t.column("shard")[0].as_py(), lambda x: np.split(x, edge)
+        rows = sorted(zip(*(t.column(x).to_pylist() for x in ("chunk", "triples", "counts", "uses")), strict=True))
+        listed = [np.cumsum(_unpack(r[1], "<u8")) for r in rows]
+        found, which = np.unique(np.concatenate(listed), return_inverse=True)
+        uses, held = np.concatenate([_unpack(r[3], "u1") for r in rows]) > 0, np.zeros(len(found), bool)
+        n, held[which[uses]] = np.bincount(which, weights=np.concatenate([_unpack(r[2], "<u4") for r in rows])), True
+        lp, held_lp = (np.rint(-STEP * x).astype("<u4")[which] for x in coded(router.value.context(found), found, n, held, cells.value))
+        shard, split = t.column("shard")[0].as_py(), lambda x: np.split(x, np.cumsum([len(y) for y in listed])[:-1])
         out = [(r[0], 1, shard, _pack(x), _pack(y[u]), None) for r, x, y, u in zip(rows, split(lp), split(held_lp), split(uses), strict=True)]
         return pa.Table.from_batches([_rows(answer, out)])
 
     reply = "chunk long, kind int, shard int, lp binary, held_lp binary, c binary"
     in_cell = words.select("shard", "words", "totals", "chunks", "places").mapInArrow(within, reply)
-    sent = chunks.select("chunk", "pairs", "before", "counts", "held_use").mapInArrow(dealt, "shard int, chunk long, pairs binary, before binary, counts binary, held_use binary")
+    sent = chunks.select("chunk", "held", "sizes", "ids", "word_hash").mapInArrow(dealt, "shard int, chunk long, triples binary, counts binary, uses binary")
     answers = in_cell.unionByName(sent.repartition(shards, "shard").groupBy("shard").applyInArrow(solved, reply))
     bottom = math.log10(n_train + distinct + 1)
 
     def summed(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         got = sorted(zip(*(right.column(x).to_pylist() for x in ("kind", "shard", "lp", "held_lp", "c")), strict=True), key=lambda r: r[:2])
         take = lambda kind, at, form: np.concatenate([_unpack(r[at], form) for r in got if r[0] == kind])
-        in_word, held_word, c = take(0, 2, "<f4").astype(np.float64), take(0, 3, "<f4").astype(np.float64), take(0, 4, "<i8")  # words are sorted by hash, so shards follow one another
-        pairs, before = np.cumsum(_unpack(left.column("pairs")[0].as_py(), "<u8")), _unpack(left.column("before")[0].as_py(), "<u2")
-        order = np.argsort(router.value.shard(router.value.context(pairs, before)), kind="stable")
-        lp, held_lp = np.empty(len(pairs)), np.zeros(len(pairs))
-        lp[order] = take(1, 2, "<f4")
-        held_lp[order[_unpack(left.column("held_use")[0].as_py(), "u1")[order] > 0]] = take(1, 3, "<f4")
-        triple, word_of = _unpack(left.column("triples")[0].as_py(), "<u4"), _unpack(left.column("word_of")[0].as_py(), "<u4")
-        sizes = np.array(left.column("sizes")[0].as_py(), np.int64)
-        ids = word_of[triple].astype(np.int64)
+        held = np.array(left.column("held")[0].as_py(), bool)
+        ids, sizes = _unpack(left.column("ids")[0].as_py(), "<u4").astype(np.int64), np.array(left.column("sizes")[0].as_py(), np.int64)
+        hashes = np.cumsum(_unpack(left.column("word_hash")[0].as_py(), "<u4"), dtype=np.uint64)
+        spelling_, c = take(0, 2, "<u8") / -STEP, take(0, 4, "<i8")  # words are sorted by hash, so shards follow one another
+        in_word, held_word = (cells.value.in_cell(hashes, c, spelling_, own) for own in (1, 0))
+        found, which = triples(ids, hashes, sizes, bits)
         doc = np.repeat(np.arange(len(sizes)), sizes)
+        out = held[doc]
+        uses = np.zeros(len(found), bool)
+        uses[which[out]] = True
+        order = np.argsort(router.value.shard(router.value.context(found)), kind="stable")
+        lp, held_lp = np.empty(len(found)), np.zeros(len(found))
+        lp[order], held_lp[order[uses[order]]] = take(1, 2, "<u4") / -STEP, take(1, 3, "<u4") / -STEP
+        p = np.where(out, held_lp[which] + held_word[ids], lp[which] + in_word[ids])
         add = lambda x: np.bincount(doc, weights=x, minlength=len(sizes))
-        p = np.where(np.array(left.column("held")[0].as_py(), bool)[doc], held_lp[triple] + held_word[ids], lp[triple] + in_word[ids])
         order = np.argsort(doc * (len(c) + 1) + ids, kind="stable")
         group = doc[order] * (len(c) + 1) + ids[order]
         fresh = np.flatnonzero(np.diff(group, prepend=-1))
@@ -595,9 +640,9 @@ def score(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS, s
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
         return pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=names)
 
-    texts = chunks.select("chunk", "doc_ids", "held", "sizes", "bytes", "triples", "pairs", "before", "held_use", "word_of")
+    texts = chunks.select("chunk", "doc_ids", "held", "sizes", "bytes", "ids", "word_hash")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    tasks = max(1, chunks.count())
+    tasks = max(1, int(size["n"]))
     scored = texts.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(summed, schema)
     result = checkpointed(scored)
     removed(spark, folder)

@@ -403,32 +403,45 @@ def test_context_mixing_states_equal_brute_force():
     vocabulary = [contextmix.hash32(words(k, 1).encode()) for k in range(40)]
     triples = {(r.choice(vocabulary[:6]), r.choice(vocabulary[:3]), r.choice(vocabulary)): r.randint(0, 3) for _ in range(150)}
     one, two, now = (np.array([t[k] for t in triples], np.uint64) for k in range(3))
-    n, held, before = np.array(list(triples.values())), np.array([r.random() < 0.3 for _ in triples]), (two >> np.uint64(16)).astype(np.uint16)
+    n, held, before = np.array(list(triples.values())), np.array([r.random() < 0.3 for _ in triples]), two >> np.uint64(20)
     cells = contextmix.Cells(np.bincount((now >> np.uint64(24)).astype(int), weights=n, minlength=256).astype(int), 3)
-    pairs = one << np.uint64(32) | now
-    got = contextmix.coded(contextmix.Router({}, 1).context(pairs, before), pairs, before, n, held, cells)
+    key = one << np.uint64(32) | now >> np.uint64(24) << np.uint64(24) | before
+    got = contextmix.coded(contextmix.Router({}, 1).context(key), key, n, held, cells)
     order = sorted(range(len(n)), key=lambda i: (int(one[i]), int(before[i]), int(now[i])))
     o, t, w, c = [int(one[i]) for i in order], [int(before[i]) for i in order], [int(now[i]) for i in order], [int(n[i]) for i in order]
-    mix, logs, held_logs, h = contextmix.Gated(64, 3, 8), 0.0, 0.0, held[order]
+    mix, logs, held_logs, used = contextmix.Gated(64, 3, 8), np.zeros(len(w)), np.zeros(len(w)), held[order]
+    there = set(range(len(w)))
     for k in range(8):
         bit = np.array([x >> (31 - k) & 1 for x in w])
-
-        def state(i, same, out):
-            rows = [j for j in range(len(w)) if same(i, j) and w[j] >> (32 - k) == w[i] >> (32 - k)]  # noqa: B023
-            ones = sum(c[j] for j in rows if bit[j]) - (out and bit[i] and c[i] > 0)  # noqa: B023
-            return sum(c[j] for j in rows if not bit[j]) - (out and not bit[i] and c[i] > 0), ones  # noqa: B023
+        same = [lambda i, j: True, lambda i, j: o[i] == o[j], lambda i, j: (o[i], t[i]) == (o[j], t[j])]
+        peers = lambda i, f: [j for j in range(len(w)) if f(i, j) and w[j] >> (32 - k) == w[i] >> (32 - k)]  # noqa: B023, E731
+        for i in sorted(there):  # no other training token shares context and bits: cell counts alone
+            rows = peers(i, same[1])
+            if sum(c[j] for j in rows) <= (not any(used[j] for j in rows)):
+                there.discard(i)
+                for own, sums in ((1, logs), (0, held_logs)):
+                    for m in range(k, 8):
+                        side = [sum(c[j] for j in range(len(w)) if w[j] >> (31 - m) == w[i] >> (31 - m) ^ flip) for flip in (0, 1)]
+                        own_ = min(own, side[0])
+                        sums[i] += np.log((side[0] - own_ + 0.4) / (side[0] + side[1] - own_ + 0.8))
+        rows_ = sorted(there)
+        if not rows_:
+            break
 
         def inputs(out):
-            kinds = [lambda i, j: True, lambda i, j: o[i] == o[j], lambda i, j: (o[i], t[i]) == (o[j], t[j])]
-            seen = [np.array([state(i, same, out) for i in range(len(w))], np.float32) for same in kinds]  # noqa: B023
-            st = [np.log((x[:, 1] + 0.4) / (x[:, 0] + 0.4)) for x in seen]
+            seen = []
+            for f in same:  # noqa: B023
+                x = [[sum(c[j] for j in peers(i, f) if bit[j] == v) - (out and bit[i] == v and c[i] > 0) for v in (0, 1)] for i in rows_]  # noqa: B023
+                seen.append(np.array(x, np.float32))
             cf = [np.minimum(np.floor(np.log2(x.sum(axis=1) + 1)), 7).astype(int) for x in seen]
-            return st, cf[1] * 8 + cf[2], cf[2]
+            return [np.log((x[:, 1] + 0.4) / (x[:, 0] + 0.4)) for x in seen], cf[1] * 8 + cf[2], cf[2], bit[rows_]  # noqa: B023
 
-        held_logs = held_logs + mix.log(*inputs(False), bit)
-        logs = logs + mix.online(*inputs(True), bit, np.array(c, np.float32))
-    assert got[0][order] == pytest.approx(logs / np.log(10), abs=1e-4)
-    assert got[1][order][h] == pytest.approx(held_logs[h] / np.log(10), abs=1e-4)
+        held_logs[rows_] += mix.log(*inputs(False))
+        logs[rows_] += mix.online(*inputs(True), np.array(c, np.float32)[rows_])
+    trains = np.array(c) > 0
+    assert got[0][order][trains] == pytest.approx(logs[trains] / np.log(10), abs=1e-4)
+    assert got[1][order][used] == pytest.approx(held_logs[used] / np.log(10), abs=1e-4)
+    assert len(there) > 20 and len(there) < len(w)
 
 
 def test_texts_are_a_distribution(spark):
@@ -449,7 +462,7 @@ def test_context_mixing_on_tiny_vocabularies(spark):
     r = random.Random(4)
     for texts in [["a"], ["w"] * 500, ["ab a", "abc"], [None], ["a b", "a b"], [" ".join(r.choice(["a", "b", "abcd"]) for _ in range(r.randint(0, 5))) for _ in range(30)]]:
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        got = contextmix.score(docs, F.col("doc_id") == 0, chunk_tokens=7, shard_words=3, shard_triples=5).collect()
+        got = contextmix.score(docs, F.col("doc_id") == 0, chunk_tokens=7, shard_words=3, shard_tokens=5).collect()
         assert len(got) == len(texts) and all(np.isfinite(x["score"]) and x["score"] <= 0 for x in got)
         assert all((x["bits_per_byte"] is None) == (not texts[x["doc_id"]]) for x in got)
 
