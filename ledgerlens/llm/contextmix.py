@@ -115,7 +115,7 @@ def states(words: list[bytes], total: np.ndarray) -> None:
 
 
 def _stretch(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
-    return np.log((ones + 0.4) / (zeros + 0.4))
+    return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
 
 
 def _confidence(n: np.ndarray) -> np.ndarray:
@@ -131,20 +131,20 @@ class Gated:
         self.seen, self.bias_seen, self.refine_seen = np.full((inputs, gates), 1e-2), np.full(gates, 1e-2), np.full((cells, 33), 30.0)
 
     def mixed(self, st: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        x = self.bias[gate]
-        for w, s in zip(self.weight, st, strict=True):
-            x = x + w[gate] * s
+        x = self.bias.astype(np.float32)[gate]
+        for w, s in zip(self.weight.astype(np.float32), st, strict=True):
+            x += w[gate] * s
         return x.clip(-14, 14)
 
     def refined(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        spot = cell * 33 + np.rint(x * (16 / 14)).astype(np.int64) + 16
-        return (x + self.refine.ravel()[spot]).clip(-14, 14), spot
+        spot = cell * 33 + np.rint(x * np.float32(16 / 14)).astype(np.int32) + 16
+        return (x + self.refine.ravel().astype(np.float32)[spot]).clip(-14, 14), spot
 
     def online(self, st: list[np.ndarray], gate: np.ndarray, cell: np.ndarray, bit: np.ndarray, n: np.ndarray, rate: float = 0.02) -> np.ndarray:
         """Natural log probability of each bit; the weights then learn from bits that occur n times."""
-        x = self.mixed(st, gate)
+        x, side = self.mixed(st, gate), (2 * bit - 1).astype(np.float32)
         y, spot = self.refined(x, cell)
-        miss, gates = n * (bit - 1 / (1 + np.exp(-x))), len(self.bias)
+        miss, gates = n * side * (1 - 1 / (1 + np.exp(-side * x))), len(self.bias)
         for i, s in enumerate(st):
             g = np.bincount(gate, weights=miss * s, minlength=gates)
             self.seen[i] += g * g
@@ -152,16 +152,16 @@ class Gated:
         g = np.bincount(gate, weights=miss, minlength=gates)
         self.bias_seen += g * g
         self.bias += rate * g / np.sqrt(self.bias_seen)
-        logs = -np.log1p(np.exp(np.where(bit == 1, -y, y)))
-        late = np.bincount(spot, weights=n * (bit - np.where(bit == 1, np.exp(logs), 1 - np.exp(logs))), minlength=self.refine.size)
+        p = 1 / (1 + np.exp(-side * y))
+        late = np.bincount(spot, weights=n * side * (1 - p), minlength=self.refine.size)
         self.refine_seen += np.bincount(spot, weights=n, minlength=self.refine.size).reshape(self.refine.shape)
         self.refine += 2.0 * late.reshape(self.refine.shape) / self.refine_seen
-        return logs
+        return np.log(p)
 
     def log(self, st: list[np.ndarray], gate: np.ndarray, cell: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Natural log probability of each bit."""
         y, _ = self.refined(self.mixed(st, gate), cell)
-        return -np.log1p(np.exp(np.where(bit == 1, -y, y)))
+        return -np.log(1 + np.exp(np.where(bit == 1, -y, y)))
 
 
 class Speller:
@@ -509,7 +509,7 @@ def coded(context: np.ndarray, triple: np.ndarray, n: np.ndarray, held: np.ndarr
         two = cells.depth[k + 1].reshape(-1, 2).astype(np.float32)[cell >> (bits - k)]
         up1, g2 = np.bincount(g1, weights=n1 * ((key1 >> last) & np.uint64(1))), _groups(key2 >> shift)
         all2, up2 = np.bincount(g2, weights=n), np.bincount(g2, weights=n * bit)
-        states_ = [(two[:, 0], two[:, 1])]
+        states_ = [(np.ascontiguousarray(two[:, 0]), np.ascontiguousarray(two[:, 1]))]
         for every, up, g in ((all1, up1, g1[inverse]), (all2, up2, g2)):
             states_.append(((every - up).astype(np.float32)[g], up.astype(np.float32)[g]))
         now, held_now, own = np.zeros(len(live)), np.zeros(len(live)), np.minimum(n, 1)
@@ -519,17 +519,25 @@ def coded(context: np.ndarray, triple: np.ndarray, n: np.ndarray, held: np.ndarr
             return [_stretch(o, z) for z, o in seen], cf[0] * CONFIDENCE + cf[1], cf[1], b
 
         steps = max(1, len(live) // batch)
-        for rows in (slice(j, None, steps) for j in range(steps)):
-            b, seen, some = bit[rows], [(z[rows], o[rows]) for z, o in states_], np.flatnonzero(used[rows])
+        whole = len(live) // (steps * RUN) * (steps * RUN)
+        for j in range(steps + (whole < len(live))):  # short runs from all over the shard, then what is left
+            part = (lambda x: x[:whole].reshape(-1, steps, RUN)[:, j]) if j < steps else (lambda x: x[whole:])  # noqa: B023, E731
+            take = lambda x: part(x).ravel()  # noqa: B023, E731
+            b, seen, some = take(bit), [(take(z), take(o)) for z, o in states_], np.flatnonzero(take(used))
             if len(some):
-                held_now[rows][some] = mix.log(*inputs([(z[some], o[some]) for z, o in seen], b[some]))
-            one, zero = own[rows] * b, own[rows] * (1 - b)
-            now[rows] = mix.online(*inputs([(np.maximum(z - zero, 0), np.maximum(o - one, 0)) for z, o in seen], b), n[rows])
+                held_part = np.zeros(len(b))
+                held_part[some] = mix.log(*inputs([(z[some], o[some]) for z, o in seen], b[some]))
+                part(held_now)[...] = held_part.reshape(part(held_now).shape)
+            one, zero = take(own) * b, take(own) * (1 - b)
+            coded_ = mix.online(*inputs([(np.maximum(z - zero, 0), np.maximum(o - one, 0)) for z, o in seen], b), take(n))
+            part(now)[...] = coded_.reshape(part(now).shape)
         logs[live] += now
         held_logs[live] += held_now
     return logs / math.log(10), held_logs / math.log(10)
 
 
+#: Batches are made of runs of so many neighbouring triples.
+RUN = 64
 #: Log probabilities travel as whole multiples of 2^-14 (6e-5).
 STEP = 1 << 14
 
