@@ -10,12 +10,13 @@ minimum cut, found by max-flow (shortest augmenting paths on a small graph), is
 labelling of least total cost; the blocks on the content side are the main text.
 
 The classifier is trained here, on blocks of a bounded sample of pages (`SAMPLE_PAGES`,
-by hash) whose element names settle their label (article or main against nav, header,
-footer, aside, form); the features that would give such names away are blanked in half
-of the training blocks so that it also learns from text. Without such pages a prior
-stands in. Text that is never main text (scripts, styles, forms, comments of readers,
-hidden elements, menus and the like by name) is excluded outright through an infinite
-capacity. Extraction is one pass over whole pages without a shuffle.
+by hash) whose elements settle their label (article or main against nav, header,
+footer, aside, form). Class, id and role words, and standing inside an article, are
+features like any other, blanked in half of the training blocks so that it also learns
+from text; they decide nothing by themselves. Without such pages a prior stands in. Only
+elements that never hold main text (scripts, styles, forms, nav, footer, aside, a page's
+header, hidden elements) are excluded through an infinite capacity. Extraction is one pass
+over whole pages without a shuffle.
 
 Cases: null and empty html give an empty text. Unclosed, stray and badly nested tags are
 tolerated: a block-level tag closes open paragraphs, an end tag closes what is open
@@ -37,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.training import fit_logistic, hashed_sample, logistic
+from ledgerlens.llm.training import fit_logistic, hashed_sample, logistic, trained
 
 SAMPLE_PAGES = 400
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\b(hidden)\b", re.I)
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select", "xmp"}
+#: Elements whose content is no markup; the first two hold the rest of a page if they are not closed.
+_RAW = {"script", "style", "template", "textarea", "title", "iframe"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 _BLOCK = {
     "html", "body", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
@@ -51,12 +53,12 @@ _BLOCK = {
     "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption", "option", "button", "label", "legend", "video", "audio",
 }
 #: Elements whose text is never the article's.
-_NEVER = {"nav", "footer", "aside", "form", "head", "button", "label", "menu", "dialog", "fieldset", "option", "select", "input"}
+_NEVER = {"nav", "footer", "aside", "form", "head", "button", "menu", "dialog", "option", "select", "input"}
 _GOOD = {"article", "main"}
 _BAD_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|topbar|toolbar|sidebar|side|aside|widget\w*|rail"
-    r"|cookies?|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social|comments?|disqus|replies|reply|respond|related|recommend\w*"
-    r"|more-from|tags?|pagination|pager|copyright|legal|search\w*|form\w*|skip\w*|alert|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?<!has-)(?<!no-)(?<!with-)(?:ads?|adverts?|advertisement|advertising|adsense|banners?|sponsor|sponsors|sponsored|promo|promos|promotion|nav|navbar|navigation|menus?"
+    r"|breadcrumbs?|footer|header|masthead|topbar|toolbar|sidebar|widgets?|cookies?|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe|subscription|signup|login"
+    r"|share|sharing|social|comments?|disqus|replies|reply|respond|related|recommended|recommendations|more-from|pagination|pager|copyright|search|form|skip|skiplinks?|alert|disclaimer)(?:$|[\s_-])",
     re.I,
 )
 _GOOD_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body|text|prose|page)(?:$|[\s_-])", re.I)
@@ -152,9 +154,10 @@ def blocks(html: str | None) -> list[Block]:
             continue
         if name in _RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
-            text.append(" ")
-            continue
+            if end or name in ("script", "style"):
+                at = end.end() if end else len(source)
+                text.append(" ")
+                continue
         if name in _VOID:
             if name in ("br", "hr"):
                 if name == "hr":
@@ -206,7 +209,7 @@ def features(page: list[Block]) -> np.ndarray:
     for k, b in enumerate(page):
         e, t = b.parent, b.text
         words = t.count(" ") + 1
-        ends = t[-1:] in ".!?:;\"'”’»…)"
+        ends = t[-1:] in tuple(".!?:;\"'”’»…)")
         rows.append([
             float(e.good), float(e.bad), float(e.fine), float(e.name in ("p", "h1", "h2", "h3", "blockquote", "pre", "b", "i", "em", "strong", "span")), float(e.name in ("li", "ul", "td", "th")),
             math.log1p(words), math.log1p(len(t)), min(1.0, b.linked / max(1, len(t))), float(ends), (t.count(".") + t.count(",")) / words,
@@ -216,7 +219,7 @@ def features(page: list[Block]) -> np.ndarray:
 
 
 #: Weights used where no page of the sample has elements that settle labels.
-PRIOR = (np.zeros(FEATURES), np.ones(FEATURES), np.array([2.5, -3.0, 1.0, 1.0, -1.0, 0.5, 0.1, -4.0, 0.8, 0.5, -1.5, 0.5, -1.5]))
+PRIOR = (np.zeros(FEATURES), np.ones(FEATURES), np.array([2.5, -7.0, 1.0, 1.0, -1.0, 0.5, 0.1, -4.0, 0.8, 0.5, -1.5, 0.5, -1.5]))
 
 
 def train(pages: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -328,22 +331,16 @@ def extract(html: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray] =
     if not page:
         return ""
     p = np.clip(logistic(model, features(page)), 1e-6, 1 - 1e-6)
-    never = np.array([b.parent.never or b.parent.bad and not b.parent.name == "article" for b in page])
-    articles = any(b.parent.good and not (b.parent.never or b.parent.bad) for b in page)
-    inside = np.array([b.parent.good for b in page])
-    content, boilerplate = -np.log(1 - p), -np.log(p)
-    if articles:  # an article or main element settles what is outside it, and tips what is inside
-        boilerplate = np.where(~inside, 1e3, boilerplate)
-        content = np.where(inside, content + 3.0, content)
-    boilerplate = np.where(never, 1e6, boilerplate)
-    content = np.where(never, 0.0, content)
+    never = np.array([b.parent.never for b in page])
+    content, boilerplate = np.where(never, 0.0, -np.log(1 - p)), np.where(never, 1e6, -np.log(p))
     kept = min_cut(content, boilerplate, _smoothness(page, strength))
-    return "\n".join(b.text for b, k in zip(page, kept & ~never, strict=True) if k)
+    return "\n".join(b.text for b, k in zip(page, kept, strict=True) if k)
 
 
 def fit(pages: DataFrame, rows: int = SAMPLE_PAGES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found = pages.select(F.col("html").cast("string").alias("html")).where("html is not null")
-    return train(sorted(r["html"] for r in hashed_sample(found, F.xxhash64("html"), rows).distinct().collect()))
+    found = pages.select(F.col("html").cast("string").alias("text")).where("text is not null")
+    sample = hashed_sample(found, F.xxhash64("text"), rows).groupBy("text").agg(F.xxhash64("text").alias("doc_id"), F.lit(0).alias("y"))
+    return trained(sample, lambda pages_, _: train(pages_))
 
 
 def extracted(pages: DataFrame, rows: int = SAMPLE_PAGES) -> DataFrame:
