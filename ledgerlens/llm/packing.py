@@ -1,7 +1,8 @@
 """Packing token sequences by lexical retrieval.
 
 A document's token ids (a public byte-level BPE vocabulary, special tokens off, then id 0;
-merged by tiktoken, ids equal to the tokenizers library's) are first cut
+merged by tiktoken, ids equal to the tokenizers library's, to which texts with an added token of
+the vocabulary are left) are first cut
 into whole windows; what is left over, shorter than a window, is a piece to be packed
 with lexical neighbours. Pieces are dealt by a min-wise signature of their token 4-grams
 into range shards of bounded size, so that related pieces, copies above all, share a
@@ -37,7 +38,6 @@ from ledgerlens.plans.storage import checkpointed
 
 WINDOW = 1024
 SHARD_PIECES = 1500
-QUERY_TERMS = 48
 
 
 #: The pre-token pattern of byte-level BPE vocabularies of this kind (fixed value).
@@ -61,9 +61,14 @@ class TextTokenizer:
 
     def __init__(self, path: str) -> None:
         self.path, self.ordinary, self.library = path, byte_level(path).encode_ordinary, None
+        with open(path, encoding="utf-8") as f:
+            listed = json.load(f)
+        self.added = [t["content"] for t in listed.get("added_tokens", [])]
+        if max([*listed["model"]["vocab"].values(), *(t["id"] for t in listed.get("added_tokens", []))]) >= 1 << 16:
+            raise ValueError("pieces are indexed by ids of 16 bits")
 
     def encode(self, text: str) -> bytes:
-        if len(text) >= 20_000 and LONG_SPACE.search(text):
+        if any(t in text for t in self.added) or len(text) >= 20_000 and LONG_SPACE.search(text):
             ids = self._library().encode(text, add_special_tokens=False).ids
         else:
             ids = self.ordinary(text)
@@ -74,7 +79,6 @@ class TextTokenizer:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-            self.library.encode_special_tokens = True
         return self.library
 
 
@@ -135,14 +139,10 @@ class ShardIndex:
         self.start = np.concatenate([[0], np.cumsum(df)])
         order = np.sort((doc << 32) + np.arange(len(doc))) & 0xFFFFFFFF  # by piece, terms rising
         self.term_of, self.term_from = number[order], np.searchsorted(doc[order], np.arange(n + 1))
-        self.strength = self.weight[order]
-
-    def neighbours(self, seed: int, terms: int = QUERY_TERMS) -> np.ndarray:
-        """Pieces by falling BM25 score for the seed's `terms` weightiest terms."""
-        own = slice(self.term_from[seed], self.term_from[seed + 1])
-        query = self.term_of[own]
-        if len(query) > terms:
-            query = query[np.argsort(-self.strength[own], kind="stable")[:terms]]
+
+    def neighbours(self, seed: int) -> np.ndarray:
+        """Pieces by falling BM25 score for all of the seed's terms."""
+        query = self.term_of[self.term_from[seed] : self.term_from[seed + 1]]
         if not len(query):
             return query
         at, to = self.start[query], self.start[query + 1]
@@ -152,7 +152,7 @@ class ShardIndex:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(pieces: list[np.ndarray], window: int = WINDOW, terms: int = QUERY_TERMS) -> list[list[tuple[int, int, int]]]:
+def pack_shard(pieces: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of (piece, from, length); every id of every piece lies in exactly one."""
     used = np.zeros(len(pieces), dtype=np.int64)
     size = np.array([len(x) for x in pieces], dtype=np.int64)
@@ -178,7 +178,7 @@ def pack_shard(pieces: list[np.ndarray], window: int = WINDOW, terms: int = QUER
 
         take(seed)
         if room:
-            found = index.neighbours(int(seed), terms)
+            found = index.neighbours(int(seed))
             for i in found[used[found] < size[found]]:
                 if not room:
                     break
@@ -189,9 +189,9 @@ def pack_shard(pieces: list[np.ndarray], window: int = WINDOW, terms: int = QUER
     return sequences
 
 
-def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_pieces: int = SHARD_PIECES, terms: int = QUERY_TERMS) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = checkpointed(tokenized(docs, tokenizer, window))
+    rows = checkpointed(tokenized(docs, tokenizer, window).withColumn("at", F.monotonically_increasing_id()))  # rows that are equal otherwise can be parted
     shards = max(1, -(-rows.count() // shard_pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_pieces:
         def flush() -> pa.RecordBatch:
             nonlocal sequence
             out = []
-            for pieces in pack_shard([x[2] for x in wait], window, terms):
+            for pieces in pack_shard([x[2] for x in wait], window):
                 offset = 0
                 for i, at, n in pieces:
                     doc, total, ids = wait[i]
@@ -232,7 +232,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_pieces:
             yield table(out)
         yield flush()
 
-    dealt = rows.repartitionByRange(shards, "signature", "doc_id").sortWithinPartitions("signature", "doc_id")
+    dealt = rows.repartitionByRange(shards, "signature", "doc_id", "at").sortWithinPartitions("signature", "doc_id", "at")
     return dealt.select("doc_id", "doc_tokens", "crcs", "tail").mapInArrow(
         run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

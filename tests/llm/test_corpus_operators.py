@@ -241,7 +241,6 @@ def test_tokens_equal_the_library(vocabulary):
     from tokenizers import Tokenizer
 
     model, own, r = Tokenizer.from_file(vocabulary), packing.TextTokenizer(vocabulary), random.Random(3)
-    model.encode_special_tokens = True
     parts = [" ", "  ", "\n", "a", "B1", "don't", "é", "...", "<|endoftext|>", "日本", "👍", "12", "|", "\t", "\xa0", " ", "\r\n", "\0", "\x1c"]
     for _ in range(3000):
         t = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
@@ -272,6 +271,23 @@ def test_packing_round_trip(spark, odd, vocabulary):
     assert packing.packed(odd.limit(0), vocabulary).count() == 0
 
 
+def test_bm25_order_equals_brute_force():
+    r = random.Random(12)
+    pieces = [np.array([r.randrange(12) for _ in range(r.randint(1, 40))], np.uint16) for _ in range(30)]
+    grams = [[(int(a), int(b)) for a, b in zip(x, x[1:])] if len(x) > 1 else [(int(x[0]),)] for x in pieces]
+    index, mean = packing.ShardIndex(pieces), np.mean([len(g) for g in grams])
+    for seed in range(30):
+        score = np.zeros(30)
+        for term in set(grams[seed]):
+            df = sum(term in g for g in grams)
+            for i, g in enumerate(grams):
+                if df > 1 and term in g:
+                    tf = g.count(term)
+                    score[i] += np.log1p((30 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(g) / mean))
+        found = index.neighbours(seed).tolist()
+        assert sorted(found) == np.flatnonzero(score).tolist() and score[found] == pytest.approx(np.sort(score[score > 0])[::-1])
+
+
 def test_bm25_finds_the_lexical_neighbour_and_fills(spark):
     rng = np.random.default_rng(0)
     pieces = [rng.integers(0, 5_000, 400).astype(np.uint16) for _ in range(20)]
@@ -510,3 +526,32 @@ def test_main_text(spark):
 def test_hashed_sample(spark):
     df = spark.range(1000)
     assert hashed_sample(df, F.xxhash64("id"), 50).count() == 50 and hashed_sample(df.limit(0), F.xxhash64("id"), 5).count() == 0
+
+
+def labelled_page(k, wrapper="article", menu="nav"):
+    r, text = random.Random(k), [words(k * 10 + j, 30) + "." for j in range(4)]
+    links = "".join(f'<li><a href="/{j}">{words(k * 100 + j, 2)}</a></li>' for j in range(r.randint(3, 7)))
+    return f'<html><body><{menu} class="top"><ul>{links}</ul></{menu}><{wrapper}><h1>{words(k, 5)}</h1>' + "".join(f"<p>{t}</p>" for t in text) + f"</{wrapper}><footer><p>&copy; {words(k + 1, 3)} | x</p></footer></body></html>", "\n".join([words(k, 5), *text])
+
+
+def test_main_text_is_cut_where_no_element_names_it():
+    """Pages without article or nav elements, where names and elements alone say nothing."""
+    model = mainhtml.train([labelled_page(k)[0] for k in range(80)])
+    pages = [labelled_page(k, "div", "div") for k in range(200, 230)]
+    assert sum(mainhtml.extract(h, model) == t for h, t in pages) >= 28
+    assert all(mainhtml.extract(h, model) == t for h, t in map(labelled_page, range(300, 320)))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="post type-post format-standard hentry"><h1>T</h1><p>Long text goes on here, with many words.</p></div>', "T\nLong text goes on here, with many words."),
+        ("<article><p title=don't>One text, long.</p><p>It's two.</p></article>", "One text, long.\nIt's two."),
+        ('<article><p><img alt=5">Text a.</p><svg><p>After it, some text.</p></article>', "Text a.\nAfter it, some text."),
+        ("<article><p>x is <math><mi>y</mi></math>, right.</p><noscript><p>No script here.</p></noscript></article>", "x is y, right.\nNo script here."),
+        ('<div class="layout has-sidebar"><article><p>The main text, full of words.</p></article></div>', "The main text, full of words."),
+        ('<article><p>Before.</p><p style="display:none">Hidden.</p><p>After &lt;b&gt;.</p></article>', "Before.\nAfter <b>."),
+    ],
+)
+def test_main_text_of_odd_markup(page, text):
+    assert mainhtml.extract(page) == text
