@@ -308,3 +308,20 @@ def safe_slug(c: Column) -> Column:
 
 def shortened(c: Column, limit: int = 98, keep: int = 95) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, keep), F.lit("..."))).otherwise(c)
+
+
+def composed_address(street: Column, number: Column, postal: Column, city: Column, country: Column) -> Column:
+    """The filled parts of an address, joined by spaces."""
+    return F.concat_ws(" ", *[F.nullif(text(c), F.lit("")) for c in (street, number, postal, city, country)])
+
+
+#: The public map address and its search form (fixed values).
+MAPS, MAPS_SEARCH = "https://www.google.com/maps", "https://www.google.com/maps/search/?api=1&query="
+
+
+def public_maps_url(url: Column, name: Column) -> Column:
+    """A listing's public map address: country host rewritten, query dropped unless it is a search; a search for the name by default."""
+    search = F.concat(F.lit(MAPS_SEARCH), F.coalesce(name, F.lit("")))
+    world = F.replace(F.coalesce(url, F.lit("")), F.lit("google.nl/maps"), F.lit("google.com/maps"))
+    bare = F.when(F.contains(world, F.lit("api=1")), world).otherwise(F.substring_index(world, "?", 1))
+    return F.when(F.startswith(bare, F.lit(MAPS)), bare).otherwise(search)

@@ -121,6 +121,20 @@ def remediation(sanitized: DataFrame) -> DataFrame:
     return sanitized.withColumn("remediation_track", track).where("remediation_track is not null").withColumn("status", F.lit("proposed"))
 
 
+def remediation_counts(sanitized: DataFrame) -> DataFrame:
+    """One row: all listings, renames, removals and those kept."""
+    of = lambda a: F.count_if(F.col("action") == a)
+    total, renames, removals = F.count(F.lit(1)), of("RENAME"), of("REMOVE")
+    return sanitized.agg(total.alias("total"), renames.alias("renames"), removals.alias("removals"), (total - renames - removals).alias("kept"))
+
+
+def quality_metrics(scored: DataFrame, flagged: str = "flagged", expected: str = "expected") -> DataFrame:
+    """True and false positives and negatives of flags over labelled listings."""
+    f, e = F.col(flagged), F.col(expected)
+    kinds = {"true_positives": f & e, "false_positives": f & ~e, "false_negatives": ~f & e, "true_negatives": ~f & ~e}
+    return scored.agg(*[F.count_if(c).alias(k) for k, c in kinds.items()])
+
+
 def colocation(branches: DataFrame, exempt: list[str] | None = None) -> DataFrame:
     """slug, action, shared_with: branches at one address merge, or go if another town is claimed.
 
@@ -156,3 +170,46 @@ def ingest(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return found.withColumn("matched_id", F.coalesce("__a", "__b")).drop("__a", "__b")
 
 
+
+
+def ingested(existing: DataFrame, incoming: DataFrame, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(businesses, snapshots, counters) after an ingest of incoming profiles, in the order of seq.
+
+    existing: id, place_id, name, address, phone, canonical_url. incoming: seq and the
+    fields of readers.profile_fields. Profiles without a name are passed over. A profile
+    that meets a business by place, else (its address known) by name, updates it; of those
+    that meet none, the first of a place and of a name is inserted and the others update
+    it. The last known address, phone and website stand. Every profile leaves a snapshot.
+    """
+    known = lambda c: F.when(F.col(c) != "unknown", F.col(c))
+    rows = incoming.where("business_name <> 'unknown'").withColumns({"place_id": known("place_identifier"), "name": F.col("business_name")})
+    by_place = existing.where("place_id is not null").groupBy("place_id").agg(F.min("id").alias("__a"))
+    by_name = existing.where("name is not null").groupBy("name").agg(F.min("id").alias("__b"))
+    found = rows.join(by_place, "place_id", "left").join(by_name, "name", "left")
+    found = found.withColumn("matched", F.coalesce("__a", F.when(F.col("address") != "unknown", F.col("__b")))).drop("__a", "__b")
+    new = found.where("matched is null")
+    first_place = new.where("place_id is not null").groupBy("place_id").agg(F.min("seq").alias("__p"))
+    first_name = new.where("address <> 'unknown'").groupBy("name").agg(F.min("seq").alias("__n"))
+    told = new.join(first_place, "place_id", "left").join(first_name, "name", "left")
+    head = F.least(F.coalesce("__p", "seq"), F.when(F.col("address") != "unknown", F.col("__n")).otherwise(F.col("seq")), F.col("seq"))
+    told = told.withColumn("head", head).drop("__p", "__n")
+    numbers = numbered(told.where("seq = head").select("seq"), ["seq"], "__n").select(F.col("seq").alias("head"), "__n")
+    top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
+    roots = told.select("seq", "head").join(numbers, "head", "left").join(F.broadcast(top), how="cross")  # one row
+    made = told.join(roots.where("__n is not null").select("seq", (F.col("__top") + F.col("__n")).alias("business_id")), "seq", "left")
+    placed = found.where("matched is not null").withColumn("business_id", F.col("matched").cast("long")).drop("matched").unionByName(made.drop("matched", "head"))
+    last = {"address": "address", "phone": "phone", "canonical_url": "website"}
+    latest = placed.groupBy(F.col("business_id").alias("id")).agg(
+        F.min_by("place_id", "seq").alias("__place"), F.min_by("name", "seq").alias("__name"),
+        *[F.max_by(known(c), F.when(F.col(c) != "unknown", F.col("seq"))).alias(f"__{k}") for k, c in last.items()],
+    )
+    kept = existing.join(latest, "id", "full").select(
+        "id", F.coalesce("place_id", "__place").alias("place_id"), F.coalesce("name", "__name").alias("name"), *[F.coalesce(f"__{k}", k).alias(k) for k in last],
+        F.when(F.col("__name").isNotNull(), at).alias("updated_at"),
+    )
+    body = F.to_json(F.struct(*[c for c in incoming.columns if c != "seq"]))
+    fields = ["business_name", "address", "phone", "website", "category"]
+    snapshots = placed.select("business_id", F.col("source_timestamp").alias("snapshot_timestamp"), *fields, F.lit("ACTIVE").alias("status_visible"), body.alias("raw_payload_json"))
+    counters = placed.agg(F.count(F.lit(1)).alias("snapshots_created")).join(numbers.agg(F.count(F.lit(1)).alias("inserted_businesses")), how="cross")  # one row each
+    counters = counters.withColumn("updated_businesses", F.col("snapshots_created") - F.col("inserted_businesses"))
+    return kept, snapshots.withColumn("sha256_hash", F.sha2("raw_payload_json", 256)), counters

@@ -68,6 +68,16 @@ def edges(keyed: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     )
 
 
+def classes(keyed: DataFrame) -> DataFrame:
+    """(id, type, key, head, n_links): the least carrier of a shared key and how many others carry it.
+
+    All links of `edges` in one row a carrier: linear however many share a key.
+    """
+    carried = keyed.distinct()
+    heads = carried.groupBy("type", "key").agg(F.min("id").alias("head"), (F.count(F.lit(1)) - 1).alias("n_links")).where("n_links > 0")
+    return carried.join(heads, ["type", "key"]).select("id", "type", "key", "head", "n_links")
+
+
 def star_edges(keyed: DataFrame) -> DataFrame:
     """(a, b): each carrier of a key with the least carrier. Same components, linear in the carriers of a hot key."""
     heads = keyed.groupBy("type", "key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -112,3 +122,23 @@ def recurrence(removed: DataFrame, candidates: DataFrame) -> DataFrame:
         parts = hit if parts is None else parts.union(hit)
     return parts.groupBy("removed_id", "candidate_id").agg(*[F.bool_or(f"shared_{x}").alias(f"shared_{x}") for x in kinds])
 
+
+
+def recurrence_links(removed: DataFrame, candidates: DataFrame) -> DataFrame:
+    """id and the number of other removed businesses of equal phone, domain and postal code, for candidates with any.
+
+    The removed are counted by key first, so a key that many share costs one row a candidate.
+    """
+    kinds = {"phone": "normalized_phone", "domain": "domain", "postal": "postal_code"}
+    pairs = lambda df: df.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in kinds.items()])).alias("x")).select("id", "x.kind", "x.key").where("coalesce(key, '') <> ''")
+    gone = pairs(removed).distinct()
+    counted = gone.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    hits = pairs(candidates).join(counted, ["kind", "key"]).join(gone.withColumn("own", F.lit(1)), ["id", "kind", "key"], "left")
+    hits = hits.withColumn("n", F.col("n") - F.coalesce("own", F.lit(0))).where("n > 0")
+    return hits.groupBy("id").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"{k}_links") for k in kinds])
+
+
+def recurrence_events(links: DataFrame, at: Column) -> DataFrame:
+    """A REINCARNATION_SIGNAL event for every business with links to removed ones."""
+    said = F.format_string("shares with removed listings: %d by phone, %d by domain, %d by postal code", "phone_links", "domain_links", "postal_links")
+    return links.select(F.col("id").alias("business_id"), F.lit("REINCARNATION_SIGNAL").alias("event_type"), said.alias("description"), at.alias("occurred_at"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.monitoring import ACTIONS
+
 
 def scan(table: DataFrame, where: str | None = None, order_by: list[str] | None = None, limit: int | None = None, offset: int = 0, params: dict[str, object] | None = None) -> DataFrame:
     """Generic scan: a SQL condition with named :parameters, order, offset, limit."""
@@ -63,13 +65,17 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
     return found.join(members.select(F.col("id").alias("target_business_id")), "target_business_id", "left_semi")
 
 
-def dashboard(biz: DataFrame, networks: DataFrame, cases: DataFrame, events: DataFrame) -> DataFrame:
-    """One row of conditional counts over the tables."""
+def dashboard(biz: DataFrame, networks: DataFrame, cases: DataFrame, evidence: DataFrame, submissions: DataFrame, outcomes: DataFrame, events: DataFrame) -> DataFrame:
+    """One row of the nine counts of the front page."""
+    every = F.count(F.lit(1))
     parts = [
-        biz.agg(F.count(F.lit(1)).alias("businesses"), F.count_if(F.col("suspicion_score") >= 50).alias("high_risk")),
-        networks.agg(F.count(F.lit(1)).alias("networks"), F.count_if(F.col("severity") == "CRITICAL").alias("critical_networks")),
-        cases.agg(F.count(F.lit(1)).alias("cases"), F.count_if(~F.col("status").isin("CLOSED", "ACTION_OBSERVED")).alias("open_cases")),
-        events.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "REINCARNATION_SIGNAL").alias("recurrence_signals")),
+        biz.agg(every.alias("total_businesses_scanned"), F.count_if(F.col("suspicion_score") >= 30).alias("potential_policy_issues")),
+        networks.agg(every.alias("networks_detected")),
+        cases.agg(F.count_if(F.col("priority").isin("HIGH", "CRITICAL")).alias("high_priority_cases"), F.count_if(F.col("status").isin("DISCOVERED", "NEEDS_REVIEW")).alias("cases_pending")),
+        evidence.agg(every.alias("evidence_items")),
+        submissions.agg(F.count_if(F.col("status") == "submitted").alias("cases_submitted")),
+        outcomes.agg(F.count_if(F.col("outcome_type").isin(*ACTIONS)).alias("cases_with_observed_action")),
+        events.agg(F.count_if(F.col("event_type") == "REINCARNATION_SIGNAL").alias("recurrence_signals")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -77,9 +83,28 @@ def dashboard(biz: DataFrame, networks: DataFrame, cases: DataFrame, events: Dat
     return out
 
 
-def detail(business_id: int, biz: DataFrame, **children: DataFrame) -> dict[str, object] | None:
-    """A business with its rows of the child tables (column business_id)."""
-    row = get(biz, business_id)
-    if row is None:
+def business_detail(business_id: int, biz: DataFrame, snapshots: DataFrame, evidence: DataFrame, findings: DataFrame, relationships: DataFrame) -> dict[str, DataFrame] | None:
+    """A business and all its rows of the child tables: snapshots, evidence and findings newest first, relationships of either end."""
+    found = biz.where(F.col("id") == business_id)
+    if found.isEmpty():
+        return None
+    own = lambda t: t.where(F.col("business_id") == business_id)
+    return {
+        "business": found, "snapshots": own(snapshots).orderBy(F.desc("snapshot_timestamp"), F.desc("id")), "evidence": own(evidence).orderBy(F.desc("id")),
+        "findings": own(findings).orderBy(F.desc("id")), "relationships": either_end(relationships, business_id),
+    }
+
+
+def network_detail(network_id: int, networks: DataFrame, members: DataFrame, biz: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame] | None:
+    """A network, its businesses and its graph. members(network_id, business_id); nodes and edges carry the network as component."""
+    found = networks.where(F.col("id") == network_id)
+    if found.isEmpty():
         return None
-    return row | {k: [r.asDict(recursive=True) for r in t.where(F.col("business_id") == business_id).limit(200).collect()] for k, t in children.items()}
+    ids = members.where(F.col("network_id") == network_id).select(F.col("business_id").alias("id"))
+    of = lambda t: t.where(F.col("component") == network_id)
+    return {"network": found, "businesses": biz.join(ids, "id", "left_semi"), "nodes": of(nodes), "edges": of(edges)}
+
+
+def newest_first(table: DataFrame, by: str = "id") -> DataFrame:
+    """Target, submission and edit lists: the latest entry first."""
+    return table.orderBy(F.desc(by))

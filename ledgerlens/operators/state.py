@@ -6,6 +6,8 @@ Mutable status is best kept as events (`sinks.latest_status`); these are the row
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,3 +101,20 @@ def risk_profile(locations: DataFrame, shown: int = 10) -> tuple[DataFrame, Data
     scored = abuse(locations)
     mean = scored.agg(F.count(F.lit(1)).alias("locations"), F.round(F.avg("abuse.overall_score"), 1).alias("average_score"))
     return mean, scored.orderBy("id").limit(shown).select("id", "name", "city", "abuse.overall_score", "abuse.confidence")
+
+
+def with_location(locations: DataFrame, target: str, document: dict[str, object]) -> DataFrame:
+    """locations(id, target_name, data) with one more JSON document of a target."""
+    return _appended(locations, {"target_name": F.lit(target), "data": F.lit(json.dumps(document))})
+
+
+def with_event(events: DataFrame, case_id: str, event_type: str, at: Column, details: str = "") -> DataFrame:
+    """The event log with one more entry."""
+    return _appended(events, {"case_id": F.lit(case_id), "event_type": F.lit(event_type), "details": F.lit(details), "created_at": at})
+
+
+def _appended(table: DataFrame, row: dict[str, Column]) -> DataFrame:
+    one = table.sparkSession.range(1).select(*[c.alias(k) for k, c in row.items()])
+    if "id" in table.columns:
+        one = one.join(table.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id")), how="cross")  # one row each
+    return table.unionByName(one, allowMissingColumns=True)

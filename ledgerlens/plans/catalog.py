@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import normalize, score
 from ledgerlens.functions.sanitize import sanitized
 from ledgerlens.operators import cases, linkage, monitoring, networks, pages, read_model
 from ledgerlens.plans.profiles import profiles
+from ledgerlens.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,18 +227,42 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return found.select("business_id", F.col("occurred_at.event_id").alias("event_id"), "event_type", "previous_val", "new_val")
 
 
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """An outcome for every order: removals for the dearest, no visible change for the others."""
+    kind = F.when(F.col("o_totalprice") > 350_000, "PROFILE_REMOVED").otherwise("NO_VISIBLE_CHANGE")
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), kind.alias("outcome_type"))
+
+
+def _skewed(spark: SparkSession, d: str) -> DataFrame:
+    """Businesses of which every second has the same phone."""
+    hot = F.when(F.col("id") % 2 == 0, F.lit("201234567")).otherwise(F.col("normalized_phone"))
+    return _biz(spark, d).withColumn("normalized_phone", hot)
+
+
 @query
 def recurrence(spark: SparkSession, d: str) -> DataFrame:
     biz = _biz(spark, d)
     case_businesses = read(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("business_id"))
-    outcomes = read(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("case_id"), F.lit("PROFILE_REMOVED").alias("outcome_type"))
-    return linkage.recurrence(monitoring.removed(biz, case_businesses, outcomes), biz)
+    return linkage.recurrence(monitoring.removed(biz, case_businesses, _outcomes(spark, d)), biz)
+
+
+@query
+def recurrence_links(spark: SparkSession, d: str) -> DataFrame:
+    biz = _biz(spark, d)
+    case_businesses = read(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("business_id"))
+    return linkage.recurrence_links(monitoring.removed(biz, case_businesses, _outcomes(spark, d)), biz)
+
+
+@query
+def edge_classes(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.classes(linkage.keys(_skewed(spark, d)))
 
 
 @query
 def ingest_merge(spark: SparkSession, d: str) -> DataFrame:
     p = profiles(spark, d)
-    existing = p.where("id % 2 = 0").select("id", F.col("phone").alias("place_id"), "name")
+    known = p.join(read(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct(), "id", "left_semi")
+    existing = known.select("id", F.col("phone").alias("place_id"), "name")
     incoming = cases.last_by(p.select(F.coalesce("phone", F.concat(F.lit("none "), F.col("id").cast("string"))).alias("place_id"), "name", F.col("id").alias("seq")), "place_id", "seq")
     return cases.ingest(existing, incoming).select("place_id", "name", "matched_id")
 
@@ -245,7 +270,8 @@ def ingest_merge(spark: SparkSession, d: str) -> DataFrame:
 @query
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     p = _biz(spark, d).select("id", "normalized_phone")
-    return monitoring.insert_ignore(p.where("id % 4 = 0"), p.where("id % 2 = 0"), ["id"])
+    loaded = read(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct().join(p, "id").select(*p.columns)
+    return monitoring.insert_ignore(loaded, p, ["id"])
 
 
 @query
@@ -313,13 +339,109 @@ def pending_verification(spark: SparkSession, d: str) -> DataFrame:
     return cases.pending(subs).select("case_id")
 
 
+def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The relational tables of a service, over the driver tables."""
+    pick = lambda words, c: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.col(c), F.lit(len(words))) + 1).cast("int"))
+    orders, lines, events = (read(spark, d, t) for t in ("orders", "lineitem", "events"))
+    return {
+        "biz": read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.pmod(F.col("c_custkey"), F.lit(101)).alias("suspicion_score")),
+        "networks": read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")),
+        "cases": orders.select(F.col("o_orderkey").alias("id"), pick(["LOW", "HIGH", "MEDIUM", "CRITICAL", "HIGH"], "o_orderkey").alias("priority"), pick(["DISCOVERED", "CLOSED", "NEEDS_REVIEW", "REPORTED"], "o_custkey").alias("status")),
+        "evidence": lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("business_id")),
+        "submissions": orders.select(F.when(F.col("o_orderstatus") == "O", "submitted").otherwise("draft").alias("status")),
+        "outcomes": orders.select(pick(["UNKNOWN", "PROFILE_REMOVED", "PROFILE_MERGED", "DUPLICATE_REMOVED", "PROFILE_CHANGED", "PROFILE_SUSPENDED", "NO_VISIBLE_CHANGE"], "o_orderkey").alias("outcome_type")),
+        "events": events.select(F.when(F.col("event_type") == "purchase", "REINCARNATION_SIGNAL").otherwise("NAME_CHANGED").alias("event_type")),
+        "snapshots": orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("business_id"), F.col("o_orderdate").alias("snapshot_timestamp")),
+        "findings": orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("business_id")),
+        "relationships": lines.select(F.col("l_partkey").alias("source_business_id"), F.col("l_suppkey").alias("target_business_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")),
+    }
+
+
 @query
 def stats_dashboard(spark: SparkSession, d: str) -> DataFrame:
-    biz = read(spark, d, "customer").select((F.pmod(F.col("c_custkey"), F.lit(101))).alias("suspicion_score"))
-    nets = read(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 4 == 0, "CRITICAL").otherwise("LOW").alias("severity"))
-    cs = read(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "CLOSED").otherwise("OPEN").alias("status"))
-    ev = read(spark, d, "events").select(F.when(F.col("event_type") == "purchase", "REINCARNATION_SIGNAL").otherwise("OTHER").alias("event_type"))
-    return read_model.dashboard(biz, nets, cs, ev)
+    t = _tables(spark, d)
+    return read_model.dashboard(*[t[k] for k in ("biz", "networks", "cases", "evidence", "submissions", "outcomes", "events")])
+
+
+@query
+def business_detail(spark: SparkSession, d: str) -> DataFrame:
+    t = _tables(spark, d)
+    found = read_model.business_detail(7, t["biz"], t["snapshots"], t["evidence"], t["findings"], t["relationships"])
+    every = None
+    for section, rows in found.items():
+        newest = {"snapshots": ["snapshot_timestamp", "id"]}.get(section, ["id"])
+        placed = rows.withColumn("position", F.row_number().over(Window.orderBy(*[F.desc(c) for c in newest])))  # the rows of one business
+        part = placed.select(F.lit(section).alias("section"), "position", F.col("id").cast("long").alias("id"))
+        every = part if every is None else every.union(part)
+    return every
+
+
+@query
+def network_detail(spark: SparkSession, d: str) -> DataFrame:
+    biz, member = _biz(spark, d), _members(spark, d)
+    nets = networks.scored(member, biz)
+    least = nets.agg(F.min("component")).first()[0]
+    found = read_model.network_detail(
+        least, nets.withColumn("id", F.col("component")), member.select(F.col("component").alias("network_id"), F.col("id").alias("business_id")), biz,
+        networks.graph_nodes(member, biz), networks.graph_edges(member, biz),
+    )
+    counted = [rows.agg(F.lit(section).alias("section"), F.count(F.lit(1)).alias("n")) for section, rows in found.items()]
+    return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
+
+
+@query
+def policy_faults(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    every = F.array(F.lit("all"))
+    records = read(spark, d, "supplier").select(
+        k, F.concat(F.lit("P"), k.cast("string")).alias("policy_id"), F.when(k % 3 != 0, "c").otherwise(" ").alias("category"), F.lit("t").alias("title"), F.when(k % 4 != 0, "d").alias("description"),
+        F.when(k % 5 == 0, "https://support.example/").otherwise("https://support.google.com/a").alias("official_source_url"),
+        F.when(k % 6 == 0, "2024-02-30").when(k % 6 == 1, "2024-2-3").otherwise("2024-02-03").alias("source_date"), F.lit("2024-01-01").alias("last_verified"),
+        F.when(k % 7 == 0, "LOW").otherwise("HIGH").alias("severity"), F.when(k % 8 != 0, every).alias("applicable_to"), F.when(k % 9 == 0, F.array(F.lit(""))).otherwise(every).alias("examples"), every.alias("counter_examples"),
+    )
+    return readers.policy_faults(records).select("s_suppkey", joined("broken").alias("broken"))
+
+
+@query
+def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
+    p = profiles(spark, d)
+    known = p.join(read(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct(), "id", "left_semi")
+    existing = known.select("id", F.col("phone").alias("place_id"), "name", "address", "phone", F.col("website").alias("canonical_url"))
+    raw = p.select(F.col("id").alias("seq"), F.col("phone").alias("place_id"), F.when(F.col("id") % 17 != 0, F.col("name")).alias("name"), F.when(F.col("id") % 5 != 0, F.col("address")).alias("address"), "phone", "website", "category")
+    _, _, counters = cases.ingested(existing, readers.profile_fields(raw, F.lit(NOW)), F.lit(NOW).cast("timestamp"))
+    return counters
+
+
+@query
+def composed_address(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer")
+    some = lambda m, v: F.when(F.col("c_custkey") % m == 0, F.lit(" ")).when(F.col("c_custkey") % m != 1, v)
+    made = normalize.composed_address(some(3, F.col("c_name")), some(4, F.col("c_custkey").cast("string")), some(5, F.lit("1234 AB")), some(6, F.lit("Delft")), F.lit("NL"))
+    return c.select("c_custkey", made.alias("address"))
+
+
+@query
+def public_maps_url(spark: SparkSession, d: str) -> DataFrame:
+    urls = ["https://www.google.nl/maps/place/x?hl=nl", "https://www.google.com/maps/search/?api=1&query=a", "https://www.google.com/maps/place/y", "http://maps.example/z?q=1", "", None]
+    s = read(spark, d, "supplier")
+    url = F.element_at(F.array(*[F.lit(u) for u in urls]), (F.col("s_suppkey") % len(urls) + 1).cast("int"))
+    return s.select("s_suppkey", normalize.public_maps_url(url, F.col("s_name")).alias("url"))
+
+
+@query
+def rename_share(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.rename_share(read(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "RENAME").otherwise("KEEP").alias("action")))
+
+
+@query
+def quality_metrics(spark: SparkSession, d: str) -> DataFrame:
+    p = profiles(spark, d)
+    return cases.quality_metrics(p.select((F.col("id") % 12 == 0).alias("expected"), F.contains("name", F.lit("24/7")).alias("flagged")))
+
+
+@query
+def cluster_queue(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.review_queue(networks.indicator_clusters(profiles(spark, d)))
 
 
 @query
@@ -342,8 +464,8 @@ def edges_of_business(spark: SparkSession, d: str) -> DataFrame:
 @query
 def case_master_groups(spark: SparkSession, d: str) -> DataFrame:
     targets = read(spark, d, "supplier").select(F.concat(F.lit("Target "), F.col("s_suppkey").cast("string"), F.lit(" (NL)")).alias("target_name"))
-    subs = read(spark, d, "orders").where("o_orderkey % 10 = 0").select(
-        F.concat(F.lit("Target "), (F.col("o_orderkey") / 10 % 40).cast("long").cast("string"), F.lit(" (NL)")).alias("target_name"),
+    subs = read(spark, d, "orders").select(
+        F.concat(F.lit("Target "), (F.col("o_orderkey") % 40).cast("string"), F.lit(" (NL)")).alias("target_name"),
         F.col("o_orderkey").alias("case_id"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 20 == 0).alias("email_verified"),
     )
     return cases.case_groups(targets, subs, profiles(spark, d).select("id", "target_name"))
@@ -435,5 +557,5 @@ def remediation_tally(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def conversation_log(spark: SparkSession, d: str) -> DataFrame:
-    return cases.tally(read(spark, d, "conversations"), "role", "unknown")
+def remediation_counts(spark: SparkSession, d: str) -> DataFrame:
+    return cases.remediation_counts(name_sanitize(spark, d))

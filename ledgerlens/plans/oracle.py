@@ -205,12 +205,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT slug, CASE WHEN n > 1 AND NOT contains(k, lower(town)) THEN 'REMOVE_OR_MERGE' WHEN n > 1 THEN 'MERGE_DUPLICATE' ELSE 'RENAME' END AS action, array_to_string(list_filter(slugs, lambda s: s <> slug), '|') AS shared_with FROM b JOIN g USING (k)""",
         "snapshot_latest": f"WITH {_SNAP} SELECT business_id, ts, name, category FROM snap QUALIFY row_number() OVER (PARTITION BY business_id ORDER BY ts DESC, event_id DESC) = 1",
         "snapshot_diff": f"WITH {_SNAP} {_CHANGE.format('name', 'NAME_CHANGED')} UNION ALL {_CHANGE.format('category', 'CATEGORY_CHANGED')}",
-        "recurrence": f"""WITH {BIZ}, gone AS (SELECT * FROM biz WHERE id IN (SELECT o_custkey FROM orders WHERE o_orderkey % 50 = 0))
+        "recurrence": f"""WITH {BIZ}, gone AS (SELECT * FROM biz WHERE id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000))
             SELECT r.id AS removed_id, c.id AS candidate_id, coalesce(r.normalized_phone = c.normalized_phone, false) AS shared_phone, coalesce(r.domain = c.domain, false) AS shared_domain, coalesce(r.postal_code = c.postal_code, false) AS shared_postal
             FROM gone r JOIN biz c ON r.id <> c.id AND (r.normalized_phone = c.normalized_phone OR r.domain = c.domain OR r.postal_code = c.postal_code)""",
-        "ingest_merge": f"""WITH {P}, i AS (SELECT coalesce(phone, 'none ' || CAST(id AS VARCHAR)) AS place_id, arg_max(name, id) AS name FROM profiles GROUP BY 1), e AS (SELECT * FROM profiles WHERE id % 2 = 0)
+        "ingest_merge": f"""WITH {P}, i AS (SELECT coalesce(phone, 'none ' || CAST(id AS VARCHAR)) AS place_id, arg_max(name, id) AS name FROM profiles GROUP BY 1), e AS (SELECT * FROM profiles WHERE id IN (SELECT o_custkey FROM orders))
             SELECT place_id, name, coalesce((SELECT min(id) FROM e WHERE e.phone = i.place_id), (SELECT min(id) FROM e WHERE e.name = i.name)) AS matched_id FROM i""",
-        "insert_ignore": f"WITH {BIZ} SELECT id, normalized_phone FROM biz WHERE id % 2 = 0",
+        "insert_ignore": f"WITH {BIZ} SELECT id, normalized_phone FROM biz",
         "evidence_hash": "SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR) || '|LISTING|' || o_orderstatus || '|' || o_orderpriority || '|' || strftime(o_orderdate, '%Y-%m-%d')) AS sha256_hash FROM orders",
         "evidence_integrity": "SELECT o_orderkey % 10 <> 0 AS intact, count(*) AS n FROM orders GROUP BY 1",
         "follow_up_queue": "SELECT event_id AS case_id, CASE event_id % 3 WHEN 0 THEN 'SUBMITTED' WHEN 1 THEN 'awaiting_google_review' END AS status, CASE WHEN event_id % 11 = 0 THEN 'not-a-date' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS created_at FROM events WHERE event_id % 3 <> 2 AND (event_id % 11 = 0 OR date_trunc('second', ts) <= TIMESTAMP '2024-01-25 00:00:00')",
@@ -220,11 +220,30 @@ def oracle_sql() -> dict[str, str]:
         "status_summary": "SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus ELSE 'unknown' END AS status, count(*) AS n FROM orders GROUP BY 1",
         "verification_stats": "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS verified, count(*) FILTER (o_orderstatus <> 'F') AS pending FROM orders",
         "pending_verification": "SELECT o_orderkey AS case_id FROM orders WHERE (o_orderkey % 5 <> 0 AND o_orderstatus <> 'F') OR o_orderkey % 3 = 0",
-        "stats_dashboard": "SELECT * FROM (SELECT count(*) AS businesses, count(*) FILTER (c_custkey % 101 >= 50) AS high_risk FROM customer), (SELECT count(*) AS networks, count(*) FILTER (s_suppkey % 4 = 0) AS critical_networks FROM supplier), (SELECT count(*) AS cases, count(*) FILTER (o_orderstatus <> 'F') AS open_cases FROM orders), (SELECT count(*) AS events, count(*) FILTER (event_type = 'purchase') AS recurrence_signals FROM events)",
+        "recurrence_links": f"""WITH {BIZ}, gone AS (SELECT * FROM biz WHERE id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)),
+            x AS (SELECT c.id, CAST((SELECT count(*) FROM gone r WHERE r.id <> c.id AND r.normalized_phone = c.normalized_phone) AS BIGINT) AS phone_links, CAST((SELECT count(*) FROM gone r WHERE r.id <> c.id AND r.domain = c.domain) AS BIGINT) AS domain_links, CAST((SELECT count(*) FROM gone r WHERE r.id <> c.id AND r.postal_code = c.postal_code) AS BIGINT) AS postal_links FROM biz c)
+            SELECT * FROM x WHERE phone_links + domain_links + postal_links > 0""",
+        "stats_dashboard": """SELECT * FROM (SELECT count(*) AS total_businesses_scanned, count(*) FILTER (c_custkey % 101 >= 30) AS potential_policy_issues FROM customer), (SELECT count(*) AS networks_detected FROM supplier),
+            (SELECT count(*) FILTER (o_orderkey % 5 IN (1, 3, 4)) AS high_priority_cases, count(*) FILTER (o_custkey % 4 IN (0, 2)) AS cases_pending, count(*) FILTER (o_orderstatus = 'O') AS cases_submitted, count(*) FILTER (o_orderkey % 7 IN (1, 3, 5)) AS cases_with_observed_action FROM orders),
+            (SELECT count(*) AS evidence_items FROM lineitem), (SELECT count(*) FILTER (event_type = 'purchase') AS recurrence_signals FROM events)""",
+        "business_detail": """WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey, l_partkey FROM lineitem)
+            SELECT 'business' AS section, CAST(1 AS INT) AS position, CAST(7 AS BIGINT) AS id UNION ALL SELECT 'snapshots', CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS INT), o_orderkey FROM orders WHERE o_custkey = 7
+            UNION ALL SELECT 'findings', CAST(row_number() OVER (ORDER BY o_orderkey DESC) AS INT), o_orderkey FROM orders WHERE o_custkey = 7 UNION ALL SELECT 'evidence', CAST(row_number() OVER (ORDER BY id DESC) AS INT), id FROM l WHERE l_suppkey = 7
+            UNION ALL SELECT 'relationships', CAST(row_number() OVER (ORDER BY id DESC) AS INT), id FROM l WHERE l_suppkey = 7 OR l_partkey = 7""",
+        "policy_faults": """SELECT s_suppkey, concat_ws('|', CASE WHEN s_suppkey % 3 = 0 THEN 'category' END, CASE WHEN s_suppkey % 4 = 0 THEN 'description' END, CASE WHEN s_suppkey % 5 = 0 THEN 'official_source_url' END, CASE WHEN s_suppkey % 6 IN (0, 1) THEN 'source_date' END,
+            CASE WHEN s_suppkey % 7 = 0 THEN 'severity' END, CASE WHEN s_suppkey % 8 = 0 THEN 'applicable_to' END, CASE WHEN s_suppkey % 9 = 0 THEN 'examples' END) AS broken FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 4 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 6 = 1 OR s_suppkey % 7 = 0""",
+        "ingest_counters": f"""WITH {P}, i AS (SELECT id AS seq, phone AS place, name, id % 5 <> 0 AS located FROM profiles WHERE id % 17 <> 0), e AS (SELECT * FROM profiles WHERE id IN (SELECT o_custkey FROM orders)),
+            u AS (SELECT * FROM i WHERE NOT coalesce(place IN (SELECT phone FROM e WHERE phone IS NOT NULL), false) AND NOT (located AND name IN (SELECT name FROM e))),
+            n AS (SELECT count(*) AS inserted_businesses FROM u WHERE NOT EXISTS (SELECT 1 FROM u o WHERE o.seq < u.seq AND (o.place = u.place OR (o.located AND u.located AND o.name = u.name)))), t AS (SELECT count(*) AS snapshots_created FROM i)
+            SELECT snapshots_created, inserted_businesses, snapshots_created - inserted_businesses AS updated_businesses FROM t, n""",
+        "composed_address": """SELECT c_custkey, concat_ws(' ', CASE WHEN c_custkey % 3 > 1 THEN c_name END, CASE WHEN c_custkey % 4 > 1 THEN CAST(c_custkey AS VARCHAR) END, CASE WHEN c_custkey % 5 > 1 THEN '1234 AB' END, CASE WHEN c_custkey % 6 > 1 THEN 'Delft' END, 'NL') AS address FROM customer""",
+        "public_maps_url": """SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'https://www.google.com/maps/place/x' WHEN 1 THEN 'https://www.google.com/maps/search/?api=1&query=a' WHEN 2 THEN 'https://www.google.com/maps/place/y' ELSE 'https://www.google.com/maps/search/?api=1&query=' || s_name END AS url FROM supplier""",
+        "rename_share": "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS renames, printf('%.1f', 100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*)) AS percent FROM orders",
+        "quality_metrics": f"WITH {P}, x AS (SELECT id % 12 = 0 AS e, contains(name, '24/7') AS f FROM profiles) SELECT count(*) FILTER (f AND e) AS true_positives, count(*) FILTER (f AND NOT e) AS false_positives, count(*) FILTER (NOT f AND e) AS false_negatives, count(*) FILTER (NOT f AND NOT e) AS true_negatives FROM x",
         "search_businesses": f"WITH {BIZ} SELECT id, name, city, CAST(id % 101 AS INT) AS suspicion_score FROM biz WHERE id % 101 >= 20 AND (name ILIKE '%KLUS%' OR address ILIKE '%KLUS%' OR domain ILIKE '%KLUS%') AND city ILIKE '%delft%' ORDER BY suspicion_score DESC, id LIMIT 50 OFFSET 5",
         "niche_search": f"WITH {P} SELECT id, name FROM profiles WHERE contains(lower(name), 'bakkerij') AND contains(lower(address || name || target_name), 'breda')",
         "edges_of_business": f"WITH {KEYS} SELECT * FROM edges WHERE relationship_type IN ('SAME_PHONE', 'SAME_ADDRESS') AND (source_business_id = 7 OR target_business_id = 7)",
-        "case_master_groups": f"""WITH {P}, t AS (SELECT 'Target ' || CAST(s_suppkey AS VARCHAR) || ' (NL)' AS target_name FROM supplier), s AS (SELECT 'Target ' || CAST(CAST(o_orderkey / 10 % 40 AS BIGINT) AS VARCHAR) || ' (NL)' AS target_name, o_orderkey AS case_id, o_orderstatus AS status, o_orderkey % 20 = 0 AS email_verified FROM orders WHERE o_orderkey % 10 = 0)
+        "case_master_groups": f"""WITH {P}, t AS (SELECT 'Target ' || CAST(s_suppkey AS VARCHAR) || ' (NL)' AS target_name FROM supplier), s AS (SELECT 'Target ' || CAST(o_orderkey % 40 AS VARCHAR) || ' (NL)' AS target_name, o_orderkey AS case_id, o_orderstatus AS status, o_orderkey % 20 = 0 AS email_verified FROM orders)
             SELECT s.target_name, case_id, status, email_verified, count(p.id) AS locations FROM t JOIN s USING (target_name) LEFT JOIN profiles p ON p.target_name = s.target_name GROUP BY 1, 2, 3, 4""",
         "case_businesses_semi": f"WITH {P} SELECT id, name FROM profiles WHERE id IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 7)",
         "review_outcomes": "WITH a AS (SELECT l_orderkey AS id, arg_max(l_returnflag, l_shipdate + to_microseconds(l_linenumber)) AS f FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1) SELECT CASE WHEN f IS NULL THEN 'POTENTIAL' WHEN f = 'A' THEN 'VERIFIED' ELSE 'REJECTED' END AS status, count(*) AS n FROM orders LEFT JOIN a ON id = o_orderkey GROUP BY 1",
@@ -240,7 +259,12 @@ def oracle_sql() -> dict[str, str]:
         "policy_lookup": "SELECT s_suppkey, CASE s_suppkey % 7 WHEN 0 THEN 'GBP-POL-NAME-01' WHEN 1 THEN 'GBP-POL-VO-01' WHEN 2 THEN 'GBP-POL-SAB-01' WHEN 3 THEN 'GBP-POL-DUP-01' WHEN 5 THEN 'GBP-POL-ADDR-01' WHEN 6 THEN 'GBP-POL-LEADGEN-01' END AS policy_id FROM supplier",
         "liveness_status": f"""WITH {P}, f AS (SELECT id, CASE WHEN id % 9 = 0 OR id % 4 = 3 THEN 'REMOVED' WHEN id % 4 = 1 THEN 'PERMANENTLY_CLOSED' WHEN id % 4 = 2 THEN 'TEMPORARILY_CLOSED' ELSE 'UNKNOWN' END AS s FROM profiles)
             SELECT id, CASE WHEN s = 'REMOVED' AND id % 7 <> 0 THEN 'CONFIRMED_REMOVED' WHEN s <> 'UNKNOWN' THEN s WHEN id % 5 = 0 THEN 'UNKNOWN' WHEN id % 2 = 0 THEN 'STILL_ACTIVE' ELSE 'ACTIVE_ADDRESS_HIDDEN' END AS status FROM f""",
-        "conversation_log": "SELECT coalesce(role, 'unknown') AS role, count(*) AS n FROM conversations GROUP BY 1",
     }
+    out["network_detail"] = f"""WITH gn AS ({out['graph_nodes']}), ge AS ({out['graph_edges']}), m AS (SELECT min(component) AS m FROM gn)
+        SELECT 'network' AS section, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'businesses', count(*) FROM gn, m WHERE component = m AND kind = 'business' UNION ALL SELECT 'nodes', count(*) FROM gn, m WHERE component = m UNION ALL SELECT 'edges', count(*) FROM ge, m WHERE component = m"""
+    hot = KEYS.replace("normalized_phone AS k, 1.0 AS w FROM biz WHERE length(normalized_phone) >= 8", "CASE WHEN id % 2 = 0 THEN '201234567' ELSE normalized_phone END AS k, 1.0 AS w FROM biz WHERE id % 2 = 0 OR length(normalized_phone) >= 8")
+    out["edge_classes"] = f"WITH {hot}, d AS (SELECT DISTINCT id, t, k FROM keys WHERE k IS NOT NULL) SELECT id, t AS type, k AS key, min(id) OVER (PARTITION BY t, k) AS head, count(*) OVER (PARTITION BY t, k) - 1 AS n_links FROM d QUALIFY count(*) OVER (PARTITION BY t, k) > 1"
+    out["cluster_queue"] = f"""SELECT 'cluster-' || lpad(CAST(row_number() OVER (ORDER BY profiles DESC, len(string_split(signals, '|')) DESC, component) AS VARCHAR), 3, '0') AS cluster_id, profiles, replace(targets, '|', ' | ') AS targets,
+        review_ready AS review_ready_profiles, review_ready < profiles AS requires_manual_review, replace(signals, '|', ' | ') AS shared_indicators FROM ({out['indicator_clusters']})"""
     out |= {name: f"WITH {KEYS} SELECT * FROM edges WHERE relationship_type = {_q(kind)}" for name, kind in EDGE_QUERIES.items()}
     return out

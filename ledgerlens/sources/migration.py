@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.normalize import address, domain, phone, place_id, place_key, text
 from ledgerlens.operators.cases import evidence_hash, first_by
 from ledgerlens.operators.linkage import brand
+from ledgerlens.operators.networks import numbered
+
+
+def keyed(listings: DataFrame) -> DataFrame:
+    """Listings with the place that each belongs to."""
+    key = F.when(F.regexp_like(text(F.col("url")), F.lit("1s0x")), place_key(F.col("url")))
+    return listings.withColumn("place_id", place_id(F.coalesce(F.nullif(text(F.col("place_id")), F.lit("")), key), F.lit(""), F.col("name"), F.col("address")))
 
 
 def businesses(listings: DataFrame) -> DataFrame:
     """One business a place, the first listing by id winning; national digits are the phone key."""
-    key = F.when(F.regexp_like(text(F.col("url")), F.lit("1s0x")), place_key(F.col("url")))
-    keyed = listings.withColumn("place_id", place_id(F.coalesce(F.nullif(text(F.col("place_id")), F.lit("")), key), F.lit(""), F.col("name"), F.col("address")))
-    first = first_by(keyed.drop("raw"), "place_id", "id")
+    first = first_by(keyed(listings).drop("raw"), "place_id", "id")
     made = first.withColumns({"__p": phone(F.col("phone")), "__a": address(F.col("address")), "__d": domain(F.col("website"))})
     has_site = text(F.col("website")) != ""
     return made.select(
@@ -27,16 +32,34 @@ def businesses(listings: DataFrame) -> DataFrame:
 
 
 def snapshots(listings: DataFrame, migrated: DataFrame, at: str = "snapshot_timestamp") -> DataFrame:
-    """One snapshot a listing, under the business of its place, with the hash of its payload."""
-    places = migrated.select("name", "address", F.col("id").alias("business_id"))
-    by_place = places.groupBy("name", "address").agg(F.min("business_id").alias("business_id"))
-    payload = F.to_json(F.struct(*[F.col(c) for c in ("name", "address", "phone", "website", "category")]))
-    joined = listings.alias("l").join(by_place.alias("p"), F.col("l.name").eqNullSafe(F.col("p.name")) & F.col("l.address").eqNullSafe(F.col("p.address")))
-    found = joined.select("p.business_id", *[F.col(f"l.{c}").alias(c) for c in ("name", "address", "phone", "website", "category", at)])
-    return found.withColumn("raw_payload_json", payload).withColumn("sha256_hash", evidence_hash(F.col("raw_payload_json")))
+    """One snapshot of a business and time, under the business of its own place, with the hash of its payload.
+
+    The payload is the stored document where there is one. Several listings of a place at
+    one time leave the snapshot of the least id.
+    """
+    found = keyed(listings).join(migrated.select("place_id", F.col("id").alias("business_id")), "place_id")
+    fields = ["name", "address", "phone", "website", "category"]
+    made = F.to_json(F.struct(*[F.col(c) for c in fields]))
+    payload = F.coalesce(F.col("payload"), made) if "payload" in listings.columns else made
+    rows = found.select("id", "business_id", *fields, at, payload.alias("raw_payload_json"))
+    rest = [*fields, "raw_payload_json"]
+    one = rows.groupBy("business_id", at).agg(F.min_by(F.struct(*rest), "id").alias("r")).select("business_id", at, "r.*")
+    return one.withColumn("sha256_hash", evidence_hash(F.col("raw_payload_json")))
+
+
+def cases_of(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cases, submissions): a case for each distinct case id of stored submissions, and every submission under its case."""
+    first = submissions.where("case_id is not null").groupBy(F.col("case_id").alias("case_code")).agg(F.min("target_name").alias("title"), F.min("created_at").alias("created_at"))
+    cases = numbered(first, ["case_code"], "id").select("id", "case_code", "title", F.lit("REPORTED").alias("status"), "created_at")
+    kept = submissions.join(cases.select(F.col("id").alias("__case"), "case_code"), submissions["case_id"] == F.col("case_code"))
+    return cases, kept.select(F.col("__case").alias("case_id"), F.col("case_code").alias("google_case_id"), "status", F.col("created_at").alias("submitted_at"))
 
 
-def verification(migrated: DataFrame) -> DataFrame:
+def verification(migrated: DataFrame, snapshots: DataFrame | None = None, cases: DataFrame | None = None, submissions: DataFrame | None = None) -> DataFrame:
     """One row of counts that a migration is checked by."""
     distinct = {"domains": "domain", "phones": "normalized_phone", "postal_codes": "postal_code"}
-    return migrated.agg(F.count(F.lit(1)).alias("businesses"), *[F.count_distinct(F.nullif(F.col(c), F.lit(""))).alias(n) for n, c in distinct.items()])
+    out = migrated.agg(F.count(F.lit(1)).alias("businesses"), *[F.count_distinct(F.nullif(F.col(c), F.lit(""))).alias(n) for n, c in distinct.items()])
+    for name, t in (("snapshots", snapshots), ("cases", cases), ("submissions", submissions)):
+        if t is not None:
+            out = out.join(t.agg(F.count(F.lit(1)).alias(name)), how="cross")  # one row each
+    return out

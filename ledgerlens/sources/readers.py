@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import vocab
 from ledgerlens.functions.normalize import first_filled, text
+from ledgerlens.sources.sinks import upsert
 
 LISTING = (
     "name string, title string, business_name string, address string, formatted_address string, phone string, telephone string, website string, url string, google_maps_url string, "
@@ -32,7 +33,7 @@ def documents(rows: DataFrame, target: str | None = None, strict: bool = False)
         first_filled(text(F.col("d.google_maps_url")), text(F.col("d.url"))).alias("url"), F.col("d.snippet").alias("snippet"), F.col("d.category").alias("category"),
         F.col("d.rating").alias("rating"), F.col("d.review_count").alias("review_count"), F.col("d.review_status").alias("review_status"),
         F.col("d.is_reportable").alias("is_reportable"), F.col("d.actual_occupant").alias("actual_occupant"), F.col("d.kvk_status").alias("kvk_status"),
-        F.col("d.place_id").alias("place_id"), "raw",
+        F.col("d.place_id").alias("place_id"), F.col("data").alias("payload"), "raw",
     )
 
 
@@ -62,16 +63,57 @@ def targets_with_locations(targets: DataFrame, locations: DataFrame, target: str
     return locations.join(site, "target_name").withColumn("website", F.coalesce(F.nullif("website", F.lit("")), "__site")).drop("__site")
 
 
+#: Where official policy texts are published (fixed value).
+POLICY_SOURCE = "https://support.google.com/"
+POLICY = (
+    "policy_id string, category string, title string, severity string, description string, official_source_url string, source_date string, last_verified string, "
+    "applicable_to array<string>, examples array<string>, counter_examples array<string>"
+)
+
+
 def policies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(vocab.POLICIES, "policy_id string, category string, title string, severity string")
+    """The policy records, in all columns; what the list does not name has a plain default."""
+    rows = [(*p, f"{p[2]}.", f"{POLICY_SOURCE}business/answer/3038177", "2024-01-01", "2024-01-01", ["all listings"], [p[2]], ["listings that keep this rule"]) for p in vocab.POLICIES]
+    return spark.createDataFrame(rows, POLICY)
+
+
+def _broken() -> Column:
+    """The rules that a policy record breaks."""
+    filled = lambda c: text(F.col(c)) != ""
+    dated = lambda c: F.regexp_like(text(F.col(c)), F.lit(r"^\d{4}-\d{2}-\d{2}$")) & F.try_to_date(F.col(c).cast("string")).isNotNull()
+    listed = lambda c: F.coalesce(F.forall(c, lambda x: text(x) != ""), F.lit(False))
+    rules = {c: filled(c) for c in ("policy_id", "category", "title", "description")}
+    rules |= {"official_source_url": F.startswith(text(F.col("official_source_url")), F.lit(POLICY_SOURCE)), "source_date": dated("source_date"), "last_verified": dated("last_verified")}
+    rules |= {"severity": F.col("severity").isin("CRITICAL", "HIGH", "MEDIUM")} | {c: listed(c) for c in ("applicable_to", "examples", "counter_examples")}
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
 
 
 def policy_faults(records: DataFrame) -> DataFrame:
     """Policy records that break a rule, with the rules broken."""
-    filled = lambda c: text(F.col(c)) != ""
-    rules = {
-        "empty field": filled("policy_id") & filled("category") & filled("title"), "severity": F.col("severity").isin("LOW", "MEDIUM", "HIGH", "CRITICAL"),
-        "source url": F.regexp_like(text(F.col("official_source_url")), F.lit("^https://support\\.")) , "date": F.try_to_date(F.col("source_date").cast("string")).isNotNull(),
-    }
-    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
-    return records.withColumn("broken", broken).where(F.size("broken") > 0)
+    return records.withColumn("broken", _broken()).where(F.size("broken") > 0)
+
+
+def upserted_policies(existing: DataFrame, new: DataFrame, at: Column) -> DataFrame:
+    """existing with sound records of new in the place of those with their id; a faulty record fails the read."""
+    fault = F.raise_error(F.concat(F.lit("faulty policy: "), F.array_join("broken", ", ")))
+    checked = new.withColumn("broken", _broken()).withColumn("policy_id", F.when(F.size("broken") > 0, fault).otherwise(F.col("policy_id")))
+    return upsert(existing, checked.drop("broken").withColumn("created_at", at), ["policy_id"])
+
+
+#: Aliases of the fields of a found profile, in order (fixed values).
+PROFILE_FIELDS = {
+    "google_maps_url": ["google_maps_url", "url"], "place_identifier": ["place_identifier", "place_id", "cid"], "business_name": ["business_name", "name", "title"],
+    "address": ["address", "formatted_address"], "phone": ["phone", "telephone"], "website": ["website", "domain"], "category": ["category", "types"], "rating": ["rating"],
+    "review_count": ["review_count", "reviews", "user_ratings_total"], "coordinates": ["coordinates", "location"], "service_area": ["service_area"],
+    "description": ["description", "snippet"], "opening_hours": ["opening_hours"], "source_timestamp": ["source_timestamp"],
+}
+
+
+def profile_fields(raw: DataFrame, now: Column) -> DataFrame:
+    """All fourteen fields of found profiles as text: the first filled alias, `unknown` where none is (source_timestamp: now)."""
+    def field(name: str) -> Column:
+        values = [F.col(c).cast("string") for c in PROFILE_FIELDS[name] if c in raw.columns]
+        filled = F.coalesce(*[F.when(~v.isin("", "None"), v) for v in values]) if values else F.lit(None).cast("string")
+        return F.coalesce(filled, now.cast("string") if name == "source_timestamp" else F.lit("unknown"))
+
+    return raw.select(*[c for c in raw.columns if c == "seq"], *[field(f).alias(f) for f in PROFILE_FIELDS])

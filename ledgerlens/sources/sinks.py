@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,8 +22,10 @@ def write_batches(batched: DataFrame, manifest: DataFrame, path: str) -> None:
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """existing with the rows of new in place of those with their keys."""
-    return existing.join(new.select(*keys), keys, "left_anti").unionByName(new.dropDuplicates(keys), allowMissingColumns=True)
+    """existing with the rows of new in place of those with their keys; of several new rows of a key, one by the hash of its columns."""
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.xxhash64(*rest)).alias("__r")).select(*keys, "__r.*") if rest else new.distinct()
+    return existing.join(new.select(*keys), keys, "left_anti").unionByName(one.select(*new.columns), allowMissingColumns=True)
 
 
 def replace_partition(df: DataFrame, path: str, column: str) -> None:
@@ -33,7 +35,7 @@ def replace_partition(df: DataFrame, path: str, column: str) -> None:
 
 def latest_status(events: DataFrame, key: str = "case_id") -> DataFrame:
     """Status of each key from an append-only event log."""
-    return events.groupBy(key).agg(F.max_by("status", "created_at").alias("status"), F.max("created_at").alias("updated_at"))
+    return events.groupBy(key).agg(F.max_by("status", F.struct("created_at", "status")).alias("status"), F.max("created_at").alias("updated_at"))
 
 
 def network_report(network: dict[str, object], members: DataFrame, edges: DataFrame, shown: int = 50) -> str:
@@ -67,11 +69,50 @@ def intelligence_report(metrics: dict[str, object], hubs: DataFrame, shown: int
 
 
 def master_report(groups: DataFrame, shown: int = 500) -> str:
-    """Markdown table of case groups."""
+    """Markdown table of case groups, cut at `shown` rows with the total named."""
     head = ["target_name", "case_id", "status", "email_verified", "locations"]
-    rows = groups.orderBy("target_name", "case_id").limit(shown).collect()
+    rows, total = groups.orderBy("target_name", "case_id").limit(shown).collect(), groups.count()
     lines = ["# Cases", "", "| " + " | ".join(head) + " |", "|" + " --- |" * len(head)]
-    return "\n".join([*lines, *["| " + " | ".join(str(r[c]) for c in head) + " |" for r in rows], ""])
+    return "\n".join([*lines, *["| " + " | ".join(str(r[c]) for c in head) + " |" for r in rows], "", f"{min(shown, total)} of {total} rows.", ""])
+
+
+#: Columns of the syndicate and of the franchise file, and the texts of the former's constant columns (fixed values).
+SYNDICATE_COLUMNS = ["Business Name on Profile", "Google Maps URL", "Reported Address", "Actual Occupant / True Business", "KvK Commercial Registry Status", "Specific Policy Violation Details"]
+SYNDICATE_PLACE, SYNDICATE_SEARCH = "Netherlands (National / Virtual Dispatch)", "https://www.google.com/maps/search/"
+CHAIN_COLUMNS = ["city", "branch_url", "landing_h1", "schema_name", "gbp_title", "proposed_name", "action", "confidence", "stuffed_parts", "gbp_url"]
+
+
+def syndicate_rows(footprints: DataFrame, syndicate: str) -> DataFrame:
+    """The syndicate file: one row a footprint(domain, gtm, kvk, deceptive_claims), with defaults where nothing was found."""
+    bare = F.regexp_replace("domain", r"\.(nl|be)", "")
+    listed = lambda c, separator, default: F.when(F.size(c) > 0, F.array_join(c, separator)).otherwise(default)
+    details = F.concat(F.lit("Lead-generation portal ("), "domain", F.lit("). GTM: "), listed("gtm", ", ", "None"), F.lit(". Violations: "), listed("deceptive_claims", "; ", "Leadgen portal front"))
+    made = [
+        F.initcap(F.replace(bare, F.lit("-"), F.lit(" "))), F.concat(F.lit(SYNDICATE_SEARCH), bare), F.lit(SYNDICATE_PLACE), F.lit(f"{syndicate} - Affiliate Leadgen Front"),
+        F.concat(F.lit("KvK: "), listed("kvk", ", ", "Unregistered")), details,
+    ]
+    return footprints.select(*[c.alias(name) for c, name in zip(made, SYNDICATE_COLUMNS, strict=True)])
+
+
+def review_queue(clusters: DataFrame) -> DataFrame:
+    """The review queue of indicator clusters: numbered in their order, lists joined with ' | '."""
+    order = Window.orderBy(F.desc("profiles"), F.desc(F.size("signals")), "component")  # one row a cluster
+    code = F.format_string("cluster-%03d", F.row_number().over(order))
+    return clusters.select(
+        code.alias("cluster_id"), "profiles", F.array_join("targets", " | ").alias("targets"), F.col("review_ready").alias("review_ready_profiles"),
+        (F.col("review_ready") < F.col("profiles")).alias("requires_manual_review"), F.array_join("signals", " | ").alias("shared_indicators"),
+    )
+
+
+def chain_audit(audits: DataFrame) -> DataFrame:
+    """The ten columns of a chain's audit file."""
+    return audits.withColumn("stuffed_parts", F.array_join("stuffed_parts", " | ")).select(*CHAIN_COLUMNS)
+
+
+def rename_share(audits: DataFrame) -> DataFrame:
+    """One row: audited listings, renames, and their share in percent with one decimal."""
+    counted = audits.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("action") == "RENAME").alias("renames"))
+    return counted.withColumn("percent", F.when(F.col("total") > 0, F.format_string("%.1f", 100 * F.col("renames") / F.col("total"))))
 
 
 def explanation(points: list[str], limit: int = 1000) -> str:

@@ -5,9 +5,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import cases, linkage, monitoring, networks, pages, read_model
+from ledgerlens.functions import sanitize
+from ledgerlens.operators import cases, linkage, monitoring, networks, pages, read_model, state
 from ledgerlens.operators.components import connected_components
-from ledgerlens.sources import readers, schema, sinks
+from ledgerlens.sources import migration, readers, schema, sinks
 
 
 def reach(pairs):
@@ -27,13 +28,15 @@ def reach(pairs):
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), min_size=1, max_size=40))
 def test_components_are_the_transitive_closure(spark, pairs):
-    got = connected_components(spark.createDataFrame(pairs, "a long, b long"))
-    assert {r["id"]: r["component"] for r in got.collect()} == reach(pairs)
+    for small in (200_000, 2):  # in one task, and by contraction
+        got = connected_components(spark.createDataFrame(pairs, "a long, b long"), small=small)
+        assert {r["id"]: r["component"] for r in got.collect()} == reach(pairs)
 
 
 def test_components_of_a_long_chain_and_of_nothing(spark):
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert connected_components(chain).where("component <> 0").count() == 0
+    assert connected_components(chain, small=50).where("component <> 0").count() == 0
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -150,7 +153,8 @@ def test_migration_config_and_reports(spark, tmp_path):
     made = migration.businesses(docs)
     r = made.first()
     assert made.count() == 1 and (r["id"], r["normalized_phone"], r["house_number"], r["normalized_name"], r["domain"]) == (1, "0201234567", "1", "a", "a.nl")
-    snaps = migration.snapshots(docs.withColumn("snapshot_timestamp", F.lit("2024-01-01").cast("timestamp")), made)
+    assert migration.snapshots(docs.withColumn("snapshot_timestamp", F.lit("2024-01-01").cast("timestamp")), made).count() == 1  # unique by business and time
+    snaps = migration.snapshots(docs.withColumn("snapshot_timestamp", F.timestamp_seconds("id")), made)
     assert snaps.count() == 2 and snaps.select("business_id").distinct().first()[0] == 1
     assert migration.verification(made).first()["phones"] == 1
     assert config.load("/nowhere")["batch_size"] == 20
@@ -160,3 +164,79 @@ def test_migration_config_and_reports(spark, tmp_path):
     assert "H: 6 profiles" in sinks.intelligence_report({"total_locations": 6}, hubs)
     named = networks.named_syndicates(spark.createDataFrame([(1, "Skibox NL"), (2, "x")], "id long, target_name string"), {"boxes": ["Skibox", "Topspace"]})
     assert [tuple(r) for r in named.collect()] == [("boxes", 1)]
+
+
+def test_hot_key_classes_are_linear(spark):
+    """Half of all listings share one phone: one row a carrier, and as many links as pairs would give."""
+    rows = [(i, f"Naam {i}", "Delft", "", f"Laan {i}, {1000 + i} AA Delft", "020-1234567" if i % 2 else None, None, "T") for i in range(400)]
+    keyed = linkage.keys(biz(spark, rows))
+    found = linkage.classes(keyed.where("type = 'SAME_PHONE'")).collect()
+    assert len(found) == 200 and {(r["head"], r["n_links"]) for r in found} == {(1, 199)}
+    b = biz(spark, rows)
+    links = linkage.recurrence_links(b.where("id < 100"), b)
+    by = {r["id"]: r["phone_links"] for r in links.collect()}
+    assert len(by) == 200 and by[1] == 49 and by[399] == 50
+    assert linkage.recurrence_events(links, F.current_timestamp()).select("event_type").distinct().collect()[0][0] == "REINCARNATION_SIGNAL"
+
+
+def test_policies_are_sound_and_faults_are_named(spark):
+    good = readers.policies(spark)
+    assert readers.policy_faults(good).count() == 0
+    bad = good.limit(1).withColumns({"severity": F.lit("LOW"), "source_date": F.lit("2024-13-01"), "examples": F.array(F.lit(" "))})
+    assert readers.policy_faults(bad).first()["broken"] == ["source_date", "severity", "examples"]
+    changed = good.where("policy_id = 'GBP-POL-DUP-01'").withColumn("title", F.lit("new"))
+    out = readers.upserted_policies(good.withColumn("created_at", F.current_timestamp()), changed, F.current_timestamp())
+    assert out.count() == good.count() and out.where("title = 'new'").count() == 1
+
+
+def test_sanitizer_knows_every_service_and_town(spark):
+    rows = [("Vermeer | Laser ontharen",), ("Boerhof - Bomen snoeien Arnhem Noord",), ("Financiele planning Haarlem Zuid",)]
+    none = F.lit(None).cast("string")
+    got = [r[0] for r in spark.createDataFrame(rows, "name string").select(sanitize.sanitized(F.col("name"), none, none, none).alias("s")).collect()]
+    assert got[0]["action"] == "RENAME" and got[0]["clean_name"] == "Vermeer"
+    assert got[1]["clean_name"] == "Boerhof" and got[2]["action"] in ("REMOVE", "RENAME")
+
+
+def test_ingest_inserts_updates_and_snapshots(spark):
+    existing = spark.createDataFrame([(1, "p1", "Alfa", "old", None, None), (2, None, "Beta", None, "1", None)], "id long, place_id string, name string, address string, phone string, canonical_url string")
+    rows = [(1, "p1", "Anders", "new", "", None), (2, None, "Beta", "adres", "2", None), (3, None, "Beta", None, "3", None), (4, "p4", "Gamma", "x", "4", "w"), (5, "p4", "Gamma 2", "y", None, None), (6, None, None, "z", "6", None)]
+    raw = spark.createDataFrame(rows, "seq long, place_id string, title string, formatted_address string, phone string, domain string")
+    fields = readers.profile_fields(raw, F.lit("2024-01-01"))
+    assert fields.where("seq = 6").first()["business_name"] == "unknown" and fields.where("seq = 4").first()["website"] == "w"
+    kept, snapshots, counters = cases.ingested(existing, fields, F.lit("2024-01-01").cast("timestamp"))
+    assert counters.first().asDict() == {"snapshots_created": 5, "inserted_businesses": 2, "updated_businesses": 3}
+    by = {r["id"]: (r["place_id"], r["name"], r["address"], r["phone"]) for r in kept.collect()}
+    assert by == {1: ("p1", "Alfa", "new", None), 2: (None, "Beta", "adres", "2"), 3: (None, "Beta", None, "3"), 4: ("p4", "Gamma", "y", "4")}
+    assert snapshots.count() == 5 and snapshots.where("length(sha256_hash) = 64").count() == 5
+
+
+def test_details_locations_and_events(spark):
+    b = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    child = spark.createDataFrame([(i, 1, f"2024-01-{i % 9 + 1:02d}") for i in range(450)], "id long, business_id long, snapshot_timestamp string")
+    links = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "source_business_id long, target_business_id long")
+    found = read_model.business_detail(1, b, child, child, child, links)
+    assert found["snapshots"].count() == 450 and found["snapshots"].first()["snapshot_timestamp"] == "2024-01-09"
+    assert found["relationships"].count() == 2 and read_model.business_detail(9, b, child, child, child, links) is None
+    locations = spark.createDataFrame([(4, "T", "{}")], "id long, target_name string, data string")
+    assert state.with_location(locations, "T", {"name": "x"}).orderBy("id").collect()[1].asDict() == {"id": 5, "target_name": "T", "data": '{"name": "x"}'}
+    events = spark.createDataFrame([], "case_id string, event_type string, details string, created_at timestamp")
+    assert state.with_event(events, "c", "opened", F.current_timestamp()).first()["event_type"] == "opened"
+
+
+def test_files_of_syndicates_and_chains(spark):
+    prints = spark.createDataFrame([("loden-dak.nl", ["GTM-1"], [], ["x", "y"]), ("a.be", [], ["12345678"], [])], "domain string, gtm array<string>, kvk array<string>, deceptive_claims array<string>")
+    rows = sinks.syndicate_rows(prints, "Noord").collect()
+    assert rows[0][0] == "Loden Dak" and rows[0][4] == "KvK: Unregistered" and "x; y" in rows[0][5] and "Leadgen portal front" in rows[1][5]
+    audits = spark.createDataFrame([("c", "u", "h", "s", "t", "p", "RENAME", "HIGH", ["a", "b"], "g")], ", ".join(f"{c} {'array<string>' if c == 'stuffed_parts' else 'string'}" for c in sinks.CHAIN_COLUMNS))
+    assert sinks.chain_audit(audits).first()["stuffed_parts"] == "a | b" and sinks.rename_share(audits).first()["percent"] == "100.0"
+
+
+def test_snapshots_stand_under_their_own_place(spark):
+    rows = [(1, "T", '{"name": "A", "address": "x", "place_id": "p1"}'), (2, "T", '{"name": "A", "address": "x", "place_id": "p2"}')]
+    docs = readers.documents(spark.createDataFrame(rows, "id long, target_name string, data string")).withColumn("snapshot_timestamp", F.lit("2024-01-01"))
+    made = migration.businesses(docs)
+    shots = migration.snapshots(docs, made).collect()
+    assert {r["business_id"] for r in shots} == {1, 2} and {r["raw_payload_json"] for r in shots} == {r[2] for r in rows}
+    subs = spark.createDataFrame([("T", "c1", "submitted", "2024"), ("T", "c1", "submitted", "2025"), ("U", "c2", "draft", "2024")], "target_name string, case_id string, status string, created_at string")
+    found, kept = migration.cases_of(subs)
+    assert migration.verification(made, migration.snapshots(docs, made), found, kept).first().asDict() | {"x": 0} == {"businesses": 2, "domains": 0, "phones": 0, "postal_codes": 0, "snapshots": 2, "cases": 2, "submissions": 3, "x": 0}
