@@ -131,7 +131,7 @@ class ClassModels:
 class WordEvidence(dict):
     """Evidence of recent distinct words; missing ones are computed together."""
 
-    def __init__(self, models: ClassModels, limit: int = 400_000) -> None:
+    def __init__(self, models: ClassModels, limit: int = 200_000) -> None:
         super().__init__()
         self.models, self.limit = models, limit
 
