@@ -4,7 +4,9 @@ Every text gets plain counts; their transforms are a vector. Per language and so
 location and scatter are estimated by the minimum-covariance-determinant method: from
 robust starts (medians with median deviations; means with deviations), concentration
 steps re-estimate both from the share `support` of rows with the least Mahalanobis
-distances, the start with the smaller determinant wins, and one reweighting step follows.
+distances until no determinant falls any more, the start with the smaller determinant wins,
+and one reweighting step follows. The estimate of a language and source is drawn towards
+that of all rows with the weight of `prior_rows` rows, alike for groups of every size.
 A row whose squared distance exceeds the chi-square quantile `reject` is an outlier.
 
 The statistics are one small row a text, checkpointed; each concentration step is two
@@ -12,8 +14,8 @@ grouped aggregates over them (a mergeable quantile sketch for the cut, then sums
 products), so a hot group is combined before its shuffle and no group meets in one task.
 The estimates are one row a group.
 
-Cases: null text has no words. Null lang or source form groups of their own. Groups with
-under `least_rows` rows not failing the base rules use the estimate of all rows. Constant
+Cases: null text has no words. Null lang or source form groups of their own. Groups without
+a row that passes the base rules have the estimate of all rows. Constant
 statistics do not make the scatter singular: each variance has a documented floor.
 Repeated rows come back as often as they occur; extra columns are ignored.
 """
@@ -40,6 +42,8 @@ FREE_LINES, FREE_WORDS, FREE_SHARE = 1.0, 24.0, 0.2
 REJECT = 25.745
 #: Quantiles 0.975 and 0.75 of the same law, for reweighting and the support's scale (fixed values).
 REWEIGHT, MIDDLE = 12.833, 6.626
+#: A log determinant that falls by less has settled.
+CONVERGED = 1e-3
 
 
 def counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -151,11 +155,12 @@ def _measured(rows: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
     return _joined(rows, est.select(*kept), keys).withColumns(_distance(F.col("scale")))
 
 
-def robust_estimates(rows: DataFrame, support: float = 0.75, steps: int = 3) -> DataFrame:
-    """Minimum-covariance-determinant location and scatter of each group of rows.
+def determinants(rows: DataFrame, support: float = 0.75, most_steps: int = 30) -> DataFrame:
+    """The raw estimate of each group: moments of the share `support` of rows with the least determinant found.
 
-    rows: doc_id, group (non-null) and STATISTICS. Returns group, n, m_i, l_ij, scale.
-    Both starts run side by side, as groups of their own.
+    rows: doc_id, group (non-null) and STATISTICS. Returns group, n, m_i, c_ij, l_ij, log_det.
+    Both starts run side by side, as groups of their own, until no determinant falls by more
+    than CONVERGED any more; `most_steps` only ends a run whose approximate cuts would swing.
     """
     p = len(STATISTICS)
     middle = checkpointed(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(STATISTICS)]))
@@ -171,32 +176,52 @@ def robust_estimates(rows: DataFrame, support: float = 0.75, steps: int = 3) ->
     keys = ["group", "start"]
     est = checkpointed(_cholesky(diagonal.unionByName(plain)).withColumn("scale", F.lit(1.0)))
     twice = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    for _ in range(steps):
+    for step in range(most_steps):
         near = _measured(twice, est, keys)
         cut = checkpointed(near.groupBy(*keys).agg(F.percentile_approx("d2", support, 1000).alias("cut")))
         inner = _joined(near, cut, keys).where("d2 <= cut")
-        est = checkpointed(_cholesky(_moments(inner, keys)).withColumn("scale", F.lit(1.0)))
+        before = est.select(*keys, F.col("log_det").alias("before"))
+        est = checkpointed(_cholesky(_moments(inner, keys)).withColumn("scale", F.lit(1.0)).join(before, keys))
+        falling = est.where(F.col("before") - F.col("log_det") > CONVERGED)
+        est = est.drop("before")
+        if step and falling.isEmpty():  # the first step leaves the starts' own scatter, which is no subset's
+            break
     rest = [c for c in est.columns if c not in ("group", "log_det")]
-    best = checkpointed(est.groupBy("group").agg(F.min(F.struct("log_det", *rest)).alias("e")).select("group", "e.*"))
+    return checkpointed(est.groupBy("group").agg(F.min(F.struct("log_det", *rest)).alias("e")).select("group", "e.*"))
+
+
+def robust_estimates(rows: DataFrame, support: float = 0.75) -> DataFrame:
+    """Minimum-covariance-determinant location and scatter of each group of rows, reweighted.
+
+    rows: doc_id, group (non-null) and STATISTICS. Returns group, n, m_i, c_ij, l_ij, scale.
+    """
+    best = determinants(rows, support)
     half = _measured(rows, best, ["group"]).groupBy("group").agg(F.percentile_approx("d2", support, 1000).alias("q"))
     scaled = checkpointed(best.drop("scale").join(half, "group").withColumn("scale", F.greatest(F.col("q") / MIDDLE, F.lit(0.5))))
     inner = _measured(rows, scaled, ["group"]).where(f"d2 <= {REWEIGHT}")
-    sizes = middle.select("group", F.col("n").alias("size"))
-    return checkpointed(_cholesky(_moments(inner, ["group"])).withColumn("scale", F.lit(1.0)).join(sizes, "group"))
+    return checkpointed(_cholesky(_moments(inner, ["group"])).withColumn("scale", F.lit(1.0)))
 
 
 EVERY = "every"
 
 
-def judged(docs: DataFrame, support: float = 0.75, reject: float = REJECT, least_rows: int = 100) -> DataFrame:
+def _shrunk(groups: DataFrame, est: DataFrame, prior_rows: float) -> DataFrame:
+    """Each own group's estimate drawn towards that of all rows, as if the latter stood for prior_rows rows."""
+    p = len(STATISTICS)
+    parts = [f"m{i}" for i in range(p)] + [f"c{i}{j}" for i in range(p) for j in range(i, p)]
+    every = est.where(F.col("group") == EVERY).select(*[F.col(c).alias(f"e_{c}") for c in parts])
+    own = groups.join(est.select(F.col("group").alias("own"), "n", *parts), "own", "left").join(F.broadcast(every), how="cross")  # one row
+    weight = F.coalesce("n", F.lit(0)) / (F.coalesce("n", F.lit(0)) + F.lit(prior_rows))
+    drawn = {c: weight * F.coalesce(c, f"e_{c}") + (1 - weight) * F.col(f"e_{c}") for c in parts}
+    return _cholesky(own.select("own", *[v.alias(c) for c, v in drawn.items()])).withColumn("scale", F.lit(1.0))
+
+
+def judged(docs: DataFrame, support: float = 0.75, reject: float = REJECT, prior_rows: float = 50.0) -> DataFrame:
     """doc_id, the counts, base_failed, distance (squared Mahalanobis), kept."""
     own = F.concat(F.lit("of "), F.coalesce("lang", F.lit("\0")), F.lit("\x01"), F.coalesce("source", F.lit("\0")))
     rows = checkpointed(statistics(docs).withColumn("own", own))
     sound = rows.where("not base_failed").select("doc_id", *STATISTICS, F.explode(F.array(F.col("own"), F.lit(EVERY))).alias("group"))
-    est = robust_estimates(sound, support).where((F.col("size") >= least_rows) | (F.col("group") == EVERY))
-    known = est.select(F.col("group").alias("own"), F.lit(1).alias("known"))
-    groups = rows.select("own").distinct().join(known, "own", "left").select("own", F.when(F.col("known") == 1, F.col("own")).otherwise(EVERY).alias("group"))
-    chosen = checkpointed(groups.join(est, "group").drop("group"))
+    chosen = checkpointed(_shrunk(rows.select("own").distinct(), robust_estimates(sound, support), prior_rows))
     measured = _measured(rows, chosen, ["own"]) if not chosen.isEmpty() else rows.withColumn("d2", F.lit(None).cast("double"))
     return measured.select(
         "doc_id", *COUNTS, "base_failed", F.col("d2").alias("distance"),
