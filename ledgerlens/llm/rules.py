@@ -23,6 +23,7 @@ Repeated rows come back as often as they occur; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -142,25 +143,26 @@ BROADCAST_GROUPS = 20_000
 SALTS = 32
 
 
-def _joined(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the one row of their group in small (checkpointed), never a group in one task."""
-    if small.count() <= BROADCAST_GROUPS:
+def _joined(rows: DataFrame, small: DataFrame, keys: list[str], few: bool | None = None) -> DataFrame:
+    """rows with the one row of their group in small, never a group in one task; few: whether small is known to fit a broadcast."""
+    if small.count() <= BROADCAST_GROUPS if few is None else few:
         return rows.join(F.broadcast(small), keys)
     spread = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread, [*keys, "salt"]).drop("salt")
 
 
-def _measured(rows: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
+def _measured(rows: DataFrame, est: DataFrame, keys: list[str], few: bool | None = None) -> DataFrame:
     kept = [c for c in est.columns if c in keys or c == "scale" or c[0] in "ml" and c[1:].isdigit()]
-    return _joined(rows, est.select(*kept), keys).withColumns(_distance(F.col("scale")))
+    return _joined(rows, est.select(*kept), keys, few).withColumns(_distance(F.col("scale")))
 
 
 def determinants(rows: DataFrame, support: float = 0.75, most_steps: int = 30) -> DataFrame:
     """The raw estimate of each group: moments of the share `support` of rows with the least determinant found.
 
     rows: doc_id, group (non-null) and STATISTICS. Returns group, n, m_i, c_ij, l_ij, log_det.
-    Both starts run side by side, as groups of their own, until no determinant falls by more
-    than CONVERGED any more; `most_steps` only ends a run whose approximate cuts would swing.
+    Both starts run side by side, as groups of their own; each leaves the steps once its
+    determinant falls by no more than CONVERGED. `most_steps` is a bound that falling
+    determinants are not known to reach.
     """
     p = len(STATISTICS)
     middle = checkpointed(rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(STATISTICS)]))
@@ -175,19 +177,24 @@ def determinants(rows: DataFrame, support: float = 0.75, most_steps: int = 30) -
     plain = _moments(rows, ["group"]).withColumn("start", F.lit(1))
     keys = ["group", "start"]
     est = checkpointed(_cholesky(diagonal.unionByName(plain)).withColumn("scale", F.lit(1.0)))
+    few = est.count() <= BROADCAST_GROUPS
     twice = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    settled = []
     for step in range(most_steps):
-        near = _measured(twice, est, keys)
-        cut = checkpointed(near.groupBy(*keys).agg(F.percentile_approx("d2", support, 1000).alias("cut")))
-        inner = _joined(near, cut, keys).where("d2 <= cut")
+        near = _measured(twice, est, keys, few)
+        cut = near.groupBy(*keys).agg(F.percentile_approx("d2", support, 1000).alias("cut"))
+        inner = _joined(near, cut, keys, few).where("d2 <= cut")
         before = est.select(*keys, F.col("log_det").alias("before"))
         est = checkpointed(_cholesky(_moments(inner, keys)).withColumn("scale", F.lit(1.0)).join(before, keys))
-        falling = est.where(F.col("before") - F.col("log_det") > CONVERGED)
-        est = est.drop("before")
-        if step and falling.isEmpty():  # the first step leaves the starts' own scatter, which is no subset's
+        # the first step leaves the starts' own scatter, which is no subset's: none settles there
+        falls = (F.col("before") - F.col("log_det") > CONVERGED) | F.lit(step == 0)
+        settled.append(est.where(~falls))
+        est = est.where(falls)
+        if est.isEmpty():
             break
-    rest = [c for c in est.columns if c not in ("group", "log_det")]
-    return checkpointed(est.groupBy("group").agg(F.min(F.struct("log_det", *rest)).alias("e")).select("group", "e.*"))
+    every = reduce(DataFrame.unionByName, [*settled, est]).drop("before")
+    rest = [c for c in every.columns if c not in ("group", "log_det")]
+    return checkpointed(every.groupBy("group").agg(F.min(F.struct("log_det", *rest)).alias("e")).select("group", "e.*"))
 
 
 def robust_estimates(rows: DataFrame, support: float = 0.75) -> DataFrame:
