@@ -152,6 +152,18 @@ def named_syndicates(profiles: DataFrame, names: dict[str, list[str]]) -> DataFr
     return profiles.select(F.explode(each).alias("syndicate"), "id")
 
 
+def syndicate_rows(members: DataFrame, profiles: DataFrame, kinds: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row a syndicate of kinds (name: type, severity): its listings, and how many phone blocks and towns they use.
+
+    members: syndicate, id, repeats allowed. A syndicate without members has zeros; members stay rows, never a list.
+    """
+    digits = plain_phone(F.col("phone"), least=1, rewrite_from=2)
+    used = profiles.select("id", F.when(F.length(digits) >= 6, F.substring(digits, 1, 6)).alias("block"), F.col("city").alias("town"))
+    counted = members.distinct().join(used, "id").groupBy("syndicate").agg(F.count(F.lit(1)).alias("locations_count"), F.count_distinct("block").alias("phone_blocks"), F.count_distinct("town").alias("towns"))
+    named = members.sparkSession.createDataFrame([(n, *k) for n, k in kinds.items()], "syndicate string, network_type string, severity string")
+    return named.join(counted, "syndicate", "left").fillna(0, ["locations_count", "phone_blocks", "towns"])
+
+
 def dense_hubs(profiles: DataFrame, hubs: dict[str, str], least: int = 5, shown: int = 8) -> DataFrame:
     """hub_name, total_profiles, unique_trades_count, sample_trades of hubs with `least` profiles or more."""
     where = F.concat_ws("\n", F.lower(text(F.col("address"))), F.lower(text(F.col("site_address"))))

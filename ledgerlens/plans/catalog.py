@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import normalize, score
 from ledgerlens.functions.sanitize import sanitized
-from ledgerlens.operators import cases, linkage, monitoring, networks, pages, read_model
+from ledgerlens.operators import cases, ledger, linkage, monitoring, networks, pages, read_model, state
 from ledgerlens.plans.profiles import profiles
 from ledgerlens.sources import readers, sinks
 
@@ -559,3 +559,182 @@ def remediation_tally(spark: SparkSession, d: str) -> DataFrame:
 @query
 def remediation_counts(spark: SparkSession, d: str) -> DataFrame:
     return cases.remediation_counts(name_sanitize(spark, d))
+
+
+@query
+def evidence_record(spark: SparkSession, d: str) -> DataFrame:
+    seen = read(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("business_id"), F.col("o_orderpriority").alias("observation"), F.when(F.col("o_orderkey") % 3 == 0, "WEBSITE").alias("evidence_type"))
+    evidence, findings = ledger.recorded(seen, 7, 100, F.lit(NOW))
+    told = findings.select(F.element_at("supporting_evidence_ids", 1).alias("id"), "policy_id", "status", "reasoning_summary")
+    return evidence.select("id", "evidence_code", "business_id", "evidence_type", "policy_relevance", "sha256_hash").join(told, "id")
+
+
+@query
+def evidence_list(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.listed(_tables(spark, d)["evidence"], "business_id", 7)
+
+
+@query
+def case_summary(spark: SparkSession, d: str) -> DataFrame:
+    t = _tables(spark, d)
+    lines = read(spark, d, "lineitem")
+    links = read(spark, d, "orders").select(F.pmod(F.col("o_orderkey"), F.lit(20)).alias("case_id"), F.col("o_custkey").alias("business_id"))
+    evidence = lines.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("id"))
+    submissions = lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("case_id"))
+    outcomes = read(spark, d, "orders").select(F.pmod(F.col("o_custkey"), F.lit(50)).alias("case_id"), F.col("o_orderkey").alias("id"))
+    return ledger.section_counts(ledger.case_summary(7, t["cases"], t["biz"], links, evidence, submissions, outcomes))
+
+
+@query
+def newest_edits(spark: SparkSession, d: str) -> DataFrame:
+    edits = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return ledger.newest(edits, "O").limit(40)
+
+
+def _submissions(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        k.cast("string").alias("case_id"), F.col("o_orderstatus").alias("status"), F.when(k % 5 != 0, k % 2 == 0).alias("email_verified"), F.when(k % 3 == 0, "under_review").alias("google_status"),
+        F.lit(None).cast("string").alias("verified_at"), F.lit(None).cast("string").alias("last_checked_at"),
+    )
+
+
+@query
+def verify_all(spark: SparkSession, d: str) -> DataFrame:
+    return state.verified(_submissions(spark, d), F.lit(NOW))[0].select("case_id", "email_verified", "google_status", "verified_at")
+
+
+@query
+def verify_events(spark: SparkSession, d: str) -> DataFrame:
+    return state.verified(_submissions(spark, d), F.lit(NOW))[1].select("case_id", "event_type", "created_at")
+
+
+@query
+def external_status(spark: SparkSession, d: str) -> DataFrame:
+    return state.external_status(_submissions(spark, d), "7", "rejected", F.lit(NOW))[0].select("case_id", "google_status", "last_checked_at")
+
+
+@query
+def submission_status(spark: SparkSession, d: str) -> DataFrame:
+    return state.submission_status(_submissions(spark, d), "7", "closed").select("case_id", "status")
+
+
+@query
+def event_append(spark: SparkSession, d: str) -> DataFrame:
+    log = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("case_id"), "event_type", F.lit("").alias("details"), F.lit(NOW).alias("created_at"))
+    return state.with_event(log, "7", "reviewed", F.lit(NOW), "by hand").select("id", "case_id", "event_type", "details")
+
+
+@query
+def location_append(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("target_name"), F.lit("{}").alias("data"))
+    return state.with_location(rows, "New", {"name": "x"})
+
+
+@query
+def save_target(spark: SparkSession, d: str) -> DataFrame:
+    saved = read(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("kvk"))
+    new = read(spark, d, "supplier").where("s_nationkey < 5").select(F.col("s_name").alias("name"), F.lit(99).cast("long").alias("kvk"))
+    return state.saved_target(saved, new.union(spark.range(1).select(F.lit("extra").alias("name"), F.col("id").alias("kvk"))))
+
+
+@query
+def profile_edits(spark: SparkSession, d: str) -> DataFrame:
+    edits = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "done").alias("status"), F.lit(None).cast("string").alias("last_verified_at"))
+    return state.edit_status(state.profile_edits(edits, F.lit(NOW)), 7, "verified", F.lit(NOW)).select("id", "status", "remediation_track", "created_at", "last_verified_at")
+
+
+@query
+def liveness_update(spark: SparkSession, d: str) -> DataFrame:
+    loc = read(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    checks = loc.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, "REMOVED").otherwise("STILL_ACTIVE").alias("status"), F.struct(F.lit("x").alias("k")).alias("details"))
+    return state.with_liveness(loc, checks, F.lit(NOW).cast("timestamp")).select("id", "liveness_status", "liveness_details")
+
+
+@query
+def liveness_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return cases.tally(liveness_update(spark, d), "liveness_status", "untested")
+
+
+@query
+def liveness_untested(spark: SparkSession, d: str) -> DataFrame:
+    return state.untested(liveness_update(spark, d), 20).select("id")
+
+
+@query
+def table_scan(spark: SparkSession, d: str) -> DataFrame:
+    return read_model.scan(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice > :least", ["o_totalprice desc", "o_orderkey"], 25, 5, {"least": 1000.0}).select("o_orderkey")
+
+
+@query
+def document_scan(spark: SparkSession, d: str) -> DataFrame:
+    p = profiles(spark, d)
+    body = F.to_json(F.struct(F.when(F.col("id") % 2 == 0, F.col("name")).alias("title"), F.when(F.col("id") % 2 == 1, F.col("name")).alias("business_name"), F.col("address").alias("formatted_address"), F.col("phone").alias("telephone"), "website"))
+    rows = p.select("id", "target_name", F.when(F.col("id") % 10 != 0, body).otherwise("{broken").alias("data"))
+    return readers.documents(rows).select("id", "name", "address", "phone", "website")
+
+
+@query
+def target_locations(spark: SparkSession, d: str) -> DataFrame:
+    targets = read(spark, d, "supplier").select(F.concat(F.lit("Target "), F.col("s_suppkey").cast("string"), F.lit(" (NL)")).alias("name"), F.col("s_name").alias("website"))
+    return readers.targets_with_locations(targets, profiles(spark, d).select("id", "target_name", "website")).select("id", "target_name", "website")
+
+
+@query
+def dossier_import(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "supplier").select("s_suppkey", *[F.lit("x").alias(c) for c in cases.DOSSIER[:-1]], F.when(F.col("s_suppkey") % 3 == 0, "None found").when(F.col("s_suppkey") % 3 == 1, "Stuffed name").alias("policy_violation_details"))
+    return readers.flagged(rows).select("s_suppkey", "is_fraud")
+
+
+@query
+def policy_upsert(spark: SparkSession, d: str) -> DataFrame:
+    known = readers.policies(spark)
+    new = known.where("policy_id = 'GBP-POL-DUP-01'").withColumn("title", F.lit("Duplicates"))
+    new = new.union(new.withColumns({"policy_id": F.lit("GBP-POL-NEW-01"), "title": F.lit("New")}))
+    return readers.upserted_policies(known.withColumn("created_at", F.lit(NOW)), new, F.lit(NOW)).select("policy_id", F.when(F.col("title").isin("Duplicates", "New"), F.col("title")).alias("title"))
+
+
+@query
+def delete_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.deleted(read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderstatus")).alias("status")), F.col("status") == "F")
+
+
+@query
+def status_latest(spark: SparkSession, d: str) -> DataFrame:
+    log = read(spark, d, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("status"), F.struct("ts", "event_id").alias("created_at"))
+    return sinks.latest_status(log).select("case_id", "status")
+
+
+@query
+def syndicate_file(spark: SparkSession, d: str) -> DataFrame:
+    found = sinks.syndicate_rows(pages.footprints(read(spark, d, "pages")), "Ring")
+    return found.select(*[F.col(c).alias(n) for c, n in zip(sinks.SYNDICATE_COLUMNS, ["name", "url", "address", "occupant", "kvk", "details"], strict=True)])
+
+
+@query
+def case_numbers(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    message = F.concat(F.lit("Ref "), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("4-"), F.lpad(F.col("o_orderkey").cast("string"), 13, "8"))).otherwise("none"), F.lit(" received"))
+    return o.select("o_orderkey", normalize.case_number(message).alias("case_number"), normalize.shortened(F.repeat("o_orderpriority", 10)).alias("title"))
+
+
+@query
+def place_keys(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    url = F.concat(F.lit("https://maps.example/data=!1s"), F.when(k % 2 == 0, "0x1a:0x2b").otherwise("none"), F.lit("!8m"), k.cast("string"))
+    return read(spark, d, "customer").select("c_custkey", normalize.place_key(url).alias("place_key"), score.truthy(F.element_at(F.array(*[F.lit(x) for x in ("Yes", "0", " on", "TRUE", "no")]), (k % 5 + 1).cast("int"))).alias("flag"))
+
+
+@query
+def first_of_place(spark: SparkSession, d: str) -> DataFrame:
+    return cases.first_by(profiles(spark, d).where("phone is not null").select("phone", "id", "name"), "phone", "id")
+
+
+@query
+def syndicate_summary(spark: SparkSession, d: str) -> DataFrame:
+    p = profiles(spark, d)
+    named = networks.named_syndicates(p, {"drop-off": ["Target 3 "], "locksmiths": ["Target 7 ", "Target 11 "]})
+    national = networks.syndicate(p, HUBS, ["Target 3 ", "Target 7 ", "Target 11 "]).select(F.lit("national").alias("syndicate"), "id")
+    kinds = {"national": ("VIRTUAL_OFFICE", "CRITICAL"), "drop-off": ("DROP_OFF", "HIGH"), "locksmiths": ("VIRTUAL_ADDRESS", "CRITICAL"), "none": ("EMPTY", "HIGH")}
+    return networks.syndicate_rows(named.union(national), p, kinds).select("syndicate", "network_type", "severity", "locations_count", "phone_blocks", "towns")

@@ -266,5 +266,44 @@ def oracle_sql() -> dict[str, str]:
     out["edge_classes"] = f"WITH {hot}, d AS (SELECT DISTINCT id, t, k FROM keys WHERE k IS NOT NULL) SELECT id, t AS type, k AS key, min(id) OVER (PARTITION BY t, k) AS head, count(*) OVER (PARTITION BY t, k) - 1 AS n_links FROM d QUALIFY count(*) OVER (PARTITION BY t, k) > 1"
     out["cluster_queue"] = f"""SELECT 'cluster-' || lpad(CAST(row_number() OVER (ORDER BY profiles DESC, len(string_split(signals, '|')) DESC, component) AS VARCHAR), 3, '0') AS cluster_id, profiles, replace(targets, '|', ' | ') AS targets,
         review_ready AS review_ready_profiles, review_ready < profiles AS requires_manual_review, replace(signals, '|', ' | ') AS shared_indicators FROM ({out['indicator_clusters']})"""
+    sub = """WITH s AS (SELECT CAST(o_orderkey AS VARCHAR) AS case_id, o_orderkey AS k, o_orderstatus AS status, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 2 = 0 END AS ev, CASE WHEN o_orderkey % 3 = 0 THEN 'under_review' END AS gs FROM orders)"""
+    now = "'2024-02-01 00:00:00'"
+    live = "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'REMOVED' ELSE 'STILL_ACTIVE' END END AS liveness_status, CASE WHEN c_custkey % 3 = 0 THEN '{\"k\":\"x\"}' END AS liveness_details FROM customer"
+    out |= {
+        "evidence_record": f"""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, o_custkey AS business_id, o_orderpriority AS obs, CASE WHEN o_orderkey % 3 = 0 THEN 'WEBSITE' ELSE 'MAPS_PROFILE' END AS evidence_type FROM orders)
+            SELECT n + 100 AS id, 'EVD-2026-' || lpad(CAST(n + 7 AS VARCHAR), 6, '0') AS evidence_code, business_id, evidence_type, 'Supports evaluation of GBP-POL-NAME-01' AS policy_relevance,
+            sha256(CAST(business_id AS VARCHAR) || '|' || evidence_type || '|' || obs || '||' || {now}) AS sha256_hash, 'GBP-POL-NAME-01' AS policy_id, 'POTENTIAL' AS status, 'Automated observation logged via ' || evidence_type AS reasoning_summary FROM o""",
+        "evidence_list": "SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS business_id FROM lineitem WHERE l_suppkey = 7",
+        "case_summary": """WITH c AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey = 7) SELECT 'case' AS section, count(*) AS n FROM c UNION ALL SELECT 'businesses', count(*) FROM customer, c WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 7)
+            UNION ALL SELECT 'evidence', count(*) FROM lineitem, c WHERE l_orderkey = k UNION ALL SELECT 'submissions', count(*) FROM lineitem, c WHERE l_orderkey = k AND l_returnflag = 'R' UNION ALL SELECT 'outcomes', count(*) FROM orders, c WHERE o_custkey % 50 = k""",
+        "newest_edits": "SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 40",
+        "verify_all": f"{sub} SELECT case_id, true AS email_verified, CASE WHEN coalesce(ev, false) THEN gs ELSE 'verified' END AS google_status, CASE WHEN NOT coalesce(ev, false) THEN {now} END AS verified_at FROM s",
+        "verify_events": f"{sub} SELECT DISTINCT case_id, 'email_verified' AS event_type, {now} AS created_at FROM s WHERE NOT coalesce(ev, false)",
+        "external_status": f"{sub} SELECT case_id, CASE WHEN k = 7 THEN 'rejected' ELSE gs END AS google_status, CASE WHEN k = 7 THEN {now} END AS last_checked_at FROM s",
+        "submission_status": f"{sub} SELECT case_id, CASE WHEN k = 7 THEN 'closed' ELSE status END AS status FROM s",
+        "event_append": "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS case_id, event_type, '' AS details FROM events UNION ALL SELECT max(event_id) + 1, '7', 'reviewed', 'by hand' FROM events",
+        "location_append": "SELECT s_suppkey AS id, s_name AS target_name, '{}' AS data FROM supplier UNION ALL SELECT max(s_suppkey) + 1, 'New', '{\"name\": \"x\"}' FROM supplier",
+        "save_target": "SELECT s_name AS name, CAST(CASE WHEN s_nationkey < 5 THEN 99 ELSE s_nationkey END AS BIGINT) AS kvk FROM supplier UNION ALL SELECT 'extra', 0",
+        "profile_edits": f"SELECT o_orderkey AS id, CASE WHEN o_orderkey = 7 THEN 'verified' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'proposed' END AS status, 'MAPS_EDIT' AS remediation_track, {now} AS created_at, CASE WHEN o_orderkey = 7 THEN {now} END AS last_verified_at FROM orders",
+        "liveness_update": live,
+        "liveness_breakdown": f"SELECT coalesce(liveness_status, 'untested') AS liveness_status, count(*) AS n FROM ({live}) GROUP BY 1",
+        "liveness_untested": f"SELECT id FROM ({live}) WHERE liveness_status IS NULL ORDER BY id LIMIT 20",
+        "table_scan": "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 5",
+        "document_scan": f"WITH {P} SELECT id, name, address, phone, website FROM profiles WHERE id % 10 <> 0",
+        "target_locations": f"WITH {P} SELECT id, target_name, coalesce(nullif(website, ''), s_name) AS website FROM profiles JOIN supplier ON target_name = 'Target ' || CAST(s_suppkey AS VARCHAR) || ' (NL)'",
+        "dossier_import": "SELECT s_suppkey, s_suppkey % 3 <> 0 AS is_fraud FROM supplier",
+        "policy_upsert": "SELECT policy_id, CASE WHEN policy_id = 'GBP-POL-DUP-01' THEN 'Duplicates' END AS title FROM (VALUES " + ", ".join(f"({_q(p[0])})" for p in vocab.POLICIES) + ") v(policy_id) UNION ALL SELECT 'GBP-POL-NEW-01', 'New'",
+        "delete_rows": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status FROM orders WHERE o_orderkey % 4 = 0 OR o_orderstatus <> 'F'",
+        "status_latest": "SELECT user_id AS case_id, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+        "syndicate_file": f"""WITH f AS ({out['page_footprint']}), b AS (SELECT *, regexp_replace(domain, '\\.(nl|be)', '', 'g') AS bare FROM f)
+            SELECT array_to_string(list_transform(string_split(replace(bare, '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name, 'https://www.google.com/maps/search/' || bare AS url, 'Netherlands (National / Virtual Dispatch)' AS address, 'Ring - Affiliate Leadgen Front' AS occupant,
+            'KvK: ' || CASE WHEN kvk = '' THEN 'Unregistered' ELSE replace(kvk, '|', ', ') END AS kvk, 'Lead-generation portal (' || domain || '). GTM: ' || CASE WHEN gtm = '' THEN 'None' ELSE replace(gtm, '|', ', ') END || '. Violations: ' || CASE WHEN claims = '' THEN 'Leadgen portal front' ELSE replace(claims, '|', '; ') END AS details FROM b""",
+        "case_numbers": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '4-' || lpad(CAST(o_orderkey AS VARCHAR), 13, '8') END AS case_number, CASE WHEN length(o_orderpriority) * 10 > 98 THEN substr(repeat(o_orderpriority, 10), 1, 95) || '...' ELSE repeat(o_orderpriority, 10) END AS title FROM orders",
+        "place_keys": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '0x1a:0x2b' ELSE 'https://maps.example/data=!1snone!8m' || CAST(c_custkey AS VARCHAR) END AS place_key, c_custkey % 5 IN (0, 2, 3) AS flag FROM customer",
+        "first_of_place": f"WITH {P} SELECT phone, min(id) AS id, arg_min(name, id) AS name FROM profiles WHERE phone IS NOT NULL GROUP BY phone",
+        "syndicate_summary": f"""WITH {P}, x AS (SELECT *, CASE WHEN length({_LOCAL}) >= 6 THEN substr({_LOCAL}, 1, 6) END AS block, CASE WHEN contains(target_name, 'Target 3 ') THEN 'drop-off' WHEN contains(target_name, 'Target 7 ') OR contains(target_name, 'Target 11 ') THEN 'locksmiths'
+            WHEN (length({_LOCAL}) >= 6 AND {_any(f'substr({_LOCAL}, 1, 6)', vocab.SYNDICATE_BLOCKS)}) OR {_HUB_CASE} IS NOT NULL THEN 'national' END AS s FROM profiles)
+            SELECT v.s AS syndicate, network_type, severity, count(x.s) AS locations_count, count(DISTINCT block) AS phone_blocks, count(DISTINCT city) AS towns FROM (VALUES ('national', 'VIRTUAL_OFFICE', 'CRITICAL'), ('drop-off', 'DROP_OFF', 'HIGH'), ('locksmiths', 'VIRTUAL_ADDRESS', 'CRITICAL'), ('none', 'EMPTY', 'HIGH')) v(s, network_type, severity) LEFT JOIN x ON v.s = x.s GROUP BY 1, 2, 3""",
+    }
     out |= {name: f"WITH {KEYS} SELECT * FROM edges WHERE relationship_type = {_q(kind)}" for name, kind in EDGE_QUERIES.items()}
     return out

@@ -47,6 +47,11 @@ def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def flagged(dossier: DataFrame) -> DataFrame:
+    """Rows of a dossier file with is_fraud: whether the violation details lack the word None; blank details count as fraud."""
+    return dossier.withColumn("is_fraud", ~F.contains(F.coalesce("policy_violation_details", F.lit("")), F.lit("None")))
+
+
 def reference_list(spark: SparkSession, path: str, key: str) -> list[str]:
     """Lower-cased words of a small JSON reference list; empty if it is absent or unreadable."""
     try:

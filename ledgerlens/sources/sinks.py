@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,11 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return existing.join(new.select(*keys), keys, "left_anti").unionByName(one.select(*new.columns), allowMissingColumns=True)
 
 
+def deleted(existing: DataFrame, condition: Column) -> DataFrame:
+    """existing without the rows that meet the condition; where it is null the row stays."""
+    return existing.where(~F.coalesce(condition, F.lit(False)))
+
+
 def replace_partition(df: DataFrame, path: str, column: str) -> None:
     """Replaces the partitions of df's values of column and leaves the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)

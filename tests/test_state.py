@@ -3,7 +3,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import state
+from ledgerlens.operators import cases, ledger, networks, state
+from ledgerlens.sources import readers, sinks
 
 AT = "2024-01-01 00:00:00"
 
@@ -32,3 +33,35 @@ def test_cases_edits_and_liveness(spark):
     assert {r["id"]: r["liveness_status"] for r in live.collect()} == {1: "REMOVED", 2: None} and [r["id"] for r in state.untested(live, 5).collect()] == [2]
     targets = spark.createDataFrame([("a", 1)], "name string, kvk int")
     assert state.saved_target(targets, spark.createDataFrame([("a", 2)], "name string, kvk int")).collect()[0]["kvk"] == 2
+
+
+def test_ledger(spark):
+    at = F.lit(AT)
+    seen = spark.createDataFrame([(2, 5, "b", None), (1, 5, "a", 9)], "seq int, business_id long, observation string, case_id long")
+    evidence, findings = ledger.recorded(seen, 41, 100, at)
+    got = {r["observation"]: r for r in evidence.collect()}
+    assert got["a"]["evidence_code"] == "EVD-2026-000042" and got["b"]["id"] == 102 and got["a"]["case_id"] == 9
+    assert cases.evidence_intact(evidence).where("not intact").isEmpty()
+    assert {(r["status"], r["supporting_evidence_ids"][0]) for r in findings.collect()} == {("POTENTIAL", 101), ("POTENTIAL", 102)}
+    assert [r["id"] for r in ledger.listed(evidence, "business_id", 5).collect()] == [102, 101]
+    assert ledger.recorded(seen.limit(0), 0, 0, at)[0].isEmpty()
+
+
+def test_case_summary_of_known_and_unknown_cases(spark):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    known, biz = table([(1,)], "id long"), table([(10, "x"), (11, "y")], "id long, name string")
+    links, of_case = table([(1, 10), (1, 10), (2, 11)], "case_id long, business_id long"), table([(1, 1), (2, 2), (None, 3)], "case_id long, id long")
+    counts = lambda case: {r["section"]: r["n"] for r in ledger.section_counts(ledger.case_summary(case, known, biz, links, of_case, of_case, of_case)).collect()}
+    assert counts(1) == {"case": 1, "businesses": 1, "evidence": 1, "submissions": 1, "outcomes": 1}
+    assert set(counts(2).values()) == {0}
+
+
+def test_deleted_flagged_and_named_syndicates(spark):
+    rows = spark.createDataFrame([(1, "F"), (2, None), (3, "O")], "id long, status string")
+    assert {r["id"] for r in sinks.deleted(rows, F.col("status") == "F").collect()} == {2, 3}
+    dossier = spark.createDataFrame([("None",), (None,), ("Stuffed",)], "policy_violation_details string")
+    assert [r["is_fraud"] for r in readers.flagged(dossier).collect()] == [False, True, True]
+    p = spark.createDataFrame([(1, "085 123 4567", "Delft"), (2, None, "Delft")], "id long, phone string, city string")
+    members = spark.createDataFrame([("ring", 1), ("ring", 1), ("ring", 2)], "syndicate string, id long")
+    got = {r["syndicate"]: r for r in networks.syndicate_rows(members, p, {"ring": ("A", "HIGH"), "empty": ("B", "LOW")}).collect()}
+    assert (got["ring"]["locations_count"], got["ring"]["phone_blocks"], got["ring"]["towns"], got["empty"]["locations_count"]) == (2, 1, 1, 0)
