@@ -21,3 +21,15 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 def is_fold(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(fold(doc_id, modulus) == remainder, F.lit(False))
+
+
+def joined(rows: DataFrame, counts: DataFrame, key: str, share: int = 1_000) -> DataFrame:
+    """rows with the columns of counts(key, n, ...), which has every key of rows once; n says how many rows carry it.
+
+    Keys that hold more than 1/share of the rows are fewer than `share` and are broadcast;
+    the other rows are shuffled, and no key among them is hot. n itself is left out.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * share > total
+    few, many = F.broadcast(counts.where(hot).drop("n")), counts.where(~hot).drop("n")
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(many, key))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import capfilters, contextmix, langid, mainhtml, mixing, packing, quality, rules, simhash, toxicity
+from ledgerlens.llm import capfilters, contextmix, hostfilter, langid, mainhtml, mixing, packing, quality, rules, simhash, toxicity
 from ledgerlens.llm.common import is_fold, table
 
 
@@ -67,8 +67,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: The rules of op11_host_filter.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op11_host_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostfilter.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_langid, op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op6_context_mixing, op7_robust_rules, op8_cap_filters, op9_main_text, op10_packing]
+    found = [op1_langid, op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op6_context_mixing, op7_robust_rules, op8_cap_filters, op9_main_text, op10_packing, op11_host_filter]
     return {f.__name__: f for f in found}
 
 
@@ -108,6 +116,35 @@ SELECT doc_id, source, n_tokens, epoch, block_rank, doc_key, round(exponent, 6)
 """
 
 
+HOSTS_SQL = r"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+pl AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(rule, rhost, rpath, named) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
+  ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+kinds AS (SELECT DISTINCT host, path FROM pl),
+fits AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(named, length(rule)) AS named FROM kinds JOIN rules
+  ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path),
+named AS (SELECT page_id, host, path, rule, named FROM pl LEFT JOIN fits USING (host, path)),
+h0 AS (SELECT host, count(named) AS n, count(*) FILTER (WHERE named = 'block') AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM named GROUP BY host),
+h1 AS (SELECT host, n, bad, name, string_split(name, '.') AS l FROM h0),
+hosts AS (SELECT host, n, bad, CASE WHEN regexp_matches(name, '^[0-9.]+$') THEN name
+    WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'or.jp', 'ac.jp', 'com.br', 'com.cn', 'com.tr', 'com.mx', 'co.in', 'co.za', 'co.kr')
+    THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM h1),
+domains AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, CASE WHEN regexp_matches(domain, '^[0-9.]+$') THEN '' ELSE regexp_extract(domain, '^[^.]*\.(.*)$', 1) END AS suffix FROM hosts GROUP BY domain),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) FROM domains) AS p FROM domains GROUP BY suffix),
+sk AS (SELECT 1 / least(greatest(CASE WHEN sum((n - 1) * n * p * (1 - p)) > 0 THEN sum((bad - n * p) * (bad - n * p) - n * p * (1 - p)) / sum((n - 1) * n * p * (1 - p)) ELSE 0.25 END, 0.001), 0.999) - 1 AS k FROM s0 WHERE n > 1),
+s AS (SELECT suffix, (bad + k * p) / (n + k) AS mean FROM s0, sk),
+d0 AS (SELECT domain, n, bad, mean AS p FROM domains JOIN s USING (suffix)),
+dk AS (SELECT 1 / least(greatest(CASE WHEN sum((n - 1) * n * p * (1 - p)) > 0 THEN sum((bad - n * p) * (bad - n * p) - n * p * (1 - p)) / sum((n - 1) * n * p * (1 - p)) ELSE 0.25 END, 0.001), 0.999) - 1 AS k FROM d0 WHERE n > 1),
+d AS (SELECT domain, (bad + k * p) / (n + k) AS mean FROM d0, dk),
+g0 AS (SELECT host, hosts.n, hosts.bad, mean AS p FROM hosts JOIN d USING (domain)),
+gk AS (SELECT 1 / least(greatest(CASE WHEN sum((n - 1) * n * p * (1 - p)) > 0 THEN sum((bad - n * p) * (bad - n * p) - n * p * (1 - p)) / sum((n - 1) * n * p * (1 - p)) ELSE 0.25 END, 0.001), 0.999) - 1 AS k FROM g0 WHERE n > 1),
+g1 AS (SELECT host, n + k AS size, (bad + k * p) / (n + k) AS mean FROM g0, gk),
+g AS (SELECT host, mean, mean - 3 * sqrt(mean * (1 - mean) / (size + 1)) AS bound FROM g1)
+SELECT page_id, host, path, rule, coalesce(named, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_rate, round(bound, 6) AS bound FROM named JOIN g USING (host)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Mixing is SQL; the other operators rest on hashes, trained models or a tokenizer that SQL lacks."""
-    return {"op4_mix_sources": MIXING_SQL}
+    """Mixing and host reputation are SQL; the other operators rest on hashes, trained models or a tokenizer that SQL lacks."""
+    return {"op4_mix_sources": MIXING_SQL, "op11_host_filter": HOSTS_SQL}
