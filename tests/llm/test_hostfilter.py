@@ -102,7 +102,7 @@ def test_addresses_rules_and_verdicts_equal_plain_python(spark, pages):
 
 def test_reputation_of_labelled_pages_decides_where_no_rule_fits(spark):
     """A bad host among good ones of one domain is blocked from its own pages; a host with one bad page is not."""
-    rows = [("http://spam.site.net/%d" % k, 1) for k in range(60)] + [("http://h%d.site.net/%d" % (h, k), 0) for h in range(12) for k in range(40)] + [("http://once.site.net/1", 1)]
+    rows = [("http://spam.site.net/%d" % k, int(k % 10 > 0)) for k in range(60)] + [("http://h%d.site.net/%d" % (h, k), int(k % 10 < h % 4)) for h in range(12) for k in range(40)] + [("http://once.site.net/1", 1)]
     outcomes = spark.createDataFrame(rows, "url string, bad int")
     pages = spark.createDataFrame([(1, "http://spam.site.net/new"), (2, "http://h3.site.net/new"), (3, "http://once.site.net/new"), (4, "http://never.site.net/new"), (5, "http://other.example/new"), (6, "http://spam.site.net/de/x")], "page_id long, url string")
     got = {r["page_id"]: (r["verdict"], r["rule"]) for r in hostfilter.judged(pages, [("net/de/", "allow")], outcomes).collect()}
