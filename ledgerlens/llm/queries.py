@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import capfilters, contextmix, hostfilter, langid, mainhtml, mixing, packing, quality, rules, simhash, toxicity
+from ledgerlens.llm import alignment, capfilters, contextmix, hostfilter, langid, mainhtml, mixing, packing, quality, rules, simhash, toxicity
 from ledgerlens.llm.common import is_fold, table
 
 
@@ -75,8 +75,14 @@ def op11_host_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostfilter.judged(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_langid, op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op6_context_mixing, op7_robust_rules, op8_cap_filters, op9_main_text, op10_packing, op11_host_filter]
+    found = [op1_langid, op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op6_context_mixing, op7_robust_rules, op8_cap_filters, op9_main_text, op10_packing, op11_host_filter, op12_alignment]
     return {f.__name__: f for f in found}
 
 
