@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import alignment, capfilters, contextmix, hostfilter, langid, mainhtml, mixing, packing, quality, rules, simhash, toxicity
+from ledgerlens.llm import alignment, capfilters, contextmix, conversations, hostfilter, langid, mainhtml, mixing, packing, quality, rules, simhash, toxicity
 from ledgerlens.llm.common import is_fold, table
 
 
@@ -81,8 +81,15 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_langid, op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op6_context_mixing, op7_robust_rules, op8_cap_filters, op9_main_text, op10_packing, op11_host_filter, op12_alignment]
+    found = [
+        op1_langid, op2_toxicity, op3_quality, op4_mix_sources, op5_simhash, op6_context_mixing, op7_robust_rules, op8_cap_filters, op9_main_text, op10_packing,
+        op11_host_filter, op12_alignment, op13_conversations,
+    ]
     return {f.__name__: f for f in found}
 
 
