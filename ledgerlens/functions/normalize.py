@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions import vocab
+from ledgerlens.functions import matching, vocab
 
 EDGE = " ,;|-"
 
@@ -26,11 +26,15 @@ def literals(words: list[str]) -> Column:
 
 
 def first_contained(haystack: Column, words: list[str]) -> Column:
-    """The first word of the list, in list order, that the text contains; null if none."""
+    """The first word of the list, in list order, that the text contains; null if none. Long lists must stand outside lambdas."""
+    if len(words) >= matching.AUTOMATON_FROM:
+        return matching.first_of(haystack, words)
     return F.get(F.filter(literals(words), lambda w: F.contains(haystack, w)), 0)
 
 
 def any_contained(haystack: Column, words: list[str]) -> Column:
+    if len(words) >= matching.AUTOMATON_FROM:
+        return matching.any_of(haystack, words)
     return F.exists(literals(words), lambda w: F.contains(haystack, w))
 
 

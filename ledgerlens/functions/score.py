@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions import vocab
+from ledgerlens.functions import matching, vocab
 from ledgerlens.functions.normalize import any_contained, compact, first_contained, let, literals, once, plain_address, plain_host, text
 
 
@@ -152,6 +152,8 @@ def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 def _bounded(haystack: Column, words: list[str]) -> Column:
     """The words, longest first, that stand between non-letters."""
     ordered = sorted(words, key=len, reverse=True)
+    if len(words) >= matching.AUTOMATON_FROM:
+        return matching.contained(haystack, ordered, bounded=True)
     return F.filter(literals(ordered), lambda w: F.regexp_like(haystack, F.concat(F.lit(r"(?<![a-z])\Q"), w, F.lit(r"\E(?![a-z])"))))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import vocab
 from ledgerlens.functions.normalize import any_contained, plain_host, text
+from ledgerlens.functions.sanitize import sanitized
 from ledgerlens.operators.components import connected_components
 
 
@@ -98,3 +99,16 @@ def candidate_matrix(niches: DataFrame, cities: DataFrame, tlds: list[str]) -> D
     both = niches.join(F.broadcast(cities), how="cross")
     at = both.select("niche", "city", F.posexplode(F.array(*[F.lit(t) for t in tlds])).alias("rank", "tld"))
     return at.select("niche", "city", F.concat(F.lower(text(F.col("niche"))), F.replace(F.lower(F.col("city")), F.lit(" "), F.lit("")), F.lit("."), F.col("tld")).alias("domain"), "rank").distinct()
+
+
+def branch_audit(listings: DataFrame, branches: DataFrame) -> DataFrame:
+    """Listings(id, name, gbp_url) against branches(id, url, h1, schema_name, city), the metadata of their landing pages.
+
+    A listing without a branch is judged by its title alone; a branch without a listing is left out.
+    """
+    met = listings.join(branches, "id", "left")
+    told = met.withColumn("s", sanitized(F.col("name"), F.col("url"), F.col("h1"), F.col("schema_name")))
+    return told.select(
+        "id", F.col("url").alias("branch_url"), "city", F.col("h1").alias("landing_h1"), "schema_name", F.col("name").alias("gbp_title"), "gbp_url",
+        "s.action", F.col("s.clean_name").alias("proposed_name"), "s.confidence", F.col("s.removed_parts").alias("stuffed_parts"), "s.reasons",
+    )

@@ -548,7 +548,18 @@ def liveness_status(spark: SparkSession, d: str) -> DataFrame:
 def name_sanitize(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
     found = profiles(spark, d).select("id", sanitized(F.col("name"), F.col("website"), none, none).alias("s"))
-    return found.select("id", "s.action", "s.clean_name", joined("s.removed_parts").alias("removed_parts"), "s.confidence")
+    return found.select("id", "s.action", "s.clean_name", joined("s.removed_parts").alias("removed_parts"), "s.confidence", joined("s.reasons").alias("reasons"))
+
+
+@query
+def branch_audit(spark: SparkSession, d: str) -> DataFrame:
+    p, n = profiles(spark, d), F.floor(F.col("id") / 12).cast("string")
+    kind = F.col("id") % 12
+    h1 = F.when(kind == 0, F.concat(F.lit("Acme "), n)).when(kind == 1, F.concat(F.lit("Noord Dak "), n)).when(kind == 3, F.concat(F.lit("Jansen "), n, F.lit(" | Delft"))).when(kind == 6, F.lit("Geen naam"))
+    schema = F.when(kind == 2, F.concat(F.lit("de haan "), n, F.lit(" bv"))).when(kind == 7, F.concat(F.lit("Klus "), n))
+    met = p.select("id", F.col("website").alias("url"), h1.alias("h1"), schema.alias("schema_name"), "city")
+    found = pages.branch_audit(p.select("id", "name", F.lit("").alias("gbp_url")), met)
+    return found.select("id", "city", "gbp_title", "action", "proposed_name", "confidence", joined("stuffed_parts").alias("stuffed_parts"), joined("reasons").alias("reasons"))
 
 
 @query

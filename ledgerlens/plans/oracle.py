@@ -159,8 +159,31 @@ _SNAP = "snap AS (SELECT user_id AS business_id, ts, event_id, event_type AS nam
 _CHANGE = "SELECT business_id, event_id, '{1}' AS event_type, old AS previous_val, {0} AS new_val FROM (SELECT *, lag({0}) OVER (PARTITION BY business_id ORDER BY ts, event_id) AS old FROM snap) z WHERE old <> '' AND {0} <> '' AND lower(old) <> lower({0})"
 
 
+#: What becomes of the titles of the synthetic listings, by the template they were made from.
+SANITIZED = f"""{P}, t AS (SELECT *, CAST(floor(id / 12) AS BIGINT) AS b, id % 12 AS r, contains('dak' || CAST(floor(id / 12) AS BIGINT) || lower(city), '24') AS named FROM profiles),
+judged AS (SELECT id, city, name, r, b,
+  CASE WHEN r IN (0, 3, 6) THEN 'RENAME' WHEN r = 1 THEN 'REMOVE' ELSE 'KEEP' END AS action,
+  CASE r WHEN 0 THEN CASE WHEN named THEN '24' ELSE 'Acme ' || b END WHEN 1 THEN '' WHEN 3 THEN 'Jansen ' || b WHEN 6 THEN 'Klus ' || b ELSE name END AS clean_name,
+  CASE r WHEN 0 THEN '7 spoed|' || CASE WHEN named THEN 'Acme ' || b || ' Utrecht' ELSE '24' END WHEN 1 THEN 'Noord Dak ' || b || '|beste service' WHEN 3 THEN 'delft' WHEN 6 THEN 'erkend & betaalbaar' ELSE '' END AS removed_parts,
+  CAST(CASE r WHEN 0 THEN 90 WHEN 1 THEN 95 WHEN 3 THEN 85 WHEN 6 THEN 90 ELSE 80 END AS INT) AS confidence,
+  CASE r WHEN 0 THEN 'separators part the title into 3' || CASE WHEN named THEN '|the website''s domain names the part 24|parts removed: 7 spoed, Acme ' || b || ' Utrecht' ELSE '|parts removed: 7 spoed, 24' END
+    WHEN 1 THEN 'every part is a service, a place or a claim' WHEN 3 THEN 'trailing town removed: delft'
+    WHEN 6 THEN 'separators part the title into 2|parts removed: erkend & betaalbaar' ELSE 'no separators or added keywords found' END AS reasons FROM t)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
+        "name_sanitize": f"WITH {SANITIZED} SELECT id, action, clean_name, removed_parts, confidence, reasons FROM judged",
+        "branch_audit": f"""WITH {SANITIZED} SELECT id, city, name AS gbp_title,
+            CASE WHEN r IN (0, 1, 7) THEN 'RENAME' WHEN r IN (2, 3) THEN 'KEEP' ELSE action END AS action,
+            CASE r WHEN 0 THEN 'Acme ' || b WHEN 1 THEN 'Noord Dak ' || b WHEN 7 THEN 'Klus ' || b WHEN 3 THEN name ELSE clean_name END AS proposed_name,
+            CAST(CASE WHEN r IN (0, 1, 2, 3, 7) THEN 98 ELSE confidence END AS INT) AS confidence,
+            CASE r WHEN 0 THEN CASE WHEN contains(CAST(b AS VARCHAR), '24') THEN '' ELSE '24|' END || '7 spoed' WHEN 1 THEN 'beste service' WHEN 3 THEN '' WHEN 7 THEN 'B.V' ELSE removed_parts END AS stuffed_parts,
+            CASE r WHEN 0 THEN 'the landing page gives the name Acme ' || b || '|additions removed: ' || CASE WHEN contains(CAST(b AS VARCHAR), '24') THEN '' ELSE '24, ' END || '7 spoed' WHEN 1 THEN 'the landing page gives the name Noord Dak ' || b || '|additions removed: beste service'
+              WHEN 2 THEN 'the title equals the heading or schema name of the landing page (de haan ' || b || ' bv)' WHEN 3 THEN 'the title equals the heading or schema name of the landing page (Jansen ' || b || ' | Delft)'
+              WHEN 7 THEN 'the landing page gives the name Klus ' || b || '|additions removed: B.V' ELSE reasons END AS reasons FROM judged""",
+        "remediation_tally": f"WITH {SANITIZED} SELECT action, CASE action WHEN 'RENAME' THEN 'MAPS_EDIT' ELSE 'REDRESSAL' END AS remediation_track, count(*) AS n FROM judged WHERE action IN ('RENAME', 'REMOVE') GROUP BY 1, 2",
+        "remediation_counts": f"WITH {SANITIZED} SELECT count(*) AS total, count(*) FILTER (WHERE action = 'RENAME') AS renames, count(*) FILTER (WHERE action = 'REMOVE') AS removals, count(*) FILTER (WHERE action NOT IN ('RENAME', 'REMOVE')) AS kept FROM judged",
         "norm_phone": f"WITH {P}, {PHONE} SELECT id, e164, CASE WHEN area <> '' AND length(national) > length(area) THEN area || '-' || substr(national, length(area) + 1) ELSE national END AS national, national AS digits, substr(national, 1, 3) IN ('085', '088') AS is_voip, starts_with(national, '06') AS is_mobile, area AS area_code, substr(national, 1, 6) AS pbx_prefix_6 FROM ph",
         "norm_address": f"WITH {P}, {ADDRESS} SELECT id, postal_code, house_number, addition, street, city, 'NL' AS country, normalized_key FROM ad",
         "norm_domain_pages": f"WITH {_url('pages', 'page_id', 'url')} SELECT * FROM urls",
