@@ -9,8 +9,8 @@ combined by logistic mixing whose weights are gated, chosen by
 how much either of the longer contexts has seen; where neither has seen anything, the first predictor stands alone.
 Coding is online, predict and then learn:
 a batch of tokens is coded by the weights that the batches before it have left, then the
-weights learn from it; and the token itself is taken out of every state that codes it, so
-a training text is scored by all the other texts, as a held-out text is. The mixed
+weights learn from it; and the token itself is taken out of every state that codes it, once:
+what a training text repeats is still coded by its other occurrences. The mixed
 probability is refined adaptively by an error table learned online over (confidence,
 probability). Then the word within its cell: by its count in the training texts, or, where
 no other training token holds it, spelled byte by byte, with the same kind of gated and
@@ -22,8 +22,8 @@ How it is spread out: each task cuts its texts into chunks of about `CHUNK_TOKEN
 and writes them once, as numbers into the chunk's dictionary of words. Words go to shards by hash, distinct token triples to shards by the token before (for a
 frequent one also by a hash class of the token before that, so that no shard is hot); what
 is moved are packed arrays. A word shard counts its words over the corpus; a triple shard
-holds all triples of its contexts, so its states are exact, without collisions beyond
-those of 32-bit hashes, learns its own weights and codes every distinct triple once. What
+holds all triples of its contexts, so its states are exact counts of contexts that are hashed: the token
+before to 32 bits, the one before that to 12, the token itself to its cell, of which there are 2^20 at most. It learns its own weights and codes every distinct triple once. What
 is gathered grows with the corpus: words, counts, triples, and the number of shards. Only
 three things are broadcast: counts of the cells (2^`MOST_BITS` at most), the spelling
 model (fixed tables of byte contexts) and the frequent tokens, those with over half a
