@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import normalize, score
 from ledgerlens.functions.sanitize import sanitized
-from ledgerlens.operators import cases, ledger, linkage, monitoring, networks, pages, read_model, state
+from ledgerlens.operators import cases, identity, ledger, linkage, monitoring, networks, pages, read_model, state
 from ledgerlens.plans.profiles import profiles
 from ledgerlens.sources import readers, sinks
 
@@ -154,6 +154,27 @@ def network_score(spark: SparkSession, d: str) -> DataFrame:
     return found.select("component", "network_code", "member_count", "domain_count", "phone_count", "address_count", "suspicion_score", "severity", "network_type")
 
 
+def _grown(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Networks by phone and domain, then with the links of the other kinds merged in: (id, component) and its codes, and what became of each code."""
+    keyed = linkage.keys(_biz(spark, d))
+    first = F.col("type").isin("SAME_PHONE", "SAME_DOMAIN")
+    labels = networks.members(keyed.where(first))
+    before = networks.coded(labels.select("component").distinct()).join(labels, "component").select(F.col("network_code").alias("code"), "id")
+    now = identity.merged(labels, linkage.star_edges(keyed.where(~first)))
+    coded, lineage = identity.inherited(before, now)
+    return now.join(coded, "component").select("id", "component", "code"), lineage
+
+
+@query
+def networks_stable(spark: SparkSession, d: str) -> DataFrame:
+    return _grown(spark, d)[0]
+
+
+@query
+def network_lineage(spark: SparkSession, d: str) -> DataFrame:
+    return _grown(spark, d)[1]
+
+
 @query
 def network_propagation(spark: SparkSession, d: str) -> DataFrame:
     biz, member = _biz(spark, d), _members(spark, d)

@@ -159,6 +159,17 @@ _SNAP = "snap AS (SELECT user_id AS business_id, ts, event_id, event_type AS nam
 _CHANGE = "SELECT business_id, event_id, '{1}' AS event_type, old AS previous_val, {0} AS new_val FROM (SELECT *, lag({0}) OVER (PARTITION BY business_id ORDER BY ts, event_id) AS old FROM snap) z WHERE old <> '' AND {0} <> '' AND lower(old) <> lower({0})"
 
 
+#: Networks by phone and domain with their codes, and the whole networks that take over the code of their largest part.
+LINEAGE = f"""RECURSIVE {KEYS}, {REACH},
+first_ways AS (SELECT DISTINCT source_business_id AS a, target_business_id AS b FROM edges WHERE relationship_type IN ('SAME_PHONE', 'SAME_DOMAIN') UNION SELECT target_business_id, source_business_id FROM edges WHERE relationship_type IN ('SAME_PHONE', 'SAME_DOMAIN')),
+first_reach(id, other) AS (SELECT a, b FROM first_ways UNION SELECT r.id, e.b FROM first_reach r JOIN first_ways e ON r.other = e.a),
+first AS (SELECT least(min(other), id) AS part, id FROM first_reach GROUP BY id),
+first_codes AS (SELECT part, row_number() OVER (ORDER BY part) AS n FROM (SELECT DISTINCT part FROM first)),
+common AS (SELECT n, component, count(*) AS common FROM first JOIN first_codes USING (part) JOIN members USING (id) GROUP BY n, component),
+heirs AS (SELECT component, n, row_number() OVER (PARTITION BY component ORDER BY common DESC, n) AS place FROM common),
+fresh AS (SELECT component, (SELECT coalesce(max(n), 0) FROM first_codes) + row_number() OVER (ORDER BY component) AS n FROM (SELECT DISTINCT component FROM members WHERE component NOT IN (SELECT component FROM heirs))),
+coded AS (SELECT component, 'NETWORK-' || lpad(CAST(n AS VARCHAR), 5, '0') AS code, false AS is_new FROM heirs WHERE place = 1 UNION ALL SELECT component, 'NETWORK-' || lpad(CAST(n AS VARCHAR), 5, '0'), true FROM fresh)"""
+
 #: What becomes of the titles of the synthetic listings, by the template they were made from.
 SANITIZED = f"""{P}, t AS (SELECT *, CAST(floor(id / 12) AS BIGINT) AS b, id % 12 AS r, contains('dak' || CAST(floor(id / 12) AS BIGINT) || lower(city), '24') AS named FROM profiles),
 judged AS (SELECT id, city, name, r, b,
@@ -173,6 +184,8 @@ judged AS (SELECT id, city, name, r, b,
 
 def oracle_sql() -> dict[str, str]:
     out = {
+        "networks_stable": f"WITH {LINEAGE} SELECT id, component, code FROM members JOIN coded USING (component)",
+        "network_lineage": f"WITH {LINEAGE} SELECT code, CASE WHEN is_new THEN 'NEW' ELSE 'KEPT' END AS event, CAST(NULL AS VARCHAR) AS other FROM coded UNION ALL SELECT 'NETWORK-' || lpad(CAST(n AS VARCHAR), 5, '0'), 'MERGED', code FROM heirs JOIN coded USING (component) WHERE place > 1",
         "name_sanitize": f"WITH {SANITIZED} SELECT id, action, clean_name, removed_parts, confidence, reasons FROM judged",
         "branch_audit": f"""WITH {SANITIZED} SELECT id, city, name AS gbp_title,
             CASE WHEN r IN (0, 1, 7) THEN 'RENAME' WHEN r IN (2, 3) THEN 'KEEP' ELSE action END AS action,
