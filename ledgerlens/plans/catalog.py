@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from ledgerlens.functions import normalize, score
 from ledgerlens.functions.sanitize import sanitized
 from ledgerlens.operators import cases, identity, ledger, linkage, monitoring, networks, pages, read_model, state
 from ledgerlens.plans.profiles import profiles
-from ledgerlens.sources import readers, sinks
+from ledgerlens.plans.storage import checkpointed, removed, shared_dir
+from ledgerlens.sources import readers, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -501,8 +503,8 @@ def case_businesses_semi(spark: SparkSession, d: str) -> DataFrame:
 @query
 def review_outcomes(spark: SparkSession, d: str) -> DataFrame:
     findings = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("POTENTIAL").alias("status"))
-    actions = read(spark, d, "lineitem").where("l_returnflag <> 'N'").select(
-        F.col("l_orderkey").alias("finding_id"), F.when(F.col("l_returnflag") == "A", "approve").otherwise("REJECT").alias("action"), F.struct("l_shipdate", "l_linenumber").alias("created_at"),
+    actions = read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("finding_id"), F.when(F.col("l_returnflag") == "A", "approve").otherwise("REJECT").alias("action"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey").alias("created_at"),
     )
     return cases.reviewed(findings, actions).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -612,7 +614,7 @@ def case_summary(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "lineitem")
     links = read(spark, d, "orders").select(F.pmod(F.col("o_orderkey"), F.lit(20)).alias("case_id"), F.col("o_custkey").alias("business_id"))
     evidence = lines.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("id"))
-    submissions = lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("case_id"))
+    submissions = lines.select(F.col("l_orderkey").alias("case_id"))
     outcomes = read(spark, d, "orders").select(F.pmod(F.col("o_custkey"), F.lit(50)).alias("case_id"), F.col("o_orderkey").alias("id"))
     return ledger.section_counts(ledger.case_summary(7, t["cases"], t["biz"], links, evidence, submissions, outcomes))
 
@@ -620,7 +622,7 @@ def case_summary(spark: SparkSession, d: str) -> DataFrame:
 @query
 def newest_edits(spark: SparkSession, d: str) -> DataFrame:
     edits = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
-    return ledger.newest(edits, "O").limit(40)
+    return ledger.newest(edits, "O")
 
 
 def _submissions(spark: SparkSession, d: str) -> DataFrame:
@@ -667,7 +669,7 @@ def location_append(spark: SparkSession, d: str) -> DataFrame:
 @query
 def save_target(spark: SparkSession, d: str) -> DataFrame:
     saved = read(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("kvk"))
-    new = read(spark, d, "supplier").where("s_nationkey < 5").select(F.col("s_name").alias("name"), F.lit(99).cast("long").alias("kvk"))
+    new = read(spark, d, "supplier").select(F.col("s_name").alias("name"), (F.col("s_nationkey") + 100).cast("long").alias("kvk"))
     return state.saved_target(saved, new.union(spark.range(1).select(F.lit("extra").alias("name"), F.col("id").alias("kvk"))))
 
 
@@ -721,10 +723,30 @@ def dossier_import(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def policy_upsert(spark: SparkSession, d: str) -> DataFrame:
-    known = readers.policies(spark)
-    new = known.where("policy_id = 'GBP-POL-DUP-01'").withColumn("title", F.lit("Duplicates"))
-    new = new.union(new.withColumns({"policy_id": F.lit("GBP-POL-NEW-01"), "title": F.lit("New")}))
-    return readers.upserted_policies(known.withColumn("created_at", F.lit(NOW)), new, F.lit(NOW)).select("policy_id", F.when(F.col("title").isin("Duplicates", "New"), F.col("title")).alias("title"))
+    known, n = readers.policies(spark), read(spark, d, "nation")
+    name = F.when(F.col("n_nationkey") == 0, "GBP-POL-DUP-01").otherwise(F.concat(F.lit("GBP-POL-"), F.upper("n_name"), F.lit("-01")))
+    held = F.array(F.col("n_name"))
+    new = n.select(
+        name.alias("policy_id"), F.lit("Country rules").alias("category"), F.concat(F.lit("Rules of "), "n_name").alias("title"), F.lit("HIGH").alias("severity"), F.concat(F.lit("What holds in "), "n_name").alias("description"),
+        F.lit(readers.POLICY_SOURCE).alias("official_source_url"), F.lit("2024-01-01").alias("source_date"), F.lit("2024-01-02").alias("last_verified"), held.alias("applicable_to"), held.alias("examples"), held.alias("counter_examples"),
+    )
+    return readers.upserted_policies(known.withColumn("created_at", F.lit("2024-01-01 00:00:00")), new, F.lit(NOW)).select("policy_id", "title", "severity", "created_at")
+
+
+@query
+def orders_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A stored copy of orders before and after an upsert of closed orders and of reversals, and a deletion."""
+    o, path = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}"
+    stored = tables.StoredTable.created(spark, path, o.schema, ["o_orderkey"], 16)
+    stored.upsert(o)
+    closed = o.where("o_orderstatus = 'F'").withColumn("o_orderstatus", F.lit("CLOSED"))
+    reversed_ = o.where("o_orderstatus = 'P'").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), F.lit("REVERSED").alias("o_orderstatus"), (-F.col("o_totalprice")).alias("o_totalprice"))
+    stored.upsert(closed.unionByName(reversed_))
+    stored.delete(F.col("o_totalprice") > 300_000)
+    every = [stored.read(v).withColumn("version", F.lit(v)) for v in (1, 2, 3)]
+    kept = checkpointed(every[0].unionByName(every[1]).unionByName(every[2]))
+    removed(spark, path)
+    return kept
 
 
 @query

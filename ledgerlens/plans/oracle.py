@@ -282,7 +282,7 @@ def oracle_sql() -> dict[str, str]:
         "case_master_groups": f"""WITH {P}, t AS (SELECT 'Target ' || CAST(s_suppkey AS VARCHAR) || ' (NL)' AS target_name FROM supplier), s AS (SELECT 'Target ' || CAST(o_orderkey % 40 AS VARCHAR) || ' (NL)' AS target_name, o_orderkey AS case_id, o_orderstatus AS status, o_orderkey % 20 = 0 AS email_verified FROM orders)
             SELECT s.target_name, case_id, status, email_verified, count(p.id) AS locations FROM t JOIN s USING (target_name) LEFT JOIN profiles p ON p.target_name = s.target_name GROUP BY 1, 2, 3, 4""",
         "case_businesses_semi": f"WITH {P} SELECT id, name FROM profiles WHERE id IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 7)",
-        "review_outcomes": "WITH a AS (SELECT l_orderkey AS id, arg_max(l_returnflag, l_shipdate + to_microseconds(l_linenumber)) AS f FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1) SELECT CASE WHEN f IS NULL THEN 'POTENTIAL' WHEN f = 'A' THEN 'VERIFIED' ELSE 'REJECTED' END AS status, count(*) AS n FROM orders LEFT JOIN a ON id = o_orderkey GROUP BY 1",
+        "review_outcomes": "WITH a AS (SELECT l_orderkey AS id, l_returnflag AS f FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1) SELECT CASE WHEN f IS NULL THEN 'POTENTIAL' WHEN f = 'A' THEN 'VERIFIED' ELSE 'REJECTED' END AS status, count(*) AS n FROM orders LEFT JOIN a ON id = o_orderkey GROUP BY 1",
         "outcome_status": "SELECT CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) THEN 'ACTION_OBSERVED' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1",
         "dossier_export": f"WITH {_audit('')} SELECT name AS business_name_on_profile, coalesce(nullif(website, ''), '') AS google_maps_url, address AS physical_address, coalesce(nullif(actual_occupant, ''), 'Unstaffed Shared Facility') AS actual_occupant_and_business_type, coalesce(nullif(kvk_status, ''), 'Unregistered at this location') AS commercial_register_kvk_status, 'Policy violation' AS policy_violation_details FROM audited WHERE is_reportable",
         "page_footprint": f"""SELECT url, {_HOST.format('url')} AS domain, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'GTM-[A-Z0-9]+'))), '|') AS gtm,
@@ -311,15 +311,15 @@ def oracle_sql() -> dict[str, str]:
             sha256(CAST(business_id AS VARCHAR) || '|' || evidence_type || '|' || obs || '||' || {now}) AS sha256_hash, 'GBP-POL-NAME-01' AS policy_id, 'POTENTIAL' AS status, 'Automated observation logged via ' || evidence_type AS reasoning_summary FROM o""",
         "evidence_list": "SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS business_id FROM lineitem WHERE l_suppkey = 7",
         "case_summary": """WITH c AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey = 7) SELECT 'case' AS section, count(*) AS n FROM c UNION ALL SELECT 'businesses', count(*) FROM customer, c WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 7)
-            UNION ALL SELECT 'evidence', count(*) FROM lineitem, c WHERE l_orderkey = k UNION ALL SELECT 'submissions', count(*) FROM lineitem, c WHERE l_orderkey = k AND l_returnflag = 'R' UNION ALL SELECT 'outcomes', count(*) FROM orders, c WHERE o_custkey % 50 = k""",
-        "newest_edits": "SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 40",
+            UNION ALL SELECT 'evidence', count(*) FROM lineitem, c WHERE l_orderkey = k UNION ALL SELECT 'submissions', count(*) FROM lineitem, c WHERE l_orderkey = k UNION ALL SELECT 'outcomes', count(*) FROM orders, c WHERE o_custkey % 50 = k""",
+        "newest_edits": "SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'O'",
         "verify_all": f"{sub} SELECT case_id, true AS email_verified, CASE WHEN coalesce(ev, false) THEN gs ELSE 'verified' END AS google_status, CASE WHEN NOT coalesce(ev, false) THEN {now} END AS verified_at FROM s",
         "verify_events": f"{sub} SELECT DISTINCT case_id, 'email_verified' AS event_type, {now} AS created_at FROM s WHERE NOT coalesce(ev, false)",
         "external_status": f"{sub} SELECT case_id, CASE WHEN k = 7 THEN 'rejected' ELSE gs END AS google_status, CASE WHEN k = 7 THEN {now} END AS last_checked_at FROM s",
         "submission_status": f"{sub} SELECT case_id, CASE WHEN k = 7 THEN 'closed' ELSE status END AS status FROM s",
         "event_append": "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS case_id, event_type, '' AS details FROM events UNION ALL SELECT max(event_id) + 1, '7', 'reviewed', 'by hand' FROM events",
         "location_append": "SELECT s_suppkey AS id, s_name AS target_name, '{}' AS data FROM supplier UNION ALL SELECT max(s_suppkey) + 1, 'New', '{\"name\": \"x\"}' FROM supplier",
-        "save_target": "SELECT s_name AS name, CAST(CASE WHEN s_nationkey < 5 THEN 99 ELSE s_nationkey END AS BIGINT) AS kvk FROM supplier UNION ALL SELECT 'extra', 0",
+        "save_target": "SELECT s_name AS name, CAST(s_nationkey + 100 AS BIGINT) AS kvk FROM supplier UNION ALL SELECT 'extra', 0",
         "profile_edits": f"SELECT o_orderkey AS id, CASE WHEN o_orderkey = 7 THEN 'verified' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'proposed' END AS status, 'MAPS_EDIT' AS remediation_track, {now} AS created_at, CASE WHEN o_orderkey = 7 THEN {now} END AS last_verified_at FROM orders",
         "liveness_update": live,
         "liveness_breakdown": f"SELECT coalesce(liveness_status, 'untested') AS liveness_status, count(*) AS n FROM ({live}) GROUP BY 1",
@@ -328,7 +328,10 @@ def oracle_sql() -> dict[str, str]:
         "document_scan": f"WITH {P} SELECT id, name, address, phone, website FROM profiles WHERE id % 10 <> 0",
         "target_locations": f"WITH {P} SELECT id, target_name, coalesce(nullif(website, ''), s_name) AS website FROM profiles JOIN supplier ON target_name = 'Target ' || CAST(s_suppkey AS VARCHAR) || ' (NL)'",
         "dossier_import": "SELECT s_suppkey, s_suppkey % 3 <> 0 AS is_fraud FROM supplier",
-        "policy_upsert": "SELECT policy_id, CASE WHEN policy_id = 'GBP-POL-DUP-01' THEN 'Duplicates' END AS title FROM (VALUES " + ", ".join(f"({_q(p[0])})" for p in vocab.POLICIES) + ") v(policy_id) UNION ALL SELECT 'GBP-POL-NEW-01', 'New'",
+        "policy_upsert": "SELECT policy_id, title, severity, '2024-01-01 00:00:00' AS created_at FROM (VALUES " + ", ".join(f"({_q(p[0])}, {_q(p[2])}, {_q(p[3])})" for p in vocab.POLICIES) + f") v(policy_id, title, severity) WHERE policy_id <> 'GBP-POL-DUP-01' UNION ALL SELECT CASE n_nationkey WHEN 0 THEN 'GBP-POL-DUP-01' ELSE 'GBP-POL-' || upper(n_name) || '-01' END, 'Rules of ' || n_name, 'HIGH', {now} FROM nation",
+        "orders_versions": """WITH v1 AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders),
+            v2 AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'CLOSED' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM v1 UNION ALL SELECT -1 - o_orderkey, 'REVERSED', -o_totalprice FROM v1 WHERE o_orderstatus = 'P')
+            SELECT *, CAST(1 AS INT) AS version FROM v1 UNION ALL SELECT *, 2 FROM v2 UNION ALL SELECT *, 3 FROM v2 WHERE o_totalprice <= 300000""",
         "delete_rows": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status FROM orders WHERE o_orderkey % 4 = 0 OR o_orderstatus <> 'F'",
         "status_latest": "SELECT user_id AS case_id, event_type AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "syndicate_file": f"""WITH f AS ({out['page_footprint']}), b AS (SELECT *, regexp_replace(domain, '\\.(nl|be)', '', 'g') AS bare FROM f)

@@ -53,12 +53,12 @@ def flagged(dossier: DataFrame) -> DataFrame:
 
 
 def reference_list(spark: SparkSession, path: str, key: str) -> list[str]:
-    """Lower-cased words of a small JSON reference list; empty if it is absent or unreadable."""
-    try:
-        lines = [r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect()]
-        return [str(w).lower() for w in json.loads(lines[0]).get(key, [])] if lines else []
-    except Exception:  # a missing list means no words
+    """Lower-cased words of a small JSON reference list; empty if there is no such file or key. A file that is not JSON is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return []
+    lines = [r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect()]
+    return [str(w).lower() for w in json.loads(lines[0]).get(key, [])] if lines else []
 
 
 def targets_with_locations(targets: DataFrame, locations: DataFrame, target: str | None = None) -> DataFrame:
