@@ -7,38 +7,117 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUT = "business_id long, occurred_at timestamp, event_type string, previous_val string, new_val string"
+#: transformWithState keeps its state in this store.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Columns of change events, spelled out, as workers cannot parse type strings.
+OUT = T.StructType([
+    T.StructField("business_id", T.LongType()), T.StructField("occurred_at", T.TimestampType()), T.StructField("event_type", T.StringType()),
+    T.StructField("previous_val", T.StringType()), T.StructField("new_val", T.StringType()),
+])
 
 
-def changes(snapshots: DataFrame, fields: list[str]) -> DataFrame:
-    """Change events of a stream of snapshots (business_id, snapshot_timestamp, fields).
+class Changes(StatefulProcessor):
+    """Snapshots wait, in any order, until the watermark has passed them; then each is compared with the one before it.
 
-    State: the last filled value of each field of a business and its time. A late snapshot
-    (older than the state) changes nothing and emits nothing.
+    State of a business: the snapshots that wait, and the last one compared. A timer at
+    the earliest that waits, or else at the end of the idle time, is all that wakes it; after the idle time the state is gone.
     """
-    state = "at timestamp, " + ", ".join(f"`{f}` string" for f in fields)
 
-    def step(key: tuple[int], batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        known = dict(zip(["at", *fields], held.get, strict=True)) if held.exists else dict.fromkeys(["at", *fields])
+    def __init__(self, fields: list[str], idle_us: int) -> None:
+        self.fields, self.idle_us = fields, idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        values = [T.StructField(f, T.StringType()) for f in self.fields]
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("us", T.LongType()), T.StructField("tie", T.LongType()), *values]))
+        self.last = handle.getValueState("last", T.StructType([T.StructField("us", T.LongType()), *values]))
+
+    def _timed(self, us: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(-(-us // 1_000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        least = None
+        for batch in rows:
+            us = batch["us"].astype("int64")
+            for row in zip(us.tolist(), batch["tie"].astype("int64").tolist(), *(batch[f].tolist() for f in self.fields), strict=True):
+                self.waiting.appendValue((row[0], row[1], *(v if isinstance(v, str) else None for v in row[2:])))
+            least = us.min() if least is None else min(least, us.min())
+        if least is not None and -(-int(least) // 1_000) < min(self.handle.listTimers(), default=1 << 62):
+            self._timed(int(least))
+        yield pd.DataFrame(columns=OUT.names)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        upto = timerValues.getCurrentWatermarkInMs() * 1_000
+        held = [tuple(r) for r in self.waiting.get()]
+        ready = sorted((r for r in held if r[0] <= upto), key=lambda r: (r[0], r[1]))
+        later = [r for r in held if r[0] > upto]
+        last = tuple(self.last.get()) if self.last.exists() else None
         events = []
-        for row in pd.concat(list(batches)).sort_values("snapshot_timestamp").to_dict("records"):
-            at = row["snapshot_timestamp"]
-            if known["at"] is not None and at < known["at"]:
-                continue
-            known["at"] = at
-            for f in fields:
-                new = (row[f] or "").strip() if isinstance(row[f], str) else ""
-                old = known[f] or ""
-                if new and old and new.lower() != old.lower():
-                    events.append((key[0], at, f"{f.upper()}_CHANGED", old, new))
-                known[f] = new or known[f]
-        held.update(tuple(known[c] for c in ["at", *fields]))
-        yield pd.DataFrame(events, columns=["business_id", "occurred_at", "event_type", "previous_val", "new_val"])
-
-    keyed = snapshots.select(F.col("business_id").cast("long").alias("business_id"), "snapshot_timestamp", *fields).groupBy("business_id")
-    return keyed.applyInPandasWithState(step, OUT, state, "append", GroupStateTimeout.NoTimeout)
+        for us, _, *values in ready:
+            if last is not None and us - last[0] <= self.idle_us:
+                for name, old, new in zip(self.fields, last[1:], values, strict=True):
+                    a, b = (old or "").strip(" "), (new or "").strip(" ")
+                    if a and b and a.lower() != b.lower():
+                        events.append((key[0], us, f"{name.upper()}_CHANGED", old, new))
+            last = (us, *values)
+        if ready:
+            self.waiting.clear()
+            if later:
+                self.waiting.put(later)
+        if later:
+            self._timed(min(r[0] for r in later))
+        elif last is not None and last[0] + self.idle_us > upto:
+            self._timed(last[0] + self.idle_us)
+        else:
+            last = None
+        if last is None:
+            self.last.clear()
+        else:
+            self.last.update(last)
+        found = pd.DataFrame(events, columns=OUT.names)
+        found["occurred_at"] = pd.to_datetime(found["occurred_at"].astype("int64"), unit="us")
+        yield found
+
+    def close(self) -> None:
+        pass
+
+
+def changes(snapshots: DataFrame, fields: list[str], late: str = "1 hour", idle_days: int = 365) -> DataFrame:
+    """Change events of a stream of snapshots (business_id, snapshot_timestamp, fields), whatever the order in which they come.
+
+    The rows are those of monitoring.changes over all snapshots up to the watermark, `late`
+    behind the newest one: a field changed if it is filled in two neighbouring snapshots and
+    differs whatever the case. Equal times are ordered as there. Snapshots behind the
+    watermark are left out; a business without snapshots for `idle_days` is forgotten, and its next one is a first.
+    """
+    key, at = F.col("business_id").cast("long"), F.col("snapshot_timestamp")
+    values = [F.col(f).cast("string").alias(f) for f in fields]
+    keyed = snapshots.select(key.alias("business_id"), at, F.unix_micros(at).alias("us"), F.xxhash64(*fields).alias("tie"), *values).where("business_id is not null and us is not null")
+    return keyed.withWatermark("snapshot_timestamp", late).groupBy("business_id").transformWithStateInPandas(Changes(fields, idle_days * 86_400_000_000), OUT, "Append", "EventTime")
+
+
+def reincarnations(removed: DataFrame, seen: DataFrame, within: str = "90 days", late: str = "1 hour") -> DataFrame:
+    """A REINCARNATION_SIGNAL for a business first seen within a time after one of equal phone, domain or postal code was removed.
+
+    removed(id, at, normalized_phone, domain, postal_code) and seen, likewise, are streams
+    or tables. Their states end with the watermarks: a removal is held for the time that it can still be answered.
+    """
+    kinds = {"phone": "normalized_phone", "domain": "domain", "postal": "postal_code"}
+
+    def keyed(df: DataFrame, into: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in kinds.items()])
+        timed = df.withWatermark("at", late) if df.isStreaming else df
+        return timed.select(F.col("id").alias(f"{into}_id"), F.col("at").alias(f"{into}_at"), F.explode(pairs).alias("x")).select(f"{into}_id", f"{into}_at", F.col("x.kind").alias(f"{into}_kind"), F.col("x.key").alias(f"{into}_key")).where(f"coalesce({into}_key, '') <> ''")
+
+    gone, new = keyed(removed, "removed"), keyed(seen, "business")
+    on = "removed_kind = business_kind AND removed_key = business_key AND business_id <> removed_id AND business_at > removed_at"
+    found = gone.join(new, F.expr(f"{on} AND business_at <= removed_at + INTERVAL {within}"))
+    return found.select("business_id", F.lit("REINCARNATION_SIGNAL").alias("event_type"), "removed_id", F.col("business_kind").alias("shared"), F.col("business_at").alias("occurred_at"))
 
 
 def rates(events: DataFrame, late: str = "10 minutes", width: str = "1 hour", slide: str | None = None) -> DataFrame:
