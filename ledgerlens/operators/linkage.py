@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import vocab
 from ledgerlens.functions.normalize import address, domain, first_contained, phone, text
 from ledgerlens.functions.score import duplicate_keys
+from ledgerlens.plans.storage import checkpointed
 
 #: Relationship types and their weights (fixed values).
 WEIGHTS = {
@@ -56,18 +57,49 @@ def keys(biz: DataFrame) -> DataFrame:
     return biz.select("id", F.explode(F.array(*pairs)).alias("k")).select("id", F.col("k.type").alias("type"), F.col("k.key").alias("key")).where("key is not null")
 
 
-def edges(keyed: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """The published edge table: every pair that shares a key, once for each type, source < target."""
-    part = keyed.where(F.col("type").isin(*kinds)) if kinds else keyed
-    left, right = part.withColumnRenamed("id", "source_business_id"), part.withColumnRenamed("id", "target_business_id")
+#: Carriers of a key that meet in one task; a key of more is dealt over tiles.
+TILE = 2_048
+
+
+def pairs(keyed: DataFrame, tile: int = TILE) -> DataFrame:
+    """(type, key, a, b), a < b: every pair of distinct carriers of a key, once.
+
+    Carriers of a key of n are dealt over ceil(n / tile) parts, and the pairs of parts i <= j
+    are one tile with a place in the shuffle of its own: no task joins more than two parts
+    of a key, whatever the key. The rows that come out are as many as there are pairs; where
+    their number is enough, `classes` is linear.
+    """
+    carried = keyed.select("type", "key", "id").distinct()
+    shared = carried.groupBy("type", "key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    dealt = carried.join(shared, ["type", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = dealt.select("type", "key", F.col("id").alias("x"), F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
+    right = dealt.select("type", "key", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
+    met = left.join(right, ["type", "key", "i", "j"]).where("x < y OR (i < j AND x <> y)")
+    return met.select("type", "key", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _edge_rows(found: DataFrame) -> DataFrame:
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
     return (
-        left.join(right, ["type", "key"]).where("source_business_id < target_business_id")
-        .groupBy("source_business_id", "target_business_id", F.col("type").alias("relationship_type")).agg(F.min("key").alias("shared_key"))
+        found.groupBy(F.col("a").alias("source_business_id"), F.col("b").alias("target_business_id"), F.col("type").alias("relationship_type")).agg(F.min("key").alias("shared_key"))
         .withColumn("weight", F.try_element_at(weight, F.col("relationship_type")))
     )
 
 
+def edges(keyed: DataFrame, kinds: list[str] | None = None, tile: int = TILE) -> DataFrame:
+    """The published edge table: every pair that shares a key, once for each type, source < target."""
+    return _edge_rows(pairs(keyed.where(F.col("type").isin(*kinds)) if kinds else keyed, tile))
+
+
+def neighbourhood(keyed: DataFrame, business_id: int, kinds: list[str] | None = None) -> DataFrame:
+    """The edges of one business: its own keys, a handful, are broadcast, and the others' rows are only filtered by them."""
+    part = keyed.where(F.col("type").isin(*kinds)) if kinds else keyed
+    own = part.where(F.col("id") == business_id).select("type", "key").distinct()
+    others = part.where(F.col("id") != business_id).join(F.broadcast(own), ["type", "key"], "left_semi")
+    me = F.lit(business_id).cast("long")
+    return _edge_rows(others.select("type", "key", F.least("id", me).alias("a"), F.greatest("id", me).alias("b")))
+
+
 def classes(keyed: DataFrame) -> DataFrame:
     """(id, type, key, head, n_links): the least carrier of a shared key and how many others carry it.
 
@@ -87,24 +119,46 @@ def star_edges(keyed: DataFrame) -> DataFrame:
 def duplicates(profiles: DataFrame) -> DataFrame:
     """id, matches_count, score, confidence: other profiles with two or more equal identities.
 
-    Official branches at distinct addresses do not count. Joined on each pair of
-    identities, so nothing is compared that does not already share two of them.
+    Official branches at distinct addresses do not count. No pair is written: those that
+    share two of address A, phone P and site D number AP + AD + PD - 2 APD, and the pairs
+    that the exception takes out lie in PD alone, with two different addresses, one of a
+    branch, so they are a difference of counts as well. Equal profiles are counted once and
+    carry their number, so a key shared by half the table is one row a combination.
+    Cases: an id that repeats with equal identities is one profile; null identities equal nothing.
     """
-    keyed = duplicate_keys(profiles)
-    both = [("address_key", "phone_key"), ("address_key", "domain_key"), ("phone_key", "domain_key")]
-    found = None
-    for x, y in both:
-        left = keyed.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        right = left.select(F.col("id").alias("other"), x, y, F.col("branch").alias("other_branch"), F.col("address_key").alias("other_address"))
-        right = right.withColumnsRenamed({x: "k1", y: "k2"})
-        pair = left.join(right, (left[x] == right["k1"]) & (left[y] == right["k2"]) & (left["id"] != right["other"]))
-        other_place = right["k1"] if x == "address_key" else right["other_address"]
-        distinct_place = left["address_key"].isNotNull() & other_place.isNotNull() & (left["address_key"] != other_place)
-        pair = pair.where(~((left["branch"] | right["other_branch"]) & F.coalesce(distinct_place, F.lit(False)))).select(left["id"], "other")
-        found = pair if found is None else found.union(pair)
-    counted = found.distinct().groupBy("id").agg(F.count(F.lit(1)).alias("matches_count"))
+    keys = ["address_key", "phone_key", "domain_key"]
+    rows = duplicate_keys(profiles).distinct()
+    cells = checkpointed(rows.groupBy(*keys, "branch").agg(F.count(F.lit(1)).alias("n")))
+    branches = F.sum(F.when(F.col("branch"), F.col("n")).otherwise(0))
+    placed = lambda c: F.sum(F.when(F.col("address_key").isNotNull(), c).otherwise(0))
+    found = cells
+    for name, on, more in (
+        ("ap", keys[:2], []), ("ad", keys[::2], []), ("apd", keys, [branches.alias("apd_branches")]),
+        ("pd", keys[1:], [placed(F.col("n")).alias("pd_placed"), placed(F.when(F.col("branch"), F.col("n")).otherwise(0)).alias("pd_branches")]),
+    ):
+        counted = cells.dropna(subset=on).groupBy(*on).agg(F.sum("n").alias(name), *more).where(F.col(name) > 1)
+        found = found.join(counted, on, "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    others = lambda c: F.greatest(n(c) - 1, F.lit(0))
+    elsewhere = F.when(F.col("branch"), n("pd_placed") - F.when(n("pd") > 0, F.greatest(n("apd"), F.lit(1))).otherwise(0)).otherwise(n("pd_branches") - n("apd_branches"))
+    exempt = F.when(F.col("address_key").isNotNull(), elsewhere).otherwise(0)
+    matches = found.select(*keys, "branch", (others("ap") + others("ad") + others("pd") - 2 * others("apd") - exempt).alias("matches_count")).where("matches_count > 0")
+    same = [rows[k].eqNullSafe(matches[k]) for k in [*keys, "branch"]]
     score = F.least(F.lit(100), F.col("matches_count") * 30 + F.when(F.col("matches_count") >= 2, 25).otherwise(0)).cast("int")
-    return counted.select("id", "matches_count", score.alias("score"), F.when(score >= 75, "HIGH").when(score >= 45, "MEDIUM").otherwise("LOW").alias("confidence"))
+    return rows.join(matches, same).select("id", "matches_count", score.alias("score"), F.when(score >= 75, "HIGH").when(score >= 45, "MEDIUM").otherwise("LOW").alias("confidence"))
+
+
+def duplicate_pairs(profiles: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs that `duplicates` counts, for looking into some of them; their number is the square of a group's."""
+    keyed = checkpointed(duplicate_keys(profiles).distinct())
+    names = {"address_key": "A", "phone_key": "P", "domain_key": "D"}
+    twos = [("address_key", "phone_key"), ("address_key", "domain_key"), ("phone_key", "domain_key")]
+    both = F.array(*[F.struct(F.lit(names[x] + names[y]).alias("type"), F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.to_json(F.struct(x, y))).alias("key")) for x, y in twos])
+    met = pairs(keyed.select("id", F.explode(both).alias("k")).select("id", "k.type", "k.key").where("key is not null")).select("type", "a", "b").distinct()
+    at = keyed.select(F.col("id").alias("a"), F.col("branch").alias("a_branch"), F.col("address_key").alias("a_address")).dropDuplicates(["a"])
+    to = keyed.select(F.col("id").alias("b"), F.col("branch").alias("b_branch"), F.col("address_key").alias("b_address")).dropDuplicates(["b"])
+    apart = (F.col("a_branch") | F.col("b_branch")) & F.coalesce(F.col("a_address") != F.col("b_address"), F.lit(False))
+    return met.join(at, "a").join(to, "b").where(~apart).select("a", "b").distinct()
 
 
 def recurrence(removed: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -123,6 +177,26 @@ def recurrence(removed: DataFrame, candidates: DataFrame) -> DataFrame:
     return parts.groupBy("removed_id", "candidate_id").agg(*[F.bool_or(f"shared_{x}").alias(f"shared_{x}") for x in kinds])
 
 
+def recurrence_within(removed: DataFrame, candidates: DataFrame, seconds: int) -> DataFrame:
+    """As recurrence, for candidates first seen in (t, t + seconds] after a removal at t.
+
+    removed and candidates carry `at`. Time is cut into buckets of `seconds`; a removal
+    answers in its own bucket and the next, so the interval is an equi-join on (kind, key,
+    bucket), and a key that many share is spread over its buckets. Rows without a time meet nothing.
+    """
+    kinds = {"phone": "normalized_phone", "domain": "domain", "postal": "postal_code"}
+
+    def timed(df: DataFrame, into: str, more: int) -> DataFrame:
+        listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("key")) for k, c in kinds.items()])
+        bucket = F.floor(F.unix_micros("at") / (seconds * 1_000_000))
+        each = df.where("at is not null").withColumn("at", F.col("at").cast("timestamp")).select(F.col("id").alias(f"{into}_id"), F.col("at").alias(f"{into}_at"), bucket.alias("b"), F.explode(listed).alias("x"))
+        return each.where("coalesce(x.key, '') <> ''").select(f"{into}_id", f"{into}_at", "x.kind", "x.key", F.explode(F.sequence("b", F.col("b") + more)).alias("bucket"))
+
+    gone, new = timed(removed, "removed", 1), timed(candidates, "candidate", 0)
+    waited = F.unix_micros("candidate_at") - F.unix_micros("removed_at")
+    met = gone.join(new, ["kind", "key", "bucket"]).where((F.col("removed_id") != F.col("candidate_id")) & (waited > 0) & (waited <= seconds * 1_000_000))
+    return met.groupBy("removed_id", "candidate_id").agg(F.min(waited).alias("waited_us"), *[F.bool_or(F.col("kind") == k).alias(f"shared_{k}") for k in kinds])
+
 
 def recurrence_links(removed: DataFrame, candidates: DataFrame) -> DataFrame:
     """id and the number of other removed businesses of equal phone, domain and postal code, for candidates with any.

@@ -269,6 +269,21 @@ def recurrence(spark: SparkSession, d: str) -> DataFrame:
     return linkage.recurrence(monitoring.removed(biz, case_businesses, _outcomes(spark, d)), biz)
 
 
+@query
+def recurrence_within(spark: SparkSession, d: str) -> DataFrame:
+    """Errors as removals, sign-ups and purchases as first sightings within a day after; the user's last digits as domain, the day of the props as postal code."""
+    e = read(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.col("ts").alias("at"), "event_type", F.col("user_id").cast("string").alias("normalized_phone"),
+        F.concat(F.lit("d"), F.floor(F.col("value") * 10).cast("string")).alias("domain"), F.get_json_object("props", "$.k").alias("postal_code"),
+    )
+    return linkage.recurrence_within(e.where("event_type = 'error'"), e.where("event_type IN ('signup', 'purchase')"), 86_400)
+
+
+@query
+def duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.duplicate_pairs(profiles(spark, d))
+
+
 @query
 def recurrence_links(spark: SparkSession, d: str) -> DataFrame:
     biz = _biz(spark, d)
@@ -481,7 +496,7 @@ def niche_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def edges_of_business(spark: SparkSession, d: str) -> DataFrame:
-    return read_model.either_end(linkage.edges(linkage.keys(_biz(spark, d)), ["SAME_PHONE", "SAME_ADDRESS"]), 7)
+    return linkage.neighbourhood(linkage.keys(_biz(spark, d)), 7, ["SAME_PHONE", "SAME_ADDRESS"])
 
 
 @query

@@ -214,6 +214,11 @@ def oracle_sql() -> dict[str, str]:
         "leadgen_detector": f"""WITH {P}, {PHONE}, f AS (SELECT id, regexp_extract(coalesce({_HOST_W}, ''), '(?i)([a-z0-9-]{{3,20}})([-_]?)({"|".join(vocab.GEO_DOMAIN_CITIES)})\\.(nl|com|net)', 3) AS city, substr(national, 1, 6) AS p FROM ph),
             s AS (SELECT *, CAST(CASE WHEN city <> '' THEN 45 ELSE 0 END + CASE WHEN contains(p, '085') OR contains(p, '088') THEN 25 ELSE 0 END AS INT) AS score FROM f)
             SELECT id, score >= 35 AS signal_found, {_conf("score", "score >= 35")} AS confidence, score, city, CASE WHEN city <> '' THEN 'TEMPLATED_GEO_DOMAIN' ELSE 'STANDARD_LOCAL' END AS footprint_type FROM s""",
+        "duplicate_pairs": f"""WITH {P}, k AS (SELECT id, {_AKEY} AS a, nullif({_DIGITS}, '') AS p, {_HOST_W} AS h, official_branch AS br FROM profiles)
+            SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.id < y.id AND CAST(coalesce(x.a = y.a, false) AS INT) + CAST(coalesce(x.p = y.p, false) AS INT) + CAST(coalesce(x.h = y.h, false) AS INT) >= 2 AND NOT ((x.br OR y.br) AND coalesce(x.a <> y.a, false))""",
+        "recurrence_within": """WITH e AS (SELECT event_id AS id, ts, event_type, CAST(user_id AS VARCHAR) AS p, 'd' || CAST(CAST(floor(value * 10) AS BIGINT) AS VARCHAR) AS d, json_extract_string(props, '$.k') AS z FROM events)
+            SELECT r.id AS removed_id, c.id AS candidate_id, epoch_us(c.ts) - epoch_us(r.ts) AS waited_us, coalesce(r.p = c.p, false) AS shared_phone, coalesce(r.d = c.d, false) AS shared_domain, coalesce(r.z = c.z, false) AS shared_postal
+            FROM e r JOIN e c ON r.event_type = 'error' AND c.event_type IN ('signup', 'purchase') AND c.ts > r.ts AND c.ts <= r.ts + INTERVAL 1 DAY AND (r.p = c.p OR r.d = c.d OR r.z = c.z)""",
         "dup_detector": f"""WITH {P}, k AS (SELECT id, {_AKEY} AS a, nullif({_DIGITS}, '') AS p, {_HOST_W} AS h, official_branch AS br FROM profiles),
             m AS (SELECT x.id, y.id AS other FROM k x JOIN k y ON x.id <> y.id AND CAST(coalesce(x.a = y.a, false) AS INT) + CAST(coalesce(x.p = y.p, false) AS INT) + CAST(coalesce(x.h = y.h, false) AS INT) >= 2 AND NOT ((x.br OR y.br) AND x.a <> y.a)),
             c AS (SELECT id, count(*) AS matches_count, CAST(least(100, count(*) * 30 + CASE WHEN count(*) >= 2 THEN 25 ELSE 0 END) AS INT) AS score FROM m GROUP BY id)

@@ -95,7 +95,7 @@ def changes(snapshots: DataFrame, fields: list[str], late: str = "1 hour", idle_
     differs whatever the case. Equal times are ordered as there. Snapshots behind the
     watermark are left out; a business without snapshots for `idle_days` is forgotten, and its next one is a first.
     """
-    key, at = F.col("business_id").cast("long"), F.col("snapshot_timestamp")
+    key, at = F.col("business_id").cast("long"), F.col("snapshot_timestamp").cast("timestamp").alias("snapshot_timestamp")
     values = [F.col(f).cast("string").alias(f) for f in fields]
     keyed = snapshots.select(key.alias("business_id"), at, F.unix_micros(at).alias("us"), F.xxhash64(*fields).alias("tie"), *values).where("business_id is not null and us is not null")
     return keyed.withWatermark("snapshot_timestamp", late).groupBy("business_id").transformWithStateInPandas(Changes(fields, idle_days * 86_400_000_000), OUT, "Append", "EventTime")
