@@ -21,6 +21,15 @@ def text(c: Column) -> Column:
     return F.trim(F.coalesce(c.cast("string"), F.lit("")))
 
 
+#: Letters with marks (Latin) and the bare letters they decompose to, by the Unicode rule.
+_MARKED = [(chr(k), d[0].lower()) for k in range(0xC0, 0x250) for d in [unicodedata.normalize("NFKD", chr(k))] if len(d) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:]))]
+
+
+def folded(c: Column) -> Column:
+    """Lower case without the marks of Latin letters; what has no single base letter stays."""
+    return F.translate(F.lower(text(c)), "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
+
+
 def literals(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 

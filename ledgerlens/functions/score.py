@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions import matching, vocab
-from ledgerlens.functions.normalize import any_contained, compact, first_contained, let, literals, once, plain_address, plain_host, text
+from ledgerlens.functions.normalize import any_contained, compact, first_contained, folded, let, literals, once, plain_address, plain_host, text
 
 
 def _escape(word: str) -> str:
@@ -158,8 +158,11 @@ def _bounded(haystack: Column, words: list[str]) -> Column:
 
 
 def keyword_detector(title: Column, reference: Column | None = None) -> Column:
-    """struct(signal_found, confidence, score, cities, modifiers, policy_id)."""
-    lower = F.lower(text(title))
+    """struct(signal_found, confidence, score, cities, modifiers, brand_guess, policy_id).
+
+    brand_guess: the reference, else what stands before the first separator, without a town at its end.
+    """
+    lower = folded(title)
     cities = _bounded(lower, vocab.DETECTOR_CITIES)
     modifiers = F.filter(literals(vocab.DETECTOR_MODIFIERS), lambda m: F.contains(lower, m))
     delimiters = F.filter(literals(vocab.DETECTOR_DELIMITERS), lambda d: F.contains(text(title), d))
@@ -169,10 +172,18 @@ def keyword_detector(title: Column, reference: Column | None = None) -> Column:
     signal = (F.size(cities) > 0) | (F.size(modifiers) > 0) | (F.size(delimiters) > 0) | F.coalesce(alike < 0.72, F.lit(False))
     return F.struct(
         signal.alias("signal_found"), confidence(score, signal).alias("confidence"), score.alias("score"),
-        cities.alias("cities"), modifiers.alias("modifiers"), F.lit("GBP-POL-NAME-01").alias("policy_id"),
+        cities.alias("cities"), modifiers.alias("modifiers"), _brand_guess(title, reference, cities).alias("brand_guess"), F.lit("GBP-POL-NAME-01").alias("policy_id"),
     )
 
 
+def _brand_guess(title: Column, reference: Column | None, cities: Column) -> Column:
+    first = F.trim(F.get(F.split(text(title), vocab.GUESS_SEPARATOR, 2), 0))
+    guess = F.when(text(reference) != "", text(reference)).otherwise(first) if reference is not None else first
+    town = F.concat(F.lit(vocab.GUESS_BEFORE_TOWN + r"(?:\Q"), F.array_join(cities, r"\E|\Q"), F.lit(r"\E)\s*$"))
+    bare = F.when(F.size(cities) > 0, F.btrim(F.regexp_replace(guess, town, F.lit("")), F.lit(vocab.GUESS_EDGE))).otherwise(guess)
+    return F.coalesce(F.nullif(bare, F.lit("")), text(title))
+
+
 def service_business(category: Column, title: Column, flagged: Column) -> Column:
     return (
         F.when(text(category) != "", any_contained(F.lower(text(category)), vocab.SERVICE_CATEGORIES))
@@ -184,17 +195,25 @@ def truthy(c: Column) -> Column:
     return F.lower(text(c)).isin("1", "true", "yes", "y", "on")
 
 
-def office_detector(title: Column, address: Column, category: Column, address_type: Column, public: Column) -> Column:
-    """struct(signal_found, confidence, score, hub_name, policy_id)."""
-    where = F.lower(text(address))
-    chain = F.get(_bounded(F.concat_ws(" ", F.lower(text(title)), where), vocab.FLEX_CHAINS), 0)
+def office_detector(title: Column, address: Column, category: Column, address_type: Column, public: Column, hub: Column | None = None, description: Column | None = None, occupant: Column | None = None) -> Column:
+    """struct(signal_found, confidence, score, hub_name, occupant_guess, policy_id).
+
+    A provider is looked for in title, address, the given hub's name and the description; a
+    given hub's name, and a given occupant, stand in the answer as they are.
+    """
+    where, none = folded(address), F.lit("")
+    given, kept = (text(c) if c is not None else none for c in (hub, occupant))
+    looked = F.concat_ws(" ", folded(title), where, folded(hub) if hub is not None else none, folded(description) if description is not None else none)
+    chain = F.get(_bounded(looked, vocab.FLEX_CHAINS), 0)
     street = first_contained(where, vocab.FLEX_STREETS)
-    home = any_contained(F.lower(text(address_type)), vocab.RESIDENTIAL_TYPES) & F.coalesce(public, F.lit(True)) & service_business(category, title, F.lit(False))
+    home = any_contained(folded(address_type), vocab.RESIDENTIAL_TYPES) & F.coalesce(public, F.lit(True)) & service_business(category, title, F.lit(False))
     score = _clamped(_points(chain.isNotNull(), 55) + _points(street.isNotNull(), 45) + _points(home, 45))
     signal = score > 0
+    name = F.coalesce(F.when(chain.isNotNull() & (given != ""), given), F.initcap(F.coalesce(chain, street, none)))
+    guess = F.when(kept != "", kept).when(name != "", F.format_string(vocab.OCCUPANT_GUESS, name)).otherwise(vocab.OCCUPANT_UNKNOWN)
     return F.struct(
-        signal.alias("signal_found"), confidence(score, signal).alias("confidence"), score.alias("score"),
-        F.initcap(F.coalesce(chain, street, F.lit(""))).alias("hub_name"), F.when(home, "GBP-POL-SAB-01").otherwise("GBP-POL-VO-01").alias("policy_id"),
+        signal.alias("signal_found"), confidence(score, signal).alias("confidence"), score.alias("score"), name.alias("hub_name"),
+        guess.alias("occupant_guess"), F.when(home, "GBP-POL-SAB-01").otherwise("GBP-POL-VO-01").alias("policy_id"),
     )
 
 

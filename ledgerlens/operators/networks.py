@@ -185,3 +185,30 @@ def corpus_metrics(profiles: DataFrame, scores: DataFrame) -> DataFrame:
     shared = profiles.select(hub_address(F.col("address")).alias("k")).where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("shared_address_clusters"))
     mean = scores.agg(F.round(F.coalesce(F.avg("overall_score"), F.lit(0.0)), 1).alias("average_abuse_score"))
     return counts.join(shared, how="cross").join(mean, how="cross")  # one row each
+
+
+def set_overlaps(sets: DataFrame) -> DataFrame:
+    """(a, b, common, only_a, only_b) of every two of the named sets(name, id), a < b, in one pass over them.
+
+    Ids become bitmaps of Spark's id ranges, 4 kB a set and range, merged by or on the
+    map side; what two sets have in common is |a| + |b| - |a or b|, summed over ranges, so no
+    ids are joined. Names are few (their pairs are the rows); negative and null ids have no place in a bitmap and are left out,
+    repeats count once; a name whose ids are all left out has no row.
+    """
+    bit = sets.where("id >= 0 AND name IS NOT NULL").select("name", F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("bit"))
+    maps = checkpointed(bit.groupBy("name", "bucket").agg(F.bitmap_construct_agg("bit").alias("m")))
+    sizes = maps.groupBy("name").agg(F.sum(F.bitmap_count("m")).alias("n"))
+    names = F.broadcast(sizes.select("name"))  # one row a set
+    sides = maps.join(names.withColumnRenamed("name", "other"), F.col("name") != F.col("other"))
+    either = sides.groupBy(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"), "bucket").agg(F.bitmap_count(F.bitmap_or_agg("m")).alias("n"))
+    whole = either.groupBy("a", "b").agg(F.sum("n").alias("both"))
+    found = whole.join(F.broadcast(sizes.select(F.col("name").alias("a"), F.col("n").alias("na"))), "a").join(F.broadcast(sizes.select(F.col("name").alias("b"), F.col("n").alias("nb"))), "b")
+    return found.select("a", "b", (F.col("na") + F.col("nb") - F.col("both")).alias("common"), (F.col("both") - F.col("nb")).alias("only_a"), (F.col("both") - F.col("na")).alias("only_b"))
+
+
+def indicator_members(profiles: DataFrame, min_shared: int = 2) -> DataFrame:
+    """(component, id, url): the records of the clusters of indicator_clusters with their addresses, a row each, however large a cluster."""
+    found = indicators(profiles)
+    shared = found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_shared).drop("n")
+    component = connected_components(star_edges(found.join(shared, ["kind", "value"]).select("id", F.col("kind").alias("type"), F.col("value").alias("key"))))
+    return component.join(profiles.select("id", "url"), "id").select("component", "id", "url")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions import vocab
 from ledgerlens.functions.normalize import any_contained, plain_host, text
@@ -55,24 +59,51 @@ def shared_id_clusters(found: DataFrame) -> DataFrame:
 def metadata(pages: DataFrame) -> DataFrame:
     """url, h1, and name, telephone, address, city of a page's JSON-LD business, first maps link.
 
-    Items of @graph (or the object itself) typed FinancialService or LocalBusiness count; the last filled value wins.
+    Root objects and those of lists and @graph count if typed FinancialService or LocalBusiness; the last filled value wins.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     h1 = F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]*>", "")
-    schema = "struct<`@type`:string,name:string,telephone:string,address:struct<streetAddress:string,addressLocality:string,postalCode:string>>"
     scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    graphs = F.flatten(F.transform(scripts, lambda s: F.coalesce(
-        F.from_json(s, f"struct<`@graph`:array<{schema}>>").getField("@graph"), F.array(F.from_json(s, schema)))))
-    items = F.filter(graphs, lambda i: i["@type"].isin("FinancialService", "LocalBusiness"))
-    last = lambda f: F.coalesce(F.try_element_at(F.filter(F.transform("items", f), lambda x: x.isNotNull() & (x != "")), F.lit(-1)), F.lit(""))
     links = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*href=["']([^"']*(?:google\.com/maps|goo\.gl)[^"']*)"""), F.lit(1))
-    base = pages.select("url", F.btrim(h1, F.lit(" \t\r\n")).alias("h1"), items.alias("items"), F.coalesce(F.get(links, 0), F.lit("")).alias("maps_url"))
-    named = base.select(
-        "url", "h1", "maps_url", last(lambda i: i["name"]).alias("schema_name"), last(lambda i: i["telephone"]).alias("telephone"),
-        last(lambda i: i["address"]["streetAddress"]).alias("street"), last(lambda i: i["address"]["addressLocality"]).alias("city"),
-        last(lambda i: i["address"]["postalCode"]).alias("postal_code"),
-    )
-    return named.select("url", "h1", "schema_name", "telephone", F.btrim(F.concat("street", F.lit(", "), "postal_code", F.lit(" "), "city"), F.lit(", ")).alias("address"), "city", "maps_url")
+    base = pages.select("url", F.btrim(h1, F.lit(" \t\r\n")).alias("h1"), F.coalesce(F.get(links, 0), F.lit("")).alias("maps_url"), business_facts(scripts).alias("b"))
+    place = F.btrim(F.concat("b.street", F.lit(", "), "b.postal_code", F.lit(" "), "b.city"), F.lit(", "))
+    return base.select("url", "h1", F.col("b.name").alias("schema_name"), "b.telephone", place.alias("address"), "b.city", "maps_url")
+
+
+FACTS = ["name", "telephone", "street", "city", "postal_code"]
+
+
+def facts(scripts: list[str]) -> dict[str, str]:
+    """The last filled values of the businesses in JSON-LD texts, wherever they lie in them.
+
+    Looked at are root objects, those in root and nested lists, and those in @graph, which may be nested as well; not what
+    a business names as parent or department. One is a business if its @type, or one of a
+    list of types, is. What is not JSON is passed over. Depth has no limit, since nothing recurses.
+    """
+    found = dict.fromkeys(FACTS, "")
+    for script in scripts:
+        try:
+            open_ = [json.loads(script)]
+        except (ValueError, RecursionError):
+            continue
+        while open_:
+            node = open_.pop()
+            if isinstance(node, list):
+                open_.extend(reversed(node))
+            elif isinstance(node, dict):
+                types = node.get("@type")
+                if not {"FinancialService", "LocalBusiness"}.isdisjoint(t for t in (types if isinstance(types, list) else [types]) if isinstance(t, str)):
+                    place = node.get("address")
+                    place = next((p for p in place if isinstance(p, dict)), {}) if isinstance(place, list) else place if isinstance(place, dict) else {}
+                    told = [node.get("name"), node.get("telephone"), place.get("streetAddress"), place.get("addressLocality"), place.get("postalCode")]
+                    found |= {k: str(v) for k, v in zip(FACTS, told, strict=True) if v and isinstance(v, str | int | float)}
+                open_.append(node.get("@graph"))
+    return found
+
+
+@F.pandas_udf(T.StructType([T.StructField(f, T.StringType()) for f in FACTS]))
+def business_facts(scripts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([facts([] if s is None else list(s)) for s in scripts], columns=FACTS)
 
 
 def branch_links(pages: DataFrame, section: str, host: str) -> DataFrame:

@@ -103,6 +103,11 @@ def risk_profile(locations: DataFrame, shown: int = 10) -> tuple[DataFrame, Data
     return mean, scored.orderBy("id").limit(shown).select("id", "name", "city", "abuse.overall_score", "abuse.confidence")
 
 
+def risk_profiles(locations: DataFrame) -> DataFrame:
+    """target_name, locations, average_score of every target."""
+    return abuse(locations).groupBy("target_name").agg(F.count(F.lit(1)).alias("locations"), F.round(F.avg("abuse.overall_score"), 1).alias("average_score"))
+
+
 def with_location(locations: DataFrame, target: str, document: dict[str, object]) -> DataFrame:
     """locations(id, target_name, data) with one more JSON document of a target."""
     return _appended(locations, {"target_name": F.lit(target), "data": F.lit(json.dumps(document))})

@@ -807,3 +807,72 @@ def syndicate_summary(spark: SparkSession, d: str) -> DataFrame:
     national = networks.syndicate(p, HUBS, ["Target 3 ", "Target 7 ", "Target 11 "]).select(F.lit("national").alias("syndicate"), "id")
     kinds = {"national": ("VIRTUAL_OFFICE", "CRITICAL"), "drop-off": ("DROP_OFF", "HIGH"), "locksmiths": ("VIRTUAL_ADDRESS", "CRITICAL"), "none": ("EMPTY", "HIGH")}
     return networks.syndicate_rows(named.union(national), p, kinds).select("syndicate", "network_type", "severity", "locations_count", "phone_blocks", "towns")
+
+
+def _five_sets(spark: SparkSession, d: str) -> DataFrame:
+    p = profiles(spark, d)
+    tests = {"regus": F.contains(F.lower("address"), F.lit("regus")), "locksmiths": F.col("category") == "Locksmith", "unregistered": F.col("kvk_status") == "Unregistered", "ready": F.col("review_status") == "ready_for_review", "branches": F.col("official_branch")}
+    return p.select(F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))).alias("name"), "id")
+
+
+@query
+def set_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return networks.set_overlaps(_five_sets(spark, d))
+
+
+@query
+def indicator_members(spark: SparkSession, d: str) -> DataFrame:
+    return networks.indicator_members(profiles(spark, d).withColumn("url", F.col("website")))
+
+
+@query
+def target_risk(spark: SparkSession, d: str) -> DataFrame:
+    return state.risk_profiles(profiles(spark, d))
+
+
+@query
+def explanations(spark: SparkSession, d: str) -> DataFrame:
+    """Of every supplier, with its parts' types as violations where it has any."""
+    s = read(spark, d, "supplier")
+    kinds = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_set("p_type")).alias("kinds"))
+    told = s.join(kinds, "s_suppkey", "left")
+    seat = F.when(F.col("s_nationkey") % 3 != 0, F.concat(F.lit("Street "), F.col("s_nationkey").cast("string")))
+    named = F.when(F.col("s_suppkey") % 4 != 0, F.transform("kinds", lambda k: F.concat(F.lit("Parts of the kind "), k, F.lit(" and others that go with it in the same place."))))
+    return told.select("s_suppkey", sinks.explained(F.col("s_name"), F.when(F.col("s_nationkey") % 2 == 0, F.col("s_nationkey").cast("string")), seat, F.coalesce("total", F.lit(0)), named).alias("text"))
+
+
+def _marked_pages(spark: SparkSession, d: str) -> DataFrame:
+    """pages with what a tracked page carries added to some: a tag manager's id, a telephone link, a claim."""
+    tel = F.format_string("<a href=\"tel:%s %d\">x</a>", F.when(F.col("page_id") % 2 == 0, "020 369").otherwise("020 111"), F.col("page_id"))
+    marks = F.when(F.col("page_id") % 5 == 0, F.format_string("<script>GTM-AB%dX</script>", F.col("page_id") % 50)).when(F.col("page_id") % 5 == 1, tel).when(F.col("page_id") % 5 == 2, "<p>Wij werken met eigen monteurs</p>").otherwise("")
+    return read(spark, d, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), marks))
+
+
+@query
+def footprint_hits(spark: SparkSession, d: str) -> DataFrame:
+    found = pages.footprints(_marked_pages(spark, d))
+    return pages.matching(found).select("url", joined("gtm").alias("gtm"), joined("deceptive_claims").alias("claims"))
+
+
+@query
+def niche_harvest(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate domains are the pages' own, by suffix and language; those with a telephone link of a watched block are found."""
+    made = _marked_pages(spark, d)
+    domain = normalize.plain_host(F.col("url"))
+    candidates = made.select(F.substring_index(domain, ".", -1).alias("niche"), F.regexp_extract("url", "://[^/]*/([a-z]*)/", 1).alias("city"), domain.alias("domain"), F.col("page_id").alias("rank"))
+    return pages.niche_matches(candidates, made)
+
+
+@query
+def vo_detector_full(spark: SparkSession, d: str) -> DataFrame:
+    """The virtual-office detector with a given hub, a description and a given occupant."""
+    p = profiles(spark, d)
+    hub = F.when(F.col("id") % 4 == 0, F.concat(F.lit("Hub "), "city"))
+    found = p.select("id", score.office_detector(F.col("name"), F.col("address"), F.col("category"), F.col("address_type"), F.lit(True), hub, F.when(F.col("id") % 5 == 0, "Werkplek bij Régus in de stad"), F.nullif("actual_occupant", F.lit(""))).alias("v"))
+    return found.select("id", "v.signal_found", "v.score", "v.hub_name", "v.occupant_guess")
+
+
+@query
+def brand_guess(spark: SparkSession, d: str) -> DataFrame:
+    found = profiles(spark, d).select("id", score.keyword_detector(F.col("name")).alias("k"))
+    return found.select("id", "k.brand_guess")

@@ -184,6 +184,31 @@ judged AS (SELECT id, city, name, r, b,
 
 def oracle_sql() -> dict[str, str]:
     out = {
+        "set_overlaps": f"""WITH {P}, s AS (SELECT id, unnest(list_filter([CASE WHEN contains(lower(address), 'regus') THEN 'regus' END, CASE WHEN category = 'Locksmith' THEN 'locksmiths' END, CASE WHEN kvk_status = 'Unregistered' THEN 'unregistered' END,
+                CASE WHEN review_status = 'ready_for_review' THEN 'ready' END, CASE WHEN official_branch THEN 'branches' END], lambda x: x IS NOT NULL)) AS name FROM profiles),
+            n AS (SELECT name, count(*) AS n FROM s GROUP BY name), c AS (SELECT x.name AS a, y.name AS b, count(*) AS common FROM s x JOIN s y ON x.id = y.id AND x.name < y.name GROUP BY 1, 2)
+            SELECT p.name AS a, q.name AS b, coalesce(common, 0) AS common, p.n - coalesce(common, 0) AS only_a, q.n - coalesce(common, 0) AS only_b FROM n p JOIN n q ON p.name < q.name LEFT JOIN c ON c.a = p.name AND c.b = q.name""",
+        "target_risk": f"WITH {SCORES} SELECT target_name, count(*) AS locations, round(avg(overall_score), 1) AS average_score FROM abuse GROUP BY target_name",
+        "explanations": """WITH k AS (SELECT l_suppkey AS s_suppkey, count(*) AS total, list_sort(list(DISTINCT p_type)) AS kinds FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+            t AS (SELECT s_suppkey, s_name || ' (register ' || CASE WHEN s_nationkey % 2 = 0 THEN CAST(s_nationkey AS VARCHAR) ELSE 'number unknown' END || ') is listed at places across the country where it does not do business.' || chr(10) || chr(10)
+                || 'What was found: the registered seat is ' || CASE WHEN s_nationkey % 3 <> 0 THEN 'Street ' || CAST(s_nationkey AS VARCHAR) ELSE 'not known' END || '; ' || CAST(coalesce(total, 0) AS VARCHAR) || ' further listings were audited.' || chr(10) || chr(10) || 'Rules concerned:' || chr(10) AS opening,
+                chr(10) || 'The attached file lists all ' || CAST(coalesce(total, 0) AS VARCHAR) || ' audited places.' AS closing,
+                CASE WHEN s_suppkey % 4 <> 0 AND len(kinds) > 0 THEN list_transform(kinds, lambda x: '- Parts of the kind ' || x || ' and others that go with it in the same place.' || chr(10)) ELSE list_transform([RULES], lambda x: '- ' || x || chr(10)) END AS bullets FROM supplier LEFT JOIN k USING (s_suppkey)),
+            u AS (SELECT *, 1000 - length(opening) - length(closing) AS room FROM t),
+            w AS (SELECT *, list_filter(range(1, len(bullets) + 1), lambda i: length(array_to_string(bullets[1:i], '')) <= room) AS fits FROM u)
+            SELECT s_suppkey, opening || coalesce(array_to_string(bullets[1:len(fits)], ''), '') || closing AS text FROM w""".replace("RULES", ", ".join(_q(r) for r in vocab.EXPLANATION_RULES)),
+        "footprint_hits": f"""SELECT url, CASE page_id % 5 WHEN 0 THEN 'GTM-AB' || CAST(page_id % 50 AS VARCHAR) || 'X' ELSE '' END AS gtm, CASE page_id % 5 WHEN 2 THEN 'Claimt eigen monteurs' ELSE '' END AS claims FROM pages WHERE page_id % 5 IN (0, 2)
+            OR page_id % 5 = 1 AND regexp_matches('020 ' || CASE WHEN page_id % 2 = 0 THEN '369' ELSE '111' END || ' ' || CAST(page_id AS VARCHAR), '\\b(085[\\s\\-]?[0-9]{{3}}[\\s\\-]?[0-9]{{4}}|088[\\s\\-]?[0-9]{{3}}[\\s\\-]?[0-9]{{4}}|0[1-9][0-9][\\s\\-]?[0-9]{{3}}[\\s\\-]?[0-9]{{4}})\\b')""",
+        "niche_harvest": f"""WITH c AS (SELECT page_id, {_HOST.format('url')} AS domain, regexp_extract(url, '://[^/]*/([a-z]*)/', 1) AS city FROM pages),
+            f AS (SELECT split_part(domain, '.', -1) AS niche, city, arg_min(domain, page_id) AS domain FROM c GROUP BY 1, 2),
+            h AS (SELECT DISTINCT domain FROM c WHERE page_id % 5 = 1 AND ({" OR ".join(f"contains(CASE WHEN page_id % 2 = 0 THEN '020369' ELSE '020111' END || CAST(page_id AS VARCHAR), {_q(b)})" for b in vocab.PBX_BLOCKS)}))
+            SELECT niche, city, domain FROM f WHERE domain IN (SELECT domain FROM h)""",
+        "vo_detector_full": f"""WITH {P}, f AS (SELECT *, CASE WHEN id % 4 = 0 THEN 'Hub ' || city ELSE '' END AS hub, CASE WHEN id % 5 = 0 THEN 'werkplek bij regus in de stad' ELSE '' END AS told FROM profiles),
+            g AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(lower(name || ' ' || address || ' ' || hub) || ' ' || told, '(^|[^a-z]){c}([^a-z]|$)') THEN {_q(c)}" for c in sorted(vocab.FLEX_CHAINS, key=len, reverse=True))} END AS chain, {_first("lower(address)", vocab.FLEX_STREETS)} AS street FROM f),
+            s AS (SELECT *, CAST(least(100, CASE WHEN chain IS NOT NULL THEN 55 ELSE 0 END + CASE WHEN street IS NOT NULL THEN 45 ELSE 0 END + CASE WHEN address_type = 'residential' AND CASE WHEN category <> '' THEN {_any("lower(category)", vocab.SERVICE_CATEGORIES)} ELSE {_any("lower(name)", vocab.SERVICE_TITLES)} END THEN 45 ELSE 0 END) AS INT) AS score,
+                CASE WHEN chain IS NOT NULL AND hub <> '' THEN hub ELSE array_to_string(list_transform(string_split(coalesce(chain, street, ''), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS hub_name FROM g)
+            SELECT id, score > 0 AS signal_found, score, hub_name, CASE WHEN actual_occupant <> '' THEN actual_occupant WHEN hub_name <> '' THEN hub_name || ' (Commercial Coworking & Business Center)' ELSE 'Unverified Business Location' END AS occupant_guess FROM s""",
+        "brand_guess": f"""WITH {P} SELECT id, CASE id % 12 WHEN 0 THEN 'Acme ' || CAST(CAST(floor(id / 12) AS BIGINT) AS VARCHAR) WHEN 1 THEN 'Noord Dak ' || CAST(CAST(floor(id / 12) AS BIGINT) AS VARCHAR) WHEN 3 THEN 'Jansen ' || CAST(CAST(floor(id / 12) AS BIGINT) AS VARCHAR) ELSE name END AS brand_guess FROM profiles""",
         "networks_stable": f"WITH {LINEAGE} SELECT id, component, code FROM members JOIN coded USING (component)",
         "network_lineage": f"WITH {LINEAGE} SELECT code, CASE WHEN is_new THEN 'NEW' ELSE 'KEPT' END AS event, CAST(NULL AS VARCHAR) AS other FROM coded UNION ALL SELECT 'NETWORK-' || lpad(CAST(n AS VARCHAR), 5, '0'), 'MERGED', code FROM heirs JOIN coded USING (component) WHERE place > 1",
         "name_sanitize": f"WITH {SANITIZED} SELECT id, action, clean_name, removed_parts, confidence, reasons FROM judged",
@@ -233,6 +258,11 @@ def oracle_sql() -> dict[str, str]:
         "graph_edges": f"""WITH RECURSIVE {KEYS}, {REACH}, j AS (SELECT * FROM members JOIN biz USING (id)) SELECT component, 'b:' || CAST(id AS VARCHAR) AS source, 'domain:' || domain AS target, 'USES_DOMAIN' AS relation FROM j WHERE domain <> ''
             UNION ALL SELECT component, 'b:' || CAST(id AS VARCHAR), 'phone:' || normalized_phone, 'USES_PHONE' FROM j WHERE normalized_phone <> '' UNION ALL SELECT component, 'b:' || CAST(id AS VARCHAR), 'postal:' || postal_code, 'LOCATED_AT' FROM j WHERE postal_code <> ''""",
         "edges_induced": f"WITH {KEYS} SELECT * FROM edges WHERE relationship_type = 'SAME_PHONE' AND (source_business_id % 2 = 0 OR source_business_id % 3 = 0) AND (target_business_id % 2 = 0 OR target_business_id % 3 = 0)",
+        "indicator_members": f"""WITH RECURSIVE {P}, ind AS (SELECT id, 'phone' AS kind, {_QUEUE} AS v FROM profiles WHERE length({_QUEUE}) >= 9 UNION ALL SELECT id, 'website', {_HOST_W} FROM profiles WHERE {_HOST_W} IS NOT NULL UNION ALL SELECT id, 'address', {_AKEY} FROM profiles),
+            sh AS (SELECT kind, v FROM ind GROUP BY 1, 2 HAVING count(*) >= 2), li AS (SELECT ind.* FROM ind JOIN sh USING (kind, v)), hd AS (SELECT kind, v, min(id) AS h FROM li GROUP BY 1, 2),
+            st AS (SELECT h AS a, id AS b FROM li JOIN hd USING (kind, v) WHERE h <> id), bw AS (SELECT a, b FROM st UNION SELECT b, a FROM st),
+            re(id, other) AS (SELECT a, b FROM bw UNION SELECT r.id, e.b FROM re r JOIN bw e ON r.other = e.a), co AS (SELECT id, least(min(other), id) AS component FROM re GROUP BY id)
+            SELECT component, id, website AS url FROM co JOIN profiles USING (id)""",
         "indicator_clusters": f"""WITH RECURSIVE {P}, ind AS (SELECT id, 'phone' AS kind, {_QUEUE} AS v FROM profiles WHERE length({_QUEUE}) >= 9 UNION ALL SELECT id, 'website', {_HOST_W} FROM profiles WHERE {_HOST_W} IS NOT NULL UNION ALL SELECT id, 'address', {_AKEY} FROM profiles),
             sh AS (SELECT kind, v FROM ind GROUP BY 1, 2 HAVING count(*) >= 2), li AS (SELECT ind.* FROM ind JOIN sh USING (kind, v)), hd AS (SELECT kind, v, min(id) AS h FROM li GROUP BY 1, 2),
             st AS (SELECT h AS a, id AS b FROM li JOIN hd USING (kind, v) WHERE h <> id), bw AS (SELECT a, b FROM st UNION SELECT b, a FROM st),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import vocab
+
 
 def write_csv(df: DataFrame, path: str, allow_empty: bool = True) -> None:
     """CSV with a header; lists joined with ' | '."""
@@ -124,3 +126,19 @@ def explanation(points: list[str], limit: int = 1000) -> str:
     """Bullets that fit the limit, cut at a line end."""
     text = "\n".join(f"- {p}" for p in points)
     return text if len(text) <= limit else text[:limit].rpartition("\n")[0]
+
+
+def explained(name: Column, register: Column, seat: Column, total: Column, violations: Column, limit: int = 1000) -> Column:
+    """A dossier's explanation as a column, at most `limit` characters: bullets go from the end, whole ones first.
+
+    violations is a list of texts; null or empty stands for the usual three. An opening that fills the limit alone stays whole.
+    """
+    t = vocab.EXPLANATION
+    said = F.when(F.size(violations) > 0, violations).otherwise(F.array(*[F.lit(r) for r in vocab.EXPLANATION_RULES]))
+    filled = lambda c, default: F.coalesce(F.nullif(F.trim(c.cast("string")), F.lit("")), F.lit(t[default]))
+    opening = F.format_string(t["opening"], name, filled(register, "register"), filled(seat, "seat"), total.cast("long"))
+    closing = F.format_string(t["closing"], total.cast("long"))
+    bullets = F.array_join(F.transform(said, lambda v: F.concat(F.lit("- "), v, F.lit("\n"))), "")
+    room = F.greatest(F.lit(limit) - F.length(opening) - F.length(closing), F.lit(0))
+    fitting = F.when(F.length(bullets) <= room, bullets).otherwise(F.regexp_extract(F.substr(bullets, F.lit(1), room), r"(?s)^(.*\n)", 1))
+    return F.concat(opening, fitting, closing)
