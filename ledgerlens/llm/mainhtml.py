@@ -11,12 +11,14 @@ labelling of least total cost; the blocks on the content side are the main text.
 
 The classifier is trained here, on blocks of a bounded sample of pages (`SAMPLE_PAGES`,
 by hash) whose elements settle their label (article or main against nav, header,
-footer, aside, form). Class, id and role words, and standing inside an article, are
-features like any other, blanked in half of the training blocks so that it also learns
-from text; they decide nothing by themselves. Without such pages a prior stands in. Only
-elements that never hold main text (scripts, styles, forms, nav, footer, aside, a page's
+footer, aside, form). What stands nearest around a block, an article or a class, id or role word of
+boilerplate, is a feature like any other, blanked in half of the training blocks so that it also learns
+from text; the name of the element that holds a block is none, so text of an article
+counts alike in a paragraph, a list, a table or a bare div. Without such pages a prior
+stands in. Reader comments are boilerplate where a word names them, on a nested article too, or a
+heading announces them. Only elements that never hold main text (scripts, styles, forms, nav, footer, aside, a page's
 header, hidden elements) are excluded through an infinite capacity. Extraction is one pass
-over whole pages without a shuffle.
+over whole pages without a shuffle, linear in the page however deep its elements nest.
 
 Cases: null and empty html give an empty text. Unclosed, stray and badly nested tags are
 tolerated: a block-level tag closes open paragraphs, an end tag closes what is open
@@ -73,10 +75,11 @@ class Element:
     hidden: bool = False
     parent: Element | None = None
     depth: int = 0
-    good: bool = False  # inside an article or main element
+    good: bool = False  # the nearest of what tells is an article or main element
     never: bool = False
-    bad: bool = False  # a boilerplate word in a class, id or role around it
+    bad: bool = False  # the nearest is a boilerplate word in a class, id or role
     fine: bool = False
+    blocks: int = 0  # block-level elements from the root to here
 
 
 @dataclass
@@ -98,20 +101,26 @@ def _opened(name: str, attributes: str, parent: Element | None) -> Element:
             elif key in ("class", "id", "role"):
                 words += " " + value
     e = Element(name, words.strip(), hidden, parent, parent.depth + 1 if parent else 0)
-    inner = parent.good if parent else False
-    e.good = inner or name in _GOOD or "role" in attributes and words.strip().lower().endswith("main")
-    bad = bool(words) and bool(_BAD_WORDS.search(words)) and name not in ("html", "body", "article", "main")
-    e.bad = bad or bool(parent and parent.bad)
+    inner, spoilt = (parent.good, parent.bad) if parent else (False, False)
+    told = bool(words) and bool(_BAD_WORDS.search(words))
+    main = name in _GOOD or "role" in attributes and words.strip().lower().endswith("main")
+    if main and not (inner or spoilt and told):
+        e.good, e.bad = True, False  # an article, whatever its page or itself is called
+    elif told and name not in ("html", "body", "main"):
+        e.good, e.bad = False, True
+    else:
+        e.good, e.bad = inner, spoilt
+    e.blocks = (parent.blocks if parent else 0) + (name in _BLOCK)
     e.fine = bool(words) and bool(_GOOD_WORDS.search(words)) or bool(parent and parent.fine)
-    never = name in _NEVER or name == "header" and not inner or hidden
+    never = name in _NEVER or name == "header" and not e.good or hidden
     e.never = never or bool(parent and parent.never)
     return e
 
 
 def blocks(html: str | None) -> list[Block]:
     """The text blocks of a page, in order."""
-    root = Element("#root")
-    here, found = root, []
+    here, found = Element("#root"), []
+    opened: dict[str, list[Element]] = {}  # those open, by name, the innermost last
     text: list[str] = []
     linked = links = 0
 
@@ -124,6 +133,12 @@ def blocks(html: str | None) -> list[Block]:
             text.clear()
         linked = 0
 
+    def leave(to: Element) -> None:
+        nonlocal here
+        while here is not to:
+            opened[here.name].pop()
+            here = here.parent
+
     source, at = html or "", 0
     while at < len(source):
         m = _TOKEN.search(source, at)
@@ -143,14 +158,11 @@ def blocks(html: str | None) -> list[Block]:
                 links = max(0, links - 1)
             if name == "br":
                 text.append(" ")
-            e: Element | None = here
-            while e is not None and e.name != name:
-                e = e.parent
+            e = opened[name][-1] if opened.get(name) else None
             if name in _BLOCK:
                 flush()
-            if e is not None and e.parent is not None:
-                if name in _BLOCK or not any(x.name in _BLOCK for x in _between(here, e)):
-                    here = e.parent
+            if e is not None and (name in _BLOCK or here.blocks == e.blocks):
+                leave(e.parent)
             continue
         if name in _RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
@@ -167,21 +179,55 @@ def blocks(html: str | None) -> list[Block]:
             continue
         if name in _BLOCK:
             flush()
-            here = _implied(here, name)
+            leave(_implied(here, name))
         if m[3].endswith("/"):
             continue
         if name == "a":
             links += 1
         here = _opened(name, m[3], here)
+        opened.setdefault(name, []).append(here)
     flush()
-    return found
+    return _without_comments(found)
+
+
+#: Headings that announce reader comments.
+_COMMENTS = re.compile(
+    r"^\W*(?:\d+\W+)?(?:(?:reader|user)s?'?\s+)?(?:comments?|responses|replies|reactions?|discussion|leave a (?:comment|reply)|join the (?:discussion|conversation)|what (?:our )?readers say|kommentare?|leserkommentare|leserbriefe"
+    r"|commentaires?|r[ée]actions|comentarios?|respuestas|commenti|reacties)\W*(?:\(?\d+\)?)?\W*$",
+    re.I,
+)
+_LEVEL = {f"h{k}": k for k in range(1, 7)}
+
+
+def _heading(e: Element | None) -> Element | None:
+    """The heading that a block is, or None."""
+    while e is not None and e.name not in _LEVEL:
+        e = None if e.name in _BLOCK else e.parent
+    return e
+
+
+def _comment(e: Element) -> Element:
+    return Element("#comments", parent=e, depth=e.depth + 1, never=e.never, bad=True, blocks=e.blocks)
+
 
+def _without_comments(page: list[Block]) -> list[Block]:
+    """Marks what a heading of comments announces: what follows it in the element that holds it, up to a heading of its rank."""
+    holder, level = None, 0
+    for b in page:
+        heading = _heading(b.parent)
+        if holder is not None and (not _stands_in(b.parent, holder) or heading is not None and heading.parent is holder and _LEVEL[heading.name] <= level):
+            holder = None
+        if holder is None and heading is not None and heading.parent is not None and _COMMENTS.match(b.text):
+            holder, level = heading.parent, _LEVEL[heading.name]
+        if holder is not None:
+            b.parent = _comment(b.parent)
+    return page
 
-def _between(inner: Element, outer: Element) -> Iterator[Element]:
-    e: Element | None = inner
-    while e is not None and e is not outer:
-        yield e
+
+def _stands_in(e: Element | None, holder: Element) -> bool:
+    while e is not None and e.depth > holder.depth:
         e = e.parent
+    return e is holder
 
 
 #: Elements that a start tag of the key closes when open (nearest first, up to a container).
@@ -200,18 +246,18 @@ def _implied(here: Element, name: str) -> Element:
     return here
 
 
-FEATURES = 12
+FEATURES = 10
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """One row a block; the first five come from names, the rest from text and place."""
+    """One row a block; the first three come from names, the rest from text and place."""
     n, rows = len(page), []
     for k, b in enumerate(page):
         e, t = b.parent, b.text
         words = t.count(" ") + 1
         ends = t[-1:] in tuple(".!?:;\"'”’»…)")
         rows.append([
-            float(e.good), float(e.bad), float(e.fine), float(e.name in ("p", "h1", "h2", "h3", "blockquote", "pre", "b", "i", "em", "strong", "span")), float(e.name in ("li", "ul", "td", "th")),
+            float(e.good), float(e.bad), float(e.fine),
             math.log1p(words), math.log1p(len(t)), min(1.0, b.linked / max(1, len(t))), float(ends), (t.count(".") + t.count(",")) / words,
             float("©" in t or "|" in t), min(k, n - 1 - k) / max(1, n),
         ])
@@ -219,7 +265,7 @@ def features(page: list[Block]) -> np.ndarray:
 
 
 #: Weights used where no page of the sample has elements that settle labels.
-PRIOR = (np.zeros(FEATURES), np.ones(FEATURES), np.array([2.5, -7.0, 1.0, 1.0, -1.0, 0.5, 0.1, -4.0, 0.8, 0.5, -1.5, 0.5, -1.5]))
+PRIOR = (np.zeros(FEATURES), np.ones(FEATURES), np.array([3.5, -7.0, 1.0, 0.5, 0.1, -4.0, 0.8, 0.5, -1.5, 0.5, -1.5]))
 
 
 def train(pages: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -305,13 +351,17 @@ def min_cut(content: np.ndarray, boilerplate: np.ndarray, edges: list[tuple[int,
                 break
 
 
+#: Steps through the DOM from which blocks count as far apart.
+FAR = 64
+
+
 def _smoothness(page: list[Block], strength: float) -> list[tuple[int, int, float]]:
     """Edges between neighbours, by DOM distance, and along the blocks of a parent."""
     edges, last = [], {}
     for k, b in enumerate(page):
         if k:
             a, e, d = page[k - 1].parent, b.parent, 0
-            while a is not e and (a or e):
+            while a is not e and (a or e) and d < FAR:
                 if a and (not e or a.depth >= e.depth):
                     a = a.parent
                 else:
