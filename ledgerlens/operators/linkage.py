@@ -18,9 +18,11 @@ WEIGHTS = {
 
 
 def brand(name: Column) -> Column:
-    """Brand guess of an ASCII-folded name with built-ins only (see normalize.business_name for full Unicode)."""
+    """Brand guess of a name with built-ins only: full-width letters and signs count as their plain forms (see normalize.business_name for all of Unicode)."""
     edge = F.lit(" \t\r\n,;|:-/")
-    clean = F.btrim(F.regexp_replace(F.regexp_replace(text(name), r"[|]+", " "), r"\s+", " "), edge)
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+    narrow = F.translate(text(name), wide, "".join(map(chr, range(0x21, 0x7F))) + " ")
+    clean = F.btrim(F.regexp_replace(F.regexp_replace(narrow, r"[|]+", " "), r"\s+", " "), edge)
     bare = F.btrim(F.regexp_replace(clean, f"(?i){vocab.LEGAL_SUFFIX}", ""), edge)
     return F.btrim(F.regexp_replace(bare, r"(?i)\s*[-|,:/]\s*(?:in|te|bij|regio)\s+(.+)$", ""), edge)
 

@@ -14,6 +14,7 @@ from ledgerlens.operators import cases, identity, ledger, linkage, monitoring, n
 from ledgerlens.plans.profiles import profiles
 from ledgerlens.plans.storage import checkpointed, removed, shared_dir
 from ledgerlens.sources import readers, sinks, tables
+from ledgerlens.streaming import monitoring as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -417,7 +418,7 @@ def business_detail(spark: SparkSession, d: str) -> DataFrame:
 @query
 def network_detail(spark: SparkSession, d: str) -> DataFrame:
     biz, member = _biz(spark, d), _members(spark, d)
-    nets = networks.scored(member, biz)
+    nets = checkpointed(networks.scored(member, biz))
     least = nets.agg(F.min("component")).first()[0]
     found = read_model.network_detail(
         least, nets.withColumn("id", F.col("component")), member.select(F.col("component").alias("network_id"), F.col("id").alias("business_id")), biz,
@@ -876,3 +877,36 @@ def vo_detector_full(spark: SparkSession, d: str) -> DataFrame:
 def brand_guess(spark: SparkSession, d: str) -> DataFrame:
     found = profiles(spark, d).select("id", score.keyword_detector(F.col("name")).alias("k"))
     return found.select("id", "k.brand_guess")
+
+
+@query
+def franchise_file(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as branches of a chain, some at one address, some in another town."""
+    k, b = F.col("c_custkey"), F.floor(F.col("c_custkey") / 3).cast("string")
+    town = F.when(k % 2 == 0, "Delft").otherwise("Breda")
+    branches = read(spark, d, "customer").select(
+        F.concat(F.lit("b-"), k.cast("string")).alias("slug"), town.alias("city"), F.when(k % 5 != 0, F.concat(F.lit("Keten | "), town)).alias("h1"), F.when(k % 4 != 0, F.lit("Keten")).alias("schema_name"),
+        F.concat(F.lit("Laan "), b, F.lit(", 1111 AA Delft")).alias("address"), F.concat(F.lit("020"), k.cast("string")).alias("telephone"), F.concat(F.lit("https://keten.example/"), k.cast("string")).alias("url"),
+    )
+    found = sinks.franchise_rows(branches, cases.colocation(branches), "Keten")
+    return found.select(*[F.col(c).alias(n) for c, n in zip(sinks.FRANCHISE_COLUMNS, ["slug", "town", "name", "schema_name", "action", "violations", "address", "phone", "url", "proof"], strict=True)])
+
+
+@query
+def stream_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Events read as a stream of snapshots, a user's event types as names: changes up to the watermark, one hour behind the newest."""
+    before = {key: spark.conf.get(key, None) for key in stream.STORE}
+    for key, value in stream.STORE.items():
+        spark.conf.set(key, value)
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = read(spark, d, "events")
+    source.repartition(8, F.xxhash64("event_id")).write.parquet(f"{path}/in")  # in any order
+    events = spark.readStream.schema(source.schema).parquet(f"{path}/in")
+    snapshots = events.select(F.col("user_id").alias("business_id"), F.col("ts").cast("timestamp").alias("snapshot_timestamp"), F.col("event_type").alias("name"))
+    running = stream.changes(snapshots, ["name"]).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append").start()
+    running.awaitTermination()
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    found = checkpointed(spark.read.schema(stream.OUT).parquet(f"{path}/out").select("business_id", F.unix_micros("occurred_at").alias("at_us"), "event_type", "previous_val", "new_val"))
+    removed(spark, path)
+    return found

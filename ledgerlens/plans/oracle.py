@@ -209,6 +209,13 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN chain IS NOT NULL AND hub <> '' THEN hub ELSE array_to_string(list_transform(string_split(coalesce(chain, street, ''), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS hub_name FROM g)
             SELECT id, score > 0 AS signal_found, score, hub_name, CASE WHEN actual_occupant <> '' THEN actual_occupant WHEN hub_name <> '' THEN hub_name || ' (Commercial Coworking & Business Center)' ELSE 'Unverified Business Location' END AS occupant_guess FROM s""",
         "brand_guess": f"""WITH {P} SELECT id, CASE id % 12 WHEN 0 THEN 'Acme ' || CAST(CAST(floor(id / 12) AS BIGINT) AS VARCHAR) WHEN 1 THEN 'Noord Dak ' || CAST(CAST(floor(id / 12) AS BIGINT) AS VARCHAR) WHEN 3 THEN 'Jansen ' || CAST(CAST(floor(id / 12) AS BIGINT) AS VARCHAR) ELSE name END AS brand_guess FROM profiles""",
+        "franchise_file": """WITH b AS (SELECT c_custkey AS k, floor(c_custkey / 3) AS g, CASE WHEN c_custkey % 2 = 0 THEN 'Delft' ELSE 'Breda' END AS town FROM customer), n AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM b),
+            a AS (SELECT *, 'Laan ' || CAST(CAST(g AS BIGINT) AS VARCHAR) || ', 1111 AA Delft' AS address, CASE WHEN n > 1 AND town = 'Breda' THEN 'REMOVE_OR_MERGE' WHEN n > 1 THEN 'MERGE_DUPLICATE' ELSE 'RENAME' END AS action FROM n)
+            SELECT 'b-' || k AS slug, town, 'Keten | ' || town AS name, CASE WHEN k % 4 <> 0 THEN 'Keten' ELSE '' END AS schema_name, action,
+            CASE WHEN action = 'RENAME' THEN 'Keywords added to the title' ELSE 'One of ' || n || ' branches at one address' || CASE WHEN town = 'Breda' THEN ' | Claims Breda from an address elsewhere (' || address || ')' ELSE '' END END AS violations,
+            address, '020' || k AS phone, 'https://keten.example/' || k AS url, 'Heading of the landing page: ' || chr(39) || CASE WHEN k % 5 <> 0 THEN 'Keten | ' || town ELSE '' END || chr(39) AS proof FROM a""",
+        "stream_changes": """WITH e AS (SELECT user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS old FROM events)
+            SELECT user_id AS business_id, epoch_us(ts) AS at_us, 'NAME_CHANGED' AS event_type, old AS previous_val, event_type AS new_val FROM e WHERE old <> event_type AND epoch_us(ts) <= ((SELECT max(epoch_us(ts)) FROM events) // 1000 - 3600000) * 1000""",
         "networks_stable": f"WITH {LINEAGE} SELECT id, component, code FROM members JOIN coded USING (component)",
         "network_lineage": f"WITH {LINEAGE} SELECT code, CASE WHEN is_new THEN 'NEW' ELSE 'KEPT' END AS event, CAST(NULL AS VARCHAR) AS other FROM coded UNION ALL SELECT 'NETWORK-' || lpad(CAST(n AS VARCHAR), 5, '0'), 'MERGED', code FROM heirs JOIN coded USING (component) WHERE place > 1",
         "name_sanitize": f"WITH {SANITIZED} SELECT id, action, clean_name, removed_parts, confidence, reasons FROM judged",
@@ -283,7 +290,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT place_id, name, coalesce((SELECT min(id) FROM e WHERE e.phone = i.place_id), (SELECT min(id) FROM e WHERE e.name = i.name)) AS matched_id FROM i""",
         "insert_ignore": f"WITH {BIZ} SELECT id, normalized_phone FROM biz",
         "evidence_hash": "SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR) || '|LISTING|' || o_orderstatus || '|' || o_orderpriority || '|' || strftime(o_orderdate, '%Y-%m-%d')) AS sha256_hash FROM orders",
-        "evidence_integrity": "SELECT o_orderkey % 10 <> 0 AS intact, count(*) AS n FROM orders GROUP BY 1",
+        "evidence_integrity": "WITH e AS (SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR) || '|LISTING|' || o_orderstatus || '|' || o_orderpriority || '|' || strftime(o_orderdate, '%Y-%m-%d')) AS digest FROM orders), k AS (SELECT *, CASE WHEN o_orderkey % 10 = 0 THEN 'tampered' ELSE digest END AS kept FROM e) SELECT kept = digest AS intact, count(*) AS n FROM k GROUP BY 1",
+        "norm_name": f"""WITH {P}, c AS (SELECT id, name, trim(regexp_replace(regexp_replace(name, '[|]+', ' ', 'g'), '\\s+', ' ', 'g'), ' ,;|:-/') AS clean_name FROM profiles)
+            SELECT id, clean_name, trim(regexp_replace(trim(regexp_replace(clean_name, '{_LEGAL}', ''), ' ,;|:-/'), '(?i)\\s*[-|,:/]\\s*(in|te|bij|regio)\\s+(.+)$', ''), ' ,;|:-/') AS brand_guess,
+            array_to_string(regexp_extract_all(lower(clean_name), '[a-z0-9]+'), '|') AS tokens, regexp_matches(name, '[|:/-]') AS has_delimiters FROM c""",
         "follow_up_queue": "SELECT event_id AS case_id, CASE event_id % 3 WHEN 0 THEN 'SUBMITTED' WHEN 1 THEN 'awaiting_google_review' END AS status, CASE WHEN event_id % 11 = 0 THEN 'not-a-date' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS created_at FROM events WHERE event_id % 3 <> 2 AND (event_id % 11 = 0 OR date_trunc('second', ts) <= TIMESTAMP '2024-01-25 00:00:00')",
         "campaign_batches": f"WITH {_BATCHED} SELECT id, violation_category, batch_id, route FROM routed",
         "campaign_manifest": f"WITH {_BATCHED} SELECT batch_id, route, count(*) AS locations FROM routed GROUP BY 1, 2",

@@ -77,8 +77,9 @@ POLICY = (
 
 
 def policies(spark: SparkSession) -> DataFrame:
-    """The policy records, in all columns; what the list does not name has a plain default."""
-    rows = [(*p, f"{p[2]}.", f"{POLICY_SOURCE}business/answer/3038177", "2024-01-01", "2024-01-01", ["all listings"], [p[2]], ["listings that keep this rule"]) for p in vocab.POLICIES]
+    """The policy records, in all columns."""
+    told = vocab.POLICY_TEXTS
+    rows = [(*p, told[p[0]][0], f"{POLICY_SOURCE}business/answer/3038177", "2024-01-01", "2024-01-01", *told[p[0]][1:]) for p in vocab.POLICIES]
     return spark.createDataFrame(rows, POLICY)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import vocab
+from ledgerlens.operators.networks import numbered
 
 
 def write_csv(df: DataFrame, path: str, allow_empty: bool = True) -> None:
@@ -67,6 +68,59 @@ def network_report(network: dict[str, object], members: DataFrame, edges: DataFr
     return "\n".join(lines)
 
 
+#: What a report recommends (fixed value).
+REPORT_ACTION = "Consider submitting this evidence through Google's official reporting process for review."
+
+
+def case_report(case_id: int, cases: DataFrame, case_businesses: DataFrame, submissions: DataFrame, outcomes: DataFrame, shown: int = 200) -> str:
+    """Markdown of a case: headline, summary, its submissions and outcomes, each cut at `shown` rows with the total named."""
+    found = cases.where(F.col("id") == case_id).limit(1).collect()
+    if not found:
+        return f"# Case not found\n\nThere is no case {case_id}.\n"
+    of = lambda df: df.where(F.col("case_id") == case_id)
+    case, sent, seen, listings = found[0].asDict(), of(submissions), of(outcomes), of(case_businesses).count()
+    told = lambda *names: next((str(case[n]) for n in names if case.get(n)), "none")
+    n_sent, n_seen = sent.count(), seen.count()
+    lines = [
+        f"# Case: {case.get('case_code') or f'CASE-{case_id:05d}'}", "", f"Title: {told('title')}", f"Status: {told('status')}, priority: {told('priority')}, reviewer: {told('reviewer_name')}", "",
+        "## Executive summary", "", f"{listings} listings, {n_sent} submissions, {n_seen} outcomes; status {told('status')}.", "",
+    ]
+    when = lambda r, *names: next((str(r[n]) for n in names if n in r and r[n] is not None), "unknown")
+    newest = lambda df: [F.desc_nulls_last(c) for c in ("created_at", "id") if c in df.columns] or [F.lit(1)]
+    if n_sent:
+        lines += ["## Submissions", "", "| When | Type | Status | Case number |", "| --- | --- | --- | --- |"]
+        for r in (x.asDict() for x in sent.orderBy(*newest(sent)).limit(shown).collect()):
+            lines.append(f"| {when(r, 'submitted_at', 'created_at')} | {r.get('submission_type') or 'REDRESSAL_FORM'} | {r.get('status') or 'PREPARED'} | {r.get('google_case_id') or 'pending'} |")
+        lines += ["", f"{min(shown, n_sent)} of {n_sent} rows.", ""]
+    if n_seen:
+        lines += ["## Outcomes", ""]
+        for r in (x.asDict() for x in seen.orderBy(*newest(seen)).limit(shown).collect()):
+            lines.append(f"- {r['outcome_type']} ({when(r, 'verified_at', 'created_at')}): {r.get('description') or 'no description'}")
+        lines += ["", f"{min(shown, n_seen)} of {n_seen} rows.", ""]
+    return "\n".join([*lines, "## Recommended action", "", REPORT_ACTION, ""])
+
+
+#: Columns of the franchise file (fixed values).
+FRANCHISE_COLUMNS = ["slug", "stad", "officiële_naam_h1", "schema_handelsnaam", "aanbevolen_handhaving", "overtredingen", "fysiek_adres", "telefoonnummer", "landingspagina_url", "bewijslast_h1"]
+
+
+def franchise_rows(branches: DataFrame, judged: DataFrame, chain: str) -> DataFrame:
+    """The ten columns of a chain's file: branches(slug, city, h1, schema_name, address, telephone, url) as judged(slug, action, shared_with).
+
+    A branch without heading is named after the chain and its town. Violations are told in
+    words: branches at one address, an address in another town, or else added keywords.
+    """
+    told = branches.join(judged.select("slug", "action", "shared_with"), "slug")
+    here = F.col("action") != "RENAME"
+    shared = F.when(here, F.format_string("One of %d branches at one address", F.size("shared_with") + 1))
+    away = F.when(F.col("action") == "REMOVE_OR_MERGE", F.concat(F.lit("Claims "), "city", F.lit(" from an address elsewhere ("), "address", F.lit(")")))
+    violations = F.array_join(F.array_compact(F.array(shared, away, F.when(~here, "Keywords added to the title"))), " | ")
+    name = F.when(F.trim(F.coalesce("h1", F.lit(""))) != "", F.col("h1")).otherwise(F.concat(F.lit(f"{chain} | "), "city"))
+    proof = F.concat(F.lit("Heading of the landing page: '"), F.coalesce("h1", F.lit("")), F.lit("'"))
+    made = [F.col("slug"), F.col("city"), name, F.coalesce("schema_name", F.lit("")), F.col("action"), violations, F.col("address"), F.col("telephone"), F.col("url"), proof]
+    return told.select(*[c.alias(n) for c, n in zip(made, FRANCHISE_COLUMNS, strict=True)])
+
+
 def intelligence_report(metrics: dict[str, object], hubs: DataFrame, shown: int = 8, trades: int = 4) -> str:
     """Markdown of the corpus metrics and the densest hubs, each with some of its trades."""
     lines = ["# Network intelligence", "", *[f"- {k.replace('_', ' ')}: {v}" for k, v in metrics.items()], "", "## Dense hubs", ""]
@@ -103,9 +157,10 @@ def syndicate_rows(footprints: DataFrame, syndicate: str) -> DataFrame:
 
 def review_queue(clusters: DataFrame) -> DataFrame:
     """The review queue of indicator clusters: numbered in their order, lists joined with ' | '."""
-    order = Window.orderBy(F.desc("profiles"), F.desc(F.size("signals")), "component")  # one row a cluster
-    code = F.format_string("cluster-%03d", F.row_number().over(order))
-    return clusters.select(
+    order = ["__profiles", "__signals", "component"]
+    ranked = numbered(clusters.withColumns({"__profiles": -F.col("profiles"), "__signals": -F.size("signals")}), order, "__n")
+    code = F.format_string("cluster-%03d", "__n")
+    return ranked.select(
         code.alias("cluster_id"), "profiles", F.array_join("targets", " | ").alias("targets"), F.col("review_ready").alias("review_ready_profiles"),
         (F.col("review_ready") < F.col("profiles")).alias("requires_manual_review"), F.array_join("signals", " | ").alias("shared_indicators"),
     )

@@ -86,3 +86,8 @@ def test_recurrence_within_a_time(spark):
                 want[a[0], b[0]] = ((b[1] - a[1]) * 1_000_000, *same)
     assert got == want and len(want) > 50
     assert "NestedLoop" not in linkage.recurrence_within(as_df(gone), as_df(new), 60)._jdf.queryExecution().toString()  # noqa: SLF001
+
+
+def test_full_width_names_have_the_brand_of_plain_ones(spark):
+    df = spark.createDataFrame([("Ａｃｍｅ　Ｂｏｕｗ　Ｂ．Ｖ．",), ("Acme Bouw B.V.",), (None,)], "n string")
+    assert [r[0] for r in df.select(linkage.brand(F.col("n"))).collect()] == ["Acme Bouw", "Acme Bouw", ""]
