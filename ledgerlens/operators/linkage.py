@@ -71,7 +71,7 @@ def pairs(keyed: DataFrame, tile: int = TILE) -> DataFrame:
     of a key, whatever the key. The rows that come out are as many as there are pairs; where
     their number is enough, `classes` is linear.
     """
-    carried = keyed.select("type", "key", "id").distinct()
+    carried = checkpointed(keyed.select("type", "key", "id").distinct())
     shared = carried.groupBy("type", "key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     dealt = carried.join(shared, ["type", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     left = dealt.select("type", "key", F.col("id").alias("x"), F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))

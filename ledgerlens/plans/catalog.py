@@ -146,6 +146,12 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
     return networks.members(linkage.keys(_biz(spark, d)))
 
 
+def _networked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Businesses, normalised once, and the members of their networks."""
+    biz = checkpointed(_biz(spark, d))
+    return biz, networks.members(linkage.keys(biz))
+
+
 @query
 def components(spark: SparkSession, d: str) -> DataFrame:
     return _members(spark, d)
@@ -153,13 +159,14 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def network_score(spark: SparkSession, d: str) -> DataFrame:
-    found = networks.coded(networks.scored(_members(spark, d), _biz(spark, d)))
+    biz, member = _networked(spark, d)
+    found = networks.coded(networks.scored(member, biz))
     return found.select("component", "network_code", "member_count", "domain_count", "phone_count", "address_count", "suspicion_score", "severity", "network_type")
 
 
 def _grown(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Networks by phone and domain, then with the links of the other kinds merged in: (id, component) and its codes, and what became of each code."""
-    keyed = linkage.keys(_biz(spark, d))
+    keyed = checkpointed(linkage.keys(_biz(spark, d)))
     first = F.col("type").isin("SAME_PHONE", "SAME_DOMAIN")
     labels = networks.members(keyed.where(first))
     before = networks.coded(labels.select("component").distinct()).join(labels, "component").select(F.col("network_code").alias("code"), "id")
@@ -180,18 +187,20 @@ def network_lineage(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def network_propagation(spark: SparkSession, d: str) -> DataFrame:
-    biz, member = _biz(spark, d), _members(spark, d)
+    biz, member = _networked(spark, d)
     return networks.propagated(biz, member, networks.scored(member, biz)).select("id", "suspicion_score")
 
 
 @query
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return networks.graph_nodes(_members(spark, d), _biz(spark, d))
+    biz, member = _networked(spark, d)
+    return networks.graph_nodes(member, biz)
 
 
 @query
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    return networks.graph_edges(_members(spark, d), _biz(spark, d))
+    biz, member = _networked(spark, d)
+    return networks.graph_edges(member, biz)
 
 
 @query
@@ -417,7 +426,7 @@ def business_detail(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def network_detail(spark: SparkSession, d: str) -> DataFrame:
-    biz, member = _biz(spark, d), _members(spark, d)
+    biz, member = _networked(spark, d)
     nets = checkpointed(networks.scored(member, biz))
     least = nets.agg(F.min("component")).first()[0]
     found = read_model.network_detail(
