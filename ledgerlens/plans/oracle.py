@@ -182,8 +182,29 @@ judged AS (SELECT id, city, name, r, b,
     WHEN 6 THEN 'separators part the title into 2|parts removed: erkend & betaalbaar' ELSE 'no separators or added keywords found' END AS reasons FROM t)"""
 
 
+#: Evidence of audited listings: the categories' signals, then, from 50 points on, what the scores were given for.
+_T = {k: v.replace("%d", "%s").split("%s") for k, v in vocab.TRIGGERS.items()}
+
+
+def _said(key: str, value: str | None = None) -> str:
+    return " || ".join([_q(_T[key][0]), f"CAST({value} AS VARCHAR)", _q(_T[key][1])]) if value else _q(vocab.TRIGGERS[key])
+
+
+_MOD_LIST = "list_filter([" + ", ".join(map(_q, vocab.SCORE_MODIFIERS)) + "], lambda m: regexp_matches(lower(name), '(^|[^a-z0-9_])' || m || '([^a-z0-9_]|$)'))"
+_FLEX = f"({_any('lower(address)', vocab.FLEX_KEYWORDS)} OR {_any('lower(actual_occupant)', vocab.FLEX_KEYWORDS)} OR {_any('lower(site_address)', vocab.FLEX_KEYWORDS)} OR contains(lower(actual_occupant), 'unstaffed'))"
+_BLOCK = _any("regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g')", vocab.PBX_BLOCKS)
+EVIDENCE = f"""
+SELECT id, array_to_string(list_filter([CASE WHEN office THEN 'known_virtual_office' END, CASE WHEN parcel THEN 'parcel_or_partner_location' END, CASE WHEN home THEN 'residential_address_indicator' END, CASE WHEN stuffed THEN 'possible_keyword_stuffing' END]
+    || CASE WHEN overall_score >= 50 OR score >= 50 THEN [CASE WHEN dl >= 2 THEN {_said("delimiters", "dl")} WHEN dl = 1 THEN {_said("delimiter")} END, CASE WHEN n_modifiers > 0 THEN {_said("modifiers", f"array_to_string({_MOD_LIST}, ', ')")} END,
+      CASE WHEN added THEN {_said("city", "upper(city[1]) || lower(city[2:])")} END, CASE WHEN words >= 6 THEN {_said("words", "words")} END, CASE WHEN {_FLEX} THEN {_said("flex", "coalesce(nullif(actual_occupant, ''), 'Regus/Spaces')")} END,
+      CASE WHEN {_BLOCK} THEN {_said("block", "phone")} WHEN substr(coalesce(phone, ''), 1, 3) IN ('085', '088') THEN {_said("national", "phone")} END,
+      CASE WHEN {_any("lower(coalesce(kvk_status, ''))", ["unregistered", "onbekend", "ghost"])} THEN {_said("ghost")} END, CASE WHEN network_cluster_size > 1 THEN {_said("cloned", "network_cluster_size")} END] ELSE [] END, lambda x: x IS NOT NULL), '|') AS evidence_signals,
+  coalesce(nullif(kvk_status, ''), 'No commercial registration at this address') AS registration_status FROM au2"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
+        "audit_evidence": f"WITH {_audit('')} {EVIDENCE}",
         "set_overlaps": f"""WITH {P}, s AS (SELECT id, unnest(list_filter([CASE WHEN contains(lower(address), 'regus') THEN 'regus' END, CASE WHEN category = 'Locksmith' THEN 'locksmiths' END, CASE WHEN kvk_status = 'Unregistered' THEN 'unregistered' END,
                 CASE WHEN review_status = 'ready_for_review' THEN 'ready' END, CASE WHEN official_branch THEN 'branches' END], lambda x: x IS NOT NULL)) AS name FROM profiles),
             n AS (SELECT name, count(*) AS n FROM s GROUP BY name), c AS (SELECT x.name AS a, y.name AS b, count(*) AS common FROM s x JOIN s y ON x.id = y.id AND x.name < y.name GROUP BY 1, 2)
