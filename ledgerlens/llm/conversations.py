@@ -107,20 +107,34 @@ def matrix(rows: tuple[str, ...], starts: tuple[int, ...]) -> tuple[tuple[int, .
 remembered = lru_cache(1 << 14)(matrix)
 
 
-def product(parts: Iterable[tuple[list[int], list[str]]]) -> Weight:
-    """The least weight of a whole conversation from its blocks' matrices; what all ways share is set aside."""
-    done, reached = [], {0: (0, "")}
-    for costs, labels in parts:
+class Product:
+    """The least weights of a conversation so far, block by block; what all ways share is set aside."""
+
+    def __init__(self) -> None:
+        self.done: list[str] = []
+        self.reached: dict[int, Weight] = {0: (0, "")}
+
+    def times(self, costs: list[int], labels: list[str]) -> None:
         ahead: dict[int, Weight] = {}
-        for g, (cost, label) in reached.items():
+        for g, (cost, label) in self.reached.items():
             for to in range(4):
                 if costs[4 * g + to] >= 0:
                     best(ahead, to, (cost + costs[4 * g + to], label + labels[4 * g + to]))
         shared = len(commonprefix([label for _, label in ahead.values()]))
-        done.append(next(iter(ahead.values()))[1][:shared])
-        reached = {g: (cost, label[shared:]) for g, (cost, label) in ahead.items()}
-    cost, label = min(w for g, w in inserted(reached).items() if g in FINAL)
-    return cost, "".join(done) + label
+        self.done.append(next(iter(ahead.values()))[1][:shared])
+        self.reached = {g: (cost, label[shared:]) for g, (cost, label) in ahead.items()}
+
+    def least(self) -> Weight:
+        cost, label = min(w for g, w in inserted(self.reached).items() if g in FINAL)
+        return cost, "".join(self.done) + label
+
+
+def product(parts: Iterable[tuple[list[int], list[str]]]) -> Weight:
+    """The least weight of a whole conversation from its blocks' matrices."""
+    whole = Product()
+    for costs, labels in parts:
+        whole.times(costs, labels)
+    return whole.least()
 
 
 def damaged(rows: DataFrame) -> DataFrame:
@@ -226,31 +240,46 @@ AUDIT = pa.schema([*[(c, pa.int64()) for c in ("conv_id", "gaps", "blank", "dupl
 AUDITS = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
 
 
-def _answer(blocks: list[tuple]) -> tuple:
-    """The row of a conversation from its blocks in order."""
-    held = [b for b in blocks if b[5]]
-    blank, duplicate, truncated, illegal, turns = (sum(b[k] for b in held) for k in range(6, 11))
-    for before, after in zip(held, held[1:], strict=False):
-        illegal += before[14] + after[13] not in LEGAL
-    timed = [b for b in held if b[11] is not None]
-    turns -= sum(before[12] == after[11] for before, after in zip(timed, timed[1:], strict=False))
-    gaps = timed[-1][12] - timed[0][11] + 1 - turns if timed else 0
-    return (blocks[0][0], gaps, blank, duplicate, truncated, illegal, *product((b[15], b[16]) for b in held))
+class _Whole:
+    """A conversation from its blocks in order, each let go once it is added; what grows is the audit alone."""
+
+    def __init__(self, conv: int | None) -> None:
+        self.conv, self.ways, self.counts, self.turns = conv, Product(), [0, 0, 0, 0], 0
+        self.last = self.first_turn = self.last_turn = None
+
+    def add(self, row: tuple) -> None:
+        _, _, _, _, _, n, *counts, turns, first_turn, last_turn, first, last, costs, labels = row
+        if not n:
+            return
+        self.counts = [a + b for a, b in zip(self.counts, counts, strict=True)]
+        if self.last is not None:
+            self.counts[3] += self.last + first not in LEGAL
+        self.last = last
+        if first_turn is not None:
+            self.turns += turns - (self.last_turn == first_turn)
+            self.first_turn = first_turn if self.first_turn is None else self.first_turn
+            self.last_turn = last_turn
+        self.ways.times(costs, labels)
+
+    def row(self) -> tuple:
+        gaps = 0 if self.first_turn is None else self.last_turn - self.first_turn + 1 - self.turns
+        return (self.conv, gaps, *self.counts, *self.ways.least())
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Conversations from their blocks, sorted."""
-    wait: list[tuple] = []
+    whole: _Whole | None = None
     for batch in batches:
         out = []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if wait and wait[0][0] != row[0]:
-                out.append(_answer(wait))
-                wait = []
-            wait.append(row)
+            if whole is None or whole.conv != row[0]:
+                if whole is not None:
+                    out.append(whole.row())
+                whole = _Whole(row[0])
+            whole.add(row)
         yield _batch(out, AUDIT)
-    if wait:
-        yield _batch([_answer(wait)], AUDIT)
+    if whole is not None:
+        yield _batch([whole.row()], AUDIT)
 
 
 def audits(rows: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -167,3 +167,11 @@ def test_mended_conversations_alternate(spark):
     for found in out.values():
         assert [p for p, _ in sorted(found)] == list(range(len(found)))
         assert re.fullmatch("(s?(ua)+)?", "".join(r[:1] for _, r in sorted(found)))
+
+
+def test_a_conversation_of_a_third_of_all_rows_is_dealt(spark):
+    """30,000 rows of one conversation over several partitions and blocks of 500 give what one block gives."""
+    rows = [(7, k, "user" if k % 2 else "assistant", f"{k % 900}." if k % 13 else "cut") for k in range(30_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    parts, whole = c.repaired(df, 500).collect(), c.repaired(df, 100_000).collect()
+    assert parts == whole and len(parts) == 1 and parts[0]["duplicate"] > 20_000
