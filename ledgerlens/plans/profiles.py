@@ -53,5 +53,7 @@ PROFILES_SQL = PROFILES.format(customer="customer", nation="nation")
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings, dealt over the shuffle's tasks: customer is a small file that one task reads, and what is computed of a listing is not small."""
     customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
-    return spark.sql(PROFILES, customer=customer, nation=nation)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.sql(PROFILES, customer=customer.repartition(tasks, "c_custkey"), nation=nation)

@@ -240,3 +240,10 @@ def test_snapshots_stand_under_their_own_place(spark):
     subs = spark.createDataFrame([("T", "c1", "submitted", "2024"), ("T", "c1", "submitted", "2025"), ("U", "c2", "draft", "2024")], "target_name string, case_id string, status string, created_at string")
     found, kept = migration.cases_of(subs)
     assert migration.verification(made, migration.snapshots(docs, made), found, kept).first().asDict() | {"x": 0} == {"businesses": 2, "domains": 0, "phones": 0, "postal_codes": 0, "snapshots": 2, "cases": 2, "submissions": 3, "x": 0}
+
+
+def test_listings_of_a_small_file_are_dealt_over_tasks(spark):
+    from ledgerlens.plans.profiles import profiles
+
+    found = profiles(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
