@@ -63,34 +63,40 @@ def keys(biz: DataFrame) -> DataFrame:
 TILE = 2_048
 
 
-def pairs(keyed: DataFrame, tile: int = TILE) -> DataFrame:
-    """(type, key, a, b), a < b: every pair of distinct carriers of a key, once.
+def pairs(keyed: DataFrame, tile: int = TILE, once: bool = False) -> DataFrame:
+    """(type, key, a, b), a < b: every pair of distinct carriers of a key, once; with `once`, only under the least key of a type that the two share.
 
     Carriers of a key of n are dealt over ceil(n / tile) parts, and the pairs of parts i <= j
     are one tile with a place in the shuffle of its own: no task joins more than two parts
     of a key, whatever the key. The rows that come out are as many as there are pairs; where
-    their number is enough, `classes` is linear.
+    their number is enough, `classes` is linear. A carrier brings the other keys that it has of the type, so `once`
+    is seen at the pair itself: pairs are neither shuffled nor held.
     """
-    carried = checkpointed(keyed.select("type", "key", "id").distinct())
+    listed = keyed.groupBy("type", "id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    carried = checkpointed(listed.select("type", "id", F.explode("keys").alias("key"), F.when(F.size("keys") > 1, F.col("keys")).alias("keys")))
     shared = carried.groupBy("type", "key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     dealt = carried.join(shared, ["type", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    left = dealt.select("type", "key", F.col("id").alias("x"), F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
-    right = dealt.select("type", "key", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
+    left = dealt.select("type", "key", F.col("id").alias("x"), F.col("keys").alias("xs"), F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
+    right = dealt.select("type", "key", F.col("id").alias("y"), F.col("keys").alias("ys"), F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
     met = left.join(right, ["type", "key", "i", "j"]).where("x < y OR (i < j AND x <> y)")
+    if once:
+        met = met.where("xs IS NULL OR ys IS NULL OR key = array_min(array_intersect(xs, ys))")
     return met.select("type", "key", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _edge_rows(found: DataFrame) -> DataFrame:
+def _weighed(found: DataFrame) -> DataFrame:
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
-    return (
-        found.groupBy(F.col("a").alias("source_business_id"), F.col("b").alias("target_business_id"), F.col("type").alias("relationship_type")).agg(F.min("key").alias("shared_key"))
-        .withColumn("weight", F.try_element_at(weight, F.col("relationship_type")))
-    )
+    return found.withColumn("weight", F.try_element_at(weight, F.col("relationship_type")))
+
+
+def _edge_rows(found: DataFrame) -> DataFrame:
+    return _weighed(found.groupBy(F.col("a").alias("source_business_id"), F.col("b").alias("target_business_id"), F.col("type").alias("relationship_type")).agg(F.min("key").alias("shared_key")))
 
 
 def edges(keyed: DataFrame, kinds: list[str] | None = None, tile: int = TILE) -> DataFrame:
     """The published edge table: every pair that shares a key, once for each type, source < target."""
-    return _edge_rows(pairs(keyed.where(F.col("type").isin(*kinds)) if kinds else keyed, tile))
+    met = pairs(keyed.where(F.col("type").isin(*kinds)) if kinds else keyed, tile, once=True)
+    return _weighed(met.select(F.col("a").alias("source_business_id"), F.col("b").alias("target_business_id"), F.col("type").alias("relationship_type"), F.col("key").alias("shared_key")))
 
 
 def neighbourhood(keyed: DataFrame, business_id: int, kinds: list[str] | None = None) -> DataFrame:
