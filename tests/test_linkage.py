@@ -91,3 +91,35 @@ def test_recurrence_within_a_time(spark):
 def test_full_width_names_have_the_brand_of_plain_ones(spark):
     df = spark.createDataFrame([("Ａｃｍｅ　Ｂｏｕｗ　Ｂ．Ｖ．",), ("Acme Bouw B.V.",), (None,)], "n string")
     assert [r[0] for r in df.select(linkage.brand(F.col("n"))).collect()] == ["Acme Bouw", "Acme Bouw", ""]
+
+
+@pytest.mark.parametrize("tile", [2, 2048])
+def test_recurrence_of_ids_in_several_rows(spark, tile):
+    r = random.Random(3)
+    make = lambda n: [(r.randint(0, 25), r.choice(["1", "2", "", None]), r.choice(["a.nl", None, "b.nl"]), r.choice(["1000 AA", None, "1000 AB"])) for _ in range(n)]
+    gone, new = make(30), make(40)
+    want = {}
+    for a in gone:
+        for b in new:
+            same = [bool(a[k]) and a[k] == b[k] for k in (1, 2, 3)]
+            if a[0] != b[0] and any(same):
+                want[a[0], b[0]] = tuple(x or y for x, y in zip(want.get((a[0], b[0]), (False,) * 3), same, strict=True))
+    as_df = lambda rows: spark.createDataFrame(rows, "id long, normalized_phone string, domain string, postal_code string")
+    got = sorted(tuple(x) for x in linkage.recurrence(as_df(gone), as_df(new), tile).collect())
+    assert got == sorted((*k, *v) for k, v in want.items()) and len(want) > 100
+
+
+def _exchanges_over(df):
+    """Names of what stands above the last join of a plan."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()  # noqa: SLF001
+    return plan[: plan.index("Join")]
+
+
+def test_pairs_are_not_shuffled_again(spark):
+    """A pair comes once where it is met: no grouping of all pairs follows the join."""
+    keyed = spark.createDataFrame([(k, "T", x) for k in range(9) for x in ("p", "q")], "id long, type string, key string")
+    assert {r["shared_key"] for r in linkage.edges(keyed, tile=4).collect()} == {"p"} and linkage.edges(keyed, tile=4).count() == 36
+    biz = spark.createDataFrame([(k, "1", "a.nl", "1000 AA") for k in range(9)], "id long, normalized_phone string, domain string, postal_code string")
+    timed = biz.withColumn("at", F.timestamp_seconds("id"))
+    for found in (linkage.edges(keyed), linkage.recurrence(biz, biz), linkage.recurrence_within(timed, timed, 60)):
+        assert "Aggregate" not in _exchanges_over(found)
