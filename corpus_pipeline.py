@@ -33,8 +33,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, the one of least doc_id; rows without doc_id stay."""
-    return simhash.keep_one(docs)
+    """One document of each group stays, the one of least doc_id; rows without doc_id stay.
+
+    Groups are those of op5's SimHash links and, joined with them, of the near copies whose fingerprints lie farther apart (simhash.groups).
+    """
+    return simhash.keep_one(docs, simhash.groups(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, pair_
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The pipeline's stage: five-word shingles and exact Jaccard similarity (the op5 contract binds only op5_simhash).
+#: The pipeline's stage takes, beside op5's fingerprints, five-word shingles and exact Jaccard similarity.
 STAGE_WIDTH, SIMILARITY = 5, 0.8
 #: Min-wise bands that propose candidates: a pair at 0.8 shares one with probability 1 - (1 - 0.8^4)^20 = 0.99997.
 BANDS, BAND_ROWS = 20, 4
@@ -288,17 +288,29 @@ def near_copies(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = S
     return rows.join(classes.join(least, "class").select("v", "component_id"), "v").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of both relations together: fingerprints at most RADIUS bits apart (near_duplicates), or similar
+    five-word shingle sets (near_copies), in any order of steps, a row for every row.
+
+    Rows with a null doc_id bridge within each relation, not from one to the other, and have a null component_id. Rows that repeat a doc_id are of one group.
+    """
+    copies = checkpointed(near_copies(docs))
+    each = near_duplicates(docs).select("doc_id", "component_id").unionByName(copies).where("doc_id <> component_id")
+    joined = connected_components(each.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")))
+    return copies.select("doc_id").join(joined.withColumnsRenamed({"id": "doc_id", "component": "component_id"}), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
     """The rows of docs that stand for their group, one of each; all columns stay.
 
-    Groups are those of near_copies: five-word shingles at a similarity of 0.8 or more.
+    Groups are the given (doc_id, component_id), or those of near_copies: five-word shingles at a similarity of 0.8 or more.
     Rows with a null doc_id have no group of their own and stay. Rows that repeat a
     doc_id are the same document: it stays if it names the group of one of them, as the
     row whose text sorts first.
     """
     own = F.col("doc_id") == F.col("component_id")
-    groups = near_copies(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
-    judged = checkpointed(groups.agg(F.max(own).alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"))
+    named = (near_copies(docs) if grouped is None else grouped).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+    judged = checkpointed(named.agg(F.max(own).alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"))
     id_ = docs["doc_id"].cast("long")
     odd, often = judged.select("__id"), judged.where("stays").select("__id")
     single = docs.join(_few(odd), id_ == F.col("__id"), "left_anti")  # null ids match nothing and stay

@@ -59,3 +59,17 @@ def test_the_run_keeps_what_its_stages_keep(spark, sf):
     for k in clean:
         parts = sorted((r["start"], r["length"], r["doc_tokens"]) for r in pieces if r["doc_id"] == k)
         assert sum(n for _, n, _ in parts) % parts[0][2] == 0
+
+
+def test_near_dedup_follows_fingerprints_and_similar_sets(spark):
+    """1 and 2 have fingerprints within two bits but few equal shingles; 2 and 3 the other way round; 4 stands alone."""
+    from ledgerlens.llm import simhash
+
+    loop = "een twee drie vier vijf " * 400
+    tail = lambda n: " ".join(f"w{n}x{k}" for k in range(40))
+    rows = [(1, loop + tail(1)), (2, loop + tail(2)), (3, "een twee drie vier vijf " * 2 + tail(2)), (4, tail(4)), (None, tail(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    apart = lambda a, b: bin((simhash.fingerprint(rows[a][1]) ^ simhash.fingerprint(rows[b][1])) & (2**64 - 1)).count("1")
+    assert apart(0, 1) <= 2 < apart(1, 2)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect() if r["doc_id"]) == [1, 2, 4]
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == ["1", "4", "None"]
