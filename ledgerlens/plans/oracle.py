@@ -385,7 +385,7 @@ def oracle_sql() -> dict[str, str]:
         "submission_status": f"{sub} SELECT case_id, CASE WHEN k = 7 THEN 'closed' ELSE status END AS status FROM s",
         "event_append": "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS case_id, event_type, '' AS details FROM events UNION ALL SELECT max(event_id) + 1, '7', 'reviewed', 'by hand' FROM events",
         "location_append": "SELECT s_suppkey AS id, s_name AS target_name, '{}' AS data FROM supplier UNION ALL SELECT max(s_suppkey) + 1, 'New', '{\"name\": \"x\"}' FROM supplier",
-        "save_target": "SELECT s_name AS name, CAST(s_nationkey + 100 AS BIGINT) AS kvk FROM supplier UNION ALL SELECT 'extra', 0",
+        "save_target": "SELECT s_name AS name, CAST(CASE WHEN s_nationkey < 5 THEN 99 ELSE s_nationkey END AS BIGINT) AS kvk FROM supplier UNION ALL SELECT 'New ' || s_name, CAST(s_nationkey + 100 AS BIGINT) FROM supplier WHERE s_nationkey >= 5 UNION ALL SELECT 'extra', 0",
         "profile_edits": f"SELECT o_orderkey AS id, CASE WHEN o_orderkey = 7 THEN 'verified' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'proposed' END AS status, 'MAPS_EDIT' AS remediation_track, {now} AS created_at, CASE WHEN o_orderkey = 7 THEN {now} END AS last_verified_at FROM orders",
         "liveness_update": live,
         "liveness_breakdown": f"SELECT coalesce(liveness_status, 'untested') AS liveness_status, count(*) AS n FROM ({live}) GROUP BY 1",
