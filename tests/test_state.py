@@ -75,4 +75,4 @@ def test_evidence_codes_are_those_of_the_sql_beyond_six_digits(spark):
     numbers = [8, 999_999, 1_000_000, 1_000_009, 23_456_789]
     codes = spark.createDataFrame([(f"EVD-2026-{n:06d}",) for n in numbers], "c string")
     got = [r[0] for r in codes.select(catalog._sql_code(codes["c"])).collect()]  # noqa: SLF001
-    assert got == [duckdb.sql(f"SELECT 'EVD-2026-' || lpad(CAST({n} AS VARCHAR), 6, '0')").fetchone()[0] for n in numbers]
+    assert got == [duckdb.connect().execute(f"SELECT 'EVD-2026-' || lpad(CAST({n} AS VARCHAR), 6, '0')").fetchone()[0] for n in numbers]
