@@ -38,13 +38,13 @@ def first_contained(haystack: Column, words: list[str]) -> Column:
     """The first word of the list, in list order, that the text contains; null if none. Long lists must stand outside lambdas."""
     if len(words) >= matching.AUTOMATON_FROM:
         return matching.first_of(haystack, words)
-    return F.get(F.filter(literals(words), lambda w: F.contains(haystack, w)), 0)
+    return let(haystack, lambda h: F.get(F.filter(literals(words), lambda w: F.contains(h, w)), 0))
 
 
 def any_contained(haystack: Column, words: list[str]) -> Column:
     if len(words) >= matching.AUTOMATON_FROM:
         return matching.any_of(haystack, words)
-    return F.exists(literals(words), lambda w: F.contains(haystack, w))
+    return let(haystack, lambda h: F.exists(literals(words), lambda w: F.contains(h, w)))
 
 
 def first_filled(*columns: Column) -> Column:
@@ -256,9 +256,8 @@ def compacted(values: pd.Series) -> pd.Series:
 # The other dialects of phone, website and address keys.
 def plain_phone(raw: Column, least: int = 9, rewrite_from: int = 11) -> Column:
     """Digits with a leading 31 of a number of rewrite_from digits or more as 0; null under `least` digits."""
-    digits = F.regexp_replace(text(raw), r"\D", "")
-    local = F.when(digits.startswith("31") & (F.length(digits) >= rewrite_from), F.concat(F.lit("0"), F.substring(digits, 3, 40))).otherwise(digits)
-    return F.when(F.length(local) >= least, local)
+    local = lambda d: F.when(d.startswith("31") & (F.length(d) >= rewrite_from), F.concat(F.lit("0"), F.substring(d, 3, 40))).otherwise(d)
+    return let(let(F.regexp_replace(text(raw), r"\D", ""), local), lambda n: F.when(F.length(n) >= least, n))
 
 
 def plain_host(raw: Column) -> Column:

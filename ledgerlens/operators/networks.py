@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import vocab
-from ledgerlens.functions.normalize import any_contained, hub_address, plain_address, plain_host, plain_phone, text
+from ledgerlens.functions.normalize import any_contained, hub_address, let, plain_address, plain_host, plain_phone, text
 from ledgerlens.operators.components import connected_components
 from ledgerlens.operators.linkage import star_edges
 from ledgerlens.plans.storage import checkpointed
@@ -137,7 +137,7 @@ def indicator_clusters(profiles: DataFrame, min_shared: int = 2) -> DataFrame:
 def syndicate(profiles: DataFrame, hubs: dict[str, str], excluded: list[str]) -> DataFrame:
     """Ids of the national syndicate: VoIP-block or flexible-hub listings less those of excluded targets."""
     digits = plain_phone(F.col("phone"), least=1, rewrite_from=2)
-    block = (F.length(digits) >= 6) & any_contained(F.substring(digits, 1, 6), vocab.SYNDICATE_BLOCKS)
+    block = any_contained(let(digits, lambda d: F.when(F.length(d) >= 6, F.substring(d, 1, 6))), vocab.SYNDICATE_BLOCKS)
     where = F.concat_ws("\n", F.lower(text(F.col("address"))), F.lower(text(F.col("site_address"))))
     voip = profiles.where(block).select("id")
     hub = profiles.where(any_contained(where, list(hubs))).select("id")
@@ -158,7 +158,7 @@ def syndicate_rows(members: DataFrame, profiles: DataFrame, kinds: dict[str, tup
     members: syndicate, id, repeats allowed. A syndicate without members has zeros; members stay rows, never a list.
     """
     digits = plain_phone(F.col("phone"), least=1, rewrite_from=2)
-    used = profiles.select("id", F.when(F.length(digits) >= 6, F.substring(digits, 1, 6)).alias("block"), F.col("city").alias("town"))
+    used = profiles.select("id", let(digits, lambda d: F.when(F.length(d) >= 6, F.substring(d, 1, 6))).alias("block"), F.col("city").alias("town"))
     counted = members.distinct().join(used, "id").groupBy("syndicate").agg(F.count(F.lit(1)).alias("locations_count"), F.count_distinct("block").alias("phone_blocks"), F.count_distinct("town").alias("towns"))
     named = members.sparkSession.createDataFrame([(n, *k) for n, k in kinds.items()], "syndicate string, network_type string, severity string")
     return named.join(counted, "syndicate", "left").fillna(0, ["locations_count", "phone_blocks", "towns"])
