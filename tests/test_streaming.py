@@ -86,3 +86,53 @@ def test_rates_in_batch(spark):
     e = spark.createDataFrame([(1, "2024-01-01 00:10:00", "a", 1.0), (1, "2024-01-01 00:50:00", "a", 2.0), (2, "2024-01-01 03:00:00", "b", 1.0)], "user_id long, t string, event_type string, value double").selectExpr("user_id", "cast(t as timestamp) ts", "event_type", "value")
     assert {(r["event_type"], r["n"]) for r in monitoring.rates(e).collect()} == {("a", 2), ("b", 1)}
     assert monitoring.sessions(e).count() == 3
+
+
+def test_snapshots_go_to_the_state_in_chunks():
+    """A business of many snapshots costs few calls of the state, and all of them are compared, whichever chunk holds them."""
+    from pyspark.sql import Row
+
+    class State(list):
+        calls = 0
+
+        def get(self):
+            return list(self)
+
+        def appendValue(self, value):  # noqa: N802
+            State.calls += 1
+            self.append(value)
+
+        def put(self, values):
+            self[:] = values
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        timers = set()
+        getListState = staticmethod(lambda *_: State())  # noqa: N815
+        getValueState = staticmethod(lambda *_: Value())  # noqa: N815
+        registerTimer, deleteTimer = timers.add, timers.remove  # noqa: N815
+
+    class Until:
+        getCurrentWatermarkInMs = staticmethod(lambda: 3_000)  # noqa: N815
+
+    made = monitoring.Changes(["name"], 10**12)
+    made.init(Handle())
+    n = 4 * monitoring.CHUNK
+    rows = [Row(business_id=1, us=k * 1_000, tie=0, name=str(k)) for k in range(1, n + 1)]
+    random.Random(3).shuffle(rows)
+    assert not list(made.handleInputRows((1,), iter(rows[:100]), None)) and not list(made.handleInputRows((1,), iter(rows[100:]), None))
+    assert State.calls <= 6 and Handle.timers == {1}
+    events = list(made.handleExpiredTimer((1,), Until, None))
+    assert [(e.us, e.previous_val, e.new_val) for e in events] == [(k * 1_000, str(k - 1), str(k)) for k in range(2, 3_001)]
+    assert sum(len(c[0]) for c in made.waiting) == n - 3_000 and 3_001 in Handle.timers
