@@ -123,3 +123,16 @@ def test_pairs_are_not_shuffled_again(spark):
     timed = biz.withColumn("at", F.timestamp_seconds("id"))
     for found in (linkage.edges(keyed), linkage.recurrence(biz, biz), linkage.recurrence_within(timed, timed, 60)):
         assert "Aggregate" not in _exchanges_over(found)
+
+
+def test_star_edges_make_the_keys_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def key(i):
+        made.add(1)
+        return str(i % 3)
+
+    keyed = spark.range(30).select("id", F.lit("K").alias("type"), key("id").alias("key"))
+    assert linkage.star_edges(keyed).count() == 27
+    assert made.value == 30
