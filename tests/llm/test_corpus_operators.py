@@ -487,6 +487,42 @@ def test_context_mixing_states_equal_brute_force():
     assert len(there) > 20 and len(there) < len(w)
 
 
+@pytest.mark.parametrize("n_words", [12, 1 << 60])
+def test_context_mixing_finds_what_a_text_repeats(n_words):
+    r = random.Random(3)
+    texts = [[r.randrange(12) for _ in range(r.randint(1, 30))] for _ in range(20)]
+    at, earlier = contextmix.repeats(np.repeat(np.arange(20), [len(t) for t in texts]), np.concatenate(texts).astype(np.int64), n_words)
+    brute = [t[:i].count(w) for t in texts for i, w in enumerate(t)]
+    assert dict(zip(at.tolist(), earlier.tolist(), strict=True)) == {i: n for i, n in enumerate(brute) if n}
+
+
+def test_context_mixing_numbers_words_and_contexts():
+    pieces = [[b"b", b"a", b"b"], [], [b"c", b"a", b"\xff"]]
+    found, numbers = contextmix._numbered([contextmix._listed(x) for x in pieces])
+    assert found == [b"b", b"a", b"c", b"\xff"] and [[found[i] for i in x] for x in numbers] == pieces
+    for key in ([], [5], [1, 1, 2, 9], [7, 2, 7, 2**63, 0, 2]):
+        first, which = contextmix._ranks(np.array(key, np.uint64))
+        assert [key[i] for i in first] == sorted(set(key)) and [key[first[i]] for i in which] == key
+    cell = contextmix.MOST_BITS
+    keys = sorted({(c << cell) | w for c in (0, 3, 2**44 - 1) for w in (0, 1, 5, 2**19, 2**20 - 1)})
+    got = contextmix._parted(np.array(keys, np.uint64))
+    for k in range(cell + 1):  # groups of keys that share the context and k leading bits
+        assert (got <= k).tolist() == [i == 0 or keys[i] >> (cell - k) != keys[i - 1] >> (cell - k) for i in range(len(keys))]
+
+
+def test_context_mixing_counts_byte_states_like_a_loop():
+    listed, total = [words(k, 1).encode() for k in range(300)] + [contextmix.END], np.zeros((2, contextmix.SLOTS), np.float32)
+    contextmix.states(listed, total)
+    s, brute = contextmix.Spelling(listed), np.zeros(2 * contextmix.SLOTS)
+    for k in range(8):
+        node, bit = s.bit(k)
+        for o in range(len(contextmix.ORDERS)):
+            for at, n in zip((s.slot(o, node) + bit * contextmix.SLOTS).tolist(), s.uses.tolist(), strict=True):
+                brute[at] += n
+    assert np.array_equal(total.ravel(), brute) and total.dtype == np.float32
+    assert s.uses.sum() == sum(len(w) + (w != contextmix.END) for w in listed)
+
+
 def test_texts_are_a_distribution(spark):
     """The probabilities of different held-out texts add up to less than one, known words or not."""
     train = [(k, words(k % 7, 12)) for k in range(40)]
