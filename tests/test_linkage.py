@@ -136,3 +136,14 @@ def test_star_edges_make_the_keys_once(spark):
     keyed = spark.range(30).select("id", F.lit("K").alias("type"), key("id").alias("key"))
     assert linkage.star_edges(keyed).count() == 27
     assert made.value == 30
+
+
+def _timed(spark, n):
+    return spark.range(n).select("id", F.timestamp_seconds("id").alias("at"), F.lit("1").alias("normalized_phone"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("postal_code"))
+
+
+def test_recurrence_within_shuffles_a_row_once(spark):
+    """One exchange a side in the whole plan: what is dealt comes by broadcast."""
+    timed = _timed(spark, 9)
+    plan = linkage.recurrence_within(timed, timed, 60)._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert plan.count("Exchange hashpartitioning") == 2
