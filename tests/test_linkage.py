@@ -147,3 +147,10 @@ def test_recurrence_within_shuffles_a_row_once(spark):
     timed = _timed(spark, 9)
     plan = linkage.recurrence_within(timed, timed, 60)._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_a_hot_key_of_recurrence_is_dealt_over_tasks(spark):
+    """A key of 2,000 rows, less than a full tile, would be one task with all four million pairs."""
+    biz = _timed(spark, 2_000).drop("at")
+    shares = [r["count"] for r in linkage.recurrence(biz, biz).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(shares) == 2_000 * 1_999 and max(shares) < 3_000_000
